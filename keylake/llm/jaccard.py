@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from keylake.llm.groups import whole_groups
 from keylake.session import materialize
 
 SLAB = 1 << 16
+#: Bits at most of the broadcast filter of documents whose sets are compared: 4 MB.
+SIEVE = 1 << 25
 
 
 def runs_for(threshold: float, levels: int, recall: float) -> int:
@@ -224,6 +227,43 @@ def _linked(rows: DataFrame, runs: int, threshold: float) -> DataFrame:
     return rows.mapInArrow(scan, "rep long, links long, linked_docs long, root long")
 
 
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids, in 64-bit words: about ten bits an id, and SIEVE bits at most, where it lets more through."""
+    size = min(SIEVE, 1 << max(10, (10 * ids.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = _bits(b.column(0).to_numpy(), size)
+            yield pa.record_batch([pa.array((bits >> 6).ravel()), pa.array((np.int64(1) << (bits & 63)).ravel())], ["word", "bit"])
+
+    out = np.zeros(size >> 6, np.int64)
+    for r in ids.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # SIEVE / 64 rows at most
+        out[r.word] = r.bits
+    return out
+
+
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    h = ids.astype(np.int64).view(W.U)
+    return np.stack([W.mix(h ^ W.U(k * 0x51ED27)) % W.U(size) for k in range(1, 6)]).astype(np.int64)
+
+
+def _packed(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(rep, k1, k2, shingles) of the documents that may be needed: the sieve spares the others a shuffle of their sets."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(needed))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = shared.value
+        for b in batches:
+            b = b.filter(pa.compute.is_valid(b.column(0)))
+            bits = _bits(b.column(0).to_numpy(), len(sieve) << 6)
+            b = b.filter(pa.array((((sieve[bits >> 6] >> (bits & 63)) & 1) == 1).all(axis=0)))
+            bounds, s = _sets(W.words(b.column(1)), shingle)
+            k1, k2 = _digests(bounds, s)
+            yield pa.record_batch([b.column(0), pa.array(k1), pa.array(k2), pa.array([s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["rep", "k1", "k2", "shingles"])
+
+    return docs.mapInArrow(pack, "rep long, k1 long, k2 long, shingles binary")
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(id, root): the least id of each connected part, for all ids in edges (a, b); by alternating stars."""
 
@@ -278,14 +318,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     rows = rows.select(F.col("b.leaf").alias("node"), F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "run", "rep", "n", "copies", "leaf", "sig")
     likely = materialize(_likely(rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj"), runs, orders, threshold, floor), "likely")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bounds, s = _sets(W.words(b.column(1)), shingle)
-            k1, k2 = _digests(bounds, s)
-            yield pa.record_batch([b.column(0), pa.array(k1), pa.array(k2), pa.array([s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["rep", "k1", "k2", "shingles"])
-
-    needed = likely.select("rep").distinct()
-    packed = docs.join(needed, docs.doc_id == needed.rep, "left_semi").mapInArrow(pack, "rep long, k1 long, k2 long, shingles binary")
+    needed = materialize(likely.select("rep").distinct(), "needed")
+    packed = _packed(docs, needed, shingle).join(needed, "rep", "left_semi")
     packed = packed.join(reps.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles")
     rows = likely.join(packed, "rep").select("node", "bi", "bj", "side", "run", "rep", "n", "copies", "leaf", "shingles")
     found = materialize(_linked(rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj"), runs, threshold), "linked")
