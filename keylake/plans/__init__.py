@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from keylake.plans import functions, relations, series  # noqa: F401
+from keylake.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict:
     return QUERIES
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql() -> dict:
     return SQL
