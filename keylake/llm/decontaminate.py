@@ -97,7 +97,7 @@ def _count_shingles(docs: DataFrame, windows: Windows) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, distinct = shared.value
         total = np.zeros(len(distinct), np.int64)
-        for b in batches:
+        for b in W.slices(batches):
             w = W.words(b.column(0))
             for size in sizes:
                 there, place = W.member(W.shingles(w, size)[0], distinct)
@@ -137,7 +137,7 @@ def _digest(items: set) -> str:
 def _scan(windows: Windows):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = windows.value
-        for b in batches:
+        for b in W.slices(batches):
             w = W.words(b.column(1))
             hit, items = _hits(w, found)
             n_hit = np.bincount(w.row[hit], minlength=w.rows)
@@ -156,7 +156,7 @@ _PARTS = "row long, doc_id long, n_words long, hit array<int>, items array<strin
 def _scan_parts(windows: Windows):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = windows.value
-        for b in batches:
+        for b in W.slices(batches):
             w = W.words(b.column(2))
             hit, items = _hits(w, found)
             first = np.searchsorted(w.row, np.arange(w.rows))

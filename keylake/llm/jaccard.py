@@ -101,7 +101,7 @@ def _sample(bounds: np.ndarray, shingles: np.ndarray, multipliers: np.ndarray) -
 def _signatures(docs: DataFrame, shingle: int, orders: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, orders, dtype=W.U) * W.U(2) + W.U(1)
-        for b in batches:
+        for b in W.slices(batches):
             bounds, s = _sets(W.words(b.column(1)), shingle)
             k1, k2 = _digests(bounds, s)
             sig = _sample(bounds, s, multipliers).view(np.int32)
@@ -232,7 +232,7 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     size = min(SIEVE, 1 << max(10, (10 * ids.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.slices(batches):
             bits = _bits(b.column(0).to_numpy(), size)
             yield pa.record_batch([pa.array((bits >> 6).ravel()), pa.array((np.int64(1) << (bits & 63)).ravel())], ["word", "bit"])
 
@@ -253,7 +253,7 @@ def _packed(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
-        for b in batches:
+        for b in W.slices(batches):
             b = b.filter(pa.compute.is_valid(b.column(0)))
             bits = _bits(b.column(0).to_numpy(), len(sieve) << 6)
             b = b.filter(pa.array((((sieve[bits >> 6] >> (bits & 63)) & 1) == 1).all(axis=0)))

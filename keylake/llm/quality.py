@@ -43,7 +43,7 @@ def _count(docs: DataFrame, target: DataFrame, buckets: int) -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * buckets, np.int64)
-        for b in batches:
+        for b in W.slices(batches):
             row, bucket = _features(W.words(b.column(0)), buckets)
             good = b.column(1).to_numpy()[row].astype(bool)
             total[:buckets] += np.bincount(bucket, minlength=buckets)
@@ -70,7 +70,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 7) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.slices(batches):
             w = W.words(b.column(1))
             row, bucket = _features(w, len(shared.value))
             weight = np.bincount(row, weights=shared.value[bucket], minlength=w.rows)

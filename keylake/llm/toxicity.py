@@ -80,6 +80,8 @@ class Model:
     intercept: float
 
     def score(self, column: pa.Array) -> np.ndarray:
+        if len(column) > 1024:
+            return np.concatenate([self.score(column.slice(lo, 1024)) for lo in range(0, len(column), 1024)])
         w = W.words(column, PREFIXES)
         row, place = _places(w, self.features)
         logit = self.intercept + np.bincount(row, weights=self.weights[place], minlength=w.rows)
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     taken = materialize(taken, "labelled")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.slices(batches):
             yield pa.record_batch([b.column(0), b.column(1), pa.array(sketches(W.words(b.column(2))), pa.binary())], ["doc_id", "label", "sketch"])
 
     rows = sorted(taken.mapInArrow(sketch, "doc_id long, label int, sketch binary").collect(), key=lambda r: r.doc_id)
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     kept = taken.where(F.col("doc_id").isin(sorted(single)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.slices(batches):
             row, feature = _present(W.words(b.column(2), PREFIXES))
             pairs = np.unique(np.rec.fromarrays([row, feature]))
             found, place = np.unique(pairs.f1, return_inverse=True)
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     ordered = np.unique(np.concatenate([np.array([r.feature for r in best], np.int64).view(W.U), *_groups()]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.slices(batches):
             row, at = _places(W.words(b.column(2), PREFIXES), ordered)
             yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(at)], ["doc_id", "place"])
 
@@ -221,7 +223,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.slices(batches):
             score = shared.value.score(b.column(1))
             yield pa.record_batch([b.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 

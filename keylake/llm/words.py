@@ -7,6 +7,7 @@ A word's hash is a polynomial over its bytes, from differences of one running su
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,13 @@ class Words:
         return [WORD_BYTE[self.data[s:e]].tobytes() for s, e in zip(self.start[first:last], self.end[first:last], strict=True)]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, as word arrays are larger than their texts."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
