@@ -73,7 +73,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 7) -> DataFrame:
         for b in W.slices(batches):
             w = W.words(b.column(1))
             row, bucket = _features(w, len(shared.value))
-            weight = np.bincount(row, weights=shared.value[bucket], minlength=w.rows)
+            weight = np.bincount(row, weights=shared.value[bucket], minlength=w.rows).astype(float)
             yield pa.record_batch([b.column(0), pa.array(np.bincount(row, minlength=w.rows)), pa.array(weight), b.column(2)], ["doc_id", "n_ngrams", "log_weight", "tie"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, n_ngrams long, log_weight double, tie long")
