@@ -1,9 +1,11 @@
-"""Column functions for keys: big integers as hex text, ids and fingerprints. All are native expressions."""
+"""Column functions for keys: big integers as hex text, ids and fingerprints. Native expressions but for decimal_to_hex."""
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +79,48 @@ def time_between(ts: Column, start: str, end: str) -> Column:
     """Is the time of day in [start, end), over midnight if start is later."""
     t = F.date_format(ts, "HH:mm:ss")
     return ((t >= start) & (t < end)) if start <= end else ((t >= start) | (t < end))
+
+
+@F.pandas_udf("string")
+def decimal_to_hex(s: pd.Series) -> pd.Series:
+    """Decimal digits of any length as hex; null for null."""
+    sys.set_int_max_str_digits(0)
+    return s.map(lambda x: None if x is None else f"{int(x):x}")
+
+
+def big_integers(c: Column) -> Column:
+    """Every reading of a text as a big integer: an array of (encoding, n), n in canonical hex.
+
+    A text of digits only is read as hex, as base64 (if its length is a multiple of four) and as decimal.
+    """
+    t = F.trim(c)
+    base64 = F.when(t.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(t) % 4 == 0), hex_canon(F.hex(F.try_to_binary(t, F.lit("base64")))))
+    readings = [
+        F.when(t.rlike(r"^(0x|\\x)?[0-9A-Fa-f]+$"), F.struct(F.lit("hex").alias("encoding"), hex_canon(t).alias("n"))),
+        F.when(base64.isNotNull(), F.struct(F.lit("base64").alias("encoding"), base64.alias("n"))),
+        F.when(t.rlike("^[0-9]+$"), F.struct(F.lit("decimal").alias("encoding"), decimal_to_hex(F.when(t.rlike("^[0-9]+$"), t)).alias("n"))),
+    ]
+    return F.array_compact(F.array(*readings))
+
+
+def ssh_rsa(line: Column) -> Column:
+    """(e, n, bits) of an `ssh-rsa` line, options before the type dropped; null if it is none or is cut short."""
+    raw = F.try_to_binary(F.regexp_extract(line, r"ssh-rsa\s+([A-Za-z0-9+/=]+)", 1), F.lit("base64"))
+    h = F.lower(F.hex(raw))
+
+    def field(start: Column) -> tuple[Column, Column]:
+        """The field that starts at a digit, and the digit after it."""
+        size = F.conv(F.substring(h, start, F.lit(8)), 16, 10).cast("int") * 2
+        return F.substring(h, start + 8, size), start + 8 + size
+
+    e, after = field(F.lit(23))
+    n, end = field(after)
+    made = F.struct(hex_canon(e).alias("e"), hex_canon(n).alias("n"), bit_length(hex_canon(n)).alias("bits"))
+    return F.when(F.startswith(h, F.lit("000000077373682d727361")) & (F.length(h) >= end - 1) & (F.length(n) > 0), made)
+
+
+def national_id_parts(c: Column) -> Column:
+    """(sex digit, birth date, serial) of eleven digits; the date is null if there is no such day."""
+    century = F.floor((F.substring(c, 1, 1).try_cast("int") - 1) / 2) + 18
+    day = F.try_to_date(F.concat(century.cast("string"), F.substring(c, 2, 2), F.lit("-"), F.substring(c, 4, 2), F.lit("-"), F.substring(c, 6, 2)))
+    return F.struct(F.substring(c, 1, 1).try_cast("int").alias("sex"), day.alias("born"), F.substring(c, 8, 3).try_cast("int").alias("serial"))

@@ -43,3 +43,115 @@ def category(c: Column, rules: list[tuple[str, str]]) -> Column:
     for needle, name in rules:
         out = out.when(F.contains(c, F.lit(needle)), name)
     return out
+
+
+def split_group(c: Column) -> tuple[Column, Column]:
+    """(group, artifact) of a dotted name: all before the last dot, and the rest; no dot gives an empty group."""
+    return F.regexp_extract(c, r"^(.*)\.[^.]*$", 1), F.element_at(F.split(c, r"\."), -1)
+
+
+def coordinates(path_col: Column) -> Column:
+    """group, artifact and version of a repository path group/parts/artifact/version/file; null if it is too short."""
+    s = F.filter(F.split(path_col, "/"), lambda x: x != "")
+    made = F.struct(F.array_join(F.slice(s, F.lit(1), F.size(s) - 3), ".").alias("group"), F.element_at(s, -3).alias("artifact"), F.element_at(s, -2).alias("version"))
+    return F.when(F.size(s) >= 4, made)
+
+
+def version_key(c: Column, parts: int | None = None) -> Column:
+    """An array that sorts as versions do, of the first so many dotted parts if given.
+
+    ':' counts as '.', parts split at '-', numbers come before text, and missing parts count as zero, so that 1.0 = 1 and
+    1.0 < 1.0-rc < 1.2 < 1.10.
+    """
+    dotted = F.split(F.replace(c, F.lit(":"), F.lit(".")), r"\.")
+    if parts is not None:
+        dotted = F.slice(dotted, 1, parts)
+
+    def piece(x: Column) -> Column:
+        number = x.rlike("^[0-9]{1,38}$")
+        return F.struct(F.when(number, 0).otherwise(1).alias("is_text"), F.when(number, x.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"), F.when(number, "").otherwise(x).alias("text"))
+
+    def trimmed(items: Column, keep) -> Column:
+        at = F.filter(F.transform(items, lambda x, i: F.when(keep(x), i + 1)), lambda i: i.isNotNull())
+        return F.slice(items, F.lit(1), F.coalesce(F.array_max(at), F.lit(0)))
+
+    inner = F.transform(dotted, lambda p: trimmed(F.transform(F.split(p, "-"), piece), lambda x: (x["is_text"] == 1) | (x["num"] != 0)))
+    return trimmed(inner, lambda p: F.size(p) > 0)
+
+
+def version_length(c: Column) -> Column:
+    return F.size(F.split(F.replace(c, F.lit(":"), F.lit(".")), r"\."))
+
+
+def app_name(title: Column, version: Column) -> Column:
+    """A title up to its version, or else up to its first number; the whole title if it starts there or has none."""
+    at = F.instr(title, version)
+    number = F.regexp_instr(title, F.lit(r"[0-9]+\b"))
+    return F.when(at > 1, F.trim(F.substring(title, F.lit(1), at - 1))).when(number > 1, F.trim(F.substring(title, F.lit(1), number - 1))).otherwise(title)
+
+
+#: Words of a title and the type that they mean; the first that occurs counts.
+VERSION_WORDS = (("beta", "beta"), ("alpha", "alpha"), ("alfa", "alpha"), ("test", "alpha"), ("rc", "rc"), ("free", "free"), ("pro", "pro"))
+
+
+def version_type(title: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for word, kind in VERSION_WORDS:
+        out = out.when(F.lower(title).rlike(rf"\b{word}\b"), kind)
+    return out
+
+
+def slug(c: Column) -> Column:
+    """Lower-case letters and digits with single hyphens between."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+
+
+def digits(c: Column) -> Column:
+    """The digits of a text as a number; null if it has none."""
+    return F.regexp_replace(c, r"[^0-9]", "").try_cast("long")
+
+
+def experiment_name(file: Column) -> Column:
+    """A file's base name without extensions and without the random part before the port."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\..*$", ""), "^[a-zA-Z0-9]+-(443-)", "$1")
+
+
+def date_part(c: Column) -> Column:
+    return F.substring_index(c, "T", 1)
+
+
+def tolerant_epoch(c: Column) -> Column:
+    """Seconds since 1970 of an ISO time; null if it isn't one."""
+    return F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(c, "Z$", ""), "T", " ")))
+
+
+def link_last(c: Column) -> Column:
+    """The url that an HTTP Link header names as the last page."""
+    return F.regexp_extract(c, r'<([^<>]*)>; rel="last"', 1)
+
+
+def should_follow(url: Column, deny: list[str]) -> Column:
+    """Is the path's extension none of those denied."""
+    return ~F.lower(F.regexp_extract(path(url), r"\.([A-Za-z0-9]+)$", 1)).isin(deny)
+
+
+def is_version_folder(c: Column) -> Column:
+    """Does the last segment start with a number or v and a number."""
+    return last_segment(c).rlike(r"^v?[0-9]+([.-].*)?$")
+
+
+def host_allowed(url: Column, domains: list[str], words: list[str]) -> Column:
+    """Is the host one of the domains, below one, or does it contain a word."""
+    out = F.lit(False)
+    for d in domains:
+        out = out | (host(url) == d) | F.endswith(host(url), F.lit("." + d))
+    for w in words:
+        out = out | F.contains(host(url), F.lit(w))
+    return out
+
+
+def blocks(c: Column) -> Column:
+    """The BEGIN blocks of armored text, as an array of (label, body): body is the base64 between headers and checksum."""
+    found = F.regexp_extract_all(c, F.lit(r"(-----BEGIN [A-Z0-9 ]+-----[^-]*-----END)"), 1)
+    body = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, r"-----BEGIN [A-Z0-9 ]+-----([^-]*)-----END", 1), r"(?m)^[A-Za-z-]+: .*$", ""), r"\n=[A-Za-z0-9+/]{4}\s*$", ""), r"\s+", "")
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"-----BEGIN ([A-Z0-9 ]+)-----", 1).alias("label"), body(x).alias("body")))

@@ -68,3 +68,77 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_split(df: DataFrame, path: str, column: str = "flagged") -> None:
     df.write.partitionBy(column).parquet(path)
+
+
+def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of several text files with file_ord, the file's place in the list."""
+    order = F.create_map(*[F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k)])
+    return spark.read.text(paths).withColumn("file_ord", F.element_at(order, F.col("_metadata.file_name")))
+
+
+def first_field(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """The distinct first fields of comma-separated lines."""
+    return lines.select(F.trim(F.split(line_col, ",", 2)[0]).alias("ip")).distinct()
+
+
+def id_array(df: DataFrame, json_col: str) -> DataFrame:
+    """Distinct ids of JSON arrays of texts."""
+    return df.select(F.explode(F.from_json(json_col, "array<string>")).alias("id")).distinct()
+
+
+def select_inputs(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """Sorted paths of the files below a folder whose names end so."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
+    return found.select("path", "length").orderBy("path")
+
+
+def maven_index(df: DataFrame, base: str) -> DataFrame:
+    """(group, artifact, version, pom_url) of sitemap rows (url, artifact_detected, versions array of (v, l))."""
+    rows = df.where("artifact_detected and size(versions) > 0").select("url", F.explode("versions").alias("x"))
+    s = F.filter(F.split(F.replace("url", F.lit(base), F.lit("")), "/"), lambda p: p != "")
+    artifact, version = F.element_at(s, -1), F.col("x.v")
+    pom = F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), version, F.lit("/"), artifact, F.lit("-"), version, F.lit(".pom"))
+    return rows.select(F.array_join(F.slice(s, F.lit(1), F.size(s) - 1), ".").alias("group"), artifact.alias("artifact"), version.alias("version"), pom.alias("pom_url"))
+
+
+def flatten(df: DataFrame, json_col: str, schema: str, fields: dict[str, str], dates: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows of JSON arrays of objects: fields maps a column to its path in an object, dates become UTC times."""
+    kept = [c for c in df.columns if c != json_col]
+    rows = df.select(*kept, F.explode(F.from_json(json_col, f"array<struct<{schema}>>")).alias("__o"))
+    value = lambda name, at: F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.col(f"__o.{at}"), "T", " "), "Z$", "")) if name in dates else F.col(f"__o.{at}")
+    return rows.select(*kept, *[value(name, at).alias(name) for name, at in fields.items()])
+
+
+def write_sorted_list(df: DataFrame, column: str, path: str) -> None:
+    """One sorted column as text, in order over all files."""
+    text = df.select(F.col(column).cast("string").alias("value"))
+    text.repartitionByRange("value").sortWithinPartitions("value").write.text(path)
+
+
+def write_levels(df: DataFrame, path: str, column: str = "level") -> None:
+    df.write.partitionBy(column).parquet(path)
+
+
+def consolidate(spark: SparkSession, paths: list[str] | str, out: str, files: int) -> None:
+    """Small line files as fewer larger ones."""
+    spark.read.text(paths).coalesce(files).write.text(out)
+
+
+def run_once(df: DataFrame, path: str) -> DataFrame:
+    """The Parquet table at path, written from df only if it is not complete there."""
+    df.write.mode("ignore").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_table(df: DataFrame, url: str, name: str, batch: int = 10_000) -> None:
+    df.write.format("jdbc").options(url=url, dbtable=name, batchsize=batch).mode("append").save()
+
+
+def append_errors(df: DataFrame, path: str, text: str = "error") -> None:
+    """Distinct errors of a batch, by digest, appended as JSON lines."""
+    df.withColumn("err_md5", F.md5(F.col(text).cast("binary"))).dropDuplicates(["err_md5"]).write.mode("append").json(path)
+
+
+def export_ssh_keys(df: DataFrame) -> DataFrame:
+    """(source, n, e, added): classification records of stored keys, times as seconds since 1970."""
+    return df.select(F.array("id").alias("source"), hex_canon(F.col("mod")).alias("n"), "e", F.unix_timestamp("added_at").alias("added"))
