@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Small primes of the published residue test for weak RSA moduli (CCS 2017); the allowed residues are powers of 65537.
 PRIMES = (3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 53, 61, 71, 73, 79, 97, 103, 107, 109, 127, 151, 157)
@@ -81,7 +82,7 @@ def time_between(ts: Column, start: str, end: str) -> Column:
     return ((t >= start) & (t < end)) if start <= end else ((t >= start) | (t < end))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decimal_to_hex(s: pd.Series) -> pd.Series:
     """Decimal digits of any length as hex; null for null."""
     sys.set_int_max_str_digits(0)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from keylake.parsers import der, pgp
 
@@ -93,7 +94,7 @@ SIGNATURES = {
 }
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def verifies(tbs: pd.Series, signature: pd.Series, sig_alg: pd.Series, n: pd.Series, e: pd.Series) -> pd.Series:
     """Does an RSA signature hold under a key (n, e); null if it is of another kind or a part is null."""
 
