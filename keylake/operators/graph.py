@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keylake.parsers.frames import verify_pairs
 from keylake.session import materialize
 
 
@@ -31,3 +32,44 @@ def affected(deps: DataFrame, seeds: DataFrame) -> DataFrame:
     """(library, level): libraries that depend on seeds (library), directly at level 1 or through others; deps (library, needs)."""
     edges = deps.select(F.col("needs").alias("src"), F.col("library").alias("dst")).distinct()
     return reach(edges, seeds.select(F.col("library").alias("node"))).where("level > 0").withColumnRenamed("node", "library")
+
+
+def verified_levels(candidates: DataFrame, roots: DataFrame, max_level: int = 9) -> DataFrame:
+    """(fprint, parent, level) of parsed CA certificates, a level at a time: each verifies under one of a lower level.
+
+    candidates and roots have fprint and the columns of parsed certificates. Expiry is ignored. Ends at the first level
+    without a certificate.
+    """
+    placed = materialize(roots.withColumn("level", F.lit(0)).withColumn("parent", F.lit(None).cast("string")), "trust")
+    out, frontier = placed.select("fprint", "parent", "level"), placed
+    for level in range(1, max_level + 1):
+        left = candidates.join(out.select("fprint"), "fprint", "left_anti")
+        joined = verify_pairs(left, frontier, "fprint")
+        rest = [c for c in left.columns if c != "fprint"]
+        step = joined.groupBy("fprint").agg(F.min("parent").alias("parent"), *[F.any_value(c).alias(c) for c in rest]).withColumn("level", F.lit(level))
+        frontier = materialize(step, "trust")
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier.select("fprint", "parent", "level"))
+    return out
+
+
+def paths(edges: DataFrame, seeds: DataFrame, max_level: int = 16) -> DataFrame:
+    """(seed, node, parent, level, path): one path, the least, to each node that a seed reaches; cycles end by themselves."""
+    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"), F.col("node").cast("string").alias("path"))
+    frontier = materialize(start.distinct(), "paths")
+    out = frontier
+    for level in range(1, max_level + 1):
+        step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node"), F.col("node").alias("parent"), F.lit(level).alias("level"), F.concat("path", F.lit("/"), F.col("dst").cast("string")).alias("path"))
+        best = step.groupBy("seed", "node").agg(F.min_by(F.struct("parent", "level", "path"), "path").alias("b")).select("seed", "node", "b.*")
+        frontier = materialize(best.join(out.select("seed", "node"), ["seed", "node"], "left_anti"), "paths")
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier)
+    return out
+
+
+def to_tree_json(found: DataFrame) -> DataFrame:
+    """(parent, children): for each node of paths(), its children as a JSON array of (node, level)."""
+    kids = found.where("parent is not null").groupBy("seed", "parent").agg(F.array_sort(F.collect_list(F.struct("node", "level"))).alias("c"))
+    return kids.select("seed", "parent", F.to_json("c").alias("children"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keylake.functions.text import version_key, version_length
+
 
 def attach_hosts(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> DataFrame:
     """certs with the sorted distinct ips of their hosts; an empty list for none."""
@@ -71,3 +73,75 @@ def assoc_history(seen: DataFrame, owner: str, item: str, check: str) -> DataFra
     island = F.col("ix") - F.row_number().over(Window.partitionBy(owner, item).orderBy("ix"))
     runs = rows.withColumn("run", island).groupBy(owner, item, "run")
     return runs.agg(F.min(check).alias("found_at"), F.max_by("next", "ix").alias("lost_at")).drop("run")
+
+
+def lookup_new(wanted: DataFrame, archive: DataFrame, key: str = "fprint") -> tuple[DataFrame, DataFrame]:
+    """(found, missing): wanted keys with the archive's columns, and those that it lacks."""
+    joined = wanted.select(key).distinct().join(archive.withColumn("__here", F.lit(True)), key, "left")
+    return joined.where("__here").drop("__here"), joined.where("__here is null").select(key)
+
+
+def cumulative_inputs(catalogue: DataFrame, ts: str = "date_utc", item: str = "id") -> DataFrame:
+    """(month, item) of every data set dated up to the month's last one. A catalogue has a row for each published set.
+
+    Months are few and have a bounded list of sets, so the last one of each is broadcast.
+    """
+    month = F.date_trunc("month", F.timestamp_seconds(ts)).alias("month")
+    last = catalogue.groupBy(month).agg(F.max(ts).alias("__last"))
+    return catalogue.join(F.broadcast(last), F.col(ts) <= F.col("__last")).select("month", item)
+
+
+def new_apps(listing: DataFrame, apps: DataFrame, now: str, pid: int | None = None) -> DataFrame:
+    """Listing rows (title, type, uploaded) that no app record of the same title and type has handled.
+
+    A record handles a row if it was downloaded or processed, is unreserved, or was reserved in the 20 minutes before now
+    (all of these by process pid only, if given), or was uploaded no earlier than the row.
+    """
+    busy = F.col("a.downloaded") | F.col("a.processed") | F.col("a.reserved").isNull() | (F.col("a.reserved") >= F.lit(now).cast("timestamp_ntz") - F.expr("interval 20 minutes"))
+    if pid is not None:
+        busy = busy & (F.col("a.pid") == pid)
+    done = F.coalesce(busy, F.lit(False)) | F.coalesce(F.col("a.uploaded") >= F.col("l.uploaded"), F.lit(False))
+    return listing.alias("l").join(apps.alias("a"), (F.col("l.title") == F.col("a.title")) & F.col("l.type").eqNullSafe(F.col("a.type")) & done, "left_anti")
+
+
+def extend_catalogue(catalogue: DataFrame, files: DataFrame, key: str = "name") -> DataFrame:
+    """The catalogue and those files that it does not list."""
+    return catalogue.unionByName(files.join(catalogue.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def upsert_conflicts(current: DataFrame, new: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Keys whose new row differs from the current one in a column, nulls counting as equal."""
+    left, right = current.select(*keys, F.struct(*cols).alias("__l")), new.select(*keys, F.struct(*cols).alias("__r"))
+    return left.join(right, keys).where(~F.col("__l").eqNullSafe(F.col("__r"))).select(keys)
+
+
+def pick_versions(df: DataFrame, group: str, version: str = "version") -> DataFrame:
+    """(group, version, pick): the highest version of each group, and the highest of those below its first two parts.
+
+    Among those the greatest first two parts count, then fewer parts, then the greatest rest, which compares as a version.
+    """
+    v = F.col(version)
+    rows = df.select(group, version).distinct().withColumn("__k", version_key(v))
+    top = rows.groupBy(group).agg(F.max_by(version, F.struct("__k", version)).alias("__top"))
+    below = rows.join(top, group).where((F.col("__k") < version_key(F.col("__top"), 2)) & (v != F.col("__top")))
+    tail = version_key(F.array_join(F.slice(F.split(F.replace(v, F.lit(":"), F.lit(".")), r"\."), F.lit(3), F.lit(1000)), "."))
+    rank = F.struct(version_key(v, 2), -version_length(v), tail, v)
+    lower = below.groupBy(group).agg(F.max_by(version, rank).alias(version)).select(group, version, F.lit("lower").alias("pick"))
+    return top.select(group, F.col("__top").alias(version), F.lit("top").alias("pick")).unionByName(lower)
+
+
+def version_filter(df: DataFrame, version: str, low: str | None = None, high: str | None = None, exact: str | None = None) -> DataFrame:
+    """Rows whose version is in bounds; each bound compares with as many parts as it has."""
+    parts = lambda bound: bound.replace(":", ".").count(".") + 1
+    key = lambda bound: (version_key(F.col(version), parts(bound)), version_key(F.lit(bound)))
+    for bound, holds in ((exact, lambda a, b: a == b), (low, lambda a, b: a >= b), (high, lambda a, b: a <= b)):
+        if bound is not None:
+            df = df.where(holds(*key(bound)))
+    return df
+
+
+def key_family(keys: DataFrame, key: str = "key_id", master: str = "master_key_id") -> DataFrame:
+    """(key, relative, relation): each subkey's master and each master's subkeys."""
+    links = keys.where(F.col(master).isNotNull() & (F.col(master) != F.col(key))).select(F.col(key).alias("a"), F.col(master).alias("b")).distinct()
+    up = links.select(F.col("a").alias(key), F.col("b").alias("relative"), F.lit("master").alias("relation"))
+    return up.unionByName(links.select(F.col("b").alias(key), F.col("a").alias("relative"), F.lit("subkey").alias("relation")))

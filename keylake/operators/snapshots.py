@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keylake.session import materialize
+
 
 def snapshot_diff(hosts: DataFrame, key: str = "fprint", snap: str = "snap") -> DataFrame:
     """(snap, key, first_seen, new, same) for each key of each snapshot, and lost = true at the snapshot after its last.
@@ -45,3 +47,39 @@ def trailing_counts(events: DataFrame, spans: list[int], key: str, epoch: str =
         w = Window.partitionBy(key).orderBy(epoch).rangeBetween(-s, 0)
         events = events.withColumn(f"n_{s}", F.count("*").over(w))
     return events
+
+
+def month_merge(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> DataFrame:
+    """(month, key, ips): all of a month's archived keys, with the hosts of the month's last snapshot; none gives [].
+
+    archive has (snap, key). Keys that the last snapshot lacks stay.
+    """
+    month = F.date_trunc("month", F.col("snap")).alias("month")
+    last = hosts.select(month, "snap").distinct().groupBy("month").agg(F.max("snap").alias("snap"))
+    final = hosts.join(F.broadcast(last), "snap")  # one row for each month
+    ips = final.groupBy("month", key).agg(F.array_sort(F.collect_set("ip")).alias("ips"))
+    keys = archive.select(month, key).distinct()
+    return keys.join(ips, ["month", key], "left").withColumn("ips", F.coalesce("ips", F.array().cast(ips.schema["ips"].dataType)))
+
+
+def seq_id(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
+    """df with id: the row's place in an order over all rows.
+
+    Rows are split into ranges of the order; each range counts its own, and the ranges' sizes, one number for each
+    partition, give where it starts. No single task sees all rows.
+    """
+    parts = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__p", before.alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return parts.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__start") + place - 1 + start).alias("id"))  # one row for each partition
+
+
+def cap_entities(df: DataFrame, order: str, capped: Column, n: int) -> DataFrame:
+    """Rows in order up to and with the n-th capped one, and no further.
+
+    The n-th capped row is found by a top-n, so that no task sorts all rows; ties in order stay together.
+    """
+    nth = df.where(capped).select(order).orderBy(order).limit(n).agg(F.when(F.count("*") == n, F.max(order)).alias("__last"))
+    return df.crossJoin(F.broadcast(nth)).where(F.col("__last").isNull() | (F.col(order) <= F.col("__last"))).drop("__last")  # nth is one row

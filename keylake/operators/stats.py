@@ -42,3 +42,46 @@ def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 def contributor_stats(df: DataFrame, who: str, where: str, amount: str) -> DataFrame:
     """(who, total, n_repos, average, repos): repos sorted and joined by '|'."""
     return df.groupBy(who).agg(F.sum(amount).alias("total"), F.countDistinct(where).alias("n_repos"), F.avg(amount).alias("average"), F.array_join(F.array_sort(F.collect_set(F.col(where).cast("string"))), "|").alias("repos"))
+
+
+def flagged_hist(df: DataFrame, value: Column, flag: Column) -> DataFrame:
+    """(slot, total, flagged, share): flagged rows of each value, and their share of all flagged, -1 if there are none."""
+    out = df.groupBy(value.alias("slot")).agg(F.count("*").alias("total"), F.count_if(flag).alias("flagged"))
+    all_flagged = F.sum("flagged").over(Window.partitionBy())  # rows are values of a histogram, few
+    return out.withColumn("share", F.when(all_flagged > 0, F.col("flagged") / all_flagged).otherwise(F.lit(-1.0)))
+
+
+def in_range_counts(df: DataFrame, inside: Column, flags: dict[str, Column]) -> DataFrame:
+    """One row: rows inside, and those inside with each flag."""
+    return df.agg(F.count_if(inside).alias("total"), *[F.count_if(inside & f).alias(name) for name, f in flags.items()])
+
+
+def population_summary(df: DataFrame, who: str, kind: str, born: Column, today: str) -> DataFrame:
+    """(kind, n, people, first, last, adults) for each kind of key; adults were born over 18 * 365 days before today."""
+    days = F.datediff(F.lit(today).cast("date"), F.col("__born"))
+    people = df.withColumn("__born", born).groupBy(kind, who).agg(F.count("*").alias("__n"), F.min("__born").alias("__born"))
+    return people.groupBy(kind).agg(F.sum("__n").alias("n"), F.count("*").alias("people"), F.min("__born").alias("first"), F.max("__born").alias("last"), F.count_if(days > 18 * 365).alias("adults"))
+
+
+def repo_summary(commits: DataFrame, issues: DataFrame, key: str, at: str, is_open: Column) -> DataFrame:
+    """(key, first, last, n_open, n_closed): dates of commits, and issues by state; 0 for none."""
+    days = commits.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    states = issues.groupBy(key).agg(F.count_if(is_open).alias("n_open"), F.count_if(~is_open).alias("n_closed"))
+    return days.join(states, key, "left").fillna(0, ["n_open", "n_closed"])
+
+
+def match_map(df: DataFrame, entity: str, order: str, flag: Column) -> DataFrame:
+    """(entity, matches): the flags of an entity's keys in order."""
+    pairs = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), flag.alias("f")))).alias("p"))
+    return pairs.select(entity, F.transform("p", lambda x: x["f"]).alias("matches"))
+
+
+def pmf(df: DataFrame, value: str, grid: DataFrame, prior: float, ranges: list[tuple[int, int, float]], weight: float) -> DataFrame:
+    """(slot, p): a prior and extra scores for ranges [low, high), with weight spread over the sample's values, normalised."""
+    total = df.select(F.count("*").alias("__total"))
+    counted = df.groupBy(F.col(value).alias("slot")).agg(F.count("*").alias("__n"))
+    score = F.lit(prior) + F.when(F.col("__total") > 0, weight * F.coalesce("__n", F.lit(0)) / F.col("__total")).otherwise(F.lit(0.0))
+    for low, high, extra in ranges:
+        score = score + F.when((F.col("slot") >= low) & (F.col("slot") < high), extra).otherwise(0.0)
+    scored = grid.join(counted, "slot", "left").crossJoin(F.broadcast(total)).select("slot", score.alias("__s"))  # total is one row
+    return scored.select("slot", (F.col("__s") / F.sum("__s").over(Window.partitionBy())).alias("p"))  # rows are the grid

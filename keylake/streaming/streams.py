@@ -1,9 +1,15 @@
-"""Streaming forms: first-seen keys, trailing counts, snapshot differences."""
+"""Streaming forms: first-seen keys, trailing counts, snapshot differences, and running a stream over what is there."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from keylake.session import shared_dir
 
 
 def stream_first_seen(stream: DataFrame, key: str) -> DataFrame:
@@ -18,5 +24,64 @@ def stream_trailing_counts(stream: DataFrame, ts: str, key: str, length: str = "
 
 
 def dead_letter(df: DataFrame, max_fail: int, count_col: str = "fail_cnt") -> tuple[DataFrame, DataFrame]:
-    """(to retry, failed for good)."""
-    return df.where(F.col(count_col) <= max_fail), df.where(F.col(count_col) > max_fail)
+    """(to retry, failed for good); an unknown count is to retry."""
+    failed = F.coalesce(F.col(count_col) > max_fail, F.lit(False))
+    return df.where(~failed), df.where(failed)
+
+
+def run_available(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> None:
+    """Run a stream over all input that is there and stop; run again, it goes on where it stopped.
+
+    Append writes to the exactly-once file sink. Complete replaces the table at out with each batch's whole result.
+    """
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.outputMode("append").format("parquet").start(out)
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    query.awaitTermination()
+
+
+def once(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """The whole result of a stream over the input that is there, kept in the shared folder."""
+    base = f"{shared_dir(spark)}/keylake-stream-{uuid.uuid4().hex}"
+    run_available(stream, f"{base}/checkpoint", f"{base}/out", mode)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def stream_snapshot_diff(stream: DataFrame, key: str, state: str, out: str, checkpoint: str) -> None:
+    """(key, change, batch) for each micro-batch taken as a snapshot: new or lost against the one before it.
+
+    Each batch's keys are written under its number, and its changes too, so that a repeated batch writes the same again.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{state}/{number}")
+        now = spark.read.parquet(f"{state}/{number}")
+        before = spark.read.schema(now.schema).parquet(f"{state}/{number - 1}") if number else now.where("false")
+        new, lost = now.join(before, key, "left_anti"), before.join(now, key, "left_anti")
+        changes = new.withColumn("change", F.lit("new")).unionByName(lost.withColumn("change", F.lit("lost")))
+        changes.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps (batch, rows, rows a second) of the queries' progress."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, float]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = json.loads(event.progress.json)
+        self.rows.append((p["batchId"], p["numInputRows"], p.get("processedRowsPerSecond", 0.0)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

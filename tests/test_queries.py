@@ -21,7 +21,7 @@ def db():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else round(v, 9) if isinstance(v, float) else v
+    plain = lambda v: None if pd.isna(v) else round(v, 9) if isinstance(v, float) else v
     return sorted([tuple(map(plain, r)) for r in df.astype(object).values.tolist()], key=repr)
 
 
