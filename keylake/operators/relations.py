@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keylake.functions.text import version_key, version_length
@@ -145,3 +145,10 @@ def key_family(keys: DataFrame, key: str = "key_id", master: str = "master_key_i
     links = keys.where(F.col(master).isNotNull() & (F.col(master) != F.col(key))).select(F.col(key).alias("a"), F.col(master).alias("b")).distinct()
     up = links.select(F.col("a").alias(key), F.col("b").alias("relative"), F.lit("master").alias("relation"))
     return up.unionByName(links.select(F.col("b").alias(key), F.col("a").alias("relative"), F.lit("subkey").alias("relation")))
+
+
+def is_processed(kind: Column, version: Column, skipped: list[str], modulus: Column, digits: Column, least: int = 10) -> Column:
+    """Is a package's record complete: kind and version known, and a modulus unless the kind needs none."""
+    known = kind.isNotNull() & version.isNotNull()
+    key = F.coalesce(modulus != 0, F.lit(False)) & F.coalesce(F.length(digits) >= least, F.lit(False))
+    return known & (F.coalesce(kind.isin(skipped), F.lit(False)) | key)
