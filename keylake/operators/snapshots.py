@@ -36,17 +36,29 @@ def month_full(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> Dat
 
 
 def min_spacing(times: DataFrame, seconds: int, group: str, ts: str = "epoch") -> DataFrame:
-    """Times of each group at least so many seconds after the last kept one; meant for catalogues, of few times a group."""
+    """Times of each group at least so many seconds after the last kept one, whole seconds.
+
+    A group's distinct seconds meet in one task: they are bounded by the time that the group spans, not by its rows.
+    """
     kept = F.aggregate(F.array_sort(F.collect_set(ts)), F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= seconds), F.concat(acc, F.array(t))).otherwise(acc))
     return times.groupBy(group).agg(kept.alias("kept")).select(group, F.explode("kept").alias(ts))
 
 
 def trailing_counts(events: DataFrame, spans: list[int], key: str, epoch: str = "epoch") -> DataFrame:
-    """Rows with n_<span>: events of the key in the last so many seconds, the row's own included."""
+    """Rows with n_<span>: events of the key in the last so many seconds, the row's own included.
+
+    A key's time is cut into slots as long as the longest span; a row also counts, without its other columns, in the slot
+    after its own, so that a key with many rows is spread over its slots.
+    """
+    slot = F.floor(F.col(epoch) / max(spans))
+    rest = [c for c in events.columns if c not in (key, epoch)]
+    row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("__any"))
+    places = F.array(F.struct(slot.alias("slot"), row.alias("row")), F.struct((slot + 1).alias("slot"), F.when(F.lit(False), row).alias("row")))
+    placed = events.select(key, epoch, F.inline(places))
     for s in spans:
-        w = Window.partitionBy(key).orderBy(epoch).rangeBetween(-s, 0)
-        events = events.withColumn(f"n_{s}", F.count("*").over(w))
-    return events
+        w = Window.partitionBy(key, "slot").orderBy(epoch).rangeBetween(-s, 0)
+        placed = placed.withColumn(f"n_{s}", F.count("*").over(w))
+    return placed.where("row is not null").select(key, epoch, *[F.col(f"row.{c}").alias(c) for c in rest], *[f"n_{s}" for s in spans])
 
 
 def month_merge(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> DataFrame:
