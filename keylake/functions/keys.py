@@ -125,3 +125,12 @@ def national_id_parts(c: Column) -> Column:
     century = F.floor((F.substring(c, 1, 1).try_cast("int") - 1) / 2) + 18
     day = F.try_to_date(F.concat(century.cast("string"), F.substring(c, 2, 2), F.lit("-"), F.substring(c, 4, 2), F.lit("-"), F.substring(c, 6, 2)))
     return F.struct(F.substring(c, 1, 1).try_cast("int").alias("sex"), day.alias("born"), F.substring(c, 8, 3).try_cast("int").alias("serial"))
+
+
+#: Predicates on canonical hex moduli, by name.
+PREDICATES = {"weak": weak_key_flag}
+
+
+def register_predicate(name: str, predicate) -> None:
+    """Make a function of Column to Column known by name; a name that is known is replaced."""
+    PREDICATES[name] = predicate

@@ -323,3 +323,20 @@ def scan_key_files(spark, sf):
 def reflag(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     return rows.select("doc_id", "quality", (F.col("n_chars") > 1000).cast("int").alias("flagged")).where(~F.col("quality").eqNullSafe(F.col("flagged")))
+
+
+@query("s14_app_rankings", "SELECT p_partkey, p_size + 1 AS place, p_name AS app, 'com.x' || p_partkey AS package, p_brand AS vendor FROM part")
+def app_rankings(spark, sf):
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    link = F.concat(F.lit('<a href="/details?id=com.x'), F.col("p_partkey").cast("string"), F.lit('&hl=en">'), F.col("p_name"), F.lit("</a>"))
+    row = F.concat(F.lit("<table><tr><th>#</th><th>App</th></tr><tr>"), cell((F.col("p_size") + 1).cast("string"), F.lit(".")), cell(link), cell(F.col("p_brand")), F.lit("</tr></table>"))
+    pages = table(spark, sf, "part").select("p_partkey", row.alias("html"))
+    return markup.app_rankings(markup.html_tables(pages, "html", "p_partkey"), "p_partkey")
+
+
+@query("s17_maven_index", """SELECT 'org.s' || s_suppkey AS "group", 'a' || s_nationkey AS artifact, v AS version, 'https://m.example/org/s' || s_suppkey || '/a' || s_nationkey || '/' || v || '/a' || s_nationkey || '-' || v || '.pom' AS pom_url FROM supplier, (VALUES ('1.0'), ('2')) x(v) WHERE s_acctbal > 0""")
+def maven_index(spark, sf):
+    version = lambda v: F.struct(F.lit(v).alias("v"), F.lit("l").alias("l"))
+    url = F.concat(F.lit("https://m.example/org/s"), F.col("s_suppkey").cast("string"), F.lit("/a"), F.col("s_nationkey").cast("string"), F.lit("/"))
+    rows = table(spark, sf, "supplier").select(url.alias("url"), (F.col("s_acctbal") > 0).alias("artifact_detected"), F.array(version("1.0"), version("2")).alias("versions"))
+    return files.maven_index(rows, "https://m.example/")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,3 +142,14 @@ def append_errors(df: DataFrame, path: str, text: str = "error") -> None:
 def export_ssh_keys(df: DataFrame) -> DataFrame:
     """(source, n, e, added): classification records of stored keys, times as seconds since 1970."""
     return df.select(F.array("id").alias("source"), hex_canon(F.col("mod")).alias("n"), "e", F.unix_timestamp("added_at").alias("added"))
+
+
+def copy_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, out: str) -> None:
+    """A database table as Parquet, read in ranges of its key."""
+    read_table(spark, url, name, key, low, high, parts).write.mode("overwrite").parquet(out)
+
+
+def run_stats(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df and an observation that holds the aggregates once an action on df has run."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in counts.items()]), seen

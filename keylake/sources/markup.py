@@ -106,3 +106,13 @@ def build_catalogue(cells: DataFrame, id_col: str, first_id: int = 10) -> DataFr
     sets = files.groupBy(id_col, "tbl", "header").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("name", "href", digits(F.col("size")).alias("size"), "hash").alias("f"))))).alias("files"))
     number = F.row_number().over(Window.orderBy(id_col, "tbl")) + F.lit(first_id - 1)
     return sets.select(number.alias("id"), F.col("header").alias("date"), F.unix_timestamp(F.try_to_timestamp("header")).alias("date_utc"), "files")
+
+
+def app_rankings(cells: DataFrame, id_col: str) -> DataFrame:
+    """(id, place, app, package, vendor) of ranking tables: place, linked name and vendor in the first three columns.
+
+    Rows without a number or without a link that names a package (?id=...) are left out.
+    """
+    pick = lambda n, what: F.max(F.when(F.col("col") == n, F.col(what)))
+    rows = cells.groupBy(id_col, "tbl", "line").agg(digits(pick(0, "text")).alias("place"), pick(1, "text").alias("app"), F.regexp_extract(pick(1, "href"), r"\?id=([^&]*)", 1).alias("package"), pick(2, "text").alias("vendor"))
+    return rows.where("place is not null and package <> ''").select(id_col, "place", "app", "package", "vendor")

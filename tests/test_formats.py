@@ -184,3 +184,22 @@ def test_paths_in_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     out = graph.paths(edges, spark.createDataFrame([("a",)], "node string"))
     assert {(r.node, r.level, r.path) for r in out.collect()} == {("a", 0, "a"), ("b", 1, "a/b"), ("c", 2, "a/b/c")}
+
+
+def test_database_tables(spark, tmp_path):
+    url = "jdbc:derby:memory:keylake;create=true"
+    files.write_table(spark.range(100).select("id", (F.col("id") * 2).alias("twice")), url, "numbers")
+    files.copy_table(spark, url, "numbers", "id", 0, 100, 4, f"{tmp_path}/copy")
+    assert spark.read.parquet(f"{tmp_path}/copy").agg(F.sum("twice")).first()[0] == 9900
+
+
+def test_run_statistics(spark):
+    df, seen = files.run_stats(spark.range(10), n=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
+    df.collect()
+    assert seen.get == {"n": 10, "even": 5}
+
+
+def test_predicates_by_name(spark):
+    K.register_predicate("odd", lambda n: F.right(n, F.lit(1)).isin(*"13579bdf"))
+    rows = spark.createDataFrame([("list.txt", bytearray(b"0x010\n0x011\n"))], "path string, content binary")
+    assert {r.n: r.flagged for r in keyfiles.scan_key_files(rows, K.PREDICATES["odd"]).collect()} == {"10": False, "11": True}
