@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keylake.plans import entities, functions, parsing, relations, series  # noqa: F401
+from keylake.plans import entities, functions, parsing, relations, series, storage  # noqa: F401
 from keylake.plans.registry import QUERIES, SQL
 
 

@@ -267,7 +267,7 @@ def _rsa_key() -> Piece:
     return _tlv("30", _tlv("02", (F.concat(F.lit("00c1"), "m"), 18)), _raw("0203010001"))
 
 
-def _certificate() -> Column:
+def _certificate() -> Piece:
     """A certificate in hex for each document: name from doc_id, issuer from source, modulus from the digest."""
     name = lambda c: _tlv("30", _tlv("31", _tlv("30", _raw("0603550403"), _tlv("0c", (F.hex(F.lpad(c, 12, "0").cast("binary")), 12)))))
     algorithm = _tlv("30", _raw("06092a864886f70d01010b" + "0500"))
@@ -276,12 +276,12 @@ def _certificate() -> Column:
     ca = F.when(F.col("source") == "src0", "ff").otherwise("00")
     extensions = _tlv("a3", _tlv("30", _tlv("30", _raw("0603551d13"), _tlv("04", _tlv("30", _tlv("01", (ca, 1)))))))
     body = _tlv("30", _raw("a003020102" + "02017f"), algorithm, name(F.coalesce("source", F.lit(""))), times, name(F.col("doc_id").cast("string")), key, extensions)
-    return _tlv("30", body, algorithm, _tlv("03", _raw("00"), (F.col("m"), 16)))[0]
+    return _tlv("30", body, algorithm, _tlv("03", _raw("00"), (F.col("m"), 16)))
 
 
 @query("u01_parse_certificates", f"SELECT doc_id, 'c1' || m AS n, '10001' AS e, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS cn, 'CN=' || lpad(coalesce(source, ''), 12, '0') AS issuer_dn, '2020-01-02 03:04:05' AS not_before, '2051-01-02 03:04:05' AS not_after, coalesce(source = 'src0', false) AS is_ca, m AS signature, CAST(NULL AS VARCHAR) AS error FROM {_D}")
 def parse_certificates(spark, sf):
-    made = _docs(spark, sf).select("doc_id", F.unhex(_certificate()).alias("der"))
+    made = _docs(spark, sf).select("doc_id", F.unhex(_certificate()[0]).alias("der"))
     return frames.parse_certificates(made).select("doc_id", "n", "e", "cn", "issuer_dn", "not_before", "not_after", "is_ca", "signature", "error")
 
 
@@ -311,7 +311,7 @@ def parse_pgp_signatures(spark, sf):
 
 @query("u08_scan_key_files", f"SELECT doc_id || CASE doc_id % 4 WHEN 2 THEN '.json' WHEN 3 THEN '.der' ELSE '' END AS path, CASE doc_id % 4 WHEN 0 THEN 'pem' WHEN 1 THEN 'ssh' WHEN 2 THEN 'json' ELSE 'der' END AS kind, 'c1' || m AS n FROM {_D}")
 def scan_key_files(spark, sf):
-    k, der = F.col("doc_id") % 4, F.unhex(_certificate())
+    k, der = F.col("doc_id") % 4, F.unhex(_certificate()[0])
     ssh = F.concat(F.lit("ssh-rsa "), F.base64(F.unhex(F.concat(F.lit("000000077373682d727361" + "00000003010001" + "0000001200c1"), "m"))))
     text = F.when(k == 0, _armored("CERTIFICATE", F.base64(der))).when(k == 1, ssh).when(k == 2, F.concat(F.lit('{"keys": [{"n": "0x00C1'), "m", F.lit('"}]}')))
     name = F.concat(F.col("doc_id").cast("string"), F.when(k == 2, ".json").when(k == 3, ".der").otherwise(""))

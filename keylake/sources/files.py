@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keylake.functions.keys import hex_canon
+from keylake.operators.relations import upsert
 
 
 def parse_hosts(lines: DataFrame, layout: str = "ragged", line_col: str = "value") -> DataFrame:
@@ -57,8 +60,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_cert_archive(df: DataFrame, path: str) -> None:
-    """gzip lines `fp,base64`, in order of fingerprint over all files."""
-    lines = df.repartitionByRange("fprint").sortWithinPartitions("fprint").select(F.concat("fprint", F.lit(","), F.base64("der")).alias("value"))
+    """gzip lines `fp,base64`, in order of fingerprint over all files; base64 comes in lines, which are joined."""
+    lines = df.repartitionByRange("fprint").sortWithinPartitions("fprint").select(F.concat("fprint", F.lit(","), F.translate(F.base64("der"), "\r\n", "")).alias("value"))
     lines.write.option("compression", "gzip").text(path)
 
 
@@ -71,9 +74,9 @@ def write_split(df: DataFrame, path: str, column: str = "flagged") -> None:
 
 
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of several text files with file_ord, the file's place in the list."""
-    order = F.create_map(*[F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k)])
-    return spark.read.text(paths).withColumn("file_ord", F.element_at(order, F.col("_metadata.file_name")))
+    """Lines of several text files or folders with file_ord, the place in the list of the path that gave them."""
+    parts = [spark.read.text(p).withColumn("file_ord", F.lit(k)) for k, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def first_field(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -149,6 +152,15 @@ def copy_table(spark: SparkSession, url: str, name: str, key: str, low: int, hig
     read_table(spark, url, name, key, low, high, parts).write.mode("overwrite").parquet(out)
 
 
+def merge_table(current: DataFrame, new: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """A copied table brought up to date: rows of new replace those with their keys, others stay; written to path as a whole.
+
+    path is a new folder, as current may still be read from the old one. Of new rows with equal keys any one is taken.
+    """
+    upsert(current, new.dropDuplicates(keys), keys).write.parquet(path)
+    return new.sparkSession.read.schema(current.schema).parquet(path)
+
+
 def run_stats(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     """df and an observation that holds the aggregates once an action on df has run."""
     seen = Observation()

@@ -31,6 +31,13 @@ def read_pgp_dump(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.schema(PGP_DUMP).json(paths)
 
 
+SSH_KEYS = "id bigint, mod string, e bigint, raw string"
+
+
+def read_ssh_keys(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return spark.read.schema(SSH_KEYS).json(paths)
+
+
 _CERTS = "data.tls.server_certificates"
 
 
