@@ -35,6 +35,8 @@ from keylake.session import materialize
 SLAB = 1 << 16
 #: Bits at most of the broadcast filter of documents whose sets are compared: 4 MB.
 SIEVE = 1 << 25
+#: A node with this share of all rows, or more, counts as large.
+LARGE = 1000
 
 
 def runs_for(threshold: float, levels: int, recall: float) -> int:
@@ -110,6 +112,15 @@ def _signatures(docs: DataFrame, shingle: int, orders: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, k1 long, k2 long, n long, sig array<int>")
 
 
+def _sized(live: DataFrame, sizes: DataFrame) -> DataFrame:
+    """live with the sizes of its nodes. Rows of large nodes are not shuffled into one task: each of these holds a share
+    of 1 / LARGE of the rows that sizes counts, so there are LARGE at most, and they are broadcast."""
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    is_large = F.col("size") * LARGE >= total
+    large = F.broadcast(sizes.where(is_large))
+    return live.join(large, "node").unionByName(live.join(large, "node", "left_anti").join(sizes.where(~is_large), "node"))
+
+
 def _leaves(reps: DataFrame, runs: int, levels: int, bucket: int) -> DataFrame:
     """(rep, run, node, size): the bucket of each representative in each run, where it is not alone."""
 
@@ -124,8 +135,8 @@ def _leaves(reps: DataFrame, runs: int, levels: int, bucket: int) -> DataFrame:
     live = paths.select("rep", "run", "p.*").withColumn("node", F.col("c0"))
     out = None
     for k in range(levels):
-        sizes = live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        met = materialize(live.join(sizes, "node"), f"paths{k}")
+        sizes = materialize(live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{k}")
+        met = materialize(_sized(live, sizes), f"paths{k}")
         done = (met if k == levels - 1 else met.where(F.col("size") <= bucket)).select("rep", "run", "node", "size")
         out = done if out is None else out.unionByName(done)
         if k < levels - 1:
