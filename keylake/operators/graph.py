@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +12,48 @@ from keylake.parsers.frames import verify_pairs
 from keylake.session import materialize
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_level: int = 64) -> DataFrame:
-    """(node, level): nodes reached from seeds (node) along edges (src, dst) at their least level; cycles end by themselves."""
-    visited = materialize(seeds.select("node").distinct().withColumn("level", F.lit(0)), "level")
-    frontier, out = visited, visited
-    for level in range(1, max_level + 1):
+#: So many levels, and then so many of their unions, are written again as one, so that a plan stays small at any depth.
+MERGE = 8
+
+
+class _Levels:
+    """Written levels; all() is their union."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.tiers: list[list[DataFrame]] = [[first]]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for tier in self.tiers for df in tier])
+
+    def add(self, level: DataFrame) -> None:
+        self.tiers[0].append(level)
+        for k, tier in enumerate(self.tiers):
+            if len(tier) < MERGE:
+                break
+            if k + 1 == len(self.tiers):
+                self.tiers.append([])
+            self.tiers[k + 1].append(materialize(reduce(DataFrame.unionByName, tier), "levels"))
+            self.tiers[k] = []
+
+
+def _numbers(max_level: int | None):
+    return count(1) if max_level is None else range(1, max_level + 1)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_level: int | None = None) -> DataFrame:
+    """(node, level): nodes reached from seeds (node) along edges (src, dst) at their least level; cycles end by themselves.
+
+    Ends at the first level without a new node, or at max_level if that is given.
+    """
+    frontier = materialize(seeds.select("node").distinct().withColumn("level", F.lit(0)), "level")
+    levels = _Levels(frontier)
+    for level in _numbers(max_level):
         step = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(out, "node", "left_anti").withColumn("level", F.lit(level)), "level")
+        frontier = materialize(step.join(levels.all(), "node", "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
             break
-        out = out.unionByName(frontier)
-    return out
+        levels.add(frontier)
+    return levels.all()
 
 
 def trust_levels(candidates: DataFrame, roots: DataFrame, max_level: int = 9) -> DataFrame:
@@ -54,19 +88,22 @@ def verified_levels(candidates: DataFrame, roots: DataFrame, max_level: int = 9)
     return out
 
 
-def paths(edges: DataFrame, seeds: DataFrame, max_level: int = 16) -> DataFrame:
-    """(seed, node, parent, level, path): one path, the least, to each node that a seed reaches; cycles end by themselves."""
+def paths(edges: DataFrame, seeds: DataFrame, max_level: int | None = None) -> DataFrame:
+    """(seed, node, parent, level, path): one path, the least, to each node that a seed reaches; cycles end by themselves.
+
+    Ends at the first level without a new node, or at max_level if that is given.
+    """
     start = seeds.select(F.col("node").alias("seed"), "node", F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"), F.col("node").cast("string").alias("path"))
     frontier = materialize(start.distinct(), "paths")
-    out = frontier
-    for level in range(1, max_level + 1):
+    levels = _Levels(frontier)
+    for level in _numbers(max_level):
         step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node"), F.col("node").alias("parent"), F.lit(level).alias("level"), F.concat("path", F.lit("/"), F.col("dst").cast("string")).alias("path"))
         best = step.groupBy("seed", "node").agg(F.min_by(F.struct("parent", "level", "path"), "path").alias("b")).select("seed", "node", "b.*")
-        frontier = materialize(best.join(out.select("seed", "node"), ["seed", "node"], "left_anti"), "paths")
+        frontier = materialize(best.join(levels.all().select("seed", "node"), ["seed", "node"], "left_anti"), "paths")
         if frontier.isEmpty():
             break
-        out = out.unionByName(frontier)
-    return out
+        levels.add(frontier)
+    return levels.all()
 
 
 def to_tree_json(found: DataFrame) -> DataFrame:

@@ -45,6 +45,15 @@ def test_dependents_in_a_cycle_and_trust(spark):
     assert {(r.subject, r.level) for r in graph.trust_levels(certs, roots).collect()} == {("R", 0), ("I1", 1), ("I2", 2)}
 
 
+def test_chains_of_any_length(spark):
+    n = 70
+    few = spark.range(1, n + 1).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst")).coalesce(1)
+    deps, start = few.select(F.col("dst").alias("library"), F.col("src").alias("needs")), spark.createDataFrame([(0,)], "node long")
+    assert {(r.library, r.level) for r in graph.affected(deps, start.withColumnRenamed("node", "library")).collect()} == {(k, k) for k in range(1, n + 1)}
+    assert {(r.node, r.parent, r.level) for r in graph.paths(few, start).collect()} == {(0, None, 0), *((k, k - 1, k) for k in range(1, n + 1))}
+    assert graph.reach(few, start, 5).count() == 6
+
+
 def test_association_history(spark):
     seen = spark.createDataFrame([("u", "k1", 1), ("u", "k2", 1), ("u", "k2", 2), ("u", "k1", 3), ("u", "k2", 3)], "user string, key string, at int")
     out = {(r.key, r.found_at, r.lost_at) for r in relations.assoc_history(seen, "user", "key", "at").collect()}
