@@ -1,12 +1,15 @@
 """Secret scans: patterns of known forms, and a battery of randomness tests for secrets of no known form.
 
 Base spans are matches of three patterns: assignments of a value to a secret's name, access key ids, and hex runs.
-The battery takes every other run of at least `SHORTEST` encoding characters, infers its encoding (hex, base32,
+The battery takes every other run of at least `SHORTEST` encoding characters, cut at base spans and at each `=` that is
+not padding at its end. It tests the rest whole, if one alphabet holds it, and also its pieces between `/`, `+`, `-` and
+`_`, as names and paths are glued to secrets by these. For each it infers the encoding (hex, base32,
 base64 or its URL form, by the characters used), and tests the sequence of symbols: chi-squared for uniform use of the
 alphabet, a runs test about the alphabet's middle, and lag-one serial correlation. A run must look random by the last two,
 and its chi-squared must be so low that text of that length would hardly reach it: under text, chi-squared is noncentral
 and grows with the length, so short runs find it hard to pass. These p-values go through the Benjamini-Hochberg step
 over all candidates of the corpus, in strata by length, so false discoveries are controlled for each length apart.
+Candidates that pass and overlap are one span.
 
 Spans count code points, end exclusive. Null text is empty. Repeated rows each give a row; empty tables give none. Only
 the named columns are read.
@@ -36,6 +39,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Shortest run that the battery tests.
 SHORTEST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Between the '=' of a run; those at its end stay.
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+#: Pieces of a run, by the characters that may part them.
+PIECES = tuple(re.compile(f"[^{c}]{{{SHORTEST},}}") for c in ("/", "/+", "_-", "/_-", "/+_-"))
 #: A run is not random if the runs or serial test gives a smaller p-value.
 STILL_RANDOM = 0.001
 #: Excess of text over uniform use of an alphabet of k symbols, per symbol: sum of (p - 1/k)^2 / (1/k) for letter frequencies of prose.
@@ -142,17 +149,53 @@ def battery(run: str) -> tuple[float, float, float] | None:
     return p_text, p_runs, p_serial
 
 
+def _free(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of runs outside the base spans, which are in order of start."""
+    k, covered = 0, 0
+    for m in RUN.finditer(text):
+        at = m.start()
+        while k < len(base) and base[k][0] < m.end():
+            if base[k][0] > max(at, covered):
+                yield max(at, covered), base[k][0]
+            covered = max(covered, base[k][2])
+            k += 1
+        if max(at, covered) < m.end():
+            yield max(at, covered), m.end()
+
+
+def pieces(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the battery tests: parts of runs and their pieces, of `SHORTEST` characters at least."""
+    for lo, hi in _free(text, base):
+        for part in PART.finditer(text[lo:hi]):
+            if part.end() - part.start() >= SHORTEST:
+                whole = part[0]
+                found = {(0, len(whole))}
+                found.update(m.span() for cut in PIECES for m in cut.finditer(whole))
+                yield from sorted((lo + part.start() + a, lo + part.start() + b) for a, b in found)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, step of -log10 p) of runs outside the base spans that were tested."""
+    """(start, end, stratum, step of -log10 p) of runs and pieces outside the base spans that were tested."""
     out = []
-    for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        p = battery(m[0])
+    for start, end in pieces(text, base):
+        p = battery(text[start:end])
         if p is None:
             continue
         kept = p[0] if min(p[1:]) >= STILL_RANDOM else 1.0
-        out.append((m.start(), m.end(), min(7, int(math.log2((m.end() - m.start()) / SHORTEST) * 2)), int(min(LIMIT, -math.log10(max(kept, 1e-300))) / STEP)))
+        out.append((start, end, min(7, int(math.log2((end - start) / SHORTEST) * 2)), int(min(LIMIT, -math.log10(max(kept, 1e-300))) / STEP)))
+    return out
+
+
+def passing(tested: list[tuple[int, int, int, int]], least: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of the candidates that pass these thresholds; those that overlap are one."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, stratum, step in sorted(tested):
+        if step < least.get(stratum, 1 << 30):
+            continue
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], 3, max(b, out[-1][2]))
+        else:
+            out.append((a, 3, b))
     return out
 
 
@@ -193,13 +236,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     found = materialize(docs.mapInArrow(_scan, f"doc_id long, base {_SPAN}, tested {_CANDIDATE}"), "secrets")
     counted = found.select(F.explode("tested").alias("t")).groupBy("t.stratum", "t.step").agg(F.count("*").alias("n"))
     least = thresholds({(r.stratum, r.step): r.n for r in counted.collect()}, q)  # 8 x LIMIT / STEP rows at most
-    return found.select("doc_id", F.array_sort(F.concat("base", _taken(least))).alias("spans"))
 
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tested = [[{"start": a, "kind": k, "end": e} for a, k, e in passing([tuple(t.values()) for t in row], least)] if row else [] for row in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(tested, b.column(1).type)], ["doc_id", "base", "random"])
 
-def _taken(least: dict[int, int]):
-    floor = F.create_map(*[x for s, k in sorted(least.items()) for x in (F.lit(s), F.lit(k))]) if least else F.create_map(F.lit(-1), F.lit(0))
-    taken = F.filter("tested", lambda t: t["step"] >= F.coalesce(F.try_element_at(floor, t["stratum"]), F.lit(1 << 30)))
-    return F.transform(taken, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return found.mapInArrow(taken, f"doc_id long, base {_SPAN}, random {_SPAN}").select("doc_id", F.array_sort(F.concat("base", "random")).alias("spans"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -214,7 +257,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def mask_spans(text: str, least: dict[int, int], mask: str) -> str:
     """text with its base spans, and the candidates that pass these thresholds, replaced."""
     base = base_spans(text)
-    spans = base + [(a, 3, b) for a, b, stratum, step in candidates(text, base) if step >= least.get(stratum, 1 << 30)]
+    spans = base + passing(candidates(text, base), least)
     out, at = [], 0
     for a, _, b in sorted(spans):
         if a >= at:

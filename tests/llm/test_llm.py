@@ -98,6 +98,24 @@ def test_secrets_against_plain_patterns(spark, docs):
             assert r.spans == "random:4:68"
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    rng = random.Random(7)
+    draw = lambda n, last="": "".join(rng.choice(secret_scan.ALPHABETS["base64"][:62] + last) for _ in range(n))
+    key, sig, own, hexed, long = draw(86, "+/") + "==", draw(40), draw(40), "0123456789abcdef0123", draw(60)
+    made = [("AccountKey=", key, ";"), ("https://a.org/x?sig=", sig, ""), ("see /my-app/", own, " there"), (f"/objects/{hexed}/", long, ""), ("/some/long/path/of/words/and/more/words/here/", long, ""), ("my_long-name/of+things/", draw(60, "+"), "")]
+    for before, secret, after in made:
+        text = before + secret + after
+        at = secret_scan.candidates(text, secret_scan.base_spans(text))
+        assert any(a <= len(before) and b >= len(before + secret) and b - a < len(secret) + 8 for a, b, _, _ in at), text
+    rows = spark.createDataFrame([(k, "".join(t)) for k, t in enumerate(made)], "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    spans = {r.doc_id: r.spans for r in secret_scan.report(rows).collect()}
+    for k, (before, secret, _) in enumerate(made):
+        assert secret not in masked[k] and "random" in spans[k]
+    assert spans[0] == f"random:11:{11 + len(key)}" and masked[0] == "AccountKey=<secret>;"
+    assert secret_scan.passing([(0, 9, 0, 5), (4, 12, 0, 5), (12, 20, 1, 5), (20, 30, 0, 1)], {0: 2, 1: 2}) == [(0, 3, 12), (12, 3, 20)]
+
+
 def test_toxicity_and_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
