@@ -3,8 +3,8 @@
 A logistic regression over the presence of words and of beginnings of longer words, which catch compounds of one stem.
 It is fitted on a bounded sample of labelled documents: near copies in the sample count once, the words and beginnings
 that are most clearly more frequent in toxic texts become features, and identity terms always are. Every
-sampled text with identity terms is also taken with each term swapped for the others of its group; the squared change of
-its logit is penalised, so that a mention of a group moves no score while words that are toxic beside it do.
+sampled text with identity terms is also taken with each term swapped for the others of its group, words and their
+beginnings alike; the squared change of its logit is penalised, and every text's swaps count. So a mention of a group moves no score while words that are toxic beside it do.
 
 Defined results: null and empty texts score as a text without features. Without labelled rows, or with one label only,
 every text gets the share of toxic labels (0 if there are none). Repeated rows each give a row. Only the named columns
@@ -13,6 +13,7 @@ are read; labels with null id or value teach nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,25 +120,72 @@ def _groups() -> list[np.ndarray]:
     return [W.word_hashes(line.split()) for line in IDENTITY.strip().splitlines()]
 
 
-def _swaps(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Feature changes of every text under every swap of one of its identity terms."""
+def _term_features(ordered: np.ndarray) -> list[tuple[np.ndarray, list[set[int]]]]:
+    """For each group its terms' hashes, and the places of each term's features: the word and its beginnings."""
     out = []
+    for line in IDENTITY.strip().splitlines():
+        w = W.words(pa.array(line.split(), pa.string()), PREFIXES)
+        row, place = _places(w, ordered)
+        out.append((w.hash, [set(place[row == r].tolist()) for r in range(w.rows)]))
+    return out
+
+
+def _text_swaps(w: W.Words, ordered: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """The change of each text's features, for each of its identity terms and each other term of the group.
+
+    A change is the places of features that go, as -1 - place, and of those that come, in order. A feature that another
+    word of the text has too does not go, and one that the text has already does not come.
+    """
+    groups = _term_features(ordered)
+    terms = np.sort(np.concatenate([h for h, _ in groups]))
+    first = np.searchsorted(w.row, np.arange(w.rows + 1))
+    for r in np.unique(w.row[W.member(w.hash, terms)[0]]).tolist():
+        mine, at = np.unique(w.hash[first[r] : first[r + 1]], return_index=True)
+        at = at + first[r]
+        one = W.Words(mine, np.arange(len(mine)), w.start[at], w.end[at], len(mine), w.data, w.prefixes[at])
+        word, place = _places(one, ordered)
+        holders = np.bincount(place, minlength=len(ordered))  # distinct words of the text that have a feature
+        for hashes, features in groups:
+            there, _ = W.member(hashes, mine)
+            for a in np.flatnonzero(there).tolist():
+                only = {p for p in features[a] if holders[p] == 1}
+                for b in range(len(hashes)):
+                    if b != a:
+                        gone, come = only - features[b], {p for p in features[b] if not holders[p]}
+                        yield tuple(sorted([*(-1 - p for p in gone), *come]))
+
+
+def _word_swaps(x: np.ndarray, ordered: np.ndarray) -> dict[tuple[int, ...], int]:
+    """Changes and their numbers of texts where only the presence of whole words is known."""
+    out: dict[tuple[int, ...], int] = {}
     for group in _groups():
-        columns = np.searchsorted(ordered, np.sort(group))
+        columns = np.searchsorted(ordered, np.sort(group)).tolist()
         for a in columns:
             n = int(x[:, a].sum())
             for b in columns if n else ():
-                if a != b:
-                    change = np.zeros(x.shape[1])
-                    change[a], change[b] = -1, 1
-                    out.extend([change] * min(n, 20))  # a swap's weight grows with its texts, up to a bound
-    return np.array(out) if out else np.zeros((0, x.shape[1]))
+                both = int((x[:, a] * x[:, b]).sum())
+                for change, k in (((-1 - a, b), n - both), ((-1 - a,), both)) if a != b else ():
+                    if k:
+                        out[change] = out.get(change, 0) + k
+    return out
+
 
+def _curve(swaps: dict[tuple[int, ...], int], size: int) -> np.ndarray:
+    """The mean over all swaps of the outer product of a change with itself."""
+    out = np.zeros((size, size))
+    for change, n in swaps.items():
+        at = np.array([p if p >= 0 else -1 - p for p in change], np.int64)
+        sign = np.array([1.0 if p >= 0 else -1.0 for p in change])
+        out[np.ix_(at, at)] += n * np.outer(sign, sign)
+    return out / max(1, sum(swaps.values()))
 
-def train(x: np.ndarray, y: np.ndarray, ordered: np.ndarray, swap_penalty: float = 10.0, ridge: float = 0.002) -> Model:
-    """Fit on presence (texts x features in the order of their hashes) and labels, both of which occur."""
-    swaps = _swaps(x, ordered)
-    curve = swap_penalty * swaps.T @ swaps / len(swaps) * len(x) if len(swaps) else 0.0
+
+def train(x: np.ndarray, y: np.ndarray, ordered: np.ndarray, swap_penalty: float = 10.0, ridge: float = 0.002, swaps: dict[tuple[int, ...], int] | None = None) -> Model:
+    """Fit on presence (texts x features in the order of their hashes) and labels, both of which occur.
+
+    swaps are changes as _text_swaps() gives them, with their numbers; without them, those of whole words.
+    """
+    curve = swap_penalty * _curve(_word_swaps(x, ordered) if swaps is None else swaps, len(ordered)) * len(x)
     penalty = np.zeros((len(ordered) + 1,) * 2)
     penalty[:-1, :-1] = curve + ridge * np.eye(len(ordered))
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -200,7 +248,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     x = np.zeros((n, len(ordered)))
     for r in kept.mapInArrow(place, "doc_id long, place long").collect():  # at most sample x features, few in practice
         x[number[r.doc_id], r.place] = 1
-    return train(x, np.array([y_of[d] for d in sorted(y_of)], float), ordered, **options)
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.slices(batches):
+            found = Counter(_text_swaps(W.words(b.column(2), PREFIXES), ordered))
+            yield pa.record_batch([pa.array(list(found), pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], ["change", "n"])
+
+    swaps = kept.mapInArrow(swap, "change array<int>, n long").groupBy("change").agg(F.sum("n").alias("n")).collect()  # few differ
+    return train(x, np.array([y_of[d] for d in sorted(y_of)], float), ordered, swaps={tuple(r.change): r.n for r in swaps}, **options)
 
 
 def scorer(spark, model: Model):

@@ -141,6 +141,29 @@ def test_identity_swaps_move_no_score():
     assert gap(held) < 0.1 * gap(free) and held.weights[bad] > 3
 
 
+def test_neutral_mentions_are_not_toxic(spark):
+    rng = random.Random(4)
+    fill = lambda: " ".join("".join(rng.choice("bcdfghjk") + rng.choice("aeiou") for _ in range(4)) for _ in range(12))
+    texts = [(f"{fill()} muslims {'idiots ' if k % 4 else ''}{fill()}", 1) for k in range(120)] + [(f"{fill()} idiots {fill()}", 1) for _ in range(40)]
+    texts += [(f"{fill()} {'christians' if k % 10 == 0 else ''} {fill()}", 0) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    score = lambda t: float(model.score(pa.array([t]))[0])
+    shift = lambda t: math.log(score(t) / (1 - score(t)))
+    assert score("we met muslims today") < 0.5 < score("we met idiots today")
+    assert abs(shift("we met muslims today") - shift("we met christians today")) < 0.5
+
+
+def test_swaps_of_texts():
+    ordered = np.unique(np.concatenate([*toxicity._groups(), W.words(pa.array(["muslims"]), toxicity.PREFIXES).prefixes.ravel()]))
+    ordered = ordered[ordered != 0]
+    sizes = lambda t: sorted({(sum(p < 0 for p in c), sum(p >= 0 for p in c)) for c in toxicity._text_swaps(W.words(pa.array([t]), toxicity.PREFIXES), ordered)})
+    assert sizes("the muslims here") == [(5, 1)]  # the word and its beginnings of 3 to 6 bytes
+    assert sizes("muslims muslimah") == [(1, 1)]  # another word has the beginnings too
+    assert sizes("muslims christians") == [(1, 0), (1, 1), (5, 0), (5, 1)]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = language._new(["a", "b"], rng)
