@@ -151,7 +151,11 @@ def host_allowed(url: Column, domains: list[str], words: list[str]) -> Column:
 
 
 def blocks(c: Column) -> Column:
-    """The BEGIN blocks of armored text, as an array of (label, body): body is the base64 between headers and checksum."""
-    found = F.regexp_extract_all(c, F.lit(r"(-----BEGIN [A-Z0-9 ]+-----[^-]*-----END)"), 1)
-    body = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, r"-----BEGIN [A-Z0-9 ]+-----([^-]*)-----END", 1), r"(?m)^[A-Za-z-]+: .*$", ""), r"\n=[A-Za-z0-9+/]{4}\s*$", ""), r"\s+", "")
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"-----BEGIN ([A-Z0-9 ]+)-----", 1).alias("label"), body(x).alias("body")))
+    """The BEGIN blocks of armored text, as an array of (label, body): body is the base64 between headers and checksum.
+
+    A block goes to its END, or without one to the next BEGIN or the text's end. Headers may go on in indented lines.
+    """
+    found = F.filter(F.split(c, "(?=-----BEGIN )"), lambda x: x.rlike("^-----BEGIN [A-Z0-9 ]+-----"))
+    inner = lambda x: F.regexp_replace(x, r"(?s)^-----BEGIN [A-Z0-9 ]+-----|-----END.*$", "")
+    body = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(inner(x), r"(?m)^[A-Za-z][A-Za-z0-9-]*:.*$(?:\r?\n[ \t]+\S.*$)*", ""), r"\n=[A-Za-z0-9+/]{4}\s*$", ""), r"\s+", "")
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^-----BEGIN ([A-Z0-9 ]+)-----", 1).alias("label"), body(x).alias("body")))

@@ -180,6 +180,14 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(25))
 
 
+def test_armored_blocks_with_hyphens_in_headers(spark):
+    pgp = "-----BEGIN PGP PUBLIC KEY BLOCK-----\nComment: GPGTools - https://gpgtools.org\nVersion: x\n\nAAAA\nBBBB\n=abcd\n-----END PGP PUBLIC KEY BLOCK-----\n"
+    rsa = "-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: DES-EDE3-CBC,\r\n  0123-45\r\n\r\nCCCC\r\nDDD=\r\n-----END RSA PRIVATE KEY-----"
+    signed = "-----BEGIN PGP SIGNED MESSAGE-----\nHash: SHA256\n\na - b\n-----BEGIN PGP SIGNATURE-----\n\nEEEE\n-----END PGP SIGNATURE-----"
+    row = spark.createDataFrame([(f"a-b\n{pgp}junk - more\n{rsa}\n{signed}\n-----BEGIN CERTIFICATE-----\nFFFF\n",)], "t string").select(T.blocks(F.col("t")).alias("b")).first()
+    assert [tuple(x) for x in row.b] == [("PGP PUBLIC KEY BLOCK", "AAAABBBB"), ("RSA PRIVATE KEY", "CCCCDDD="), ("PGP SIGNED MESSAGE", "a-b"), ("PGP SIGNATURE", "EEEE"), ("CERTIFICATE", "FFFF")]
+
+
 def test_paths_in_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     out = graph.paths(edges, spark.createDataFrame([("a",)], "node string"))
