@@ -3,8 +3,8 @@
 Two gated recurrent units read a window of a text's UTF-8 bytes, one from each end. At every byte both states together
 give a probability for each language; a document's probability is the mean over all bytes of its windows. Windows are
 `WINDOW` bytes apart, cover the whole text, and each starts from a zero state. The network is trained here, in numpy, by
-backpropagation through time, on windows of a bounded sample of labelled documents; every position of a window carries
-its document's language.
+backpropagation through time, on windows of a bounded sample of labelled documents, which has every language that
+occurs; every position of a window carries its document's language.
 
 Defined results: null text and text without a letter give `und` and score 0, as does every text if nothing was labelled.
 Repeated rows each give a row; empty tables give none. Only the named columns are read.
@@ -26,8 +26,10 @@ WINDOW = 64
 HIDDEN = 8
 #: Labelled documents for each language, and windows of each, that training reads at most.
 SAMPLE, SPOTS = 500, 4
-#: Languages that are learned at most: those with most labelled documents.
-LANGUAGES = 64
+#: Windows of all languages together, divided among them; but each language keeps LEAST documents, so none goes unlearned.
+WINDOWS, LEAST = 128_000, 24
+#: Probabilities that are held at once, at most; with many languages fewer windows are worked on together.
+CELLS = 1 << 23
 UND = "und"
 
 
@@ -123,6 +125,7 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     """A network from windows (N, WINDOW) of bytes and the number of each one's language; Adam on the mean cross-entropy."""
     rng = np.random.default_rng(seed)
     net = _new(languages, rng)
+    batch = max(1, min(batch, CELLS // (WINDOW * len(languages))))
     held = [net.table[0], net.recurrent[0], net.inner[0], net.table[1], net.recurrent[1], net.inner[1], net.out, net.bias]
     first, second, step = [np.zeros_like(p) for p in held], [np.zeros_like(p) for p in held], 0
     steps = epochs * max(1, -(-len(windows) // batch))
@@ -151,31 +154,33 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     return net
 
 
-def _sample(docs: DataFrame, sample: int, languages: int) -> tuple[list[str], list[tuple[str, bytes]]]:
-    """Labelled languages, and windows of a bounded number of documents of each, chosen by a hash of the id."""
+def _sample(docs: DataFrame, sample: int, windows: int) -> tuple[list[str], list[tuple[str, bytes]]]:
+    """All labelled languages, and windows of a bounded number of documents of each, chosen by a hash of the id."""
     labelled = docs.where("lang is not null and doc_id is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    part = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
+    sample = min(sample, max(LEAST, windows // (SPOTS * len(counts))))
+    part = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in sorted(counts.items())], "lang string, part double")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = labelled.where(F.col("lang").isin(list(counts)) & (share < part[F.col("lang")]))
+    chosen = labelled.join(F.broadcast(part), "lang").where(share < F.col("part"))  # a row for each language
     spots = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {k}), greatest(1, char_length(text) - {WINDOW} + 1)) as int), {WINDOW})") for k in range(SPOTS)]
     rows = chosen.select("doc_id", "lang", F.explode(F.array(*spots)).alias("spot")).where("spot rlike '\\\\p{L}'").collect()  # about sample x SPOTS x languages rows
     return sorted(counts), sorted((r.lang, r.spot.encode()[:WINDOW]) for r in rows)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
     """A network from labelled documents; None if there are none."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    names, spots = _sample(docs, sample, languages)
+    names, spots = _sample(docs, sample, windows)
     if not spots:
         return None
-    windows = np.zeros((len(spots), WINDOW), np.uint8)
+    taken = np.zeros((len(spots), WINDOW), np.uint8)
     for k, (_, spot) in enumerate(spots):
-        windows[k, : len(spot)] = np.frombuffer(spot, np.uint8)
-        windows[k, len(spot) :] = 32
-    return train(windows, np.array([names.index(lang) for lang, _ in spots]), names, **options)
+        taken[k, : len(spot)] = np.frombuffer(spot, np.uint8)
+        taken[k, len(spot) :] = 32
+    number = {lang: k for k, lang in enumerate(names)}
+    return train(taken, np.array([number[lang] for lang, _ in spots]), names, **options)
 
 
 def _pooled(net: Network, offsets: np.ndarray, data: np.ndarray, rows: int = 8192) -> np.ndarray:
@@ -186,6 +191,7 @@ def _pooled(net: Network, offsets: np.ndarray, data: np.ndarray, rows: int = 819
     start = offsets[doc] + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
     stop = np.minimum(start + WINDOW, offsets[doc + 1])
     total = np.zeros((len(size), len(net.languages)))
+    rows = max(1, min(rows, CELLS // (WINDOW * len(net.languages))))
     for lo in range(0, len(doc), rows):
         s, e, d = start[lo : lo + rows], stop[lo : lo + rows], doc[lo : lo + rows]
         at = s[None, :] + np.arange(WINDOW)[:, None]
@@ -209,7 +215,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         names = np.array([*net.languages, UND], object)
-        for b in batches:
+        for b in W.slices(batches, max(1, CELLS // len(net.languages))):
             mean = _pooled(net, *W.raw(b.column(1)))
             known = b.column(2).to_numpy(zero_copy_only=False)
             best = np.where(known, mean.argmax(axis=1), len(net.languages))

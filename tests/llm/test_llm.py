@@ -164,6 +164,14 @@ def test_swaps_of_texts():
     assert sizes("muslims christians") == [(1, 0), (1, 1), (5, 0), (5, 1)]
 
 
+def test_every_language_is_learned(spark):
+    made = lambda k, d: " ".join(chr(0x4E00 + 64 * k + (d * 7 + j * 5) % 40) * 3 for j in range(12))
+    docs = spark.createDataFrame([(100 * k + d, made(k, d), f"l{k:02}") for k in range(70) for d in range(30 - k // 10)], "doc_id long, text string, lang string")
+    net = language.fit(docs, sample=8)
+    assert net.languages == [f"l{k:02}" for k in range(70)]
+    assert len({lang for lang, _ in language._sample(docs, 500, 1)[1]}) == 70
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = language._new(["a", "b"], rng)
