@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keylake.llm import byte_bpe, decontaminate, jaccard, secret_scan, toxicity
 from keylake.session import materialize, table
@@ -27,10 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a window of a benchmark item; each row counts by itself, with or without an id."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = decontaminate.decontaminate(numbered, table(spark, sf_dir, "benchmark"), id_col="__row")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,6 +272,14 @@ def test_url_list_changes_on_one_day(spark):
     assert out == {1: "x.org", 2: None, 3: None, 4: None, 5: "y.org/z"}
 
 
+def test_contaminated_rows_without_id_go(spark):
+    import corpus_pipeline as C
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id is not null and length(text) > 0").first().text
+    rows = spark.createDataFrame([(None, item), (None, "clean one"), (1, item), (2, None)], "doc_id long, text string")
+    assert {tuple(r) for r in C.drop_contaminated(spark, rows, SF).collect()} == {(None, "clean one"), (2, None)}
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as C
 
