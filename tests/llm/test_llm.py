@@ -195,7 +195,7 @@ def test_gradients():
 
 def test_byte_bpe_equals_library(docs):
     ranks = byte_bpe.read_ranks(P.path(queries.RANKS))
-    coder, library = byte_bpe.ByteBPE(ranks, P.PATTERN, remembered=500), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, library = byte_bpe.ByteBPE(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(1)
     parts = ["a", "b", "'s", "'", "  ", " ", "\n", "\t", "é", "漢", "1", "!", "\r\n", "the", "\x00", "😀", "\x85"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)] + ["ab" * 20_000, " " * 3000 + "x"] + [r.text for r in docs.select("text").collect()]
@@ -204,6 +204,43 @@ def test_byte_bpe_equals_library(docs):
         assert coder.decode(ids) == text.encode()
 
 
+def _merged(match, ranks):
+    parts = [match[k : k + 1] for k in range(len(match))]
+    while len(parts) > 1:
+        rank, k = min((ranks.get(parts[k] + parts[k + 1], math.inf), k) for k in range(len(parts) - 1))
+        if rank == math.inf:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_byte_bpe_with_ranks_of_any_order():
+    rng = random.Random(5)
+    for _ in range(150):  # a merge may bring up lower ranks, and pairs overlap
+        tokens = {bytes([b]) for b in b"abcd"}
+        while len(tokens) < 30:
+            tokens.add("".join(rng.choices("abcd", k=rng.randint(2, 5))).encode())
+        ranks = {t: k for k, t in enumerate(rng.sample(sorted(tokens), len(tokens)))}
+        coder = byte_bpe.ByteBPE(ranks, "[a-d]+", spaces=False)
+        texts = ["".join(rng.choices("abcd", k=rng.randint(0, 25))) for _ in range(40)]
+        for text, ids in zip(texts, coder.encode(texts), strict=True):
+            own = text.encode()
+            assert np.frombuffer(ids, "<u4").tolist() == ([ranks[own]] if own in ranks else _merged(own, ranks))
+    with pytest.raises(ValueError):
+        byte_bpe.ByteBPE({b"a": 0}, ".+").encode(["ab"])
+    with pytest.raises(ValueError):
+        coder.decode(np.array([99], "<u4").tobytes())
+
+
+def test_byte_bpe_in_parts(monkeypatch):
+    ranks = byte_bpe.read_ranks(P.path(queries.RANKS))
+    coder = byte_bpe.ByteBPE(ranks, P.PATTERN)
+    texts = ["", "one two", "", None, "x" * 50, "a\u2003 b \u00a0c\x1c d  ", " ", "three  four\n five"]
+    want = coder.encode(texts)
+    monkeypatch.setattr(byte_bpe, "PART", 8)
+    assert coder.encode(texts) == want == byte_bpe.ByteBPE(ranks, P.PATTERN, spaces=False).encode(texts)
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in np.round(rng.normal(size=4), 1)]) for k in range(300)] + [(900, None), (901, [1.0, None, 1.0, 1.0]), (902, [float("nan")] * 4), (903, [float("inf")] * 4), (None, [1.0] * 4)]
