@@ -13,6 +13,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from keylake.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, queries, secret_scan, topk, toxicity, url_filter
 from keylake.llm import words as W
@@ -303,10 +304,32 @@ def test_resampling_against_plain_sums(spark, docs):
 
 
 def test_url_list_changes_on_one_day(spark):
-    captures = spark.createDataFrame([(1, "http://a.x.org/p/q", "2024-01-02"), (2, "http://a.x.org/", "2024-01-03"), (3, None, "2024-01-02"), (4, "http://a.x.org/", None), (5, "http://y.org/z", "2024-01-09")], "page_id long, url string, fetched string").withColumn("fetched", __import__("pyspark.sql.functions", fromlist=["f"]).to_timestamp("fetched"))
-    entries = spark.createDataFrame([("x.org", "2024-01-01", "add"), ("x.org", "2024-01-03", "remove"), ("y.org/z", "2024-01-05", "add"), (None, "2024-01-05", "add")], "pattern string, at string, action string")
-    out = {r.page_id: r.pattern for r in url_filter.url_filter(captures, entries).collect()}
-    assert out == {1: "x.org", 2: None, 3: None, 4: None, 5: "y.org/z"}
+    made = [(1, "http://a.x.org/p/q", "2024-01-02"), (2, "http://a.x.org/", "2024-01-03"), (3, None, "2024-01-02"), (4, "http://a.x.org/", None), (5, "http://y.org/z", "2024-01-09")]
+    made += [(6, "http://x.org/", "2024-01-01 09:00:00"), (7, "http://x.org/", "2024-01-03 09:00:00"), (8, "http://x.org/", "2024-01-01 10:00:00"), (9, "http://x.org/", "2024-01-03 10:00:00"), (9, "http://x.org/", "2024-01-03 09:59:59.999")]
+    made += [(None, "http://[2001:db8::1]:80/a", "2024-02-01"), (11, "http://10.0.0.1/a", "2024-02-01"), (12, "http://TIE.org", "2024-02-01")]
+    captures = spark.createDataFrame([(*r, "clash") for r in made], "page_id long, url string, fetched string, host string").withColumn("fetched", F.to_timestamp("fetched"))
+    entries = [("x.org", "2024-01-01 10:00:00", "add"), ("x.org", "2024-01-03 10:00:00", "remove"), ("y.org/z", "2024-01-05", "add"), (None, "2024-01-05", "add"), ("x.org", None, "add"), ("[2001:db8::1]", "2024-01-05", "add"), ("0.1", "2024-01-05", "add"), ("tie.org", "2024-01-05", "remove"), ("tie.org", "2024-01-05", "add")]
+    entries = spark.createDataFrame(entries, "pattern string, at string, action string")
+    out = sorted((r.page_id or 0, r.pattern) for r in url_filter.url_filter(captures, entries).collect() if r.listed)
+    assert out == [(0, "[2001:db8::1]"), (1, "x.org"), (2, "x.org"), (5, "y.org/z"), (7, "x.org"), (8, "x.org"), (9, "x.org"), (12, "tie.org")]
+    assert url_filter.url_filter(captures, entries.limit(0)).where("not listed and n_patterns = 0").count() == len(made)
+    assert url_filter.url_filter(captures.limit(0), entries).count() == 0
+
+
+def test_url_list_of_a_hot_pattern(spark):
+    rng = random.Random(11)
+    times = [rng.randrange(4000) for _ in range(3000)]
+    changes = [(t, rng.random() < 0.5) for t in rng.sample(range(4000), 500)]
+    captures = spark.createDataFrame([(k, "http://hot.org/", t) for k, t in enumerate(times)], "page_id long, url string, t long").select("page_id", "url", F.timestamp_seconds("t").alias("fetched"))
+    entries = spark.createDataFrame([("hot.org", t, "add" if a else "remove") for t, a in changes], "pattern string, t long, action string").select("pattern", F.timestamp_seconds("t").alias("at"), "action")
+    last = {}
+    for t, a in sorted(changes):
+        last[t] = a
+    want = {k for k, t in enumerate(times) if [a for s, a in sorted(last.items()) if s <= t][-1:] == [True]}
+    assert {r.page_id for r in url_filter.url_filter(captures, entries).where("listed").collect()} == want
+    spans = url_filter.intervals(entries)
+    met = captures.select("page_id", F.col("fetched").cast("timestamp_ntz").alias("at")).join(spans, F.expr("at >= since and (until is null or at < until)"))
+    assert {r.page_id for r in met.collect()} == want
 
 
 def test_contaminated_rows_without_id_go(spark):
