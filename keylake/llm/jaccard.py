@@ -1,20 +1,24 @@
 """N-gram Jaccard join by chosen paths: which texts share at least `threshold` of their word shingles.
 
 1. Each text becomes the set of its shingles (five words; a shorter text is one shingle). Texts of equal sets form a
-   copy class, by a 128-bit digest of the set, and the join works on one representative of each.
-2. In each run a set walks down a tree: at a level it follows the token that a random order of that run and level samples
-   from the set, so two sets take the same branch with the probability of their similarity. Buckets of up to `bucket`
-   sets stop there; larger ones split again on the next token, `levels` times at most. Buckets that are still larger
-   (near copies of one another) are compared whole, in pairs of blocks of `block` sets, so no bucket is cut.
-   The number of runs follows from the target recall at the deepest level.
-3. In a bucket, sketches drop sets without a likely partner, and a pair is taken only in the first run in which it meets.
-   What remains is compared exactly, on whole sets. Each bucket gives link counts and a spanning star of each linked
-   part, never its pairs.
+   copy class, by a 128-bit digest of the set, and the join works on one set of each. Classes have numbers of their own,
+   so ids may repeat.
+2. In each run a set goes down a tree. At every node it takes `branches` paths: for each, the token that a random order
+   of that run, level and branch samples from the set. Two sets take one path together with the probability of their
+   similarity, and have a path in common at `levels` levels at least with (1 - (1 - threshold)^branches)^levels; the
+   number of runs follows from that and the target recall. A node of up to `bucket` sets is a leaf. A larger one splits
+   if that leaves fewer pairs to compare, by the squares of its children's sizes; where it does not, its sets are mostly
+   near copies of one another, and it is a leaf too, as it is at the last level.
+3. A leaf's sets are compared with one another, large leaves in pairs of blocks of about `block` sets, so none is cut; the
+   pairs of near copies have to be counted, as n_links is their number. Sketches first drop sets without a likely
+   partner. A pair that meets in several leaves is taken in the one of least number. What remains is compared exactly,
+   on whole sets. Each leaf gives link counts and a spanning star of each linked part, never its pairs.
 4. Stars are joined to groups by alternating large and small stars; nothing is gathered on the driver.
 
 Defined results: null or wordless texts have no shingles, so no links and a class of their own. Rows with null id take
-no part in links and have null class_id. Repeated rows are copies of one another. Empty tables give no rows. Only the
-two named columns are read, so other columns cannot clash.
+no part in links and have null class_id. Rows of one id are documents of their own: those of equal sets are copies, others
+are not, and then two groups may have the same class_id. Empty tables give no rows. Only the two named columns are read,
+so other columns cannot clash. Ids must be integers or text that holds integers.
 """
 
 from __future__ import annotations
@@ -37,11 +41,13 @@ SLAB = 1 << 16
 SIEVE = 1 << 25
 #: A node with this share of all rows, or more, counts as large.
 LARGE = 1000
+#: A node splits if that leaves this part of its pairs, or less.
+GAIN = 0.9
 
 
-def runs_for(threshold: float, levels: int, recall: float) -> int:
+def runs_for(threshold: float, levels: int, branches: int, recall: float) -> int:
     """Runs after which a pair at the threshold, split at every level, has met with this probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - (1 - threshold) ** branches) ** levels))
 
 
 def agreement_floor(threshold: float, size: int, miss: float) -> int:
@@ -121,26 +127,40 @@ def _sized(live: DataFrame, sizes: DataFrame) -> DataFrame:
     return live.join(large, "node").unionByName(live.join(large, "node", "left_anti").join(sizes.where(~is_large), "node"))
 
 
-def _leaves(reps: DataFrame, runs: int, levels: int, bucket: int) -> DataFrame:
-    """(rep, run, node, size): the bucket of each representative in each run, where it is not alone."""
+def _leaves(reps: DataFrame, runs: int, levels: int, branches: int, bucket: int) -> DataFrame:
+    """(cls, node, size): the leaves of each class where it is not alone."""
 
-    def path(run: int) -> Column:
-        node, nodes = F.lit(run), []
-        for k in range(levels):
-            node = F.xxhash64(node, F.col("sig")[run * levels + k])
-            nodes.append(node.alias(f"c{k}"))
-        return F.struct(*nodes)
+    def paths(node: Column, run: int, level: int) -> Column:
+        first = (run * levels + level) * branches
+        return F.array(*[F.xxhash64(node, F.lit(c), F.col("sig")[first + c]) for c in range(branches)])
 
-    paths = reps.select("rep", F.posexplode(F.array(*[path(r) for r in range(runs)])).alias("run", "p"))
-    live = paths.select("rep", "run", "p.*").withColumn("node", F.col("c0"))
+    def children(level: int) -> Column:
+        by_run = [paths(F.col("node"), r, level) for r in range(runs)]
+        chosen = by_run[0]
+        for r in range(1, runs):
+            chosen = F.when(F.col("run") == r, by_run[r]).otherwise(chosen)
+        return F.explode(chosen)
+
+    first = F.flatten(F.array(*[F.transform(paths(F.lit(r), r, 0), lambda x, r=r: F.struct(F.lit(r).alias("run"), x.alias("node"))) for r in range(runs)]))
+    live = reps.select("cls", F.explode(first).alias("p")).select("cls", "p.run", "p.node")
     out = None
     for k in range(levels):
         sizes = materialize(live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{k}")
         met = materialize(_sized(live, sizes), f"paths{k}")
-        done = (met if k == levels - 1 else met.where(F.col("size") <= bucket)).select("rep", "run", "node", "size")
+        large = met.where(F.col("size") > bucket)
+        last = k == levels - 1 or large.isEmpty()
+        done = (met if last else met.where(F.col("size") <= bucket)).select("cls", "node", "size")
+        if not last:
+            tried = materialize(large.join(reps.select("cls", "sig"), "cls").select("cls", "run", F.col("node").alias("parent"), "size", children(k + 1).alias("node")), f"tried{k}")
+            cost = tried.groupBy("parent", "size", "node").agg(F.count("*").alias("n")).groupBy("parent", "size").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
+            cost = materialize(cost.select(F.col("parent").alias("node"), "size", (F.col("cost") <= GAIN * F.col("size") * F.col("size")).alias("splits")), f"splits{k}")
+            whole = _sized(large.drop("size"), cost.where("not splits").drop("splits")).select("cls", "node", "size")
+            done = done.unionByName(whole)
+            kids = tried.select("cls", "run", F.col("node").alias("child"), F.col("parent").alias("node"))
+            live = _sized(kids, cost.where("splits").drop("splits")).select("cls", "run", F.col("child").alias("node"))
         out = done if out is None else out.unionByName(done)
-        if k < levels - 1:
-            live = met.where(F.col("size") > bucket).drop("size").withColumn("node", F.col(f"c{k + 1}"))
+        if last:
+            break
     return out
 
 
@@ -148,13 +168,24 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _fresh(leaf: np.ndarray, run: int, side: np.ndarray, crossed: bool, n: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs to compare in this bucket: of fitting sizes, not met in an earlier run, and across if two blocks meet."""
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, values) of lists of longs."""
+    column = column.combine_chunks()
+    bounds = np.zeros(len(column) + 1, np.int64)
+    np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False), out=bounds[1:])
+    return bounds, column.flatten().to_numpy(zero_copy_only=False).view(W.U)
+
+
+def _fresh(earlier: tuple[np.ndarray, np.ndarray], a: int, b: int, side: np.ndarray, crossed: bool, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of rows a to b - 1 to compare in this leaf: of fitting sizes, without an earlier leaf in common, and across
+    if two blocks meet."""
+    n = n[a:b]
     pairs = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
-    for r in range(run):
-        x = leaf[:, r]
-        pairs &= (x[:, None] != x[None, :]) | (x[:, None] == 0)
+    bounds, values = earlier
+    if bounds[b] > bounds[a]:
+        pairs &= _intersections(bounds[a : b + 1] - bounds[a], values[bounds[a] : bounds[b]]) == 0
     if crossed:
+        side = side[a:b]
         pairs &= side[:, None] != side[None, :]
     np.fill_diagonal(pairs, False)
     return pairs
@@ -181,9 +212,9 @@ def _intersections(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _roots(linked: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    """The least representative of each row's linked part of a bucket."""
-    label = rep.copy()
+def _roots(linked: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least class of each row's linked part of a leaf."""
+    label = own.copy()
     while True:
         least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1)
         new = np.minimum(label, least)
@@ -192,50 +223,49 @@ def _roots(linked: np.ndarray, rep: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _likely(rows: DataFrame, runs: int, orders: int, threshold: float, floor: int) -> DataFrame:
-    """Rows of buckets that have a likely partner there."""
+def _likely(rows: DataFrame, orders: int, threshold: float, floor: int) -> DataFrame:
+    """Rows of leaves that have a likely partner there."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in whole_groups(batches, 3):
-            sig, leaf = _matrix(t["sig"], orders), _matrix(t["leaf"], runs)
-            n, run, side, bi, bj = (t[c].to_numpy() for c in ("n", "run", "side", "bi", "bj"))
+            sig, earlier = _matrix(t["sig"], orders), _lists(t["earlier"])
+            n, side, bi, bj = (t[c].to_numpy() for c in ("n", "side", "bi", "bj"))
             keep = np.zeros(len(t), bool)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                pairs = _fresh(leaf[a:b], int(run[a]), side[a:b], bi[a] != bj[a], n[a:b], threshold)
+                pairs = _fresh(earlier, a, b, side, bi[a] != bj[a], n, threshold)
                 for i in np.flatnonzero(pairs.any(axis=1)):
                     other = np.flatnonzero(pairs[i])
                     keep[a + i] = ((sig[a + other] == sig[a + i]).sum(axis=1) >= floor).any()
             if keep.any():
                 yield from t.filter(pa.array(keep)).drop_columns(["sig"]).combine_chunks().to_batches()
 
-    return rows.mapInArrow(scan, "node long, bi int, bj int, side int, run int, rep long, n long, copies long, leaf array<long>")
+    return rows.mapInArrow(scan, "node long, bi int, bj int, side int, cls long, n long, copies long, earlier array<long>")
 
 
-def _linked(rows: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """(rep, links, linked_docs, root) of each bucket, from exact comparisons of whole sets."""
+def _linked(rows: DataFrame, threshold: float) -> DataFrame:
+    """(cls, linked_docs, root) of each leaf, from exact comparisons of whole sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in whole_groups(batches, 3):
-            leaf = _matrix(t["leaf"], runs)
-            n, run, side, bi, bj, rep, copies = (t[c].to_numpy() for c in ("n", "run", "side", "bi", "bj", "rep", "copies"))
+            earlier = _lists(t["earlier"])
+            n, side, bi, bj, own, copies = (t[c].to_numpy() for c in ("n", "side", "bi", "bj", "cls", "copies"))
             offsets, data = W.raw(t["shingles"])
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2:
                     continue
-                pairs = _fresh(leaf[a:b], int(run[a]), side[a:b], bi[a] != bj[a], n[a:b], threshold)
+                pairs = _fresh(earlier, a, b, side, bi[a] != bj[a], n, threshold)
                 s = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), W.U)
                 both = _intersections((offsets[a : b + 1] - offsets[a]) // 8, s)
                 union = n[a:b, None] + n[None, a:b] - both
                 linked = pairs & (both / np.maximum(union, 1) >= threshold)
                 some = np.flatnonzero(linked.any(axis=1))
                 if len(some):
-                    root = _roots(linked, rep[a:b])
-                    out.append((rep[a:b][some], linked[some].sum(axis=1), (linked[some] * copies[None, a:b]).sum(axis=1), root[some]))
+                    out.append((own[a:b][some], (linked[some] * copies[None, a:b]).sum(axis=1), _roots(linked, own[a:b])[some]))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["rep", "links", "linked_docs", "root"])
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["cls", "linked_docs", "root"])
 
-    return rows.mapInArrow(scan, "rep long, links long, linked_docs long, root long")
+    return rows.mapInArrow(scan, "cls long, linked_docs long, root long")
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -259,8 +289,8 @@ def _bits(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _packed(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(rep, k1, k2, shingles) of the documents that may be needed: the sieve spares the others a shuffle of their sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(_sieve(needed))
+    """(cls, shingles) of the needed classes (cls, k1, k2, rep): the sieve spares most other documents' sets a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(needed.select("rep").distinct()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
@@ -272,7 +302,8 @@ def _packed(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
             k1, k2 = _digests(bounds, s)
             yield pa.record_batch([b.column(0), pa.array(k1), pa.array(k2), pa.array([s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["rep", "k1", "k2", "shingles"])
 
-    return docs.mapInArrow(pack, "rep long, k1 long, k2 long, shingles binary")
+    packed = docs.mapInArrow(pack, "rep long, k1 long, k2 long, shingles binary")
+    return packed.join(needed, ["rep", "k1", "k2"]).dropDuplicates(["cls"]).select("cls", "shingles")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -302,60 +333,59 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, levels: int = 3, bucket: int = 128, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, levels: int = 4, branches: int = 2, bucket: int = 128, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, class_id, n_links, n_copies, copy_of.
 
     class_id is the least doc_id of the document's group (linked directly or through others), copy_of the least doc_id
     with the same shingle set, n_copies the documents of that set, and n_links the other documents at the threshold,
     copies among them.
     """
-    runs = runs_for(threshold, levels, recall)
-    orders = runs * levels
+    runs = runs_for(threshold, levels, branches, recall)
+    orders = runs * levels * branches
     floor = agreement_floor(threshold, orders, (1 - recall) / 10)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(_signatures(docs, shingle, orders), "sets")
     keyed = sets.where("n > 0 and doc_id is not null")
-    reps = materialize(keyed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-
-    leaves = _leaves(reps, runs, levels, bucket)
-    own = leaves.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", F.struct("node", "size")))).alias("at"))
-    at = [F.try_element_at("at", F.lit(r)) for r in range(runs)]
-    own = own.select("rep", F.array(*[F.coalesce(x["node"], F.lit(0)) for x in at]).alias("leaf"), F.array(*[F.coalesce(x["size"], F.lit(0)) for x in at]).alias("sizes"))
-    wide = own.join(reps.select("rep", "n", "copies", "sig"), "rep")
-    rows = wide.select("rep", "n", "copies", "sig", "leaf", F.posexplode(F.arrays_zip("leaf", "sizes")).alias("run", "b")).where("b.leaf <> 0")
-    blocks = F.when(F.col("b.sizes") > max(bucket, block), F.ceil(F.col("b.sizes") / block)).otherwise(1).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    reps = keyed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    reps = materialize(reps.withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbered once, as written
+
+    leaves = _leaves(reps, runs, levels, branches, bucket)
+    own = leaves.groupBy("cls").agg(F.collect_set(F.struct("node", "size")).alias("at"))  # runs x branches^levels at most
+    wide = own.join(reps.select("cls", "n", "copies", "sig"), "cls")
+    rows = wide.select("cls", "n", "copies", "sig", "at", F.explode("at").alias("b"))
+    blocks = F.when(F.col("b.size") > max(bucket, block), F.ceil(F.col("b.size") / block)).otherwise(1).cast("int")
+    rows = rows.withColumn("earlier", F.filter(F.col("at.node"), lambda x: x < F.col("b.node"))).withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.col("b.leaf").alias("node"), F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "run", "rep", "n", "copies", "leaf", "sig")
-    likely = materialize(_likely(rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj"), runs, orders, threshold, floor), "likely")
-
-    needed = materialize(likely.select("rep").distinct(), "needed")
-    packed = _packed(docs, needed, shingle).join(needed, "rep", "left_semi")
-    packed = packed.join(reps.select("rep", "k1", "k2"), ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles")
-    rows = likely.join(packed, "rep").select("node", "bi", "bj", "side", "run", "rep", "n", "copies", "leaf", "shingles")
-    found = materialize(_linked(rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj"), runs, threshold), "linked")
-
-    links = found.groupBy("rep").agg(F.sum("linked_docs").alias("linked_docs"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = reps.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("k1", "k2", "n", "rep", "copies", F.coalesce("linked_docs", F.lit(0)).alias("linked_docs"), F.coalesce("root", "rep").alias("root"))
-    linked = keyed.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2", "n"]).select("doc_id", F.col("root").alias("class_id"), (F.col("linked_docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("rep").alias("copy_of"))
+    rows = rows.select(F.col("b.node").alias("node"), F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "cls", "n", "copies", "earlier", "sig")
+    likely = materialize(_likely(rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj"), orders, threshold, floor), "likely")
+
+    needed = materialize(likely.select("cls").distinct().join(reps.select("cls", "k1", "k2", "rep"), "cls"), "needed")
+    rows = likely.join(_packed(docs, needed, shingle), "cls").select("node", "bi", "bj", "side", "cls", "n", "copies", "earlier", "shingles")
+    found = materialize(_linked(rows.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj"), threshold), "linked")
+
+    links = found.groupBy("cls").agg(F.sum("linked_docs").alias("linked_docs"))
+    groups = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cls")
+    known = reps.select("cls", "k1", "k2", "n", "rep", "copies").join(links, "cls", "left").join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = materialize(known, "known")
+    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    known = known.where("linked_docs is not null").join(least, "root").select("k1", "k2", "n", "rep", "copies", "linked_docs", "class_id").unionByName(known.where("linked_docs is null").select("k1", "k2", "n", "rep", "copies", F.lit(0).cast("long").alias("linked_docs"), F.col("rep").alias("class_id")))
+    linked = keyed.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2", "n"]).select("doc_id", "class_id", (F.col("linked_docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("rep").alias("copy_of"))
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("copy_of"))
     return linked.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one of least id; its columns are unchanged.
 
-    Rows with null id stay. Of repeated rows with one id, one stays.
+    Each row counts by itself, with or without an id: of rows of one id, and of repeated rows, those of one group go but
+    one. A null id is the greatest. Rows without words stay.
     """
-    found = materialize(jaccard_join(docs, **options), "groups")
-    id_col = options.get("id_col", "doc_id")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = materialize(jaccard_join(numbered, id_col="__row", **options), "groups").where("n_links > 0").select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class"))
+    named = numbered.select("__row", F.struct(F.col(id_col).isNull(), F.col(id_col), "__row").alias("__own")).join(found, "__row")
+    least = materialize(named.groupBy("__class").agg(F.min("__own")["__row"].alias("__row")), "kept")
+    gone = found.join(least, "__row", "left_anti").select("__row")
+    return numbered.join(gone, "__row", "left_anti").drop("__row")
 
 
 def oracle(threshold: float = 0.8, size: int = 5) -> str:

@@ -71,11 +71,75 @@ def test_every_operator_on_odd_and_empty_tables(spark):
         assert quality.resample(d, labels).count() == n
         found = {r.doc_id: r for r in jaccard.jaccard_join(d).collect()}
         assert jaccard.keep_one(d).count() == (6 if n else 0)
+        assert jaccard.keep_one(d).columns == d.columns
         if n:
             assert found[5].class_id == found[6].class_id == 5 and found[5].n_links == 1
             assert found[3].n_copies == 2 and found[2].n_links == 0
 
 
+def _shingle_sets(rows):
+    out = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        out.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    return out
+
+
+def _groups_of(rows, threshold=0.8):
+    """(number of links, group) of each row with words, by comparing all pairs."""
+    sets, links, group = _shingle_sets(rows), [0] * len(rows), list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i if a else 0):
+            if sets[j] and len(a & sets[j]) >= threshold * len(a | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                old, new = sorted((group[i], group[j]), reverse=True)
+                group = [new if g == old else g for g in group]
+    return links, group
+
+
+def _planted(rng):
+    """Clusters of near copies, texts that share a passage, ids that repeat with equal and with other texts."""
+    vocabulary = [f"w{k}" for k in range(300)]
+    passage, rows = " ".join(rng.choices(vocabulary, k=30)), []
+    for size in (1, 2, 8, 40, 40, 3, 1, 2):
+        base = rng.choices(vocabulary, k=60)
+        for _ in range(size):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(60)] = rng.choice(vocabulary)
+            rows.append((len(rows) if rng.random() < 0.9 else rng.randrange(len(rows) + 1), " ".join(text)))
+    rows += [(1000 + k, passage + " " + " ".join(rng.choices(vocabulary, k=40))) for k in range(50)]
+    longer = " ".join(rng.choices(vocabulary, k=36))
+    return rows + [(2001, "one text of a repeated id and its words"), (2001, longer), (2002, longer + " end"), (2003, None), (2003, ""), (2004, "x y"), (2004, "x y"), (2005, "x y")]
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket": 2, "block": 3}, {"bucket": 4, "levels": 2}])
+def test_jaccard_join_against_all_pairs(spark, options):
+    rows = _planted(random.Random(len(options)))
+    links, group = _groups_of(rows)
+    least = {}
+    for (doc_id, _), g in zip(rows, group, strict=True):
+        least[g] = min(doc_id, least.get(g, doc_id))
+    frame = spark.createDataFrame([(*r, -1) for r in rows], "doc_id long, text string, class_id long")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(frame, **options).collect())
+    assert got == sorted((doc_id, least[g], n) for (doc_id, _), g, n in zip(rows, group, links, strict=True))
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [*_planted(random.Random(8)), (None, "x y"), (None, None)]
+    _, group = _groups_of(rows)
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = _shingle_sets(rows)
+    numbers = {}
+    for k, (s, g) in enumerate(zip(sets, group, strict=True)):
+        numbers.setdefault(s, set()).add(g if s else k)
+    assert len(kept) == len(set(group))
+    own = [numbers[s] for s in _shingle_sets([tuple(r) for r in kept]) if s]
+    assert len({min(x) for x in own}) == len(own)  # each of another group
+    assert not [r for r in kept if r.text == "x y" and r.doc_id != 2004]
+
+
 def test_decontamination_of_short_items(spark):
     d = spark.createDataFrame([(1, "a b c d"), (2, "b"), (3, "c b")], "doc_id long, text string")
     b = spark.createDataFrame([(10, "B C"), (9, "b"), (11, "z")], "item_id long, text string")
