@@ -2,31 +2,39 @@
 
 Components become integers. For a query, a dimension's impact is the component's distance above the dimension's least
 value where the query's weight is positive, and below its largest where it is negative, so every contribution is at
-least 0. Each shard of the candidates keeps postings by dimension, direction and quantised impact; segments of one impact
-level are added to the scores of a block of queries from the highest level down. After some levels the scores are lower
-bounds, and the levels left bound what any candidate can still gain: once few candidates of the shard can reach the
-k-th best lower bound, or no level is left, those are scored exactly. Nothing else ends a search.
-
-Queries come in blocks and candidates in shards of bounded size, and each pair of one block and one shard is a task's
-group. Vectors that are null, or hold null or non-finite components, take no part; a shorter vector counts as padded with
-zeros. Repeated vec_ids are rows of their own, but no row with the query's own id is a candidate. Ties go to the smaller
-vec_id. Rows with null id take no part. Only the two named columns are read.
+least 0. Each shard of the candidates keeps postings by quantised impact: a segment has the vectors and dimensions of one
+impact level. Segments are added to the scores of a block of queries from the highest level down. After some levels the
+scores are lower bounds, and the levels left bound what any candidate can still gain: once few candidates of the shard can
+reach the k-th best lower bound, or no level is left, those are scored exactly. Nothing else ends a search, and where
+doubles could round, the bounds give way by the most that they can be off.
+
+Candidates are dealt to shards of bounded size and every query visits every shard. A task builds a shard's index once;
+the queries follow it as a stream, and are searched in blocks.
+
+Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector, an empty
+one too, counts as padded with zeros. Repeated vec_ids are rows of their own, but no row with the query's own id is a
+candidate. Ties go to the smaller vec_id. Rows with null id take no part. Scores beyond 64 bits stop at the ends of the
+range. Empty tables, and tables without queries, give no rows. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK = 8192, 512
+#: Candidates of a shard, and queries that are searched together, at most.
+SHARD, BLOCK = 32_768, 256
+#: A shard is no smaller than this for the sake of more tasks.
+SMALL = 1024
 LEVELS = 16
 #: A search may end once so many times k candidates or fewer are possible.
 FEW = 8
+#: Products that are held at once.
+CELLS = 1 << 22
 
 
 class Shard:
@@ -34,49 +42,55 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
-        self.least, self.most = self.vectors.min(axis=0), self.vectors.max(axis=0)
-        impact = np.concatenate([self.vectors - self.least, self.most - self.vectors], axis=1)
-        self.step = max(1.0, math.ceil((impact.max() + 1) / LEVELS))
-        level = np.floor(impact / self.step).astype(np.int64)
-        self.impact = impact
-        # segments of one level: vector and dimension of each posting
-        order = np.argsort(-level, axis=None, kind="stable")
-        flat = level.ravel()[order]
-        cuts = np.searchsorted(-flat, -np.arange(LEVELS - 1, -2, -1))
-        self.segments = [np.divmod(order[a:b], impact.shape[1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        least, most = self.vectors.min(axis=0), self.vectors.max(axis=0)
+        impact = np.concatenate([self.vectors - least, most - self.vectors], axis=1)
         self.top = impact.max(axis=0)
+        self.base = np.concatenate([least, -most])  # what a unit of weight scores without any impact
+        self.reach = np.tile(np.maximum(np.abs(least), np.abs(most)), 2)
+        self.step = max(1.0, np.ceil((self.top.max(initial=0) + 1) / LEVELS))
+        level, flat = np.floor(impact / self.step).astype(np.int8).ravel(), impact.ravel()
+        self.segments = []
+        for k in range(LEVELS - 1, -1, -1):
+            cell = np.flatnonzero((level == k) & (flat > 0))
+            self.segments.append(((cell // impact.shape[1]).astype(np.int32), (cell % impact.shape[1]).astype(np.int32), flat[cell]))
+        self.skipped = 0  # segments that searches did not need
+
+    def _add(self, gained: np.ndarray, weight: np.ndarray, segment: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Add a segment's products with the weights (dimensions x queries) to the scores (vectors x queries)."""
+        step = max(1, CELLS // weight.shape[1])
+        for lo in range(0, len(segment[0]), step):
+            vector, dimension, value = (x[lo : lo + step] for x in segment)
+            first = np.concatenate([[0], np.flatnonzero(vector[1:] != vector[:-1]) + 1])
+            gained[vector[first]] += np.add.reduceat(weight[dimension] * value[:, None], first, axis=0)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of each query's best k of the shard, own ids left out."""
         weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
-        gained = np.zeros((len(queries), len(self.ids)))
-        for n, q in enumerate(own):
-            gained[n, self.ids == q] = -np.inf
+        gained = np.where(self.ids[:, None] == own[None, :], -np.inf, 0.0)
+        most = weight @ (2 * self.reach)
+        base = weight @ self.base
+        slack = np.where(most < 2**52, 0.0, most * (weight.shape[1] + 8) * 2.0**-51)
         open_ = np.arange(len(queries))
-        possible: list[np.ndarray | None] = [None] * len(queries)
-        for k_level, (vector, dimension) in zip(range(LEVELS - 1, -1, -1), self.segments, strict=True):
-            if len(vector):
-                plane = np.zeros((weight.shape[1], len(self.ids)))
-                plane[dimension, vector] = self.impact[vector, dimension]
-                gained[open_] += weight[open_] @ plane
-            if k_level % 4 and k_level > 2:
+        possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        for level, segment in zip(range(LEVELS - 1, -1, -1), self.segments, strict=True):
+            self._add(gained, weight[open_].T, segment)
+            if level % 4 and level > 2:
                 continue
-            still = []
-            for n in open_:
-                rest = float(weight[n] @ np.minimum(self.top, k_level * self.step)) if k_level else 0.0
-                score = gained[n]
-                best = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                members = np.flatnonzero((score + rest >= best) & np.isfinite(score))
-                if k_level == 0 or len(members) <= FEW * k:
-                    possible[n] = members
-                else:
-                    still.append(n)
-            open_ = np.array(still, int)
+            rest = weight[open_] @ np.minimum(self.top, level * self.step) + slack[open_]
+            best = np.partition(gained, -k, axis=0)[-k] if len(self.ids) > k else np.full(len(open_), -np.inf)
+            # scores beyond 64 bits are ties at the ends of the range
+            best = np.where(best + base[open_] - slack[open_] <= -(2.0**63), -np.inf, np.minimum(best, 2.0**63 - base[open_]))
+            reaching = (gained + rest >= best - slack[open_]) & (gained > -np.inf)
+            done = (reaching.sum(axis=0) <= FEW * k) | (level == 0)
+            for n in np.flatnonzero(done):
+                possible[open_[n]] = np.flatnonzero(reaching[:, n])
+            self.skipped += level * int(done.sum())
+            open_, gained = open_[~done], np.ascontiguousarray(gained[:, ~done])
             if not len(open_):
                 break
         for n, members in enumerate(possible):
             exact = _exact(self.vectors[members], queries[n])
-            take = np.lexsort((self.ids[members], -exact))[:k]
+            take = np.lexsort((self.ids[members], -exact.astype(object) if len(exact) and exact.min() == -(2**63) else -exact))[:k]
             yield self.ids[members][take], exact[take]
 
 
@@ -91,13 +105,24 @@ def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, q, strict=True)))) for v in whole], np.int64)
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Vectors in rows, padded with zeros."""
+    count = np.diff(column.offsets.to_numpy())
     out = np.zeros((len(column), width))
-    for k, v in enumerate(column):
-        out[k, : len(v)] = v
+    out[np.arange(width)[None, :] < count[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(shard, kind, rows): parts of batches of one shard and kind, in order."""
+    for b in batches:
+        key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                yield *divmod(int(key[lo]), 2), b.slice(lo, hi - lo)
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each vector whose id is divisible by `every`, the k best others."""
     sound = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
@@ -106,19 +131,30 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     n, n_queries, width = rows.agg(F.count("*"), F.count_if(query), F.max(F.size("v"))).first()
     if not n or not n_queries:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).where("false")
-    shards, blocks = -(-n // shard), -(-n_queries // block)
-    candidates = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    queries = rows.where(query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-
-    def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        own = queries["id"].to_numpy()
-        found = Shard(candidates["id"].to_numpy(), _matrix(candidates["v"], width)).search(_matrix(queries["v"], width), own, k)
-        ids, scores = zip(*found, strict=True)
-        return pd.DataFrame({"query_id": np.repeat(own, [len(x) for x in ids]), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
-
-    found = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
+    width = max(1, width)
+    shards = max(-(-n // shard), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // min(SMALL, shard))))
+    candidates = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    queries = rows.where(query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, index = -1, [], None
+        for number, kind, b in _runs(batches):
+            if number != here:
+                here, held, index = number, [], None
+            if kind == 0:
+                held.append(b)
+                continue
+            if index is None and held:
+                ids = np.concatenate([x.column(2).to_numpy() for x in held])
+                index, held = Shard(ids, np.concatenate([_matrix(x.column(3), width) for x in held])), []
+            for lo in range(0, b.num_rows if index else 0, block):
+                part = b.slice(lo, block)
+                own = part.column(2).to_numpy()
+                ids, scores = zip(*index.search(_matrix(part.column(3), width), own, k), strict=True)
+                yield pa.record_batch([pa.array(np.repeat(own, [len(x) for x in ids])), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
+
+    both = candidates.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = both.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -319,6 +319,35 @@ def test_top_k_with_ties_and_bad_vectors(spark):
         assert sorted(got[q]) == [(n + 1, k, -s) for n, (s, k) in enumerate(want)]
 
 
+def test_top_k_ends_on_proof_only():
+    rng = np.random.default_rng(6)
+    vectors = np.floor(rng.normal(0, 300, (3000, 16)))
+    vectors[:40] += 4000  # far ahead in every dimension, so that the lower levels are not needed
+    ids = np.arange(3000) + 5
+    for values, all_scored in ((vectors, False), (vectors * 2.0**17, False), (vectors * 2.0**45, True)):
+        index = topk.Shard(ids, values)
+        for (found, scores), q, own in zip(index.search(values[:60], ids[:60], 10), values[:60], ids[:60], strict=True):
+            exact = {int(i): sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for i, v in zip(ids, values, strict=True) if i != own}
+            want = sorted((-max(-(2**63), min(2**63 - 1, s)), i) for i, s in exact.items())[:10]
+            assert list(zip((-scores.astype(object)).tolist(), found.tolist(), strict=True)) == want
+        assert all_scored or index.skipped > 0
+
+
+def test_top_k_on_odd_tables(spark):
+    rows = [(0, [], "x"), (100, [1.0], "x"), (100, [2.0, 0.5], "x"), (7, [], "y"), (8, [-1.0, 1.0], "y"), (200, [0.0, 2.0], "y")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, k=3).collect())
+    wide = [(i, [*(math.floor(1024 * x) for x in v), 0, 0][:2]) for i, v, _ in rows]
+    best = {}
+    for q, v in wide:
+        if q % 100 == 0:
+            best.setdefault(q, []).extend(sorted((-(v[0] * w[0] + v[1] * w[1]), i) for i, w in wide if i != q))
+    assert got == sorted((q, n + 1, i, -s) for q, found in best.items() for n, (s, i) in enumerate(sorted(found)[:3]))
+    for empty in (frame.limit(0), frame.where("vec_id = 7"), frame.where("size(embedding) = 0 and vec_id = 0")):
+        assert topk.top_k(empty).count() == 0
+    assert [(r.vec_id, r.score) for r in topk.top_k(frame.where("size(embedding) = 0")).collect()] == [(7, 0)]
+
+
 def _least_cost(roles):
     best = chat.FAR
     states = [(chat.START, 0)]
