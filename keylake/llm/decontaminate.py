@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keylake.llm import words as W
+from keylake.session import materialize
 
 BLOCK_BYTES = 16 << 20
 SHINGLE = 3
@@ -182,8 +183,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         blocks.append(spark.sparkContext.broadcast(windows))
     if len(blocks) <= 1:
         return docs.mapInArrow(_scan(blocks[0] if blocks else spark.sparkContext.broadcast(Windows([], window))), SCHEMA)
-    # Each row has a number of its own, the same in every pass: its place in the input's partitions.
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # Each row has a number of its own; the numbered rows are written, so that it is the same in every pass.
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
     parts = None
     for b in blocks:
         own = numbered.mapInArrow(_scan_parts(b), _PARTS)

@@ -3,12 +3,13 @@
 Texts are bags of hashed words and word pairs. Two generative models give a bucket's probability: one from target text
 (documents labelled good, a bounded sample), one from all raw text. A document's log weight is the sum over its n-grams
 of log(target / raw); Gumbel noise added to it and the k largest kept sample k documents without replacement in
-proportion to their weights. The noise comes from a hash of the id, so a rerun or a lost task draws the same.
+proportion to their weights. The noise comes from a hash of id and text, so a rerun or a lost task draws the same. The
+k-th largest value is found by counts over ranges that narrow, so nothing is ranked in one task.
 
 Defined results: null and empty texts have no n-grams and log weight 0; they take part in the draw. Rows with null id
-draw by a hash of their text. Repeated rows each give a row and share their noise; ties go to the smaller id, then to
-the smaller hash of text. With no target text all log weights are 0. Empty tables give no rows. Only the named columns
-are read.
+draw by their text alone. Repeated rows each give a row and share their noise; where some but not all of equal values
+are kept, the smaller id counts first, null last, then the smaller hash of text, and of equal rows so many as are left.
+With no target text all log weights are 0. Empty tables give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -77,27 +78,38 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 7) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(np.bincount(row, minlength=w.rows)), pa.array(weight), b.column(2)], ["doc_id", "n_ngrams", "log_weight", "tie"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, n_ngrams long, log_weight double, tie long")
-    draw = F.xxhash64(F.lit(seed), F.coalesce("doc_id", "tie"))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "tie")
     uniform = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return rows.withColumn("gumbel", -F.log(-F.log(uniform)))
 
 
+def _cut(rows: DataFrame, k: int) -> tuple[float, int]:
+    """(the k-th largest key, how many rows of that key are of the k largest)."""
+    low, high, left = -math.inf, math.inf, k
+    while low < high:
+        inside = rows.where(F.col("key").between(low, high))
+        found = inside.approxQuantile("key", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))
+        edges = sorted({e for x in found for e in (x, math.nextafter(x, math.inf))})  # so a frequent key is a range of its own
+        ranges = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="key", outputCol="range").transform(inside)
+        counts = ranges.groupBy("range").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # 2 x RANGES rows at most
+        for r in sorted(counts, key=lambda r: -r.range):
+            low, high = r.low, r.high
+            if r.n >= left:
+                break
+            left -= r.n
+    return low, left
+
+
 def _largest(rows: DataFrame, k: int) -> DataFrame:
-    """rows with kept: is it of the k largest keys; ranges of the key are counted, and only the one that is cut is ranked."""
-    low, high = rows.agg(F.min("key"), F.max("key")).first()
-    edges = sorted(set(rows.approxQuantile("key", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))) - {low})
-    edges = [low, *edges, math.nextafter(high, math.inf)]
-    own = Bucketizer(splits=edges, inputCol="key", outputCol="range").transform(rows) if len(edges) > 2 else rows.withColumn("range", F.lit(0.0))
-    counts = {r.range: r.n for r in own.groupBy("range").agg(F.count("*").alias("n")).collect()}  # RANGES rows at most
-    left, cut = k, -1.0
-    for r in sorted(counts, reverse=True):
-        if counts[r] >= left:
-            cut = r
-            break
-        left -= counts[r]
-    order = Window.partitionBy("range").orderBy(F.desc("key"), F.asc_nulls_last("doc_id"), "tie")
-    inside = own.where(F.col("range") == cut).withColumn("kept", F.row_number().over(order) <= left)
-    return inside.unionByName(own.where(F.col("range") != cut).withColumn("kept", F.col("range") > cut)).drop("range")
+    """rows with kept: is it of the k largest keys. Only equal rows at the cut are told apart, by their numbers."""
+    cut, left = _cut(rows, k)
+    own = [c for c in rows.columns]
+    order = Window.partitionBy("key").orderBy(F.asc_nulls_last("doc_id"), "tie").rowsBetween(Window.unboundedPreceding, -1)
+    equal = rows.where(F.col("key") == cut).groupBy(*own).agg(F.count("*").alias("n"))  # few: the noise differs by id and text
+    equal = equal.withColumn("wanted", F.lit(left) - F.coalesce(F.sum("n").over(order), F.lit(0)))
+    parts = equal.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RANGES)))).repartition("first")
+    again = parts.withColumn("place", F.explode(F.sequence("first", F.least("n", F.col("first") + RANGES) - 1)))
+    return rows.where(F.col("key") != cut).withColumn("kept", F.col("key") > cut).unionByName(again.select(*own, (F.col("place") < F.col("wanted")).alias("kept")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float = 0.5, sample: int = SAMPLE, buckets: int = BUCKETS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -147,6 +147,13 @@ def test_decontamination_of_short_items(spark):
     assert out == {1: (4, 2, 2), 2: (1, 1, 1), 3: (2, 1, 1)}
 
 
+def test_decontamination_in_blocks_of_shuffled_rows(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    mixed = docs.select("doc_id", "text").repartition(5).unionByName(spark.createDataFrame([(None, None), (1, ""), (1, "one two")], "doc_id long, text string"))
+    want, got = (sorted(map(str, decontaminate.decontaminate(mixed, bench, **o).collect())) for o in ({}, {"block_bytes": 4000}))
+    assert got == want and any("contaminated=True" in x for x in got)
+
+
 def test_secrets_against_plain_patterns(spark, docs):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)]
     rng = random.Random(2)
@@ -396,6 +403,27 @@ def test_resampling_against_plain_sums(spark, docs):
         assert abs(r.log_weight - sum(ratio[x] for x in own[r.doc_id])) < 1e-6
 
 
+def test_kept_rows_are_the_plain_largest(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "RANGES", 5)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    same = [(None, "equal text of no id"), (None, None), (50_000, "one id"), (50_000, "and another text")]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(same * 40, "doc_id long, text string"))
+    for wanted in (labels, labels.limit(0)):
+        weights = quality.weigh(rows, quality.log_ratio(*quality._count(rows, wanted.where("quality = 1").select("doc_id"), 500))).collect()
+        plain = sorted((-(r.log_weight + r.gumbel), r.doc_id is None, r.doc_id or 0, r.tie) for r in weights)
+        for keep in (0.003, 0.3, 0.77, 1.0):
+            k = math.ceil(keep * len(weights))
+            mine = quality.resample(rows, wanted, keep=keep, buckets=500).where("kept").collect()
+            assert sorted((r.doc_id or -1, round(r.log_weight, 6)) for r in mine) == sorted((d or -1, round(w, 6)) for d, w in _plain_kept(weights, plain[:k]))
+
+
+def _plain_kept(weights, chosen):
+    at = {}
+    for r in weights:
+        at[-(r.log_weight + r.gumbel), r.doc_id is None, r.doc_id or 0, r.tie] = (r.doc_id, r.log_weight)
+    return [at[x] for x in chosen]
+
+
 def test_url_list_changes_on_one_day(spark):
     made = [(1, "http://a.x.org/p/q", "2024-01-02"), (2, "http://a.x.org/", "2024-01-03"), (3, None, "2024-01-02"), (4, "http://a.x.org/", None), (5, "http://y.org/z", "2024-01-09")]
     made += [(6, "http://x.org/", "2024-01-01 09:00:00"), (7, "http://x.org/", "2024-01-03 09:00:00"), (8, "http://x.org/", "2024-01-01 10:00:00"), (9, "http://x.org/", "2024-01-03 10:00:00"), (9, "http://x.org/", "2024-01-03 09:59:59.999")]
