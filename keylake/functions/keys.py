@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Small primes of the published residue test for weak RSA moduli (CCS 2017); the allowed residues are powers of 65537.
+#: Small primes of the published residue test for weak RSA moduli (CCS 2017); the allowed residues are powers of 65537.
 PRIMES = (3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 53, 61, 71, 73, 79, 97, 103, 107, 109, 127, 151, 157)
 GENERATOR = 65537
 
@@ -49,9 +49,28 @@ def _allowed(p: int) -> list[int]:
     return out
 
 
+def _moduli(primes: tuple[int, ...]) -> list[tuple[int, list[int]]]:
+    """Products of neighbouring primes that hex_mod can work with, below 2^38, and the primes of each."""
+    out: list[tuple[int, list[int]]] = []
+    for p in primes:
+        if out and out[-1][0] * p < 1 << 38:
+            out[-1] = (out[-1][0] * p, [*out[-1][1], p])
+        else:
+            out.append((p, [p]))
+    return out
+
+
 def weak_key_flag(c: Column) -> Column:
-    """Is every residue a power of 65537: the fingerprint of moduli from the flawed generator."""
-    return reduce(Column.__and__, [hex_mod(c, p).isin(_allowed(p)) for p in PRIMES])
+    """Is every residue a power of 65537: the fingerprint of moduli from the flawed generator; null for null.
+
+    The digits are folded once for each product of primes; small residues follow from the residue by the product.
+    """
+    return reduce(Column.__and__, [_allows(hex_mod(c, product), primes) for product, primes in _moduli(PRIMES)])
+
+
+def _allows(residue: Column, primes: list[int]) -> Column:
+    """Does a residue by a product of primes leave an allowed one by each; the residue is worked out once."""
+    return F.transform(F.array(residue), lambda r: reduce(Column.__and__, [(r % p).isin(_allowed(p)) for p in primes]))[0]
 
 
 def pgp_key_id(c: Column) -> Column:
@@ -134,3 +153,29 @@ PREDICATES = {"weak": weak_key_flag}
 def register_predicate(name: str, predicate) -> None:
     """Make a function of Column to Column known by name; a name that is known is replaced."""
     PREDICATES[name] = predicate
+
+
+def hex_to_base64(c: Column) -> Column:
+    """base64 of the bytes of a hex text, a digit short of a byte being padded; null for other text."""
+    return F.base64(F.try_to_binary(F.when(F.length(c) % 2 == 1, F.concat(F.lit("0"), c)).otherwise(c), F.lit("hex")))
+
+
+def base64_to_hex(c: Column) -> Column:
+    """Canonical hex of the number that base64 bytes hold, high byte first; null for other text."""
+    return hex_canon(F.hex(F.try_to_binary(c, F.lit("base64"))))
+
+
+def pad_hex(c: Column, size: int) -> Column:
+    """Hex with zeros on its left, of so many digits; longer ones are unchanged."""
+    return F.when(F.length(c) < size, F.lpad(c, size, "0")).otherwise(c)
+
+
+def hex_to_long(c: Column) -> Column:
+    """A hex integer below 2^63 as a long; null for larger ones and other text."""
+    h = hex_canon(c)
+    return F.when(h.rlike("^([0-7][0-9a-f]{15}|[0-9a-f]{1,15})$"), F.conv(h, 16, 10).cast("long"))
+
+
+def fingerprints(der: Column) -> dict[str, Column]:
+    """md5, sha1, sha256 and size of bytes; null for null."""
+    return {"md5": F.md5(der), "sha1": F.sha1(der), "sha256": F.sha2(der, 256), "size": F.octet_length(der).cast("long")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -159,3 +159,56 @@ def blocks(c: Column) -> Column:
     inner = lambda x: F.regexp_replace(x, r"(?s)^-----BEGIN [A-Z0-9 ]+-----|-----END.*$", "")
     body = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(inner(x), r"(?m)^[A-Za-z][A-Za-z0-9-]*:.*$(?:\r?\n[ \t]+\S.*$)*", ""), r"\n=[A-Za-z0-9+/]{4}\s*$", ""), r"\s+", "")
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^-----BEGIN ([A-Z0-9 ]+)-----", 1).alias("label"), body(x).alias("body")))
+
+
+def first_known(*cs: Column) -> Column:
+    """The first that is not null."""
+    return F.coalesce(*cs)
+
+
+def first_of(values: Column, default=None) -> Column:
+    """The first item of a list, or the default if there is none or it is null."""
+    return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(default))
+
+
+def last_of(values: Column, default=None) -> Column:
+    return F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(default))
+
+
+def without_nulls(values: Column) -> Column:
+    return F.array_compact(values)
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at the ends; null if nothing is left."""
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def lowered(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def tolerant_long(c: Column, default: int | None = None) -> Column:
+    """A text as a whole number, or the default."""
+    return F.coalesce(F.trim(c.cast("string")).try_cast("long"), F.lit(default).cast("long"))
+
+
+def tolerant_double(c: Column, default: float | None = None) -> Column:
+    return F.coalesce(F.trim(c.cast("string")).try_cast("double"), F.lit(default).cast("double"))
+
+
+def typed_json(df: DataFrame, **columns: Column) -> Column:
+    """JSON of columns of df, nulls left out: times as seconds since 1970, dates and decimals as text, sets as sorted lists."""
+    types = df.select(*[c.alias(name) for name, c in columns.items()]).schema
+
+    def encoded(name: str, c: Column) -> Column:
+        kind = types[name].dataType.simpleString()
+        if kind.startswith("timestamp"):
+            c = F.unix_timestamp(c.cast("timestamp"))
+        elif kind == "date" or kind.startswith("decimal"):
+            c = c.cast("string")
+        elif kind.startswith("array"):
+            c = F.array_sort(F.array_distinct(c))
+        return c.alias(name)
+
+    return F.to_json(F.struct(*[encoded(name, c) for name, c in columns.items()]))

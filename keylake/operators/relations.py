@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,28 +12,41 @@ from keylake.functions.text import version_key, version_length
 
 
 def attach_hosts(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> DataFrame:
-    """certs with the sorted distinct ips of their hosts; an empty list for none."""
+    """certs with the sorted distinct ips of their hosts; an empty list for none, and for a null key.
+
+    A key's list is one row, as the format wants it; attached_hosts() has a row for each host instead.
+    """
     ips = hosts.groupBy(key).agg(F.array_sort(F.collect_set("ip")).alias("ips"))
     return certs.join(ips, key, "left").withColumn("ips", F.coalesce("ips", F.array().cast(ips.schema["ips"].dataType)))
 
 
+def attached_hosts(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> DataFrame:
+    """(key, ip): a row for each host of each cert, and one with null ip for a cert without hosts; no key meets in one row."""
+    return certs.select(key).distinct().join(hosts.select(key, "ip").distinct(), key, "left")
+
+
 def in_snapshot(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> DataFrame:
+    """certs whose key has a host; a null key has none. Repeated rows stay."""
     return certs.join(hosts.select(key), key, "left_semi")
 
 
 def missing_from(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose key right lacks; null keys are lacking. Repeated rows stay."""
     return left.join(right.select(key), key, "left_anti")
 
 
 def unique_by(df: DataFrame, key: str, order: str, list_col: str) -> DataFrame:
-    """One row for each key: the first row's columns by order, n_rows, and the sorted values of list_col."""
+    """One row for each key: the first row's columns by order, n_rows, and the sorted values of list_col.
+
+    Null is a key of its own; null orders do not come first, and null values are not listed. Of equal orders any row is taken.
+    """
     rest = [c for c in df.columns if c != key]
     out = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("rep"), F.count("*").alias("n_rows"), F.array_sort(F.collect_list(list_col)).alias("all_values"))
     return out.select(key, "rep.*", "n_rows", "all_values")
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key, null keys being one; give enough columns of order, as of ties any row is taken."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
@@ -42,7 +58,10 @@ def set_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], mode: str = "overwrite") -> DataFrame:
-    """current with new rows by key; insert_only keeps the current row where both have one."""
+    """current with new rows by key; insert_only keeps the current row where both have one.
+
+    Rows with a null in their keys equal no other, so all of them stay. Keys are to be unique in new: repeated rows all stay.
+    """
     if mode == "insert_only":
         return current.unionByName(new.join(current.select(keys), keys, "left_anti"))
     return new.unionByName(current.join(new.select(keys), keys, "left_anti"))
@@ -55,9 +74,13 @@ def fill_nulls(target: DataFrame, source: DataFrame, keys: list[str], cols: list
     return out.select(*[F.coalesce(c, f"__{c}").alias(c) if c in cols else F.col(c) for c in target.columns])
 
 
-def compare_rows(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """(key, same): do the columns agree, nulls counting as equal."""
-    left, right = a.select(key, F.struct(*cols).alias("__l")), b.select(key, F.struct(*cols).alias("__r"))
+def compare_rows(a: DataFrame, b: DataFrame, key: str, cols: list[str], defaults: dict[str, object] | None = None, transforms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(key, same) of keys that both have: do the columns agree, once transformed and nulls replaced by defaults.
+
+    Nulls that remain count as equal. Rows with null keys are left out; repeated keys give a row for each pair.
+    """
+    seen = [F.struct(*[c.alias(n) for n, c in projected(cols, defaults, transforms).items()]).alias(side) for side in ("__l", "__r")]
+    left, right = a.select(key, seen[0]), b.select(key, seen[1])
     return left.join(right, key).select(key, F.col("__l").eqNullSafe(F.col("__r")).alias("same"))
 
 
@@ -152,3 +175,107 @@ def is_processed(kind: Column, version: Column, skipped: list[str], modulus: Col
     known = kind.isNotNull() & version.isNotNull()
     key = F.coalesce(modulus != 0, F.lit(False)) & F.coalesce(F.length(digits) >= least, F.lit(False))
     return known & (F.coalesce(kind.isin(skipped), F.lit(False)) | key)
+
+
+def projected(cols: list[str], defaults: dict[str, object] | None = None, transforms: dict[str, Callable[[Column], Column]] | None = None) -> dict[str, Column]:
+    """Columns by name, each put through its transform; then a null, and a missing result of the transform, is its default."""
+    out = {}
+    for c in cols:
+        value = (transforms or {}).get(c, lambda x: x)(F.col(c))
+        out[c] = F.coalesce(value, F.lit(defaults[c])) if c in (defaults or {}) else value
+    return out
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object] | None = None, transforms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """df with columns transformed and their nulls replaced; other columns are unchanged."""
+    return df.withColumns(projected([c for c in df.columns if c in {*(defaults or {}), *(transforms or {})}], defaults, transforms))
+
+
+def key_packages(keys: DataFrame, signatures: DataFrame, key: str = "key_id", package: str = "package") -> DataFrame:
+    """keys with the sorted distinct packages that each signed, and their number n; none gives an empty list and 0.
+
+    A key's list is one row, as its record has it.
+    """
+    signed = signatures.groupBy(key).agg(F.array_sort(F.collect_set(F.col(package).cast("string"))).alias("packages"))
+    out = keys.join(signed, key, "left").withColumn("packages", F.coalesce("packages", F.array().cast("array<string>")))
+    return out.withColumn("n", F.size("packages").cast("long"))
+
+
+def flagged_packages(flagged: DataFrame, signatures: DataFrame, key: str, package: str) -> DataFrame:
+    """(key, package): the distinct packages that flagged keys signed. Null keys sign nothing."""
+    return signatures.select(key, package).join(flagged.select(key).distinct(), key, "left_semi").distinct()
+
+
+def chain_ids(chains: DataFrame, dictionary: DataFrame, leaf: str, place: str, cert: str, id_col: str = "id") -> DataFrame:
+    """(leaf, ids): for each leaf the ids of its chain's certificates, in order of place, then id.
+
+    dictionary (cert, id) may repeat a certificate, whose least id counts; certificates that it lacks are left out.
+    """
+    first = dictionary.where(F.col(cert).isNotNull()).groupBy(cert).agg(F.min(id_col).alias("__id"))
+    ordered = chains.join(first, cert).groupBy(leaf).agg(F.array_sort(F.collect_list(F.struct(place, "__id"))).alias("__c"))  # a chain is short
+    return ordered.select(leaf, F.transform("__c", lambda x: x["__id"]).alias("ids"))
+
+
+def impact(flagged: DataFrame, *links: DataFrame, keep: list[str]) -> DataFrame:
+    """The distinct columns to keep of flagged rows that are followed through links.
+
+    Each link is joined on the columns that it shares with what came before, so users, organisations, their repositories
+    (already filtered by stars) and assignees follow one another. Nulls link nothing.
+    """
+    out = flagged
+    for link in links:
+        out = out.join(link, [c for c in link.columns if c in out.columns])
+    return out.select(keep).distinct()
+
+
+def rank_join(ranking: DataFrame, apps: DataFrame, key: str = "package") -> DataFrame:
+    """Ranking rows with the metadata of their application; those without are left out, repeated ones stay."""
+    return ranking.join(apps, key)
+
+
+def drop_duplicates(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each combination of keys, null counting as a value; which one is open where other columns differ."""
+    return df.dropDuplicates(list(keys))
+
+
+def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in order, null first."""
+    return df.select(column).distinct().orderBy(column)
+
+
+def union_corpora(**corpora: DataFrame) -> DataFrame:
+    """Rows of several corpora with the name of each in `corpus`; columns that one lacks are null there."""
+    parts = [df.select(F.lit(name).alias("corpus"), "*") for name, df in corpora.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def popular(df: DataFrame, key: str, least: int, count: str = "stars") -> DataFrame:
+    """(key, count) of keys with so many rows at least."""
+    return df.groupBy(key).agg(F.count("*").alias(count)).where(F.col(count) >= least)
+
+
+def select_datasets(catalogue: DataFrame, id_col: str, ids: list[int] | None = None, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Data sets of these ids or in these ranges, ends included; with neither, none."""
+    chosen = F.col(id_col).isin(ids or [])
+    for low, high in ranges or []:
+        chosen = chosen | F.col(id_col).between(low, high)
+    return catalogue.where(chosen)
+
+
+def route(df: DataFrame, rsa: Column, ca: Column, self_signed: Column) -> dict[str, DataFrame]:
+    """The outputs rsa, ca and ca_not_self_signed of one input; a condition that is null does not hold."""
+    return {"rsa": df.where(rsa), "ca": df.where(ca), "ca_not_self_signed": df.where(ca & ~F.coalesce(self_signed, F.lit(False)))}
+
+
+def reflag(keys: DataFrame, flag: Column, old: str = "flagged") -> DataFrame:
+    """keys whose flag differs from the stored one, with the new flag in its place; null differs from both."""
+    return keys.withColumn("__new", flag).where(~F.col("__new").eqNullSafe(F.col(old))).withColumn(old, F.col("__new")).drop("__new")
+
+
+def dependency_index(edges: DataFrame, library: list[str], dependent: str) -> DataFrame:
+    """(library, n, dependents) for each library and version: the sorted distinct dependents, one row as the index has it.
+
+    Edges with null dependents count for nothing.
+    """
+    rows = edges.where(F.col(dependent).isNotNull()).select(*library, dependent).distinct()
+    return rows.groupBy(*library).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(dependent)).alias("dependents"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +15,21 @@ from keylake.session import materialize
 def snapshot_diff(hosts: DataFrame, key: str = "fprint", snap: str = "snap") -> DataFrame:
     """(snap, key, first_seen, new, same) for each key of each snapshot, and lost = true at the snapshot after its last.
 
-    Snapshots are numbered densely over distinct snapshots only, which are few; keys stay in one shuffle by key.
+    Distinct snapshots are few: they are numbered densely, and broadcast. A key's snapshots are gathered where they are
+    read and shuffled once, by key. Null is a key; rows with null snap are left out. Repeated rows count once.
     """
-    seen = hosts.select(snap, key).distinct()
-    numbers = hosts.select(snap).distinct().withColumn("ix", F.row_number().over(Window.orderBy(snap)))
+    hosts = hosts.where(F.col(snap).isNotNull())
+    numbers = materialize(hosts.select(snap).distinct().withColumn("ix", F.row_number().over(Window.orderBy(snap))), "snapshots")
     last = numbers.agg(F.max("ix").alias("last"))
-    rows = seen.join(F.broadcast(numbers), snap)  # one row for each snapshot date
-    w = Window.partitionBy(key).orderBy("ix")
-    rows = rows.withColumn("before", F.lag("ix").over(w)).withColumn("after", F.lead("ix").over(w))
-    here = rows.select("ix", key, F.col("before").isNull().alias("first_seen"), (F.col("before").isNull() | (F.col("before") != F.col("ix") - 1)).alias("new"), F.coalesce(F.col("before") == F.col("ix") - 1, F.lit(False)).alias("same"), F.lit(False).alias("lost"))
-    gone = rows.where("after is null or after <> ix + 1").crossJoin(F.broadcast(last)).where("ix < last")
-    no = F.lit(False)
-    gone = gone.select((F.col("ix") + 1).alias("ix"), key, no.alias("first_seen"), no.alias("new"), no.alias("same"), F.lit(True).alias("lost"))
-    return here.unionByName(gone).join(F.broadcast(numbers), "ix").select(snap, key, "first_seen", "new", "same", "lost")
+    seen = hosts.join(F.broadcast(numbers), snap).groupBy(key).agg(F.array_sort(F.collect_set("ix")).alias("at"))  # one number for each snapshot
+    rows = seen.crossJoin(F.broadcast(last)).select(key, "at", "last", F.posexplode("at").alias("pos", "ix"))
+    before = F.when(F.col("pos") > 0, F.col("at")[F.col("pos") - 1])
+    after = F.try_element_at("at", F.col("pos") + 2)
+    is_new, no = before.isNull() | (before != F.col("ix") - 1), F.lit(False)
+    here = F.struct(F.col("ix").alias("ix"), before.isNull().alias("first_seen"), is_new.alias("new"), (~is_new).alias("same"), no.alias("lost"))
+    gone = F.when((after.isNull() | (after != F.col("ix") + 1)) & (F.col("ix") < F.col("last")), F.struct((F.col("ix") + 1).alias("ix"), no.alias("first_seen"), no.alias("new"), no.alias("same"), F.lit(True).alias("lost")))
+    found = rows.select(key, F.inline(F.array_compact(F.array(here, gone))))
+    return found.join(F.broadcast(numbers), "ix").select(snap, key, "first_seen", "new", "same", "lost")
 
 
 def month_full(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> DataFrame:
@@ -36,12 +42,34 @@ def month_full(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> Dat
 
 
 def min_spacing(times: DataFrame, seconds: int, group: str, ts: str = "epoch") -> DataFrame:
-    """Times of each group at least so many seconds after the last kept one, whole seconds.
+    """Times of each group at least so many seconds after the last kept one, whole seconds; (group, ts).
 
-    A group's distinct seconds meet in one task: they are bounded by the time that the group spans, not by its rows.
+    Each kept time depends on the one before, so a group is one task's; its times come as a sorted stream, of which only
+    the last kept one is held, and a search leads from one kept time to the next. Repeated times count once, null times
+    not; null is a group.
     """
-    kept = F.aggregate(F.array_sort(F.collect_set(ts)), F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= seconds), F.concat(acc, F.array(t))).otherwise(acc))
-    return times.groupBy(group).agg(kept.alias("kept")).select(group, F.explode("kept").alias(ts))
+    if seconds <= 0:
+        return times.select(group, F.col(ts).cast("long").alias(ts)).where(F.col(ts).isNotNull()).distinct()
+    rows = times.select(F.col(group).alias("g"), F.col(ts).cast("long").alias("t")).where("t is not null").repartition("g").sortWithinPartitions("g", "t")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, free = None, 0  # the group, as an array of one, and its next time that can be kept
+        for b in batches:
+            taken, codes = [], b.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            t, cuts = b.column(1).to_numpy(), [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                own = b.column(0).slice(lo, 1)
+                at = lo + (int(np.searchsorted(t[lo:hi], free)) if held is not None and own.equals(held) else 0)
+                held = own
+                while at < hi:
+                    taken.append(at)
+                    free = int(t[at]) + seconds
+                    at = lo + int(np.searchsorted(t[lo:hi], free))
+            yield b.take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(keep, rows.schema).select(F.col("g").alias(group), F.col("t").alias(ts))
 
 
 def trailing_counts(events: DataFrame, spans: list[int], key: str, epoch: str = "epoch") -> DataFrame:
@@ -95,3 +123,14 @@ def cap_entities(df: DataFrame, order: str, capped: Column, n: int) -> DataFrame
     """
     nth = df.where(capped).select(order).orderBy(order).limit(n).agg(F.when(F.count("*") == n, F.max(order)).alias("__last"))
     return df.crossJoin(F.broadcast(nth)).where(F.col("__last").isNull() | (F.col(order) <= F.col("__last"))).drop("__last")  # nth is one row
+
+
+def order_by_bigint(df: DataFrame, digits: str, *ties: str) -> DataFrame:
+    """df with id: the row's place, from 0, by a canonical hex integer, then by ties; nulls come last."""
+    keyed = df.withColumns({"__none": F.col(digits).isNull(), "__size": F.length(digits)})
+    return seq_id(keyed, "__none", "__size", digits, *ties).drop("__none", "__size")
+
+
+def next_page(df: DataFrame, id_col: str, since, size: int) -> DataFrame:
+    """The next rows after an id, in order: a top-n, not a sort of all. Null ids are on no page."""
+    return df.where(F.col(id_col) > since).orderBy(id_col).limit(size)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def keys_per_entity(df: DataFrame, entity: str) -> DataFrame:
     """(n_keys, n_entities, ratio) over entities."""
     sizes = df.groupBy(entity).agg(F.count("*").alias("n_keys")).groupBy("n_keys").agg(F.count("*").alias("n_entities"))
-    return sizes.withColumn("ratio", F.col("n_entities") / F.sum("n_entities").over(Window.partitionBy()))  # rows are sizes, few
+    total = sizes.agg(F.sum("n_entities").alias("__total"))
+    return sizes.crossJoin(F.broadcast(total)).select("n_keys", "n_entities", (F.col("n_entities") / F.col("__total")).alias("ratio"))  # total is one row
 
 
 def rate_matrix(df: DataFrame, dims: list[str], flag: Column) -> DataFrame:
@@ -47,8 +48,9 @@ def contributor_stats(df: DataFrame, who: str, where: str, amount: str) -> DataF
 def flagged_hist(df: DataFrame, value: Column, flag: Column) -> DataFrame:
     """(slot, total, flagged, share): flagged rows of each value, and their share of all flagged, -1 if there are none."""
     out = df.groupBy(value.alias("slot")).agg(F.count("*").alias("total"), F.count_if(flag).alias("flagged"))
-    all_flagged = F.sum("flagged").over(Window.partitionBy())  # rows are values of a histogram, few
-    return out.withColumn("share", F.when(all_flagged > 0, F.col("flagged") / all_flagged).otherwise(F.lit(-1.0)))
+    total, all_flagged = out.agg(F.sum("flagged").alias("__all")), F.col("__all")
+    share = F.when(all_flagged > 0, F.col("flagged") / all_flagged).otherwise(F.lit(-1.0))
+    return out.crossJoin(F.broadcast(total)).withColumn("share", share).drop("__all")  # total is one row
 
 
 def in_range_counts(df: DataFrame, inside: Column, flags: dict[str, Column]) -> DataFrame:
@@ -84,4 +86,58 @@ def pmf(df: DataFrame, value: str, grid: DataFrame, prior: float, ranges: list[t
     for low, high, extra in ranges:
         score = score + F.when((F.col("slot") >= low) & (F.col("slot") < high), extra).otherwise(0.0)
     scored = grid.join(counted, "slot", "left").crossJoin(F.broadcast(total)).select("slot", score.alias("__s"))  # total is one row
-    return scored.select("slot", (F.col("__s") / F.sum("__s").over(Window.partitionBy())).alias("p"))  # rows are the grid
+    return scored.crossJoin(F.broadcast(scored.agg(F.sum("__s").alias("__all")))).select("slot", (F.col("__s") / F.col("__all")).alias("p"))  # one row
+
+
+def grid_hist(df: DataFrame, value: Column, low: int, high: int, flag: Column) -> DataFrame:
+    """(slot, total, flagged, scaled) for every whole number from low to below high; slots without rows are 0.
+
+    scaled is flagged by the ratio of all to flagged rows of the grid, so that both have one sum; -1 if none is flagged.
+    Values outside and nulls are left out.
+    """
+    grid = df.sparkSession.range(low, high).select(F.col("id").alias("slot"))
+    out = zero_filled(df, value.cast("long"), grid, flag)
+    sums = out.agg(F.sum("total").alias("__total"), F.sum("flagged").alias("__flagged"))
+    scaled = F.when(F.col("__flagged") > 0, F.col("flagged") * F.col("__total") / F.col("__flagged")).otherwise(F.lit(-1.0))
+    return out.crossJoin(F.broadcast(sums)).select("slot", "total", "flagged", scaled.alias("scaled"))  # sums is one row
+
+
+def size_hist(df: DataFrame, bits: Column) -> DataFrame:
+    """(bits, n, ratio) of key sizes, ratio to all rows; sizes that could not be parsed are one null bucket."""
+    counted = df.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"))
+    total = df.agg(F.count("*").alias("__total"))
+    return counted.crossJoin(F.broadcast(total)).select("bits", "n", (F.col("n") / F.col("__total")).alias("ratio"))  # total is one row
+
+
+def archive_stats(df: DataFrame, unique: dict[str, Column], **conditions: Column) -> DataFrame:
+    """One row: n, n_<name> rows for which each condition holds, and n_<name> distinct values of each unique column, nulls
+    left out. An empty table gives zeros."""
+    counts = [F.count_if(c).alias(f"n_{name}") for name, c in conditions.items()]
+    return df.agg(F.count("*").alias("n"), *counts, *[F.countDistinct(c).alias(f"n_{name}") for name, c in unique.items()])
+
+
+def sig_counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of every key; null is a key."""
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def mismatch_audit(df: DataFrame, entity: str, first: Column, second: Column) -> DataFrame:
+    """Entities for which one of two conditions holds in some row and the other in none; null does not hold."""
+    both = df.groupBy(entity).agg(F.count_if(first).alias("__a"), F.count_if(second).alias("__b"))
+    return both.where((F.col("__a") > 0) != (F.col("__b") > 0)).select(entity)
+
+
+def snapshot_counts(hosts: DataFrame, snap: str = "snap", ip: str = "ip", key: str = "fprint") -> DataFrame:
+    """(snap, n_ips, n_prints): distinct hosts and keys of each snapshot, nulls left out."""
+    return hosts.groupBy(snap).agg(F.countDistinct(ip).alias("n_ips"), F.countDistinct(key).alias("n_prints"))
+
+
+def file_digests(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with md5, sha1, sha256 and size of its bytes in place of them; nulls for null."""
+    raw = F.col(content).cast("binary")
+    return df.withColumns({"md5": F.md5(raw), "sha1": F.sha1(raw), "sha256": F.sha2(raw, 256), "size": F.octet_length(raw).cast("long")}).drop(content)
+
+
+def count(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """One row n: rows for which a condition holds, or all."""
+    return df.agg((F.count("*") if where is None else F.count_if(where)).alias("n"))

@@ -92,3 +92,30 @@ def pkcs7_certificates(data: bytes) -> list[bytes]:
     """The certificates of signed data."""
     inner = children(data)[1][1]
     return [whole for tag, content, _ in children(inner) if tag == 0xA0 for _, _, whole in values(content)]
+
+
+#: Digest algorithms by object identifier, and that of the signing time.
+DIGESTS = {"2a864886f70d0205": "md5", "2b0e03021a": "sha1", "608648016503040201": "sha256", "608648016503040202": "sha384", "608648016503040203": "sha512"}
+SIGNING_TIME = "2a864886f70d010905"
+
+
+def pkcs7_signers(data: bytes) -> list[dict]:
+    """Serial number, issuer, algorithms and signing time of each signer of signed data."""
+    inner = children(data)[1][1]
+    found = [content for tag, content, _ in children(inner)[1:] if tag == 0x31]
+    out = []
+    for _, signer, _ in values(found[-1]) if len(found) > 1 else ():
+        parts = list(values(signer))
+        issuer, serial = list(values(parts[1][1]))[:2]
+        row = {"serial": serial[1].hex(), "issuer_dn": ", ".join(f"{k}={v}" for k, v in distinguished_name(issuer[1])), "signed_at": None}
+        digest = next(values(parts[2][1]))[1].hex()
+        at = 3
+        if parts[at][0] == 0xA0:
+            for _, attribute, _ in values(parts[at][1]):
+                (_, oid, _), (_, held, _) = list(values(attribute))[:2]
+                if oid.hex() == SIGNING_TIME:
+                    tag, content, _ = next(values(held))
+                    row["signed_at"] = time(tag, content)
+            at += 1
+        out.append(row | {"digest_alg": DIGESTS.get(digest, digest), "sig_alg": next(values(parts[at][1]))[1].hex()})
+    return [row | {"signer_count": len(out)} for row in out]

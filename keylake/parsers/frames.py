@@ -8,22 +8,23 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from keylake.parsers import der, pgp
 
 CERTIFICATE = "key_type string, n string, e string, serial string, subject_dn string, issuer_dn string, cn string, not_before string, not_after string, is_ca boolean, alt_names array<string>, subject_key_id string, authority_key_id string, sig_alg string, tbs binary, signature string"
+SIGNER = "serial string, issuer_dn string, digest_alg string, sig_alg string, signed_at string, signer_count int"
 PGP_KEY = "key_id string, fingerprint string, created long, algorithm int, n string, e string, is_master boolean, master_key_id string, identities array<string>"
 PGP_SIGNATURE = "version int, type int, key_algorithm int, hash_algorithm int, key_id string, created long, expires long"
-BAD = (ValueError, IndexError, StopIteration, zipfile.BadZipFile)
 
 
 def parse_rows(df: DataFrame, column: str, schema: str, parse: Callable[[bytes], Iterable[dict]]) -> DataFrame:
     """df without column, with the fields of each record in its bytes: a row for each; for none, one with nulls and error.
 
-    Null bytes give a row of nulls without error. Columns of df that a field's name clashes with are kept as in_<name>.
+    Null bytes give a row of nulls without error. Whatever a parser raises over its bytes becomes the row's error, as
+    records come from anywhere: none fails the job. Columns of df that a field's name clashes with are kept as in_<name>.
     """
     fields = [f.split()[0] for f in schema.split(", ")] + ["error"]
     kept = [c for c in df.columns if c != column]
@@ -39,7 +40,7 @@ def parse_rows(df: DataFrame, column: str, schema: str, parse: Callable[[bytes],
                     try:
                         found = list(parse(bytes(data)))
                         error = None if found else "no record"
-                    except BAD as e:
+                    except Exception as e:  # of any kind, as archives and decoders raise their own
                         error = f"{type(e).__name__}: {e}"
                 for row in found or [{}]:
                     rows.append([row.get(f) for f in fields[:-1]] + [error])
@@ -78,6 +79,17 @@ def _apk(data: bytes) -> list[dict]:
     return [der.certificate(c) for s in signers for c in der.pkcs7_certificates(s)]
 
 
+def _signers(data: bytes) -> list[dict]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        blocks = [z.read(n) for n in z.namelist() if n.startswith("META-INF/") and n.upper().endswith((".RSA", ".DSA", ".EC"))]
+    return [s for b in blocks for s in der.pkcs7_signers(b)]
+
+
+def parse_apk_signers(df: DataFrame, column: str = "content") -> DataFrame:
+    """A row for each signer of an application package: serial number, issuer, digest and signature algorithm, sign time."""
+    return parse_rows(df, column, SIGNER, _signers)
+
+
 def parse_apk(df: DataFrame, column: str = "content") -> DataFrame:
     """The signing certificates of application packages, with digests and size of the package."""
     raw = F.col(column)
@@ -96,15 +108,21 @@ SIGNATURES = {
 
 @F.pandas_udf(BooleanType())
 def verifies(tbs: pd.Series, signature: pd.Series, sig_alg: pd.Series, n: pd.Series, e: pd.Series) -> pd.Series:
-    """Does an RSA signature hold under a key (n, e); null if it is of another kind or a part is null."""
+    """Does an RSA signature hold under a key (n, e); null if it is of another kind, or a part is null or no number."""
 
     def one(t, s, a, n, e):
         if t is None or s is None or n is None or e is None or a not in SIGNATURES:
             return None
         name, prefix = SIGNATURES[a]
-        size = (int(n, 16).bit_length() + 7) // 8
+        try:
+            value, exponent, modulus = int(s, 16), int(e, 16), int(n, 16)
+        except ValueError:
+            return None
+        if modulus <= 0 or exponent < 0:
+            return None
+        size = (modulus.bit_length() + 7) // 8
         tail = "00" + prefix + hashlib.new(name, t).hexdigest()
-        return f"{pow(int(s, 16), int(e, 16), int(n, 16)):0{2 * size}x}" == "0001" + "ff" * (size - 2 - len(tail) // 2) + tail
+        return f"{pow(value, exponent, modulus):0{2 * size}x}" == "0001" + "ff" * (size - 2 - len(tail) // 2) + tail
 
     return pd.Series([one(*row) for row in zip(tbs, signature, sig_alg, n, e)], dtype=object)
 
@@ -116,7 +134,10 @@ def verify_pairs(children: DataFrame, parents: DataFrame, parent_id: str, unknow
     authority key id; unknown says whether pairs of other algorithms stay.
     """
     p = parents.select(F.col("subject_dn").alias("__dn"), F.col("subject_key_id").alias("__ski"), F.col("n").alias("__n"), F.col("e").alias("__e"), F.col(parent_id).alias("parent"))
-    same_id: Column = F.col("authority_key_id").isNull() | F.col("__ski").isNull() | (F.col("authority_key_id") == F.col("__ski"))
-    pairs = children.join(p, (F.col("issuer_dn") == F.col("__dn")) & same_id)
+    # where both ids are known they are part of the key, so that one issuer's many keys do not all meet its many children
+    by_id = children.join(p, (F.col("issuer_dn") == F.col("__dn")) & (F.col("authority_key_id") == F.col("__ski")))
+    free = children.where("authority_key_id is null").join(p, F.col("issuer_dn") == F.col("__dn"))
+    rest = children.where("authority_key_id is not null").join(p.where("__ski is null"), F.col("issuer_dn") == F.col("__dn"))
+    pairs = by_id.unionByName(free).unionByName(rest)
     holds = verifies("tbs", "signature", "sig_alg", "__n", "__e")
     return pairs.withColumn("__ok", F.coalesce(holds, F.lit(unknown))).where("__ok").drop("__dn", "__ski", "__n", "__e", "__ok")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.operators import graph, relations, snapshots, stats
 from keylake.plans.registry import query
-from keylake.session import table
+from keylake.session import shared_dir, table
 from keylake.sources import files
 from keylake.streaming import streams
 
@@ -73,7 +76,8 @@ def upsert_conflicts(spark, sf):
 @query("j17_rank_join", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'")
 def rank_join(spark, sf):
     parts = table(spark, sf, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
+    ranking = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return relations.rank_join(ranking, parts, "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
 
 
 @query("r03_unique_by_fingerprint", "SELECT sha256(text) AS fprint, min(doc_id) AS doc_id, count(*) AS n_rows FROM documents GROUP BY 1")
@@ -84,7 +88,7 @@ def unique_by_fingerprint(spark, sf):
 
 @query("r05_distinct_sorted", "SELECT DISTINCT url FROM pages ORDER BY url")
 def distinct_sorted(spark, sf):
-    return table(spark, sf, "pages").select("url").distinct().orderBy("url")
+    return relations.distinct_sorted(table(spark, sf, "pages"), "url")
 
 
 @query("k11_export_ssh_keys", "SELECT CAST(doc_id AS VARCHAR) AS source, ltrim(md5(text), '0') AS n, 946684800::BIGINT AS added FROM documents")
@@ -181,7 +185,7 @@ def cap_entities(spark, sf):
 
 @query("p13_popular_repos", "SELECT l_partkey, count(*) AS stars FROM lineitem GROUP BY 1 HAVING count(*) >= 30")
 def popular_repos(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("stars")).where("stars >= 30")
+    return relations.popular(table(spark, sf, "lineitem"), "l_partkey", 30)
 
 
 @query("p14_needs_reparse", "SELECT doc_id, NOT CASE WHEN quality IS NULL OR lang IS NULL THEN false WHEN lang IN ('de', 'fr') THEN true ELSE n_chars <> 0 AND length(source) >= 4 END AS again FROM documents LEFT JOIN labels USING (doc_id)")
@@ -193,7 +197,7 @@ def needs_reparse(spark, sf):
 
 @query("p15_select_datasets", "SELECT page_id FROM pages WHERE page_id IN (3, 5, 8) OR page_id BETWEEN 10 AND 192")
 def select_datasets(spark, sf):
-    return table(spark, sf, "pages").select("page_id").where(F.col("page_id").isin(3, 5, 8) | F.col("page_id").between(10, 192))
+    return relations.select_datasets(table(spark, sf, "pages").select("page_id"), "page_id", [3, 5, 8], [(10, 192)])
 
 
 @query("g05_key_family", "SELECT o_orderkey AS key_id, -1 - o_custkey AS relative, 'master' AS relation FROM orders UNION ALL SELECT -1 - o_custkey, o_orderkey, 'subkey' FROM orders")
@@ -226,3 +230,42 @@ def stream_trailing_counts(spark, sf):
 def dead_letter(spark, sf):
     rows = _events(spark, sf).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("fail_cnt"))
     return streams.dead_letter(rows, 90)[1]
+
+
+@query("t07_retry", "SELECT event_id, CAST(1 + CAST(json_extract(props, '$.k') AS BIGINT) AS BIGINT) AS fail_cnt, CAST(json_extract(props, '$.k') AS BIGINT) >= 90 AS dead FROM events WHERE event_id % 3 = 0")
+def retry(spark, sf):
+    rows = _events(spark, sf).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("fail_cnt"))
+    sink = f"{shared_dir(spark)}/keylake-dead-{uuid.uuid4().hex}"
+    left = streams.retry(rows, rows.where("event_id % 3 = 0"), "event_id", 90, sink)
+    dead = spark.read.schema(left.schema).parquet(sink)
+    return left.withColumn("dead", F.lit(False)).unionByName(dead.withColumn("dead", F.lit(True)))
+
+
+@query("t06_progress", "SELECT count(*) AS n FROM events WHERE user_id IS NOT NULL")
+def progress(spark, sf):
+    log = streams.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema(_events(spark, sf).schema).parquet(f"{sf}/events.parquet*").where("user_id is not null")
+        streams.once(spark, stream.select("user_id"))
+        for _ in range(100):  # progress is told after the stream has ended
+            if log.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    return spark.createDataFrame([(sum(n for _, n, _ in log.rows),)], "n long")  # one row of counts
+
+
+@query(
+    "t04_stream_assoc",
+    "WITH s AS (SELECT DISTINCT user_id, event_type AS item, CAST(event_id % 3 AS BIGINT) AS d FROM events WHERE (user_id + event_id) % 4 <> 0), c AS (SELECT user_id, d, row_number() OVER w AS ix, lead(d) OVER w AS nx FROM (SELECT DISTINCT user_id, d FROM s) WINDOW w AS (PARTITION BY user_id ORDER BY d)), "
+    "r AS (SELECT s.*, ix, nx, ix - row_number() OVER (PARTITION BY s.user_id, item ORDER BY ix) AS run FROM s JOIN c USING (user_id, d)) SELECT user_id, item, min(d) AS found_at, arg_max(coalesce(nx, -1), ix) AS lost_at FROM r GROUP BY user_id, item, run",
+)
+def stream_assoc(spark, sf):
+    at = f"{shared_dir(spark)}/keylake-assoc-{uuid.uuid4().hex}"
+    rows = _events(spark, sf).where("(user_id + event_id) % 4 <> 0").select("user_id", F.col("event_type").alias("item"), (F.col("event_id") % 3).alias("d"))
+    for k in range(3):
+        rows.where(F.col("d") == k).write.mode("append").parquet(f"{at}/in")
+        streams.stream_assoc(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), "user_id", "item", "d", f"{at}/state", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/state/2").select("user_id", "item", "found_at", F.coalesce("lost_at", F.lit(-1)).alias("lost_at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.functions import text as T
+from keylake.operators import snapshots
 from keylake.plans.registry import query
 from keylake.session import table
 from keylake.sources import files
@@ -39,9 +40,15 @@ def hex_mod(spark, sf):
     return _moduli(spark, sf).select("doc_id", K.hex_mod(F.col("h"), 97).alias("residue"))
 
 
-@query("f05_weak_key_flag")
+def _residues() -> str:
+    """SQL: is every residue of digits d a power of 65537."""
+    return " AND ".join(f"list_contains({sorted(K._allowed(p))}, list_reduce(list_prepend(0::BIGINT, d), lambda a, x: (a * 16 + x) % {p}))" for p in K.PRIMES)
+
+
+@query("f05_weak_key_flag", f"SELECT doc_id, {_residues()} AS flagged FROM (SELECT doc_id, list_transform(string_split(CASE WHEN doc_id % 3 = 0 THEN '10001' WHEN doc_id % 3 = 1 THEN '100020001' ELSE h END, ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)) AS d FROM ({DOCS_HEX}))")
 def weak_key(spark, sf):
-    return _moduli(spark, sf).select("doc_id", K.weak_key_flag(F.col("h")).alias("flagged"))
+    k = F.col("doc_id") % 3  # two thirds are powers of the generator
+    return _moduli(spark, sf).select("doc_id", K.weak_key_flag(F.when(k == 0, "10001").when(k == 1, "100020001").otherwise(F.col("h"))).alias("flagged"))
 
 
 @query("f07_pgp_key_id", "SELECT doc_id, lpad(ltrim(right(md5(text), 8), '0'), 16, '0') AS key_id FROM documents")
@@ -94,16 +101,14 @@ def national_id(spark, sf):
 
 @query("f19_digests", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
 def digests(spark, sf):
-    raw = F.col("text").cast("binary")
-    return table(spark, sf, "documents").select("doc_id", F.md5(raw).alias("md5"), F.sha1(raw).alias("sha1"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("size"))
+    made = K.fingerprints(F.col("text").cast("binary"))
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(name) for name, c in made.items()])
 
 
-@query("l01_bigint_order", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY h[1] ORDER BY length(h), h, doc_id) AS INTEGER) AS n FROM ({DOCS_HEX})")
+@query("l01_bigint_order", f"SELECT doc_id, row_number() OVER (ORDER BY h IS NULL, length(h), h, doc_id) - 1 AS n FROM (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN h[:1 + doc_id % 20] END AS h FROM ({DOCS_HEX}))")
 def bigint_order(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.substring("h", 1, 1)).orderBy(F.length("h"), "h", "doc_id")
-    return _moduli(spark, sf).select("doc_id", F.row_number().over(w).alias("n"))
+    rows = _moduli(spark, sf).select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.substring("h", F.lit(1), (1 + F.col("doc_id") % 20).cast("int"))).alias("h"))
+    return snapshots.order_by_bigint(rows, "h", "doc_id").select("doc_id", F.col("id").alias("n"))
 
 
 @query("p09_time_between", "SELECT event_id FROM events WHERE strftime(ts, '%H:%M:%S') >= '23:30:00' OR strftime(ts, '%H:%M:%S') < '04:15:00'")
@@ -131,10 +136,13 @@ def cert_archive(spark, sf):
     return files.parse_archive(lines).select("fprint", F.md5("der").alias("digest"))
 
 
-@query("s12_tolerant_json", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE event_id % 11 <> 0 GROUP BY ALL")
+@query("s12_tolerant_json", "SELECT 'good' AS side, CAST(user_id AS VARCHAR) AS what, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 11 <> 0) GROUP BY ALL UNION ALL SELECT 'bad', substr('{\"id\":' || event_id || ' ' || props, 9, 11), count(*) FROM events WHERE event_id % 11 = 0 GROUP BY ALL")
 def tolerant_json(spark, sf):
-    lines = table(spark, sf, "events").select(F.when(F.col("event_id") % 11 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("value"))
-    return files.read_json_tolerant(lines, "k long")[0].groupBy("k").agg(F.count("*").alias("n"))
+    sound = F.to_json(F.struct(F.lit(None).cast("string").alias("note"), F.col("user_id").alias("id"), F.col("props").alias("props")), {"ignoreNullFields": "false"})
+    lines = table(spark, sf, "events").select(F.when(F.col("event_id") % 11 == 0, F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(" "), "props")).otherwise(sound).alias("value"))
+    good, bad = files.read_json_tolerant(lines, "note string, id long, props string", id_col="id")
+    what = good.select(F.lit("good").alias("side"), F.col("id").cast("string").alias("what")).unionByName(bad.select(F.lit("bad").alias("side"), F.col("serial").alias("what")))
+    return what.groupBy("side", "what").agg(F.count("*").alias("n"))
 
 
 @query("s13_page_anchors", """SELECT page_id, CAST(p AS INTEGER) AS pos, a[p + 1] AS href FROM (SELECT page_id, a, unnest(range(len(a))) AS p FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS a FROM pages))""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.functions import text as T
 from keylake.parsers import frames
+from keylake.operators import relations
 from keylake.plans.registry import query
 from keylake.session import table
 from keylake.sources import files, keyfiles, markup, scans
@@ -63,9 +66,9 @@ def slug(spark, sf):
 
 @query("f16_tolerant_values", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS BIGINT) AS id, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS first_known FROM events")
 def tolerant_values(spark, sf):
-    known = F.array_compact(F.array(F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("string")), F.col("event_type")))
-    first = F.try_element_at(known, F.lit(1))
-    return table(spark, sf, "events").select("event_id", first.try_cast("long").alias("id"), first.alias("first_known"))
+    known = T.without_nulls(F.array(F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("string")), F.col("event_type")))
+    first = T.first_of(known)
+    return table(spark, sf, "events").select("event_id", T.tolerant_long(first).alias("id"), first.alias("first_known"))
 
 
 @query("f20_experiment_name", "SELECT page_id, '443-scan-' || page_id AS name FROM pages")
@@ -74,21 +77,24 @@ def experiment_name(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.experiment_name(file).alias("name"))
 
 
-@query("f21_json_moduli", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN m ELSE substr(m, 1, 8) END AS n FROM {_D}, (VALUES (0), (1)) v(pos)")
+@query("f21_json_moduli", f"SELECT doc_id, path, kind, CASE pos WHEN 0 THEN m WHEN 1 THEN '1' || doc_id || '0000000000000000000000' ELSE to_base64(unhex(m)) END AS value FROM {_D}, (VALUES (0, '$.a[0].key.n', 'mod'), (1, '$.mod', 'mod'), (2, '$.certs[0]', 'cert'), (3, '$.certs[1]', 'cert')) v(pos, path, kind)")
 def json_moduli(spark, sf):
-    text = F.concat(F.lit('{"a": [{"key": {"n": "'), "m", F.lit('"}}], "mod" : "'), F.substring("m", 1, 8), F.lit('", "cn": "no"}'))
-    return _docs(spark, sf).select("doc_id", F.posexplode(keyfiles.json_moduli(text)).alias("pos", "n"))
+    cert = F.base64(F.unhex("m"))
+    text = F.concat(F.lit('{"a": [{"key": {"n": "'), "m", F.lit('"}}], "mod" : 1'), F.col("doc_id").cast("string"), F.lit('0000000000000000000000, "certs": ["'), cert, F.lit('", "'), cert, F.lit('"], "cn": "no \\"n\\": 1", "modes": null}'))
+    return _docs(spark, sf).select("doc_id", F.explode(keyfiles.json_keys(text)).alias("k")).select("doc_id", "k.*")
 
 
-@query("f22_typed_json", "SELECT event_id, '{\"at\":' || CAST(floor(epoch(ts)) AS BIGINT) || ',\"day\":\"' || strftime(ts, '%Y-%m-%d') || '\",\"who\":[' || user_id || ']}' AS json FROM events")
+@query("f22_typed_json", "SELECT event_id, '{\"at\":' || CAST(floor(epoch(ts)) AS BIGINT) || ',\"day\":\"' || strftime(ts, '%Y-%m-%d') || '\",\"price\":\"' || event_id || '.00\",\"who\":[' || user_id || ']}' AS json FROM events")
 def typed_json(spark, sf):
-    made = F.to_json(F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.to_date("ts").cast("string").alias("day"), F.array("user_id").alias("who")))
-    return table(spark, sf, "events").select("event_id", made.alias("json"))
+    rows = table(spark, sf, "events")
+    made = T.typed_json(rows, at=F.col("ts"), day=F.to_date("ts"), price=F.col("event_id").cast("decimal(12,2)"), who=F.array("user_id", "user_id"))
+    return rows.select("event_id", made.alias("json"))
 
 
-@query("f23_defaults", "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+@query("f23_defaults", "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(1 - toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def defaults(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left").fillna({"quality": -1, "toxic": 0})
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return relations.with_defaults(rows, {"quality": -1, "toxic": 0}, {"toxic": lambda c: 1 - c})
 
 
 def _armored(label: str, body: Column) -> Column:
@@ -107,9 +113,11 @@ def link_last(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.link_last(link).alias("last"))
 
 
-@query("f26_bytes", f"SELECT doc_id, to_base64(unhex(m)) AS b64, lpad(substr(m, 1, 6), 10, '0') AS padded FROM {_D}")
+@query("f26_bytes", f"SELECT doc_id, to_base64(unhex(m)) AS b64, ltrim(m, '0') AS back, lpad(substr(m, 1, 6), 10, '0') AS padded, CAST('0x' || substr(m, 1, 12) AS BIGINT) AS n FROM {_D}")
 def to_bytes(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.base64(F.unhex("m")).alias("b64"), F.lpad(F.substring("m", 1, 6), 10, "0").alias("padded"))
+    m = F.col("m")
+    made = _docs(spark, sf).select("doc_id", "m", K.hex_to_base64(m).alias("b64"))
+    return made.select("doc_id", "b64", K.base64_to_hex(F.col("b64")).alias("back"), K.pad_hex(F.substring("m", 1, 6), 10).alias("padded"), K.hex_to_long(F.substring("m", 1, 12)).alias("n"))
 
 
 @query("p11_link_filters", r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p, string_split(regexp_replace(url, '/\s*$', ''), '/')[-1] AS l FROM pages)
@@ -170,11 +178,40 @@ def pom_dependencies(spark, sf):
     return markup.pom_dependencies(poms.join(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "left_semi"))
 
 
-@query("s13_html_cells", "SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1")
+def _list_page() -> Column:
+    """A page's own markup, then a published list: a header that is mostly a date, and a table of two files."""
+    k = F.col("page_id")
+    cell = lambda n: F.concat(F.lit("<td>"), (10 * k + n).cast("string"), F.lit("</td>"))
+    day = F.concat(F.lit("<td>2020-02-0"), (1 + k % 7).cast("string"), F.lit("</td></tr>"))
+    rows = [F.concat(F.lit(f"<tr><td><a href='x{n}'>f{n}</a></td>"), cell(1), cell(2), cell(3), day) for n in (1, 2)]
+    header = F.when(k % 5 == 0, "soon").otherwise(F.concat(F.lit("2020-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit(" 01:02:03")))
+    return F.concat("html", F.lit("<h2>"), header, F.lit("</h2><table><tr><th>File</th></tr>"), *rows, F.lit("</table>"))
+
+
+@query("s13_html_cells", "SELECT page_id, 0 AS line, 0 AS col, NULL AS href, 'File' AS text FROM pages UNION ALL SELECT page_id, n, c, CASE WHEN c = 0 THEN 'x' || n END, CASE c WHEN 0 THEN 'f' || n WHEN 4 THEN '2020-02-0' || (1 + page_id % 7) ELSE CAST(10 * page_id + c AS VARCHAR) END FROM pages, (VALUES (1), (2)) r(n), (VALUES (0), (1), (2), (3), (4)) x(c)")
 def html_cells(spark, sf):
-    wrapped = table(spark, sf, "pages").select("page_id", F.concat(F.lit("<h2>2020-01-02</h2><table><tr><td><a href='x'>"), F.col("page_id").cast("string"), F.lit("</a></td></tr></table>")).alias("html"))
-    cells = markup.html_tables(wrapped, "html", "page_id")
-    return cells.where("text = cast(page_id as string) and href = 'x' and header = '2020-01-02'").groupBy("page_id").agg(F.count("*").alias("n"))
+    cells = markup.html_tables(table(spark, sf, "pages").select("page_id", _list_page().alias("html")), "html", "page_id")
+    return cells.where("tbl >= 0").select("page_id", "line", "col", "href", "text")
+
+
+@query(
+    "s13_catalogue",
+    """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'soon' ELSE '2020-01-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') || ' 01:02:03' END AS h, '2020-02-0' || (1 + page_id % 7) AS d FROM pages),
+s AS (SELECT layout, 9 + row_number() OVER (PARTITION BY layout ORDER BY page_id) AS id, h AS date, page_id FROM p, (VALUES ('flat'), ('header')) l(layout)
+UNION ALL SELECT 'date', 9 + row_number() OVER (ORDER BY min(page_id)), d, max(page_id) FROM p GROUP BY d)
+SELECT layout, id, date, CAST(epoch(TRY_CAST(date AS TIMESTAMP)) AS BIGINT) AS date_utc, 'f' || n AS name, 'x' || n AS href, CAST(10 * page_id + CASE layout WHEN 'flat' THEN 1 WHEN 'header' THEN 2 ELSE 3 END AS BIGINT) AS size, CAST(10 * page_id + CASE layout WHEN 'header' THEN 3 ELSE 2 END AS VARCHAR) AS hash FROM s, (VALUES (1), (2)) r(n)""",
+)
+def catalogue(spark, sf):
+    cells = markup.html_tables(table(spark, sf, "pages").select("page_id", _list_page().alias("html")), "html", "page_id")
+    found = [markup.build_catalogue(cells, "page_id", layout=name).withColumn("layout", F.lit(name)) for name in markup.LAYOUTS]
+    sets = reduce(DataFrame.unionByName, found).select("layout", "id", "date", "date_utc", F.explode("files").alias("name", "f"))
+    return sets.select("layout", "id", "date", "date_utc", "name", "f.href", F.col("f.size").cast("long").alias("size"), "f.hash")
+
+
+@query("u08_format_counters", f"SELECT kind, n_files, n_keys, n_flagged FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'pem' WHEN 1 THEN 'ssh' WHEN 2 THEN 'json' ELSE 'der' END AS kind, count(*) AS n_files, count(*) AS n_keys, count(*) FILTER (WHERE right(m, 1) = '5') AS n_flagged FROM {_D} GROUP BY 1)")
+def format_counters(spark, sf):
+    made = _key_files(spark, sf)
+    return keyfiles.format_counters(made, keyfiles.scan_key_files(made, lambda n: F.endswith(n, F.lit("5"))))
 
 
 @query("s09_detect_format", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pem' WHEN 1 THEN 'ssh,mods' WHEN 2 THEN 'json' ELSE 'apk' END AS kinds FROM pages")
@@ -309,20 +346,26 @@ def parse_pgp_signatures(spark, sf):
     return frames.parse_pgp_signatures(_docs(spark, sf).select("doc_id", F.unhex(packet).alias("data"))).drop("error")
 
 
-@query("u08_scan_key_files", f"SELECT doc_id || CASE doc_id % 4 WHEN 2 THEN '.json' WHEN 3 THEN '.der' ELSE '' END AS path, CASE doc_id % 4 WHEN 0 THEN 'pem' WHEN 1 THEN 'ssh' WHEN 2 THEN 'json' ELSE 'der' END AS kind, 'c1' || m AS n FROM {_D}")
-def scan_key_files(spark, sf):
+def _key_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of four formats, with one key each."""
     k, der = F.col("doc_id") % 4, F.unhex(_certificate()[0])
     ssh = F.concat(F.lit("ssh-rsa "), F.base64(F.unhex(F.concat(F.lit("000000077373682d727361" + "00000003010001" + "0000001200c1"), "m"))))
     text = F.when(k == 0, _armored("CERTIFICATE", F.base64(der))).when(k == 1, ssh).when(k == 2, F.concat(F.lit('{"keys": [{"n": "0x00C1'), "m", F.lit('"}]}')))
     name = F.concat(F.col("doc_id").cast("string"), F.when(k == 2, ".json").when(k == 3, ".der").otherwise(""))
-    made = _docs(spark, sf).select(name.alias("path"), F.coalesce(text.cast("binary"), der).alias("content"))
+    return _docs(spark, sf).select(name.alias("path"), F.coalesce(text.cast("binary"), der).alias("content"))
+
+
+@query("u08_scan_key_files", f"SELECT doc_id || CASE doc_id % 4 WHEN 2 THEN '.json' WHEN 3 THEN '.der' ELSE '' END AS path, CASE doc_id % 4 WHEN 0 THEN 'pem' WHEN 1 THEN 'ssh' WHEN 2 THEN 'json' ELSE 'der' END AS kind, 'c1' || m AS n FROM {_D}")
+def scan_key_files(spark, sf):
+    made = _key_files(spark, sf)
     return keyfiles.scan_key_files(made).select("path", "kind", "n")
 
 
 @query("u09_reflag", "SELECT doc_id, quality, CAST(n_chars > 1000 AS INTEGER) AS flagged FROM documents JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM CAST(n_chars > 1000 AS INTEGER)")
 def reflag(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    return rows.select("doc_id", "quality", (F.col("n_chars") > 1000).cast("int").alias("flagged")).where(~F.col("quality").eqNullSafe(F.col("flagged")))
+    changed = relations.reflag(rows.withColumn("flagged", F.col("quality")), (F.col("n_chars") > 1000).cast("int"))
+    return changed.select("doc_id", "quality", "flagged")
 
 
 @query("s14_app_rankings", "SELECT p_partkey, p_size + 1 AS place, p_name AS app, 'com.x' || p_partkey AS package, p_brand AS vendor FROM part")

@@ -31,9 +31,9 @@ def in_snapshot(spark, sf):
 
 @query("j05_key_packages", "SELECT s_suppkey AS key_id, coalesce(string_agg(DISTINCT CAST(l_partkey AS VARCHAR), '|' ORDER BY CAST(l_partkey AS VARCHAR)), '') AS packages, count(DISTINCT l_partkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey")
 def key_packages(spark, sf):
-    signed = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("p"))
-    keys = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key_id")).join(signed, "key_id", "left")
-    return keys.select("key_id", F.coalesce(F.array_join("p", "|"), F.lit("")).alias("packages"), F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    signed = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key_id"), F.col("l_partkey").alias("package"))
+    found = relations.key_packages(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key_id")), signed)
+    return found.select("key_id", F.array_join("packages", "|").alias("packages"), "n")
 
 
 @query("j06_missing_keys", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -49,14 +49,14 @@ def pending_keys(spark, sf):
 @query("j08_flagged_packages", "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0")
 def flagged_packages(spark, sf):
     keys = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(keys, "l_suppkey").distinct()
+    return relations.flagged_packages(keys, table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("j09_chain_ids", "SELECT l_orderkey, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY l_linenumber, p_partkey) AS chain FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def chain_ids(spark, sf):
-    found = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    ordered = found.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey"))).alias("c"))
-    return ordered.select("l_orderkey", F.array_join(F.transform("c", lambda x: x["p_partkey"].cast("string")), ",").alias("chain"))
+    dictionary = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("id"))
+    found = relations.chain_ids(table(spark, sf, "lineitem"), dictionary, "l_orderkey", "l_linenumber", "l_partkey")
+    return found.select("l_orderkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("chain"))
 
 
 @query("j14_upsert", "WITH c AS (SELECT user_id, max(value) AS v FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-15' GROUP BY 1), n AS (SELECT user_id, max(value) AS v FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' GROUP BY 1) SELECT * FROM n UNION ALL SELECT * FROM c WHERE user_id NOT IN (SELECT user_id FROM n)")
@@ -79,7 +79,7 @@ def impact(spark, sf):
     orders = _orders(spark, sf).select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
     parts = table(spark, sf, "part").where("p_size > 40").select("p_partkey")
-    return keys.join(orders, "c_custkey").join(lines.join(parts, "p_partkey"), "o_orderkey").select("c_custkey", "p_partkey").distinct()
+    return relations.impact(keys, orders, lines, parts, keep=["c_custkey", "p_partkey"])
 
 
 @query("j18_compare_rows", "SELECT d.doc_id, (d.n_chars % 2 = 1) IS NOT DISTINCT FROM (l.quality = 1) AS same FROM documents d JOIN labels l USING (doc_id)")
@@ -101,7 +101,7 @@ def first_wins(spark, sf):
 
 @query("r04_drop_duplicates", "SELECT DISTINCT lang, source FROM documents")
 def drop_duplicates(spark, sf):
-    return table(spark, sf, "documents").select("lang", "source").dropDuplicates()
+    return relations.drop_duplicates(table(spark, sf, "documents").select("lang", "source"), "lang", "source")
 
 
 @query("e01_set_report", "WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND day(ts) < 8), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND day(ts) > 25) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'b' WHEN b.user_id IS NULL THEN 'a' ELSE 'both' END AS membership FROM a FULL JOIN b ON a.user_id = b.user_id")
@@ -112,8 +112,8 @@ def set_report(spark, sf):
 
 @query("e03_union_corpora", "SELECT 'docs' AS corpus, doc_id AS id, lang FROM documents UNION ALL SELECT 'pages', page_id, NULL FROM pages")
 def union_corpora(spark, sf):
-    docs = table(spark, sf, "documents").select(F.lit("docs").alias("corpus"), F.col("doc_id").alias("id"), "lang")
-    return docs.unionByName(table(spark, sf, "pages").select(F.lit("pages").alias("corpus"), F.col("page_id").alias("id")), allowMissingColumns=True)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return relations.union_corpora(docs=docs, pages=table(spark, sf, "pages").select(F.col("page_id").alias("id")))
 
 
 @query("t04_assoc_history", """WITH s AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events),
@@ -145,6 +145,19 @@ def affected(spark, sf):
 
 @query("g03_dependency_index", "SELECT l_partkey, count(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS dependents FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY 1")
 def dependency_index(spark, sf):
-    edges = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey").distinct()
-    index = edges.groupBy("l_partkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("l_orderkey")).alias("d"))
-    return index.select("l_partkey", "n", F.array_join(F.transform("d", lambda x: x.cast("string")), ",").alias("dependents"))
+    index = relations.dependency_index(table(spark, sf, "lineitem"), ["l_partkey"], "l_orderkey")
+    return index.select("l_partkey", "n", F.array_join(F.transform("dependents", lambda x: x.cast("string")), ",").alias("dependents"))
+
+
+@query("j18_defaults", "SELECT d.doc_id, coalesce(upper(d.lang), 'NONE') || coalesce(l.quality, 1) = CASE WHEN l.toxic = 1 THEN 'NONE' ELSE 'EN' END || 1 AS same FROM documents d JOIN labels l USING (doc_id)")
+def compare_with_defaults(spark, sf):
+    labels = table(spark, sf, "labels")
+    a = table(spark, sf, "documents").select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id")
+    b = labels.select("doc_id", F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.lit("en")).alias("lang"), F.lit(1).alias("quality"))
+    return relations.compare_rows(a, b, "doc_id", ["lang", "quality"], {"lang": "NONE", "quality": 1}, {"lang": F.upper})
+
+
+@query("j01_attached_hosts", "SELECT DISTINCT c_custkey AS fprint, o_orderkey AS ip FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def attached_hosts(spark, sf):
+    hosts = _orders(spark, sf).select(F.col("o_custkey").alias("fprint"), F.col("o_orderkey").alias("ip"))
+    return relations.attached_hosts(table(spark, sf, "customer").select(F.col("c_custkey").alias("fprint")), hosts)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.operators import snapshots, stats
+from keylake.operators import relations, snapshots, stats
 from keylake.plans.registry import query
 from keylake.session import table
 
@@ -68,9 +70,7 @@ def keys_per_entity(spark, sf):
 
 @query("a02_size_hist", "SELECT CAST(n_chars // 256 AS BIGINT) AS bits, count(*) AS n, count(*) / (SELECT count(*) FROM documents) AS ratio FROM documents GROUP BY 1")
 def size_hist(spark, sf):
-    docs = table(spark, sf, "documents").select(F.expr("n_chars div 256").alias("bits"))
-    total = docs.agg(F.count("*").alias("total"))
-    return docs.groupBy("bits").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("bits", "n", (F.col("n") / F.col("total")).alias("ratio"))  # total is one row
+    return stats.size_hist(table(spark, sf, "documents"), F.expr("n_chars div 256"))
 
 
 @query("a04_entity_flags", "SELECT user_id, count(*) AS n_keys, bool_or(value > 50) AS any_flagged, arg_min(value > 50, event_id) AS master_flagged, count(*) FILTER (WHERE value > 50) - CAST(arg_min(value > 50, event_id) AS INTEGER) AS n_sub_flagged FROM events GROUP BY 1")
@@ -89,15 +89,15 @@ def monthly_series(spark, sf):
     return stats.zero_filled(table(spark, sf, "events"), F.date_format("ts", "yyyy-MM"), grid, F.col("event_type") == "error")
 
 
-@query("a08_grid_hist", "SELECT s.slot, count(p_partkey) AS total, count(*) FILTER (WHERE p_retailprice > 1200) AS flagged FROM (SELECT unnest(range(0, 60)) AS slot) s LEFT JOIN part ON p_size = s.slot GROUP BY 1")
+@query("a08_grid_hist", "WITH h AS (SELECT s.slot, count(p_partkey) AS total, count(*) FILTER (WHERE p_retailprice > 1200) AS flagged FROM (SELECT unnest(range(0, 60)) AS slot) s LEFT JOIN part ON p_size = s.slot GROUP BY 1) SELECT *, CASE WHEN sum(flagged) OVER () > 0 THEN flagged * (sum(total) OVER ()) / (sum(flagged) OVER ()) ELSE -1.0 END AS scaled FROM h")
 def grid_hist(spark, sf):
-    return stats.zero_filled(table(spark, sf, "part"), F.col("p_size").cast("long"), spark.range(60).select(F.col("id").alias("slot")), F.col("p_retailprice") > 1200)
+    return stats.grid_hist(table(spark, sf, "part"), F.col("p_size"), 0, 60, F.col("p_retailprice") > 1200)
 
 
 @query("a10_archive_stats", "SELECT count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_rsa, count(*) FILTER (WHERE source = 'src0') AS n_ca, count(*) FILTER (WHERE lang = 'en' AND source = 'src0') AS n_rsa_ca, count(DISTINCT md5(text)) AS n_unique FROM documents")
 def archive_stats(spark, sf):
     rsa, ca = F.col("lang") == "en", F.col("source") == "src0"
-    return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_if(rsa).alias("n_rsa"), F.count_if(ca).alias("n_ca"), F.count_if(rsa & ca).alias("n_rsa_ca"), F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("n_unique"))
+    return stats.archive_stats(table(spark, sf, "documents"), {"unique": F.md5(F.col("text").cast("binary"))}, rsa=rsa, ca=ca, rsa_ca=rsa & ca)
 
 
 def _funnel(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +120,7 @@ def funnel_counts(spark, sf):
 
 @query("a12_sig_counts", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
 def sig_counts(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return stats.sig_counts(table(spark, sf, "lineitem"), "l_suppkey")
 
 
 @query("a13_contributor_stats", "SELECT l_suppkey, CAST(sum(l_quantity) AS DOUBLE) AS total, count(DISTINCT l_partkey) AS n_repos, avg(l_quantity) AS average, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), '|' ORDER BY CAST(l_partkey AS VARCHAR)) AS repos FROM lineitem GROUP BY 1")
@@ -130,23 +130,24 @@ def contributor_stats(spark, sf):
 
 @query("a15_mismatch_audit", "SELECT user_id FROM events GROUP BY 1 HAVING bool_or(event_type = 'error' AND value > 60) <> bool_or(event_type = 'purchase' AND value > 60)")
 def mismatch_audit(spark, sf):
-    both = table(spark, sf, "events").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 60)).alias("a"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 60)).alias("b"))
-    return both.where("a <> b").select("user_id")
+    large = F.col("value") > 60
+    return stats.mismatch_audit(table(spark, sf, "events"), "user_id", (F.col("event_type") == "error") & large, (F.col("event_type") == "purchase") & large)
 
 
 @query("a18_snapshot_counts", f"SELECT snap, count(DISTINCT ip) AS n_ips, count(DISTINCT fprint) AS n_prints FROM ({_H}) GROUP BY 1")
 def snapshot_counts(spark, sf):
-    return _hosts(spark, sf).groupBy("snap").agg(F.countDistinct("ip").alias("n_ips"), F.countDistinct("fprint").alias("n_prints"))
+    return stats.snapshot_counts(_hosts(spark, sf))
 
 
 @query("l02_next_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100")
 def next_page(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey").where("o_orderkey > 1000").orderBy("o_orderkey").limit(100)
+    return snapshots.next_page(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 100)
 
 
-@query("p05_ca_not_self_signed", "SELECT doc_id FROM documents WHERE source = 'src0' AND lang <> 'en'")
+@query("p05_route", "SELECT 'rsa' AS output, doc_id FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'ca', doc_id FROM documents WHERE source = 'src0' UNION ALL SELECT 'ca_not_self_signed', doc_id FROM documents WHERE source = 'src0' AND lang IS DISTINCT FROM 'en'")
 def route(spark, sf):
-    return table(spark, sf, "documents").where("source = 'src0' and lang <> 'en'").select("doc_id")
+    routed = relations.route(table(spark, sf, "documents").select("doc_id", "lang", "source"), F.col("lang") != "fr", F.col("source") == "src0", F.col("lang") == "en")
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("output"), "doc_id") for name, df in routed.items()])
 
 
 @query("p12_artifact_dirs", """SELECT page_id, score FROM (SELECT page_id, CAST(3 * CAST(len(a) < 100 AS INTEGER) + len(list_filter(a, lambda x: regexp_matches(x, '[0-9]|e$'))) AS BIGINT) AS score FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS a FROM pages)) WHERE score > 3""")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
+from keylake.operators import snapshots, stats
 from keylake.parsers import frames
 from keylake.plans.parsing import _D, Piece, _certificate, _docs, _raw, _scan, _tlv
 from keylake.plans.registry import query
@@ -67,12 +68,13 @@ def ssh_keys(spark, sf):
     return scans.recode_ssh(scans.read_ssh_keys(spark, at)).withColumn("source", F.array_join(F.col("source").cast("array<string>"), ","))
 
 
-@query("s16_read_many", "SELECT CAST(user_id AS VARCHAR) AS value, CAST(min(2 - event_id % 3) AS INTEGER) AS file_ord FROM events GROUP BY user_id")
+@query("s16_read_many", "SELECT CAST(event_id AS VARCHAR) AS value, CAST(2 - event_id % 3 AS INTEGER) AS file_ord, row_number() OVER (ORDER BY 2 - event_id % 3, event_id) - 1 AS place FROM events")
 def read_many(spark, sf):
     at = _folder(spark)
-    _events(spark, sf).select(F.col("user_id").cast("string").alias("value"), (F.col("event_id") % 3).alias("part")).write.partitionBy("part").text(at)
+    for k in range(3):
+        _events(spark, sf).where(F.col("event_id") % 3 == k).repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select(F.col("event_id").cast("string").alias("value")).write.text(f"{at}/part={k}")
     many = files.read_many(spark, [f"{at}/part={k}" for k in (2, 1, 0)])
-    return many.groupBy("value").agg(F.min("file_ord").alias("file_ord"))
+    return snapshots.seq_id(many, "file_ord", "file", "start", "line_ord").select("value", "file_ord", F.col("id").alias("place"))
 
 
 @query("s25_select_inputs", "SELECT DISTINCT CAST(event_id % 5 AS VARCHAR) AS folder FROM events WHERE event_id % 5 <> 3")
@@ -166,13 +168,12 @@ def error_sink(spark, sf):
 
 @query("a19_file_digests", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents")
 def file_digests(spark, sf):
-    raw = F.col("text").cast("binary")
-    return table(spark, sf, "documents").select("doc_id", F.md5(raw).alias("md5"), F.sha1(raw).alias("sha1"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("size"))
+    return stats.file_digests(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
 
 
 @query("a20_count", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25")
 def count(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity > 25").agg(F.count("*").alias("n"))
+    return stats.count(table(spark, sf, "lineitem"), F.col("l_quantity") > 25)
 
 
 def _signed(subject: Column, issuer: Column, signed: Column) -> Column:
@@ -252,3 +253,14 @@ def resume(spark, sf):
         stream = spark.readStream.schema(rows.select("user_id").schema).parquet(f"{at}/in")
         streams.run_available(streams.stream_first_seen(stream, "user_id"), f"{at}/checkpoint", f"{at}/out")
     return spark.read.parquet(f"{at}/out")
+
+
+@query("u07_apk_signers", f"SELECT doc_id, m AS serial, 'CN=' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS issuer_dn, 'sha256' AS digest_alg, '2020-01-02 03:04:05' AS signed_at, 1 AS signer_count FROM {_D}")
+def parse_apk_signers(spark, sf):
+    name = _tlv("30", _tlv("31", _tlv("30", _raw("0603550403"), _tlv("0c", (F.hex(F.lpad(F.col("doc_id").cast("string"), 12, "0").cast("binary")), 12)))))
+    digest, algorithm = _tlv("30", _raw("0609608648016503040201" + "0500")), _tlv("30", _raw("06092a864886f70d010101" + "0500"))
+    times = _tlv("a0", _tlv("30", _raw("06092a864886f70d010905"), _tlv("31", _tlv("17", _raw(b"200102030405Z".hex())))))
+    signer = _tlv("30", _raw("020101"), _tlv("30", name, _tlv("02", (F.col("m"), 16))), digest, times, algorithm, _tlv("04", _raw("00")))
+    signed = _tlv("30", _raw("06012a"), _tlv("a0", _tlv("30", _raw("020101"), _raw("3100"), _raw("3000"), _tlv("a0", _certificate()), _tlv("31", signer))))
+    made = _docs(spark, sf).select("doc_id", F.unhex(_zip("META-INF/CERT.RSA", signed)).alias("content"))
+    return frames.parse_apk_signers(made).select("doc_id", "serial", "issuer_dn", "digest_alg", "signed_at", "signer_count")

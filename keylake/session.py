@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the cluster names none (local tests), a temporary folder is made once and set on the session's context.
+    Where none is named and the master is local (tests), a temporary folder is made once and set on the session's context.
+    Elsewhere that is an error, as executors would write to their own disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     own = spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not own:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         own = spark.sparkContext.getCheckpointDir()

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keylake.functions.keys import hex_canon
 from keylake.operators.relations import upsert
@@ -34,13 +33,18 @@ def read_cert_archive(spark: SparkSession, paths: list[str] | str, encoding: str
     return parse_archive(spark.read.text(paths), encoding)
 
 
-def read_json_tolerant(lines: DataFrame, schema: str, line_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good, bad): rows whose line parses with a first field, and the others with the serial slice of the line."""
-    struct = F.from_json(line_col, schema)
-    first = T.StructType.fromDDL(schema).names[0]
-    parsed = lines.withColumn("__row", struct)
-    good = parsed.where(F.col("__row").isNotNull() & F.col(f"__row.{first}").isNotNull()).select("__row.*")
-    bad = parsed.where(F.col("__row").isNull() | F.col(f"__row.{first}").isNull()).select(F.substring(line_col, 9, 11).alias("serial"), F.col(line_col).alias("line"))
+def read_json_tolerant(lines: DataFrame, schema: str, line_col: str = "value", id_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows of lines that are JSON objects of this schema, and the other lines with their serial slice.
+
+    With id_col one row of each id is good, any one of equal ids, and rows with null id all stay. A field that is null or
+    missing does not make a line bad. A null line is bad.
+    """
+    parsed = lines.withColumn("__row", F.from_json(line_col, f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    is_bad = F.col("__row").isNull() | F.col("__row.__bad").isNotNull()
+    good = parsed.where(~is_bad).select("__row.*").drop("__bad")
+    if id_col:
+        good = good.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(good.where(F.col(id_col).isNull()))
+    bad = parsed.where(is_bad).select(F.substring(line_col, 9, 11).alias("serial"), F.col(line_col).alias("line"))
     return good, bad
 
 
@@ -74,9 +78,14 @@ def write_split(df: DataFrame, path: str, column: str = "flagged") -> None:
 
 
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of several text files or folders with file_ord, the place in the list of the path that gave them."""
-    parts = [spark.read.text(p).withColumn("file_ord", F.lit(k)) for k, p in enumerate(paths)]
-    return reduce(DataFrame.unionByName, parts)
+    """Lines of several text files or folders, with their place: file_ord, the place in the list of the path that gave them,
+    then file and start, the block of the file, and line_ord, the line's place in that block. In order of these columns the
+    files read as one.
+    """
+    where = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    parts = [spark.read.text(p).select("value", F.lit(k).alias("file_ord"), *where) for k, p in enumerate(paths)]
+    # ids rise along a partition, which reads each of its blocks from the first line to the last
+    return reduce(DataFrame.unionByName, parts).withColumn("line_ord", F.monotonically_increasing_id())
 
 
 def first_field(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -128,9 +137,17 @@ def consolidate(spark: SparkSession, paths: list[str] | str, out: str, files: in
 
 
 def run_once(df: DataFrame, path: str) -> DataFrame:
-    """The Parquet table at path, written from df only if it is not complete there."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The Parquet table at path, written from df only if it is not complete there: if it lacks the mark of a finished write."""
+    spark = df.sparkSession
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def write_table(df: DataFrame, url: str, name: str, batch: int = 10_000) -> None:

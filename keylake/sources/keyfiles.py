@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from keylake.functions import keys as K
 from keylake.functions.text import blocks
@@ -17,19 +19,31 @@ from keylake.sources.markup import ldif_certs
 
 
 def read_key_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, content) of the files below folders; members of tar archives appear as path!member."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    """(path, content, error) of the files below folders; members of tar archives appear as path!member.
+
+    An archive that breaks off, or is none, gives the members before that and a row with null content and the error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content", F.lit(None).cast("string").alias("error"))
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pd.DataFrame({"path": [f"{path}!{m.name}"], "content": [tar.extractfile(m).read()]})
+                for name, data, error in _members(content):
+                    yield pd.DataFrame({"path": [path if name is None else f"{path}!{name}"], "content": [data], "error": [error]}, dtype=object)
 
     is_tar = F.col("path").rlike(r"\.(tar|tar\.gz|tgz)$")
-    return files.where(~is_tar).unionByName(files.where(is_tar).mapInPandas(members, "path string, content binary"))
+    return files.where(~is_tar).unionByName(files.where(is_tar).mapInPandas(members, "path string, content binary, error string"))
+
+
+def _members(content: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """(name, content, error) of an archive's files, one at a time."""
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for m in tar:
+                if m.isfile():
+                    yield m.name, tar.extractfile(m).read(), None
+    except Exception as e:  # of any kind: archives come from anywhere
+        yield None, None, f"{type(e).__name__}: {e}"
 
 
 def detect_format(name: Column, text: Column) -> Column:
@@ -43,9 +57,50 @@ def detect_format(name: Column, text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), kind) for kind, test in rules]))
 
 
+#: Kind of what is found under a key of a JSON object.
+JSON_KEYS = {"n": "mod", "mod": "mod", "modulus": "mod", "cert": "cert", "certs": "cert"}
+
+
+def _walk(node, path: str) -> Iterator[dict[str, str]]:
+    """(path, kind, value) below a parsed JSON value, without recursion, in order of place."""
+    waiting = [(node, path, None)]
+    while waiting:
+        node, path, kind = waiting.pop()
+        if isinstance(node, dict):
+            waiting.extend((v, f"{path}.{k}", JSON_KEYS.get(k)) for k, v in reversed(node.items()))
+        elif isinstance(node, list):
+            waiting.extend((v, f"{path}[{k}]", kind) for k, v in reversed(list(enumerate(node))))
+        elif kind and node is not None and not isinstance(node, bool):
+            yield {"path": path, "kind": kind, "value": str(node)}
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("path", "kind", "value")])))
+def json_keys(text: pd.Series) -> pd.Series:
+    """(path, kind, value) of moduli (under n, mod, modulus) and certificates (cert, certs) at any depth of JSON texts.
+
+    Numbers of any length are texts of their digits. Null, and text that is no JSON, give an empty list.
+    """
+
+    def one(t):
+        try:
+            return list(_walk(json.loads(t, parse_int=str, parse_float=str), "$")) if t else []
+        except (ValueError, RecursionError):
+            return []
+
+    return text.map(one)
+
+
 def json_moduli(text: Column) -> Column:
     """Texts under the keys n, mod and modulus of a JSON text, at any depth."""
-    return F.regexp_extract_all(text, F.lit(r'"(?:n|mod|modulus)"\s*:\s*"([^"]*)"'), 1)
+    return F.transform(F.filter(json_keys(text), lambda x: x["kind"] == "mod"), lambda x: x["value"])
+
+
+def format_counters(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, n_files, n_keys, n_flagged) for each format that files (path, content) suggest, from what a scan found in them."""
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
+    kinds = files.select("path", F.explode(detect_format(F.col("path"), text)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_files"))
+    keys = found.groupBy("kind").agg(F.count("*").alias("n_keys"), F.count_if("flagged").alias("n_flagged"))
+    return kinds.join(keys, "kind", "left").fillna(0, ["n_keys", "n_flagged"])
 
 
 def scan_key_files(files: DataFrame, flag: Callable[[Column], Column] = K.weak_key_flag) -> DataFrame:
@@ -58,7 +113,8 @@ def scan_key_files(files: DataFrame, flag: Callable[[Column], Column] = K.weak_k
 
     body = F.col("__text")
     der = found("pem", F.transform(F.filter(blocks(body), lambda b: b["label"] == "CERTIFICATE"), lambda b: F.try_to_binary(b["body"], F.lit("base64"))))
-    der = der.unionByName(found("der", F.array("content"))).unionByName(found("ldif", ldif_certs(body)))
+    nested = F.transform(F.filter(json_keys(body), lambda x: x["kind"] == "cert"), lambda x: F.try_to_binary(F.regexp_replace(x["value"], r"-----[A-Z ]+-----|\s", ""), F.lit("base64")))
+    der = der.unionByName(found("der", F.array("content"))).unionByName(found("ldif", ldif_certs(body))).unionByName(found("json", nested))
     rsa = found("rsa_pem", F.transform(F.filter(blocks(body), lambda b: b["label"].rlike("^(RSA )?(PUBLIC|PRIVATE) KEY$")), lambda b: F.try_to_binary(b["body"], F.lit("base64"))))
     pgp = found("pgp", F.transform(F.filter(blocks(body), lambda b: F.startswith(b["label"], F.lit("PGP PUBLIC"))), lambda b: F.try_to_binary(b["body"], F.lit("base64"))))
     apk = known.where("kind = 'apk'").select("path", "kind", F.lit(0).alias("idx"), "content")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keylake.functions.text import digits, last_segment
+from keylake.operators.snapshots import seq_id
 
 
 def pom_dependencies(df: DataFrame, pom: str = "pom") -> DataFrame:
@@ -95,17 +96,29 @@ def html_tables(df: DataFrame, html: str, id_col: str) -> DataFrame:
     return df.select(id_col, html).mapInPandas(work, f"{id_col} {kind}, header string, tbl int, line int, col int, text string, href string")
 
 
-def build_catalogue(cells: DataFrame, id_col: str, first_id: int = 10) -> DataFrame:
-    """(id, date, date_utc, files) from table cells: columns name, size, hash; a header with a date groups a table's files.
+#: Layouts of published lists: which column has the size and the hash (and the date), and what groups the files of a set.
+LAYOUTS = {"header": (2, 3, None), "date": (3, 2, 4), "flat": (1, 2, None)}
 
-    Ids count from first_id in order of page and table; a header that is no date gives a null date_utc. Catalogues are small:
-    one row for each published file.
+
+def build_catalogue(cells: DataFrame, id_col: str, first_id: int = 10, layout: str = "flat") -> DataFrame:
+    """(id, date, date_utc, files) from table cells (see html_tables): a map of files by name, with href, size and hash.
+
+    Layouts: header, a table under a header with its date, tables of a page from the last to the first; date, rows with a
+    date of their own, which groups them over all tables; flat, a table under a header which may be no date. A date that
+    does not parse gives a null date_utc. Rows without a link are left out; of equal names in a set the last row counts.
+    Ids count from first_id in order of page and place. A catalogue has a row for each published set; its sets are numbered
+    by ranges, in no single task.
     """
+    size, digest, date = LAYOUTS[layout]
     pick = lambda n, what: F.max(F.when(F.col("col") == n, F.col(what)))
-    files = cells.groupBy(id_col, "header", "tbl", "line").agg(pick(0, "text").alias("name"), pick(0, "href").alias("href"), pick(1, "text").alias("size"), pick(2, "text").alias("hash")).where("href is not null")
-    sets = files.groupBy(id_col, "tbl", "header").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("name", "href", digits(F.col("size")).alias("size"), "hash").alias("f"))))).alias("files"))
-    number = F.row_number().over(Window.orderBy(id_col, "tbl")) + F.lit(first_id - 1)
-    return sets.select(number.alias("id"), F.col("header").alias("date"), F.unix_timestamp(F.try_to_timestamp("header")).alias("date_utc"), "files")
+    when = pick(date, "text") if date is not None else F.max("header")
+    rows = cells.groupBy(id_col, "tbl", "line").agg(when.alias("date"), pick(0, "text").alias("name"), pick(0, "href").alias("href"), pick(size, "text").alias("size"), pick(digest, "text").alias("hash")).where("href is not null")
+    place = F.when(F.lit(layout == "header"), -F.col("tbl")).otherwise(F.col("tbl"))
+    file = F.struct("name", "href", digits(F.col("size")).alias("size"), "hash")
+    last = rows.groupBy(*(["date"] if layout == "date" else [id_col, "tbl", "date"]), F.col("name").alias("__n")).agg(F.max_by(file, F.struct(id_col, "tbl", "line")).alias("f"), F.min(F.struct(F.col(id_col).alias("page"), place.alias("place"), "line")).alias("at"))
+    sets = last.groupBy(*(["date"] if layout == "date" else [id_col, "tbl", "date"])).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__n", "f")))).alias("files"), F.min("at").alias("at"))
+    day = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp("date", F.lit("yyyy-MM-dd")))
+    return seq_id(sets.select("date", "files", "at"), "at", start=first_id).select("id", "date", F.unix_timestamp(day).alias("date_utc"), "files")
 
 
 def app_rankings(cells: DataFrame, id_col: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from keylake.operators.relations import assoc_history
 from keylake.session import shared_dir
 
 
@@ -29,6 +31,45 @@ def dead_letter(df: DataFrame, max_fail: int, count_col: str = "fail_cnt") -> tu
     return df.where(~failed), df.where(failed)
 
 
+def retry(df: DataFrame, failed: DataFrame, key: str, max_fail: int, sink: str, count_col: str = "fail_cnt") -> DataFrame:
+    """Rows to try again after a round in which the keys of `failed` failed: these count one failure more, others are done.
+
+    Rows beyond the cap are appended to the sink, a table of dead letters. Null keys, and unknown counts, are no failure
+    before. Returned rows are to be materialised before the next round.
+    """
+    again = df.join(failed.select(key).distinct(), key, "left_semi").withColumn(count_col, F.coalesce(F.col(count_col), F.lit(0)) + 1)
+    left, dead = dead_letter(again, max_fail, count_col)
+    dead.write.mode("append").parquet(sink)
+    return left
+
+
+def stream_assoc(stream: DataFrame, owner: str, item: str, check: str, table: str, checkpoint: str) -> None:
+    """Association history over a stream of (owner, item, check): (owner, item, found_at, lost_at) in the last state below table.
+
+    A micro-batch has the newest lists of some owners, one check of each, or several that are taken in order. An item that
+    the newest list lacks is lost at that check; one that comes again opens a new row. Each batch writes the state under its
+    number from that of the batch before, so a repeated batch writes the same again. Owners that a batch lacks keep theirs.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.select(owner, item, check).where(F.col(owner).isNotNull() & F.col(check).isNotNull())
+        runs = assoc_history(seen, owner, item, check).where(F.col(item).isNotNull())
+        if number:
+            before = spark.read.parquet(f"{table}/{number - 1}")
+            checks = seen.groupBy(owner).agg(F.min(check).alias("__first"))
+            opened = before.where("lost_at is null").join(checks, owner)
+            here = seen.where(F.col(item).isNotNull()).select(owner, item, F.col(check).alias("__first")).distinct()
+            held = opened.join(here, [owner, item, "__first"], "left_semi").select(owner, item, F.col("found_at").alias("__since"), F.col("__first").alias("found_at"))
+            lost = opened.join(here, [owner, item, "__first"], "left_anti").select(owner, item, "found_at", F.col("__first").alias("lost_at"))
+            grown = runs.join(held, [owner, item, "found_at"], "left").select(owner, item, F.coalesce("__since", "found_at").alias("found_at"), "lost_at")
+            closed = before.where("lost_at is not null").unionByName(before.where("lost_at is null").join(checks, owner, "left_anti"))
+            runs = closed.unionByName(lost).unionByName(grown)
+        runs.write.mode("overwrite").parquet(f"{table}/{number}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> None:
     """Run a stream over all input that is there and stop; run again, it goes on where it stopped.
 
@@ -68,10 +109,11 @@ def stream_snapshot_diff(stream: DataFrame, key: str, state: str, out: str, chec
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps (batch, rows, rows a second) of the queries' progress."""
+    """Keeps (batch, rows, rows a second) of the queries' progress; the last `keep` of them."""
 
-    def __init__(self) -> None:
-        self.rows: list[tuple[int, int, float]] = []
+    def __init__(self, keep: int = 10_000) -> None:
+        self.ended = 0
+        self.rows: deque[tuple[int, int, float]] = deque(maxlen=keep)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -84,4 +126,4 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.ended += 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.functions import text as T
-from keylake.operators import graph
+from keylake.operators import graph, relations
 from keylake.parsers import frames
 from keylake.sources import files, keyfiles, markup, scans
 from keylake.streaming import streams
@@ -211,3 +211,105 @@ def test_predicates_by_name(spark):
     K.register_predicate("odd", lambda n: F.right(n, F.lit(1)).isin(*"13579bdf"))
     rows = spark.createDataFrame([("list.txt", bytearray(b"0x010\n0x011\n"))], "path string, content binary")
     assert {r.n: r.flagged for r in keyfiles.scan_key_files(rows, K.PREDICATES["odd"]).collect()} == {"10": False, "11": True}
+
+
+def _package(member: bytes, compressed: bool = True) -> bytes:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED if compressed else zipfile.ZIP_STORED) as z:
+        z.writestr("META-INF/CERT.RSA", member)
+    return held.getvalue()
+
+
+def test_broken_packages_are_rows_with_errors(spark):
+    whole = _package(bytes(range(256)) * 8)
+    corrupt = bytearray(whole)
+    corrupt[60:90] = b"\xff" * 30
+    encrypted = bytearray(_package(b"abc", False))
+    encrypted[6] |= 1
+    encrypted[encrypted.index(b"PK\x01\x02") + 8] |= 1
+    unknown = bytearray(_package(b"abc", False))
+    unknown[8] = 99
+    unknown[unknown.index(b"PK\x01\x02") + 10] = 99
+    made = [whole, bytes(corrupt), bytes(encrypted), bytes(unknown), whole[: len(whole) // 2], b"", b"\x30\x84\xff\xff", None]
+    files_in = spark.createDataFrame([(k, x, "clash") for k, x in enumerate(made)], "id int, content binary, n string")
+    for parse in (frames.parse_apk, frames.parse_apk_signers):
+        out = {r.id: r.error for r in parse(files_in).collect()}
+        assert len(out) == len(made) and out[7] is None and all(out[k] for k in range(7))
+    assert "in_n" in frames.parse_apk(files_in).columns
+    assert frames.parse_apk(files_in.limit(0)).count() == 0
+
+
+def test_broken_archives_are_rows_with_errors(spark, tmp_path):
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w") as tar:
+        for name in ("a.txt", "b.txt"):
+            info = tarfile.TarInfo(name)
+            info.size = 2000
+            tar.addfile(info, io.BytesIO(b"x" * 2000))
+    (tmp_path / "whole.tar").write_bytes(held.getvalue())
+    (tmp_path / "cut.tar").write_bytes(held.getvalue()[:3500])
+    (tmp_path / "none.tar").write_bytes(b"no archive at all")
+    (tmp_path / "plain.txt").write_bytes(b"y")
+    got = sorted((r.path.rsplit("/", 1)[1], len(r.content or b""), r.error is None) for r in keyfiles.read_key_files(spark, str(tmp_path)).collect())
+    assert [x for x in got if x[0].startswith(("plain", "whole"))] == [("plain.txt", 1, True), ("whole.tar!a.txt", 2000, True), ("whole.tar!b.txt", 2000, True)]
+    assert ("none.tar", 0, False) in got and ("cut.tar", 0, False) in got and ("cut.tar!a.txt", 2000, True) in got
+
+
+def test_signature_checks_of_odd_numbers(spark):
+    rows = [(b"t", "1", "2a864886f70d01010b", n, "3") for n in ("0", "x", "10001", None, "")]
+    found = spark.createDataFrame(rows, "t binary, s string, a string, n string, e string").select("n", frames.verifies("t", "s", "a", "n", "e").alias("v"))
+    assert {r.n: r.v for r in found.collect()} == {"0": None, "x": None, "10001": False, None: None, "": None}
+
+
+def test_keys_in_json_with_paths(spark):
+    texts = ['{"a": [{"n": "0x1", "x": {"mod": 12345678901234567890123}}], "certs": ["aa", {"cert": "bb"}], "n": null, "mod": true}', "[" * 3000, '{"n": "q\\"n\\": 1"}', "no json", "", None, "7"]
+    out = [r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select(keyfiles.json_keys("t").alias("k")).collect()]
+    assert [tuple(x) for x in out[0]] == [("$.a[0].n", "mod", "0x1"), ("$.a[0].x.mod", "mod", "12345678901234567890123"), ("$.certs[0]", "cert", "aa"), ("$.certs[1].cert", "cert", "bb")]
+    assert [x.value for x in out[2]] == ['q"n": 1'] and out[1] == out[3] == out[4] == out[5] == out[6] == []
+
+
+def test_a_half_written_table_is_written_again(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.range(10).toDF("id")
+    assert files.run_once(rows, path).count() == 10
+    assert files.run_once(rows.limit(3), path).count() == 10
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    next((tmp_path / "t").glob("*.parquet")).unlink()
+    assert files.run_once(rows, path).count() == 10
+
+
+def test_tolerant_json_of_odd_lines(spark):
+    lines = ['{"id": 1, "a": "x"}', '{"a": "y", "id": 1}', '{"a": null}', '{"id": "no number"}', "junk and more junk", "", None, '{"id": 2']
+    good, bad = files.read_json_tolerant(spark.createDataFrame([(x,) for x in lines], "value string"), "a string, id long", id_col="id")
+    assert sorted(r.id or 0 for r in good.collect()) == [0, 1]
+    assert sorted(str(r.line) for r in bad.collect()) == sorted(map(str, lines[3:]))
+
+
+def test_catalogues_by_layout(spark):
+    row = lambda name, *cells: f"<tr><td><a href='/{name}'>{name}</a></td>{''.join(f'<td>{c}</td>' for c in cells)}</tr>"
+    pages = [(1, f"<h2>2020-01-02 00:00:00</h2><table>{row('f', 'lz4', '5 B', 'aa')}</table><h2>2020-01-03 00:00:00</h2><table>{row('g', 'lz4', '6 B', 'bb')}</table>"), (2, "<table><tr><td>no link</td></tr></table>"), (3, None)]
+    cells = markup.html_tables(spark.createDataFrame(pages, "id int, html string"), "html", "id")
+    out = markup.build_catalogue(cells, "id", layout="header").orderBy("id").collect()
+    assert [(r.id, r.date, r.date_utc, sorted(r.files)) for r in out] == [(10, "2020-01-03 00:00:00", 1578009600, ["g"]), (11, "2020-01-02 00:00:00", 1577923200, ["f"])]
+    dated = [(1, f"<table>{row('f', '', 'aa', '5', '2020-01-02')}{row('g', '', 'bb', '6', '2020-01-03')}</table><table>{row('h', '', 'cc', '7', '2020-01-02')}{row('f', '', 'dd', '8', '2020-01-02')}</table>")]
+    out = markup.build_catalogue(markup.html_tables(spark.createDataFrame(dated, "id int, html string"), "html", "id"), "id", layout="date").orderBy("id").collect()
+    assert [(r.id, r.date, {k: (v["size"], v["hash"]) for k, v in r.files.items()}) for r in out] == [(10, "2020-01-02", {"f": (8, "dd"), "h": (7, "cc")}), (11, "2020-01-03", {"g": (6, "bb")})]
+    assert markup.build_catalogue(cells.limit(0), "id").count() == 0
+
+
+def test_retry_until_the_cap(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, 2), (3, 0), (None, 0)], "id int, fail_cnt int")
+    left = streams.retry(rows, rows.where("id in (1, 2)"), "id", 2, str(tmp_path / "dead"))
+    assert [tuple(r) for r in left.collect()] == [(1, 1)]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [(2, 3)]
+
+
+def test_association_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(9)
+    seen = [(rng.choice("abc"), rng.choice(["x", "y", "z", None]), t) for t in range(12) for _ in range(3)]
+    rows = spark.createDataFrame(seen, "who string, item string, t long")
+    at = lambda name: str(tmp_path / name)
+    for lo in range(0, 12, 4):
+        rows.where((F.col("t") >= lo) & (F.col("t") < lo + 4)).write.mode("append").parquet(at("in"))
+        streams.stream_assoc(spark.readStream.schema(rows.schema).parquet(at("in")), "who", "item", "t", at("state"), at("checkpoint"))
+    got = spark.read.parquet(at("state/2")).select("who", "item", "found_at", "lost_at")
+    assert sorted(map(str, got.collect())) == sorted(map(str, relations.assoc_history(rows, "who", "item", "t").where("item is not null").collect()))

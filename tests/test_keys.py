@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.functions import text as T
-from keylake.operators import graph, relations, snapshots
+from keylake.operators import graph, relations, snapshots, stats
 from keylake.streaming import streams
 
 
@@ -74,3 +74,47 @@ def test_stream_equals_batch(spark, tmp_path):
     q = streams.stream_trailing_counts(stream, "ts", "k").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 500
+
+
+def test_spacing_over_many_batches(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(5000)) for _ in range(4000)] + [("a", None)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = snapshots.min_spacing(spark.createDataFrame(rows, "g string, t long"), 70, "g", "t").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    for g in ("a", "b", None):
+        last = None
+        for t in sorted(t for k, t in rows if k == g and t is not None):
+            if last is None or t - last >= 70:
+                want.append((g, t))
+                last = t
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_snapshot_differences_of_odd_rows(spark):
+    rows = [("d1", "k"), ("d1", "k"), ("d3", "k"), ("d2", None), (None, "k"), ("d2", "m"), ("d3", "m")]
+    got = snapshots.snapshot_diff(spark.createDataFrame(rows, "snap string, fprint string"))
+    found = sorted((r.snap, str(r.fprint), r.first_seen, r.new, r.same, r.lost) for r in got.collect())
+    assert found == [("d1", "k", True, True, False, False), ("d2", "None", True, True, False, False), ("d2", "k", False, False, False, True), ("d2", "m", True, True, False, False), ("d3", "None", False, False, False, True), ("d3", "k", False, True, False, False), ("d3", "m", False, False, True, False)]
+    assert snapshots.snapshot_diff(spark.createDataFrame([], "snap string, fprint string")).count() == 0
+
+
+def test_joins_of_nulls_ties_and_empty_tables(spark):
+    keys = spark.createDataFrame([(1, None), (2, "x"), (None, "x"), (2, "x")], "k int, v string")
+    none = keys.limit(0)
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert rows(relations.in_snapshot(keys, keys, "k")) == ["(1, None)", "(2, 'x')", "(2, 'x')"] and rows(relations.in_snapshot(keys, none, "k")) == []
+    assert rows(relations.missing_from(keys, keys, "k")) == ["(None, 'x')"] and len(rows(relations.missing_from(keys, none, "k"))) == 4
+    assert rows(relations.attached_hosts(keys.select("k"), keys.select("k", F.col("v").alias("ip")), "k")) == ["(1, None)", "(2, 'x')", "(None, None)"]
+    assert rows(relations.compare_rows(keys, keys.where("k = 1"), "k", ["v"], {"v": "none"}, {"v": F.upper})) == ["(1, True)"]
+    assert rows(relations.reflag(keys.withColumn("flagged", F.col("v")), F.lit("x"))) == ["(1, None, 'x')"]
+    assert rows(relations.key_packages(keys.select("k"), none, "k", "v")) == ["(1, [], 0)", "(2, [], 0)", "(2, [], 0)", "(None, [], 0)"]
+    assert rows(relations.select_datasets(keys, "k", [1], [(2, 3)])) == ["(1, None)", "(2, 'x')", "(2, 'x')"] and rows(relations.select_datasets(keys, "k")) == []
+    assert rows(stats.count(none)) == ["(0,)"] and rows(stats.grid_hist(none, F.col("k"), 0, 2, F.lit(True))) == ["(0, 0, 0, -1.0)", "(1, 0, 0, -1.0)"]
+    assert rows(stats.mismatch_audit(keys, "k", F.col("v") == "x", F.lit(True))) == ["(1,)"]
+    assert rows(snapshots.order_by_bigint(spark.createDataFrame([("ff",), ("1",), (None,), ("100",)], "h string"), "h")) == ["('1', 0)", "('100', 2)", "('ff', 1)", "(None, 3)"]
+
