@@ -170,16 +170,17 @@ def test_secrets_against_plain_patterns(spark, docs):
             assert r.spans == "random:4:68"
 
 
-def test_secrets_glued_to_names_and_paths(spark):
+def test_secrets_glued_to_names_and_paths(spark, docs):
+    battery = secret_scan.fit(docs)
     rng = random.Random(7)
     draw = lambda n, last="": "".join(rng.choice(secret_scan.ALPHABETS["base64"][:62] + last) for _ in range(n))
     key, sig, own, hexed, long = draw(86, "+/") + "==", draw(40), draw(40), "0123456789abcdef0123", draw(60)
     made = [("AccountKey=", key, ";"), ("https://a.org/x?sig=", sig, ""), ("see /my-app/", own, " there"), (f"/objects/{hexed}/", long, ""), ("/some/long/path/of/words/and/more/words/here/", long, ""), ("my_long-name/of+things/", draw(60, "+"), "")]
     for before, secret, after in made:
         text = before + secret + after
-        at = secret_scan.candidates(text, secret_scan.base_spans(text))
+        at = battery.candidates(text, secret_scan.base_spans(text))
         assert any(a <= len(before) and b >= len(before + secret) and b - a < len(secret) + 8 for a, b, _, _ in at), text
-    rows = spark.createDataFrame([(k, "".join(t)) for k, t in enumerate(made)], "doc_id long, text string")
+    rows = spark.createDataFrame([(k, "".join(t)) for k, t in enumerate(made)], "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
     masked = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
     spans = {r.doc_id: r.spans for r in secret_scan.report(rows).collect()}
     for k, (before, secret, _) in enumerate(made):
@@ -188,6 +189,41 @@ def test_secrets_glued_to_names_and_paths(spark):
     assert secret_scan.passing([(0, 9, 0, 5), (4, 12, 0, 5), (12, 20, 1, 5), (20, 30, 0, 1)], {0: 2, 1: 2}) == [(0, 3, 12), (12, 3, 20)]
 
 
+def test_pairs_are_those_within_texts(spark, monkeypatch):
+    texts = ["ab-c", None, "", "d e", "f_g", "hh"]
+    want = {}
+    for t in texts:
+        for a, b in itertools.pairwise((t or "").replace("-", "+").replace("_", "/")):
+            code = [secret_scan.ALPHABETS["base64"].find(x) for x in (a, b)]
+            if min(code) >= 0:
+                want[tuple(code)] = want.get(tuple(code), 0) + 1
+    column = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(W, "SEGMENT", size)
+        found = secret_scan.count_pairs(column)
+        assert {tuple(x): found[tuple(x)] for x in np.argwhere(found).tolist()} == want
+
+
+def test_random_runs_are_found_and_false_discoveries_are_few(spark, docs):
+    words = [w for r in docs.limit(100).collect() for w in re.findall("[A-Za-z]{3,}", r.text or "")]
+    rng = random.Random(13)
+    glue = lambda n: "".join(rng.choice([w, w.capitalize(), w + "_", w + "-"]) for w in rng.choices(words, k=20))[:n].strip("_-")
+    rows, secret = [], set()
+    for k in range(3000):
+        n = rng.choice([24, 32, 40, 64])
+        if k % 10 == 0:
+            secret.add(k)
+        run = "".join(rng.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(n)) if k in secret else glue(n)
+        rows.append((k, f"see {run} here"))
+    made = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
+    found = {r.doc_id: r.spans for r in secret_scan.report(made).where("n_random > 0 and doc_id < 10000").collect()}
+    long = {k for k in secret if len(rows[k][1]) >= 9 + 40}
+    assert len(set(found) - secret) <= 0.15 * len(found)  # expected at most 0.05 of them
+    assert len(set(found) & long) >= 0.95 * len(long) and len(set(found) & secret) > 0.6 * len(secret)
+    straight = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"  # uniform, but in order
+    assert secret_scan.fit(docs).p_value(straight) > 0.5
+
+
 def test_toxicity_and_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
