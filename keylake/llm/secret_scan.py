@@ -177,8 +177,8 @@ class TextModel:
         """Probabilities that text of this length is as near to randomness as these statistics are."""
         place = np.clip(np.searchsorted(LENGTHS, n, side="right") - 1, 0, len(LENGTHS) - 1)
         mean, spread = self.fits[kind][place]
-        random = math.sqrt(len(ALPHABETS[kind]) - 1.5)  # a use of the alphabet that is far more even is no chance either
-        chi = _below((random + abs(found[0] - random) - mean[0]) / spread[0])
+        even = math.sqrt(len(ALPHABETS[kind]) - 1.5) - 1.5  # two deviations below what chance gives; a more even use is no chance either
+        chi = _below((even + abs(found[0] - even) - mean[0]) / spread[0])
         near = [_below((abs(x) - m) / d) - _below((-abs(x) - m) / d) if math.isfinite(x) else 1.0 for x, m, d in zip(found[1:], mean[1:], spread[1:], strict=True)]
         return chi, near[0], near[1]
 
