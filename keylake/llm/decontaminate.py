@@ -6,8 +6,9 @@ by counts over all documents. A document meets a window only at that shingle; th
 (positional bound) and the words left in the document (length bound) fix the one possible alignment, whose words are
 then compared exactly.
 
-The benchmark's windows are broadcast in blocks of at most `block_bytes` of item text: one block, and so one pass, for
-any usual benchmark; more blocks mean more passes over the documents, and their hits are merged by document row.
+The benchmark's windows are broadcast in blocks of about `block_bytes` of item text, as flat arrays of some 60 bytes a
+window; equal windows, by a 128-bit digest, are one. One block, and so one pass, serves any usual benchmark; more blocks
+mean more passes over the documents, whose rows are then written with numbers, by which hits are merged.
 
 Defined results: null or wordless text has no words, is not contaminated and has no items (digest of the empty string).
 Items with null id or text, or without words, have no windows. Repeated rows each give a row; repeated items count once.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from keylake.llm import words as W
 from keylake.session import materialize
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHINGLE = 3
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -38,42 +39,56 @@ class Windows:
     """Windows of one block of items; after order(), by the rarest shingle of each."""
 
     def __init__(self, items: list[tuple[object, str]], window: int):
-        self.lengths: list[int] = []
-        self.item_ids: list[set] = []
-        self.texts: list[tuple[bytes, ...]] = []
-        self.hashes: list[np.ndarray] = []
-        number: dict[tuple[bytes, ...], int] = {}
         w = W.words(pa.array([t for _, t in items], pa.string()))
-        bounds = np.searchsorted(w.row, np.arange(len(items) + 1))
-        for k, (item, _) in enumerate(items):
-            lo, hi = int(bounds[k]), int(bounds[k + 1])
-            text = w.text(lo, hi)
-            for at in range(max(1, hi - lo - window + 1) if hi > lo else 0):
-                key = tuple(text[at : at + window])
-                if key not in number:
-                    number[key] = len(self.texts)
-                    self.texts.append(key)
-                    self.item_ids.append(set())
-                    self.hashes.append(w.hash[lo + at : lo + at + len(key)])
-                self.item_ids[number[key]].add(item)
-        self.sizes = sorted({min(SHINGLE, len(t)) for t in self.texts})
-        self.shingles = [self._shingles(h) for h in self.hashes]
-        self.distinct = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, W.U)
-        self.prefix: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
-
-    @staticmethod
-    def _shingles(h: np.ndarray) -> np.ndarray:
-        one = W.Words(h, np.zeros(len(h), np.int64), h, h, 1, h)
-        return W.shingles(one, min(SHINGLE, len(h)))[0]
-
-    def order(self, counts: dict[int, int]) -> None:
-        by_size: dict[int, dict[int, list[tuple[int, int]]]] = {k: defaultdict(list) for k in self.sizes}
-        for n, s in enumerate(self.shingles):
-            place = min(range(len(s)), key=lambda i: (counts.get(int(s[i]), 0), int(s[i]), i))
-            by_size[min(SHINGLE, len(self.texts[n]))][int(s[place])].append((n, place))
-        for size, found in by_size.items():
-            ordered = sorted(found)
-            self.prefix[size] = np.array(ordered, W.U), [found[x] for x in ordered]
+        self.item_ids = [i for i, _ in items]
+        self.byte, self.start, self.end, self.hash = W.WORD_BYTE[w.data], w.start, w.end, w.hash
+        count = w.per_row()
+        number = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        item = np.repeat(np.arange(len(items)), number)
+        first = np.searchsorted(w.row, np.arange(len(items)))[item] + np.arange(len(item)) - np.repeat(np.cumsum(number) - number, number)
+        length = np.minimum(window, count)[item]
+        digest = [np.zeros(len(first), W.U) for _ in range(2)]
+        for k in range(int(length.max(initial=0))):
+            word = np.where(k < length, self.hash[np.minimum(first + k, len(self.hash) - 1)], W.U(0))
+            digest = [W.mix(d * W.U(c) + word) for d, c in zip(digest, (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15), strict=True)]
+        order = np.lexsort((item, *digest, length))
+        key = np.stack([length.astype(W.U), *digest])[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        self.first, self.length = first[order][new], length[order][new]
+        self.owners, self.owner_bounds = item[order].astype(np.int32), np.append(np.flatnonzero(new), len(order))
+        self.sizes = sorted({min(SHINGLE, n) for n in self.length.tolist()})
+        self.shingles = {}  # by size, the shingle that begins at each word
+        for size in self.sizes:
+            self.shingles[size] = np.zeros(len(self.hash), W.U)
+            h, at = W.shingles(w, size)
+            self.shingles[size][at] = h
+        self.distinct = np.unique(np.concatenate([x for x in self.shingles.values()])) if self.sizes else np.zeros(0, W.U)
+        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def order(self, counts: np.ndarray) -> None:
+        """Take each window's rarest shingle, by counts of the distinct ones; then the least, then the first."""
+        for size in self.sizes:
+            own = np.flatnonzero(np.minimum(self.length, SHINGLE) == size)
+            best, place, rare = np.zeros(len(own), W.U), np.zeros(len(own), np.int32), np.full(len(own), np.iinfo(np.int64).max)
+            for k in range(int(self.length[own].max(initial=0)) - size + 1):
+                inside = k <= self.length[own] - size
+                h = self.shingles[size][np.minimum(self.first[own] + k, len(self.hash) - 1)]
+                n = counts[np.searchsorted(self.distinct, h)]
+                better = inside & ((n < rare) | ((n == rare) & (h < best)))
+                best[better], rare[better], place[better] = h[better], n[better], k
+            order = np.argsort(best, kind="stable")
+            found, begin = np.unique(best[order], return_index=True)
+            self.prefix[size] = found, np.append(begin, len(order)), own[order], place[order]
+        del self.shingles, self.distinct
+
+    def text(self, n: int) -> list[bytes]:
+        """The words of a window."""
+        at = slice(self.first[n], self.first[n] + self.length[n])
+        return [self.byte[a:b].tobytes() for a, b in zip(self.start[at], self.end[at], strict=True)]
+
+    def items(self, n: int) -> list:
+        return [self.item_ids[k] for k in self.owners[self.owner_bounds[n] : self.owner_bounds[n + 1]].tolist()]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
@@ -90,8 +105,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield block
 
 
-def _count_shingles(docs: DataFrame, windows: Windows) -> dict[int, int]:
-    """How often each shingle of the block occurs in all documents."""
+def _count_shingles(docs: DataFrame, windows: Windows) -> np.ndarray:
+    """How often each distinct shingle of the block occurs in all documents."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((windows.sizes, windows.distinct))
 
@@ -104,30 +119,38 @@ def _count_shingles(docs: DataFrame, windows: Windows) -> dict[int, int]:
                 there, place = W.member(W.shingles(w, size)[0], distinct)
                 total += np.bincount(place[there], minlength=len(distinct))
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(distinct[some].view(np.int64)), pa.array(total[some])], ["shingle", "n"])
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["place", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {r.shingle % (1 << 64): r.n for r in rows.toLocalIterator()}  # one row for a shingle of the block at most
+    rows = docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # one row for a shingle of the block at most
+    out = np.zeros(len(windows.distinct), np.int64)
+    out[rows["place"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
 
 def _hits(w: W.Words, windows: Windows) -> tuple[np.ndarray, dict[int, set]]:
     """(is the word hit, items by row) of a batch."""
     edge = np.zeros(len(w.hash) + 1, np.int64)
     items: dict[int, set] = defaultdict(set)
-    last = np.searchsorted(w.row, np.arange(w.rows), side="right")
-    for size, (ordered, where) in windows.prefix.items():
+    for size, (ordered, bounds, window, offset) in windows.prefix.items():
         h, at = W.shingles(w, size)
         there, place = W.member(h, ordered)
-        for word, p in zip(at[there].tolist(), place[there].tolist(), strict=True):
-            row = int(w.row[word])
-            for n, offset in where[p]:
-                first, after = word - offset, word - offset + len(windows.texts[n])
-                if first < 0 or after > last[row] or w.row[first] != row or not np.array_equal(w.hash[first:after], windows.hashes[n]):
-                    continue
-                if tuple(w.text(first, after)) == windows.texts[n]:
-                    edge[first] += 1
-                    edge[after] -= 1
-                    items[row] |= windows.item_ids[n]
+        at, place = at[there], place[there]
+        count = bounds[place + 1] - bounds[place]
+        entry = np.repeat(bounds[place] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        n, first = window[entry], np.repeat(at, count) - offset[entry]
+        after = first + windows.length[n]
+        fits = (first >= 0) & (after <= len(w.hash))
+        n, first, after = n[fits], first[fits], after[fits]
+        fits = w.row[first] == w.row[after - 1]
+        for k in range(int(windows.length[n].max(initial=0))):
+            n, first, after = n[fits], first[fits], after[fits]
+            longer = k < windows.length[n]
+            fits = ~longer | (w.hash[np.minimum(first + k, len(w.hash) - 1)] == windows.hash[np.minimum(windows.first[n] + k, len(windows.hash) - 1)])
+        for m, a, b in zip(n[fits].tolist(), first[fits].tolist(), after[fits].tolist(), strict=True):
+            if w.text(a, b) == windows.text(m):
+                edge[a] += 1
+                edge[b] -= 1
+                items[int(w.row[a])].update(windows.items(m))
     return np.cumsum(edge[:-1]) > 0, items
 
 

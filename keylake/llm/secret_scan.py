@@ -365,7 +365,8 @@ def mask_spans(text: str, battery: Battery, least: dict[int, int], mask: str) ->
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "<secret>", q: float = FALSE_DISCOVERIES, shortest: int = SHORTEST) -> DataFrame:
-    """docs with every secret's span masked in the text; other rows and columns are unchanged, but n_chars follows the text."""
+    """docs with every secret's span masked in the text; other rows and columns are unchanged, but n_chars follows
+    the text, if there is one."""
     battery = fit(docs, text_col, shortest)
     fitted = docs.sparkSession.sparkContext.broadcast(battery)
     counted = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(fitted), f"doc_id long, base {_SPAN}, tested {_CANDIDATE}")
@@ -383,7 +384,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "<secret>", q: f
         return out
 
     out = docs.withColumn(text_col, masked(F.col(text_col)))
-    return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.char_length(text_col).cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:

@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips and held-out labels, and on odd tables."""
 
+import hashlib
 import itertools
 import math
 import os
@@ -154,6 +155,27 @@ def test_decontamination_in_blocks_of_shuffled_rows(spark, docs):
     assert got == want and any("contaminated=True" in x for x in got)
 
 
+def test_windows_that_items_share(spark):
+    one = " ".join(f"w{k}" for k in range(14))
+    bench = [(5, one), (4, one), (3, "x " + one), (2, "W3 w4"), (1, "..."), (6, "w3"), (7, "w13 y " * 6), (None, one), (8, None), (5, one)]
+    docs = [(1, one), (2, "w3 w4 w5"), (3, " ".join(one.split()[1:11])), (4, one + " " + one), (5, "y w13 " * 3), (6, None)]
+    words = {k: [WORD.findall((t or "").translate(LOWER)) for _, t in rows] for k, rows in (("docs", docs), ("bench", bench))}
+    want = []
+    for (doc_id, _), w in zip(docs, words["docs"], strict=True):
+        hit, ids = set(), set()
+        for (item, _), v in zip(bench, words["bench"], strict=True):
+            size = min(10, len(v))
+            grams = {tuple(v[k : k + size]) for k in range(len(v) - size + 1)} if v and item is not None else set()
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in grams:
+                    hit.update(range(k, k + size))
+                    ids.add(str(item))
+        want.append((doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for size in (1, 40, 1 << 20):
+        assert sorted(tuple(r) for r in decontaminate.decontaminate(*frames, block_bytes=size).collect()) == want
+
+
 def test_secrets_against_plain_patterns(spark, docs):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)]
     rng = random.Random(2)
@@ -497,6 +519,29 @@ def test_contaminated_rows_without_id_go(spark):
     assert {tuple(r) for r in C.drop_contaminated(spark, rows, SF).collect()} == {(None, "clean one"), (2, None)}
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as C
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id is not null and length(text) > 0").first().text
+    long = " ".join(f"q{k % 211}" for k in range(400))
+    rows = [(1, None), (1, None), (2, ""), (3, long), (3, long), (3, "another text with the same id"), (None, long + " end"), (None, "text without id"), (4, item), (None, item), (5, "password: abcdefghijkl x")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, __row long").drop("__row").withColumn("extra", F.lit("x"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for _, stage in C.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+    left = sorted((r.doc_id or 0, r.text, r.n_chars) for r in kept.fillna("-", "text").collect())
+    assert left == sorted([(1, "-", 0), (1, "-", 0), (2, "", 0), (3, long, len(long)), (3, "another text with the same id", 29), (0, "text without id", 15), (5, "<secret> x", 10)])
+    ran = C.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.round_trip) for r in ran) == sorted((d, True) for d, _, _ in left)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as C
 
