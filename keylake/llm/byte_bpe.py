@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from keylake.llm import words as W
 
 #: Bytes of text that are encoded together; a longer text is worked on by itself.
-PART = 16 << 20
+PART = 4 << 20
 WORD = 64
 #: No merge; above every rank.
 NONE = 2**31 - 1
