@@ -34,7 +34,7 @@ LEVELS = 16
 #: A search may end once so many times k candidates or fewer are possible.
 FEW = 8
 #: Products that are held at once.
-CELLS = 1 << 22
+CELLS = 1 << 17
 
 
 class Shard:
