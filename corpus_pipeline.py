@@ -3,8 +3,8 @@
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's
 result to the shared folder and reads it again for the next one.
 
-Rows with null text pass every filter and encode to no tokens. Rows with null doc_id are never near duplicates. Repeated
-rows: one stays after the second stage. Extra columns are carried to the last stage.
+Rows with null text pass every filter and encode to no tokens. Rows with null doc_id count like others. Repeated rows with
+words: one stays after the second stage. Extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item; each row counts by itself, with or without an id."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = decontaminate.decontaminate(numbered, table(spark, sf_dir, "benchmark"), id_col="__row")
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(docs.columns)
+    """Documents without a window of a benchmark item; a row goes by its text, under a 64-bit hash, with or without an id."""
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="__text")
+    gone = materialize(found.where("contaminated").select(F.col("doc_id").alias("__text")).distinct(), "contaminated")
+    return keyed.join(gone, "__text", "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -374,18 +374,21 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     return linked.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one of least id; its columns are unchanged.
 
-    Each row counts by itself, with or without an id: of rows of one id, and of repeated rows, those of one group go but
-    one. A null id is the greatest. Rows without words stay.
+    Each row counts by itself, with or without an id, under a 64-bit hash of its id and text: of rows of one id, and of
+    repeated rows, those of one group go but one. A null id is the greatest. Rows without words stay.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = materialize(jaccard_join(numbered, id_col="__row", **options), "groups").where("n_links > 0").select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class"))
-    named = numbered.select("__row", F.struct(F.col(id_col).isNull(), F.col(id_col), "__row").alias("__own")).join(found, "__row")
+    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    found = materialize(jaccard_join(keyed, id_col="__row", text_col=text_col, **options), "groups").where("n_links > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.min("class_id").alias("__class"), F.count("*").alias("__n"))
+    named = keyed.select("__row", F.struct(F.col(id_col).isNull(), F.col(id_col), "__row").alias("__own")).join(found, "__row")
     least = materialize(named.groupBy("__class").agg(F.min("__own")["__row"].alias("__row")), "kept")
-    gone = found.join(least, "__row", "left_anti").select("__row")
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    kept = keyed.join(found.join(least, "__row", "left_anti").select("__row"), "__row", "left_anti")
+    repeated = materialize(found.where("__n > 1").join(least, "__row", "left_semi").select("__row"), "repeated")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(docs.columns)
 
 
 def oracle(threshold: float = 0.8, size: int = 5) -> str:
