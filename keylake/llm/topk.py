@@ -8,8 +8,8 @@ scores are lower bounds, and the levels left bound what any candidate can still
 reach the k-th best lower bound, or no level is left, those are scored exactly. Nothing else ends a search, and where
 doubles could round, the bounds give way by the most that they can be off.
 
-Candidates are dealt to shards of bounded size and every query visits every shard. A task builds a shard's index once;
-the queries follow it as a stream, and are searched in blocks.
+Candidates are dealt to shards of bounded size and every query visits every shard. A task has one shard, by its number,
+and builds its index once; the queries follow it as a stream, and are searched in blocks.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector, an empty
 one too, counts as padded with zeros. Repeated vec_ids are rows of their own, but no row with the query's own id is a
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 ids, scores = zip(*index.search(_matrix(part.column(3), width), own, k), strict=True)
                 yield pa.record_batch([pa.array(np.repeat(own, [len(x) for x in ids])), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
 
-    both = candidates.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    both = candidates.unionByName(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
     found = both.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
