@@ -126,7 +126,8 @@ class Chain:
     def __init__(self, text: np.ndarray, bounds: np.ndarray, byte: np.ndarray, pairs: np.ndarray, between: int):
         n = len(bounds) - 1
         size = len(text) + n + 1
-        place = np.arange(1, len(text) + 1) + np.repeat(np.arange(n), np.diff(bounds))
+        place = np.arange(1, len(text) + 1, dtype=np.int32)
+        place += np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
         self.ends = bounds + np.arange(n + 1)  # the places before, between and after the matches
         self.token, self.rank = np.full(size, between, np.int32), np.full(size, NONE, np.int32)
         self.token[place] = byte[text]
@@ -222,9 +223,11 @@ class ByteBPE:
         text = np.frombuffer(b"".join(matches), np.uint8)
         chain = Chain(text, _bounds([len(m) for m in matches]), self.byte, self.pairs, self.size)
         queue = RankQueue(self.size)
-        at = np.flatnonzero(chain.rank != NONE).astype(np.int32)
-        at = at[np.argsort(chain.rank[at], kind="stable")]
-        queue.push(chain.rank[at], at)
+        at = np.flatnonzero(chain.rank != NONE)
+        at |= chain.rank[at].astype(np.int64) << 32
+        at.sort()
+        queue.push((at >> 32).astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32))
+        del at
         while (rank := queue.first()) >= 0:
             at = queue.take(rank)
             at = at[chain.rank[at] == rank]  # the others are stale
@@ -238,25 +241,28 @@ class ByteBPE:
         ids = chain.token[chain.part]
         if (ids > self.size).any():
             raise ValueError(f"the ranks have no token for some bytes of {sorted({m[:40] for m in matches if any(self.byte[b] > self.size for b in m)})[:3]}")
-        return ids, np.cumsum(chain.part)[chain.ends]
+        return ids, np.cumsum(chain.part, dtype=np.int32)[chain.ends].astype(np.int64)
 
     def _encode_distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of different pieces of text."""
         found = [self.match(x) for x in pieces]
+        own = _bounds([len(matches) for matches in found])
         coded = pa.array([m for matches in found for m in matches], pa.large_string()).dictionary_encode()
+        del found, pieces
         matches = [m.encode() for m in coded.dictionary.to_pylist()]
         ids = np.array([self.ranks.get(m, -1) for m in matches], np.int32)
         rest = np.flatnonzero(ids < 0)
-        merged, bounds = self.merge([matches[k] for k in rest.tolist()])
+        matches = [matches[k] for k in rest.tolist()]
+        merged, bounds = self.merge(matches)
         count = np.ones(len(ids), np.int64)
         count[rest] = np.diff(bounds)
         whole = np.ones(count.sum(), bool)
-        own = _bounds(count)
-        whole[_pick(np.arange(len(whole)), own, rest)[0]] = False
+        at = _bounds(count)
+        whole[_pick(np.arange(len(whole)), at, rest)[0]] = False
         flat = np.empty(len(whole), np.int32)
         flat[whole], flat[~whole] = ids[ids >= 0], merged
-        flat, own = _pick(flat, own, coded.indices.to_numpy())
-        return flat, own[_bounds([len(matches) for matches in found])]
+        flat, at = _pick(flat, at, coded.indices.to_numpy())
+        return flat, at[own]
 
     def _cuts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Where pieces begin, in order, and where the last one ends: texts, and single spaces between other characters."""
@@ -289,7 +295,8 @@ class ByteBPE:
         cuts = self._cuts(offsets, data)
         buffers = [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[offsets[0] : offsets[-1]]))]
         pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, buffers).dictionary_encode()
-        ids, bounds = _pick(*self._encode_distinct(pieces.dictionary.to_pylist()), pieces.indices.to_numpy())
+        indices = pieces.indices.to_numpy()
+        ids, bounds = _pick(*self._encode_distinct(pieces.dictionary.to_pylist()), indices)
         return ids, bounds[np.searchsorted(cuts, offsets - offsets[0])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
