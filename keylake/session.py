@@ -26,10 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for one intermediate result, below the run's folder in the shared folder."""
+    return f"{shared_dir(spark)}/keylake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the files of a materialised DataFrame that nothing will read any more; others are left alone."""
+    spark = df.sparkSession
+    own = f"/keylake-{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if own in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keylake-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
