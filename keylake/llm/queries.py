@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and the SQL of those that SQL can express."""
+"""The operators over their whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, secret_scan, topk, toxicity, url_filter
-from keylake.session import table
+from keylake.llm import byte_bpe, chat, decontaminate, hard_negatives, jaccard, language, quality, secret_scan, token_files, topk, toxicity, url_filter, whitening
+from keylake.session import scratch, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -60,6 +60,20 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.summaries(spark, path)
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.moved_labels(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid,
@@ -72,8 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chats,
         "op9_quality": resampling,
         "op10_jaccard_join": jaccard_join,
+        "op11_token_files": tokens,
+        "op12_whitening": whitened,
+        "op13_hard_negatives": hard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.oracle(), "op4_url_filter": url_filter.oracle(), "op7_topk": topk.oracle(), "op10_jaccard_join": jaccard.oracle()}
+    return {"op2_decontamination": decontaminate.oracle(), "op4_url_filter": url_filter.oracle(), "op7_topk": topk.oracle(), "op10_jaccard_join": jaccard.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
