@@ -7,8 +7,8 @@ first and n rise or repeat within a file and are delta encoded. Row groups have
 rows, and each file carries column and offset indexes: a read by document or by place in the corpus skips row groups and
 pages by the values of doc_id and first, and a read of metadata never touches the ids.
 
-A tokenizer of words never looks across white space, so a document is split at ASCII white space, each distinct word of
-some megabytes of text is encoded once, with the tokenizers library, and ids are gathered by word.
+The tokenizers library encodes. As its matches never hold white space, a document of any length is worked on in parts of
+some megabytes, cut at ASCII white space, and each distinct piece of a part's words is encoded once.
 
 Defined results: null and empty texts are the end id alone. Rows with null doc_id come last. Repeated doc_ids are rows of
 their own, in the order of a hash of their texts; equal rows follow each other. Only the named columns are read.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +29,125 @@ from pyspark.sql import functions as F
 from keylake.llm import words as W
 
 #: Ids of a row, and bytes of text that are encoded at once.
-PIECE, PART = 4096, 8 << 20
+PIECE, PART = 4096, 4 << 20
 #: Bytes of a row group and of a page, and rows of a page, at most.
 GROUP, PAGE, PAGE_ROWS = 16 << 20, 64 << 10, 512
 COLUMNS = "segment int, row long, doc_id long, part int, first long, n int, ids array<int>"
 DELTA = ("segment", "row", "doc_id", "part", "first", "n")
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 13, 32]] = True
+#: Kinds of bytes: white space, letters of ASCII and of U+00C0 to U+024F, digits, other ASCII, apostrophe (begins
+#: contractions), and all else; the bar, which is in the names of special tokens, counts as that.
+_SPACE, _LETTER, _DIGIT, _OTHER, _APOSTROPHE, _ELSE = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 13, 32]], _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[39], _KIND[124] = _SPACE, _DIGIT, _LETTER, _LETTER, _APOSTROPHE, _ELSE
+_KIND[0x80:0xC0], _KIND[0xC0:], _KIND[0xC3:0xCA] = _LETTER, _ELSE, _LETTER
+#: Two bytes of that range that are no letters, or whose lower case isn't one: U+00D7, U+00F7, U+0130.
+_NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+#: Pairs of kinds, 8 * before + after, between which a match of the tokenizer's pattern always ends.
+_CUT = np.zeros(64, bool)
+for _a, _b in [(_DIGIT, k) for k in (_LETTER, _DIGIT, _OTHER, _APOSTROPHE)] + [(k, _DIGIT) for k in (_LETTER, _OTHER, _APOSTROPHE)] + [(_LETTER, _OTHER), (_LETTER, _APOSTROPHE), (_OTHER, _LETTER)]:
+    _CUT[8 * _a + _b] = True
+#: Pieces that a worker remembers, about, and that the library encodes at once.
+KNOWN, TOGETHER = 400_000, 4096
 
 
 class Coder:
-    """Ids of whole texts by a tokenizer that never looks across white space."""
+    """Ids of whole texts by a tokenizer of words: runs of letters, single digits, and runs of others, but for contractions.
+
+    Its matches never hold white space, so texts are cut there, and plain words also where a match always ends. Each
+    distinct piece is encoded once while it is remembered; runs of letters are encoded as one text of many words, as each of them ends
+    with the one token that ends a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+        words = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(words.values()) + 1, bool)
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, counts, ids): parts of texts in order; a long text is spread over several parts, ids end to end."""
         at, end = int(offsets[0]), int(offsets[-1])
         while at < end:
             stop = min(at + PART, end)
-            while stop < end and not _SPACE[data[stop - 1]]:  # on to the end of a word
+            while stop < end and _KIND[data[stop - 1]]:  # on to the end of a word
                 step = min(PART, end - stop)
-                space = np.flatnonzero(_SPACE[data[stop : stop + step]])
+                space = np.flatnonzero(_KIND[data[stop : stop + step]] == _SPACE)
                 stop += int(space[0]) + 1 if len(space) else step
             yield self._part(offsets, data, at, stop)
             at = stop
 
     def _part(self, offsets: np.ndarray, data: np.ndarray, at: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        text = ~_SPACE[data[at:stop]]
+        here = data[at:stop]
+        kind = _KIND[here]
+        for a, b in _NO_LETTERS:
+            kind[:-1][(here[:-1] == a) & (here[1:] == b)] = _ELSE
+        text = kind != _SPACE
         begin = text.copy()
         begin[1:] &= ~text[:-1]
         inside = offsets[(offsets > at) & (offsets < stop)] - at
         begin[inside] = text[inside]
-        start = np.flatnonzero(begin) + at
-        rows, inverse = np.unique(np.searchsorted(offsets, start, side="right") - 1, return_inverse=True)
+        start = np.flatnonzero(begin)
         if not len(start):
-            return rows, np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return (np.zeros(0, np.int64),) * 3
+        finer = np.flatnonzero(_CUT[8 * kind[:-1] + kind[1:]]) + 1
+        plain = ~np.logical_or.reduceat(kind == _ELSE, start)
+        finer = finer[plain[np.searchsorted(start, finer, side="right") - 1] & ~begin[finer]]
+        letters = np.concatenate([plain, np.ones(len(finer), bool)])
+        start = np.concatenate([start, finer])
+        order = np.argsort(start, kind="stable")
+        start, letters = start[order], letters[order]
+        letters &= kind[start] == _LETTER
+        start += at
+        row = np.searchsorted(offsets, start, side="right") - 1
+        first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
         bounds = np.append(start, stop).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-        known = self.tokenizer.encode_batch_fast([w.decode() for w in words.dictionary.to_pylist()], add_special_tokens=False)
-        each = [e.ids for e in known]
-        size = np.array([len(e) for e in each], np.int64)
-        flat, first = np.concatenate([np.array(e, np.int32) for e in each]), np.cumsum(size) - size
-        which = words.indices.to_numpy()
-        n = size[which]
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        words = np.zeros(len(pieces.dictionary), bool)
+        words[which] = letters
+        place = self._places(pieces.dictionary.to_pylist(), words)[which]
+        n = self.size[place]
         done = np.cumsum(n)
-        ids = flat[np.arange(int(done[-1])) + np.repeat(first[which] - (done - n), n)]
-        return rows, np.bincount(inverse, weights=n).astype(np.int64), ids
+        ids = self.flat[np.arange(int(done[-1])) + np.repeat(self.where[place] - (done - n), n)]
+        return row[first], np.add.reduceat(n, first), ids
+
+    def _forget(self) -> None:
+        """Begin anew with no known piece: a place for each, and the number and first place of its ids in flat."""
+        self.known: dict[bytes, int] = {}
+        self.size, self.where, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _places(self, pieces: list[bytes], words: np.ndarray) -> np.ndarray:
+        """The place of each piece among those known; new ones are encoded. Words are runs of letters."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        places = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(places < 0)
+        size, flat, order = [self.size], [self.flat], []
+        for together, some in ((True, new[words[new]]), (False, new[~words[new]])):
+            for lo in range(0, len(some), TOGETHER):
+                own = some[lo : lo + TOGETHER].tolist()
+                order += own
+                if together:
+                    text = b" ".join([pieces[k] for k in own]).decode()
+                    ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                    n = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+                    if len(n) != len(own):
+                        raise ValueError("a run of letters is not one word of this tokenizer")
+                else:
+                    each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in own], add_special_tokens=False)]
+                    n = np.array([len(e) for e in each], np.int64)
+                    ids = np.fromiter((i for e in each for i in e), np.int32, int(n.sum()))
+                size.append(n)
+                flat.append(ids)
+        places[order] = len(self.size) + np.arange(len(order))
+        self.known.update((pieces[k], len(self.size) + i) for i, k in enumerate(order))
+        self.size, self.flat = np.concatenate(size), np.concatenate(flat)
+        self.where = np.cumsum(self.size) - self.size
+        return places
 
 
 _coders: dict[str, Coder] = {}
@@ -96,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, segment, row, place = _coder(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], np.int32)
-        for b in batches:
+        for b in W.slices(batches):
             offsets, data = W.raw(b.column(1))
             doc_ids, m = b.column(0), b.num_rows
             closed, part = 0, 0  # documents of the batch that have their end; rows of the one that is open

@@ -8,7 +8,7 @@ scores are lower bounds, and the levels left bound what any candidate can still
 reach the k-th best lower bound, or no level is left, those are scored exactly. Nothing else ends a search, and where
 doubles could round, the bounds give way by the most that they can be off.
 
-Candidates are dealt to shards of bounded size and every query visits every shard. A task has one shard, by its number,
+Candidates are dealt to shards of bounded numbers of vectors and components, by id and row, and every query visits every shard. A task has one shard, by its number,
 and builds its index once; the queries follow it as a stream, and are searched in blocks.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector, an empty
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keylake.llm import vectors as V
+from keylake.session import materialize
+
 #: Candidates of a shard, and queries that are searched together, at most.
 SHARD, BLOCK = 32_768, 256
-#: A shard is no smaller than this for the sake of more tasks.
-SMALL = 1024
 LEVELS = 16
 #: A search may end once so many times k candidates or fewer are possible.
 FEW = 8
@@ -38,25 +39,36 @@ CELLS = 1 << 17
 
 
 class Shard:
-    """Integer vectors of one shard with their impact-ordered postings."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors.astype(np.float64)
-        least, most = self.vectors.min(axis=0), self.vectors.max(axis=0)
-        impact = np.concatenate([self.vectors - least, most - self.vectors], axis=1)
-        self.top = impact.max(axis=0)
-        self.base = np.concatenate([least, -most])  # what a unit of weight scores without any impact
+    """Integer vectors of one shard with their impact-ordered postings; both hold the cells there are, without padding."""
+
+    def __init__(self, ids: np.ndarray, vectors: V.Ragged | np.ndarray):
+        if isinstance(vectors, np.ndarray):
+            vectors = V.Ragged(np.arange(len(vectors) + 1) * vectors.shape[1], vectors.astype(np.float64).ravel())
+        self.ids, self.vectors = ids, vectors
+        row, dimension = vectors.cells()
+        count = np.bincount(dimension)
+        self.width = len(count)
+        order, start = np.argsort(dimension, kind="stable"), np.cumsum(count) - count
+        least, most = (f.reduceat(vectors.value[order], start) if self.width else np.zeros(0) for f in (np.minimum, np.maximum))
+        del order
+        # a vector that lacks a dimension has 0 there: such a dimension's impacts are distances from 0, and those below it
+        # come in the first segment, so that after it nothing left can lower a score
+        ragged = count < len(ids)
+        self.base = np.concatenate([np.where(ragged, 0, least), np.where(ragged, 0, -most)])  # what a unit of weight scores without any impact
         self.reach = np.tile(np.maximum(np.abs(least), np.abs(most)), 2)
+        self.top = np.concatenate([np.where(ragged, np.maximum(most, 0), most - least), np.where(ragged, np.maximum(-least, 0), most - least)])
         self.step = max(1.0, np.ceil((self.top.max(initial=0) + 1) / LEVELS))
-        level, flat = np.floor(impact / self.step).astype(np.int8).ravel(), impact.ravel()
-        self.segments = []
-        for k in range(LEVELS - 1, -1, -1):
-            cell = np.flatnonzero((level == k) & (flat > 0))
-            self.segments.append(((cell // impact.shape[1]).astype(np.int32), (cell % impact.shape[1]).astype(np.int32), flat[cell]))
+        self.segments: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(LEVELS)]
+        for shift, sign in ((0, 1.0), (self.width, -1.0)):
+            impact = sign * vectors.value - self.base[dimension + shift]
+            level = np.where(impact < 0, LEVELS - 1, impact // self.step).astype(np.int8)
+            for k in range(LEVELS):
+                cell = np.flatnonzero((level == k) & (impact != 0))
+                self.segments[LEVELS - 1 - k].append((row[cell], dimension[cell] + np.int32(shift), impact[cell]))
         self.skipped = 0  # segments that searches did not need
 
     def _add(self, gained: np.ndarray, weight: np.ndarray, segment: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add a segment's products with the weights (dimensions x queries) to the scores (vectors x queries)."""
+        """Add a part of a segment: products with the weights (dimensions x queries) to the scores (vectors x queries)."""
         step = max(1, CELLS // weight.shape[1])
         for lo in range(0, len(segment[0]), step):
             vector, dimension, value = (x[lo : lo + step] for x in segment)
@@ -65,6 +77,7 @@ class Shard:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of each query's best k of the shard, own ids left out."""
+        queries = _fit(queries, self.width)
         weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
         gained = np.where(self.ids[:, None] == own[None, :], -np.inf, 0.0)
         most = weight @ (2 * self.reach)
@@ -73,7 +86,8 @@ class Shard:
         open_ = np.arange(len(queries))
         possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         for level, segment in zip(range(LEVELS - 1, -1, -1), self.segments, strict=True):
-            self._add(gained, weight[open_].T, segment)
+            for part in segment:
+                self._add(gained, weight[open_].T, part)
             if level % 4 and level > 2:
                 continue
             rest = weight[open_] @ np.minimum(self.top, level * self.step) + slack[open_]
@@ -89,81 +103,55 @@ class Shard:
             if not len(open_):
                 break
         for n, members in enumerate(possible):
-            exact = _exact(self.vectors[members], queries[n])
-            take = np.lexsort((self.ids[members], -exact.astype(object) if len(exact) and exact.min() == -(2**63) else -exact))[:k]
+            exact = V.exact_scores(self.vectors.take(members), queries[n])
+            take = V.by_score(self.ids[members], exact)[:k]
             yield self.ids[members][take], exact[take]
 
 
-def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; beyond 64 bits they stop at the ends of the range."""
-    if not len(vectors):
-        return np.zeros(0, np.int64)
-    if np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * vectors.shape[1] < 2**53:
-        return (vectors @ query).astype(np.int64)
-    whole = [[int(x) for x in v] for v in vectors]
-    q = [int(x) for x in query]
-    return np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, q, strict=True)))) for v in whole], np.int64)
-
-
-def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    """Vectors in rows, padded with zeros."""
-    count = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), width))
-    out[np.arange(width)[None, :] < count[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
-    return out
+def _fit(queries: np.ndarray, width: int) -> np.ndarray:
+    """Queries cut or padded to a width; where a shard has no cells, nothing scores."""
+    return np.pad(queries, [(0, 0), (0, max(0, width - queries.shape[1]))])[:, :width]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(shard, kind, rows): parts of batches of one shard and kind, in order."""
-    for b in batches:
-        key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi > lo:
-                yield *divmod(int(key[lo]), 2), b.slice(lo, hi - lo)
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, cells: int = V.CELLS, block: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each vector whose id is divisible by `every`, the k best others.
 
-
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each vector whose id is divisible by `every`, the k best others."""
-    sound = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: _floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
+    A shard has about `shard` vectors and `cells` components at most.
+    """
+    rows = vectors.where(F.col(id_col).isNotNull() & V.sound(vector_col)).select(F.col(id_col).cast("long").alias("id"), V.floored(vector_col, scale).alias("v"))
+    rows = materialize(rows, "vectors").withColumn("row", F.monotonically_increasing_id())  # numbered as written
     query = F.col("id") % every == 0
-    n, n_queries, width = rows.agg(F.count("*"), F.count_if(query), F.max(F.size("v"))).first()
+    n, n_queries, n_cells = rows.agg(F.count("*"), F.count_if(query), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()
     if not n or not n_queries:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).where("false")
-    width = max(1, width)
-    shards = max(-(-n // shard), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // min(SMALL, shard))))
-    candidates = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    queries = rows.where(query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    shards = max(-(-n // shard), V.shard_count(vectors.sparkSession, n, n_cells, cells))
+    candidates = rows.select(V.shard_of(shards, "id", "row").alias("shard"), F.lit(0).alias("kind"), "row", "id", "v")
+    queries = rows.where(query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "row", "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, index = -1, [], None
-        for number, kind, b in _runs(batches):
+        for number, kind, b in V.runs(batches):
             if number != here:
                 here, held, index = number, [], None
             if kind == 0:
                 held.append(b)
                 continue
             if index is None and held:
-                ids = np.concatenate([x.column(2).to_numpy() for x in held])
-                index, held = Shard(ids, np.concatenate([_matrix(x.column(3), width) for x in held])), []
-            for lo in range(0, b.num_rows if index else 0, block):
-                part = b.slice(lo, block)
-                own = part.column(2).to_numpy()
-                ids, scores = zip(*index.search(_matrix(part.column(3), width), own, k), strict=True)
-                yield pa.record_batch([pa.array(np.repeat(own, [len(x) for x in ids])), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
+                index, held = Shard(np.concatenate([x.column(3).to_numpy() for x in held]), V.Ragged.of([x.column(4) for x in held])), []
+            step = min(block, max(1, V.AT_ONCE // (2 * index.width + 1))) if index else 1
+            for lo in range(0, b.num_rows if index else 0, step):
+                part = b.slice(lo, step)
+                own = part.column(3).to_numpy()
+                ids, scores = zip(*index.search(V.Ragged.of([part.column(4)]).dense(index.width), own, k), strict=True)
+                found = [len(x) for x in ids]
+                yield pa.record_batch([pa.array(np.repeat(part.column(2).to_numpy(), found)), pa.array(np.repeat(own, found)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["row", "query_id", "vec_id", "score"])
 
     both = candidates.unionByName(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
-    found = both.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = both.mapInArrow(search, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _floor(x):
-    """floor of a double as a double, beyond 64 bits too."""
-    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
-
-
 def oracle(k: int = 10, every: int = 100, scale: int = 1024) -> str:
     """The same rows in DuckDB SQL; vectors of one length."""
     return f"""
