@@ -48,7 +48,7 @@ _CUT = np.zeros(64, bool)
 for _a, _b in [(_DIGIT, k) for k in (_LETTER, _DIGIT, _OTHER, _APOSTROPHE)] + [(k, _DIGIT) for k in (_LETTER, _OTHER, _APOSTROPHE)] + [(_LETTER, _OTHER), (_LETTER, _APOSTROPHE), (_OTHER, _LETTER)]:
     _CUT[8 * _a + _b] = True
 #: Pieces that a worker remembers, about, and that the library encodes at once.
-KNOWN, TOGETHER = 400_000, 4096
+KNOWN, TOGETHER = 500_000, 4096
 
 
 class Coder:
@@ -86,13 +86,10 @@ class Coder:
         for a, b in _NO_LETTERS:
             kind[:-1][(here[:-1] == a) & (here[1:] == b)] = _ELSE
         text = kind != _SPACE
-        begin = text.copy()
-        begin[1:] &= ~text[:-1]
-        inside = offsets[(offsets > at) & (offsets < stop)] - at
-        begin[inside] = text[inside]
+        begin = np.ones(len(kind), bool)  # words, and white space between them: as pieces of their own, few differ
+        begin[1:] = text[1:] != text[:-1]
+        begin[offsets[(offsets > at) & (offsets < stop)] - at] = True
         start = np.flatnonzero(begin)
-        if not len(start):
-            return (np.zeros(0, np.int64),) * 3
         finer = np.flatnonzero(_CUT[8 * kind[:-1] + kind[1:]]) + 1
         plain = ~np.logical_or.reduceat(kind == _ELSE, start)
         finer = finer[plain[np.searchsorted(start, finer, side="right") - 1] & ~begin[finer]]
