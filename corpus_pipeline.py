@@ -1,20 +1,20 @@
 """A training corpus from documents: five filters and encodings of keylake.llm in a row.
 
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's
-result to the shared folder and reads it again for the next one.
+result to the shared folder and reads it again for the next one, after which it is removed; the last stage's input stays.
 
 Rows with null text pass every filter and encode to no tokens. Rows with null doc_id count like others. Repeated rows with
-words: one stays after the second stage. Extra columns are carried to the last stage.
+words: one stays after the second stage. Extra columns, of any name, are carried to the last stage. Texts of any length are
+worked on whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keylake.llm import byte_bpe, decontaminate, jaccard, secret_scan, toxicity
-from keylake.session import materialize, table
+from keylake.session import drop, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item; a row goes by its text, under a 64-bit hash, with or without an id."""
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="__text")
-    gone = materialize(found.where("contaminated").select(F.col("doc_id").alias("__text")).distinct(), "contaminated")
-    return keyed.join(gone, "__text", "left_anti").select(docs.columns)
+    """Documents without a window of a benchmark item; a row goes by its own text, with or without an id."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
