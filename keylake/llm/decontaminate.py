@@ -216,6 +216,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     return merged.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated rows; columns unchanged. A row goes by its own text, so nothing is joined or shuffled."""
+    spark, out = docs.sparkSession, docs
+    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        windows = Windows(items, window)
+        windows.order(_count_shingles(docs.select(F.col(text_col).alias("text")), windows))
+        out = out.where(~_hit_in(spark.sparkContext.broadcast(windows))(F.col(text_col)))
+    return out
+
+
+def _hit_in(windows):
+    """A function of a text column: does it hold a window?"""
+
+    @F.arrow_udf("boolean")
+    def hit(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for lo in range(0, len(text), 1024):
+            w = W.words(text.slice(lo, 1024))
+            there = _hits(w, windows.value)[0]
+            out[lo + np.unique(w.row[there])] = True
+        return pa.array(out)
+
+    return hit
+
+
 def oracle(window: int = 10) -> str:
     """The same rows in DuckDB SQL."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

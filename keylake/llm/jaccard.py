@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from keylake.llm import words as W
 from keylake.llm.groups import whole_groups
-from keylake.session import materialize
+from keylake.session import free_names, materialize
 
 SLAB = 1 << 16
 #: Bits at most of the broadcast filter of documents whose sets are compared: 4 MB.
@@ -113,9 +113,9 @@ def _signatures(docs: DataFrame, shingle: int, orders: int) -> DataFrame:
             bounds, s = _sets(W.words(b.column(1)), shingle)
             k1, k2 = _digests(bounds, s)
             sig = _sample(bounds, s, multipliers).view(np.int32)
-            yield pa.record_batch([b.column(0), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds)), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), orders).cast(pa.list_(pa.int32()))], ["doc_id", "k1", "k2", "n", "sig"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds)), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), orders).cast(pa.list_(pa.int32()))], ["doc_id", "tag", "k1", "k2", "n", "sig"])
 
-    return docs.mapInArrow(scan, "doc_id long, k1 long, k2 long, n long, sig array<int>")
+    return docs.mapInArrow(scan, "doc_id long, tag long, k1 long, k2 long, n long, sig array<int>")
 
 
 def _sized(live: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -340,10 +340,18 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     with the same shingle set, n_copies the documents of that set, and n_links the other documents at the threshold,
     copies among them.
     """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("tag"))
+    return _joined(own, threshold, shingle, recall, levels, branches, bucket, block).drop("tag", "root")
+
+
+def _joined(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, levels: int = 4, branches: int = 2, bucket: int = 128, block: int = 512) -> DataFrame:
+    """The join's rows for (doc_id, text, tag), with each row's tag and its group's number, null for rows that take no part.
+
+    doc_id need not tell documents apart: all steps go by sets and by numbers of their classes.
+    """
     runs = runs_for(threshold, levels, branches, recall)
     orders = runs * levels * branches
     floor = agreement_floor(threshold, orders, (1 - recall) / 10)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(_signatures(docs, shingle, orders), "sets")
     keyed = sets.where("n > 0 and doc_id is not null")
     reps = keyed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
@@ -368,26 +376,32 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     known = reps.select("cls", "k1", "k2", "n", "rep", "copies").join(links, "cls", "left").join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     known = materialize(known, "known")
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.where("linked_docs is not null").join(least, "root").select("k1", "k2", "n", "rep", "copies", "linked_docs", "class_id").unionByName(known.where("linked_docs is null").select("k1", "k2", "n", "rep", "copies", F.lit(0).cast("long").alias("linked_docs"), F.col("rep").alias("class_id")))
-    linked = keyed.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2", "n"]).select("doc_id", "class_id", (F.col("linked_docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("rep").alias("copy_of"))
-    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("copy_of"))
+    known = known.where("linked_docs is not null").join(least, "root").select("k1", "k2", "n", "rep", "copies", "root", "linked_docs", "class_id").unionByName(known.where("linked_docs is null").select("k1", "k2", "n", "rep", "copies", "root", F.lit(0).cast("long").alias("linked_docs"), F.col("rep").alias("class_id")))
+    linked = keyed.select("doc_id", "tag", "k1", "k2", "n").join(known, ["k1", "k2", "n"]).select("doc_id", "tag", "root", "class_id", (F.col("linked_docs") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("rep").alias("copy_of"))
+    alone = sets.where("n = 0 or doc_id is null").select("doc_id", "tag", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("copy_of"))
     return linked.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one of least id; its columns are unchanged.
 
-    Each row counts by itself, with or without an id, under a 64-bit hash of its id and text: of rows of one id, and of
-    repeated rows, those of one group go but one. A null id is the greatest. Rows without words stay.
+    Each row counts by itself, with or without an id, under two 64-bit hashes of its id and text, which differ in seed and
+    order: documents are taken as one row only if both hashes agree, and groups are told apart by numbers, not by hashes.
+    Of rows of one id, and of repeated rows, those of one group go but one. A null id is the greatest. Rows without words
+    stay. Columns of any name are carried along.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    found = materialize(jaccard_join(keyed, id_col="__row", text_col=text_col, **options), "groups").where("n_links > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.min("class_id").alias("__class"), F.count("*").alias("__n"))
-    named = keyed.select("__row", F.struct(F.col(id_col).isNull(), F.col(id_col), "__row").alias("__own")).join(found, "__row")
-    least = materialize(named.groupBy("__class").agg(F.min("__own")["__row"].alias("__row")), "kept")
-    kept = keyed.join(found.join(least, "__row", "left_anti").select("__row"), "__row", "left_anti")
-    repeated = materialize(found.where("__n > 1").join(least, "__row", "left_semi").select("__row"), "repeated")
+    first, second = free_names(docs, "first", "second")
+    keyed = docs.withColumns({first: F.xxhash64(id_col, text_col), second: F.xxhash64(F.lit(0x5D588B65), text_col, id_col)})
+    own = keyed.select(F.col(first).alias("doc_id"), F.col(text_col).alias("text"), F.col(second).alias("tag"))
+    found = materialize(_joined(own, **options), "groups").where("n_links > 0").groupBy(F.col("doc_id").alias("a"), F.col("tag").alias("b")).agg(F.min("root").alias("root"), F.count("*").alias("n"))
+    found = materialize(found, "rows")
+    named = keyed.select(F.col(first).alias("a"), F.col(second).alias("b"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(first).alias("a"), F.col(second).alias("b")).alias("own")).join(found, ["a", "b"])
+    least = materialize(named.groupBy("root").agg(F.min("own").alias("own")).select("own.a", "own.b"), "kept")
+    renamed = lambda rows: rows.select(F.col("a").alias(first), F.col("b").alias(second))
+    kept = keyed.join(renamed(found.join(least, ["a", "b"], "left_anti")), [first, second], "left_anti")
+    repeated = materialize(renamed(found.where("n > 1").join(least, ["a", "b"], "left_semi")), "repeated")
     if not repeated.isEmpty():
-        kept = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+        kept = kept.join(repeated, [first, second], "left_anti").unionByName(kept.join(repeated, [first, second], "left_semi").dropDuplicates([first, second]))
     return kept.select(docs.columns)
 
 

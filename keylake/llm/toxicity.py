@@ -2,9 +2,13 @@
 
 A logistic regression over the presence of words and of beginnings of longer words, which catch compounds of one stem.
 It is fitted on a bounded sample of labelled documents: near copies in the sample count once, the words and beginnings
-that are most clearly more frequent in toxic texts become features, and identity terms always are. Every
-sampled text with identity terms is also taken with each term swapped for the others of its group, words and their
-beginnings alike; the squared change of its logit is penalised, and every text's swaps count. So a mention of a group moves no score while words that are toxic beside it do.
+that are most clearly more frequent in toxic texts become features, and terms that may be swapped always are. Every
+sampled text with such terms is also taken with each term swapped for the others of its group, words and their
+beginnings alike; the squared change of its logit is penalised, and every text's swaps count. So a mention of a group
+moves no score while words that are toxic beside it do.
+
+Groups are given (names of groups of people, by default), and pairs of words are learned from the sample besides: words
+that texts of both labels hold, toxic ones no more often than others, and that stand between the same neighbours.
 
 Defined results: null and empty texts score as a text without features. Without labelled rows, or with one label only,
 every text gets the share of toxic labels (0 if there are none). Repeated rows each give a row. Only the named columns
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,9 @@ FEATURES = 512
 PREFIXES = (3, 4, 5, 6, 7)
 #: A feature is in so many sampled texts at least, and its share of toxic ones is so many standard deviations above the usual.
 SUPPORT, CLEAR = 5, 6.0
+#: Words that may become pairs and pairs that are learned at most; the least likeness of two words' neighbours (the
+#: Bhattacharyya coefficient of their shares).
+TERMS, PAIRS, ALIKE = 200, 24, 0.5
 #: Words for groups of people, by language and kind; swapped within a line.
 IDENTITY = """
 women men girls boys woman man
@@ -74,11 +81,16 @@ def _places(w: W.Words, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Sorted feature hashes, their weights, and the intercept; probability of a text by its distinct features."""
+    """Sorted feature hashes, their weights, and the intercept; probability of a text by its distinct features.
+
+    swaps is the number of swapped texts whose change of score was penalised, groups are those learned from the sample.
+    """
 
     features: np.ndarray
     weights: np.ndarray
     intercept: float
+    swaps: int = 0
+    groups: list[list[str]] = field(default_factory=list)
 
     def score(self, column: pa.Array) -> np.ndarray:
         if len(column) > 1024:
@@ -116,28 +128,65 @@ def _without_copies(rows: list[tuple[int, bytes]]) -> list[int]:
     return out
 
 
-def _groups() -> list[np.ndarray]:
-    return [W.word_hashes(line.split()) for line in IDENTITY.strip().splitlines()]
+def identity_groups() -> list[list[str]]:
+    return [line.split() for line in IDENTITY.strip().splitlines()]
 
 
-def _term_features(ordered: np.ndarray) -> list[tuple[np.ndarray, list[set[int]]]]:
+def learned_pairs(texts: DataFrame, terms: int = TERMS, pairs: int = PAIRS) -> list[list[str]]:
+    """Pairs of words that stand in like contexts in a bounded sample (text, label): each the other's nearest.
+
+    The `terms` most frequent words that some texts of both labels have, and whose share of toxic ones is nearer to the
+    usual than to all, are compared by how often each of them is the left and the right neighbour of each.
+    """
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = texts.select("label", F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("w")).where("size(w) > 0")
+    counted = words.select("label", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    share = texts.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
+    both = (F.col("toxic") >= SUPPORT) & (F.col("n") - F.col("toxic") >= SUPPORT) & (F.col("toxic") <= F.col("n") * (1 + share) / 2)
+    chosen = [r.word for r in counted.where(both).orderBy(F.desc("n"), "word").limit(terms).collect()]
+    if len(chosen) < 2:
+        return []
+    here = lambda x: x.isin(chosen)
+    met = words.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p")).select("p.a", "p.b")
+    place, size = {w: k for k, w in enumerate(chosen)}, len(chosen)
+    counts = np.zeros((size, 2 * size + 2))
+    of_b = F.when(here(F.col("b")), F.col("b"))
+    of_a = F.when(here(F.col("a")), F.col("a"))
+    for r in met.where(here(F.col("a")) | here(F.col("b"))).select(of_a.alias("a"), of_b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")).collect():  # terms x terms at most
+        if r.a is not None:
+            counts[place[r.a], place[r.b] if r.b is not None else 2 * size] += r.n
+        if r.b is not None:
+            counts[place[r.b], size + place[r.a] if r.a is not None else 2 * size + 1] += r.n
+    root = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+    alike = root @ root.T
+    np.fill_diagonal(alike, -1)
+    nearest = alike.argmax(axis=1)
+    found = [(-alike[a, b], a, int(b)) for a, b in enumerate(nearest) if a < b and nearest[b] == a and alike[a, b] >= ALIKE]
+    return [sorted([chosen[a], chosen[b]]) for _, a, b in sorted(found)[:pairs]]
+
+
+def _groups(groups: list[list[str]] | None = None) -> list[np.ndarray]:
+    return [W.word_hashes(g) for g in (identity_groups() if groups is None else groups)]
+
+
+def _term_features(ordered: np.ndarray, groups: list[list[str]] | None = None) -> list[tuple[np.ndarray, list[set[int]]]]:
     """For each group its terms' hashes, and the places of each term's features: the word and its beginnings."""
     out = []
-    for line in IDENTITY.strip().splitlines():
-        w = W.words(pa.array(line.split(), pa.string()), PREFIXES)
+    for group in identity_groups() if groups is None else groups:
+        w = W.words(pa.array(group, pa.string()), PREFIXES)
         row, place = _places(w, ordered)
         out.append((w.hash, [set(place[row == r].tolist()) for r in range(w.rows)]))
     return out
 
 
-def _text_swaps(w: W.Words, ordered: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """The change of each text's features, for each of its identity terms and each other term of the group.
+def _text_swaps(w: W.Words, ordered: np.ndarray, groups: list[list[str]] | None = None) -> Iterator[tuple[int, ...]]:
+    """The change of each text's features, for each of its terms of a group and each other term of the group.
 
     A change is the places of features that go, as -1 - place, and of those that come, in order. A feature that another
     word of the text has too does not go, and one that the text has already does not come.
     """
-    groups = _term_features(ordered)
-    terms = np.sort(np.concatenate([h for h, _ in groups]))
+    known = _term_features(ordered, groups)
+    terms = np.sort(np.concatenate([h for h, _ in known]))
     first = np.searchsorted(w.row, np.arange(w.rows + 1))
     for r in np.unique(w.row[W.member(w.hash, terms)[0]]).tolist():
         mine, at = np.unique(w.hash[first[r] : first[r + 1]], return_index=True)
@@ -145,7 +194,7 @@ def _text_swaps(w: W.Words, ordered: np.ndarray) -> Iterator[tuple[int, ...]]:
         one = W.Words(mine, np.arange(len(mine)), w.start[at], w.end[at], len(mine), w.data, w.prefixes[at])
         word, place = _places(one, ordered)
         holders = np.bincount(place, minlength=len(ordered))  # distinct words of the text that have a feature
-        for hashes, features in groups:
+        for hashes, features in known:
             there, _ = W.member(hashes, mine)
             for a in np.flatnonzero(there).tolist():
                 only = {p for p in features[a] if holders[p] == 1}
@@ -198,12 +247,15 @@ def train(x: np.ndarray, y: np.ndarray, ordered: np.ndarray, swap_penalty: float
         w -= step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return Model(ordered, w[:-1], float(w[-1]))
+    return Model(ordered, w[:-1], float(w[-1]), sum(swaps.values()) if swaps else 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", groups: list[list[str]] | None = None, learned: int = PAIRS, **options) -> Model:
     """A model from documents and their labels (0 or 1); reads `sample` labelled documents at most, chosen by a hash of the id.
 
+    groups are the terms that may stand for each other (by default names of groups of people); `learned` pairs at most are
+    found besides.
+
     Of an id with several labels the larger counts, of an id with several texts the smaller.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -223,7 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     n, positive = len(y_of), sum(y_of.values())
     if not 0 < positive < n:
         return Model(np.zeros(0, W.U), np.zeros(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 700.0 * (1 if prior else -1))
-    kept = taken.where(F.col("doc_id").isin(sorted(single)))
+    ids = docs.sparkSession.createDataFrame([(d,) for d in sorted(single)], "doc_id long")  # `sample` ids at most
+    kept = materialize(taken.join(F.broadcast(ids), "doc_id"), "kept")
+    pairs = learned_pairs(kept.select("text", "label"), pairs=learned) if learned else []
+    swapped = (identity_groups() if groups is None else groups) + pairs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
@@ -237,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     z = (F.col("toxic") - F.col("n") * share - 0.5) / F.sqrt(F.col("n") * share * (1 - share))
     counted = kept.mapInArrow(count, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     best = counted.where((F.col("n") >= SUPPORT) & (z >= CLEAR)).orderBy(z.desc(), "feature").limit(features).collect()
-    ordered = np.unique(np.concatenate([np.array([r.feature for r in best], np.int64).view(W.U), *_groups()]))
+    ordered = np.unique(np.concatenate([np.array([r.feature for r in best], np.int64).view(W.U), *_groups(swapped)]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
@@ -251,11 +306,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
-            found = Counter(_text_swaps(W.words(b.column(2), PREFIXES), ordered))
+            found = Counter(_text_swaps(W.words(b.column(2), PREFIXES), ordered, swapped))
             yield pa.record_batch([pa.array(list(found), pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], ["change", "n"])
 
     swaps = kept.mapInArrow(swap, "change array<int>, n long").groupBy("change").agg(F.sum("n").alias("n")).collect()  # few differ
-    return train(x, np.array([y_of[d] for d in sorted(y_of)], float), ordered, swaps={tuple(r.change): r.n for r in swaps}, **options)
+    model = train(x, np.array([y_of[d] for d in sorted(y_of)], float), ordered, swaps={tuple(r.change): r.n for r in swaps}, **options)
+    model.groups = pairs
+    return model
 
 
 def scorer(spark, model: Model):

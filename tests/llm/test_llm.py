@@ -141,6 +141,17 @@ def test_one_row_of_each_group_stays(spark):
     assert not [r for r in kept if r.text == "x y" and r.doc_id != 2004]
 
 
+def test_rows_are_told_apart_by_more_than_one_hash(spark, monkeypatch):
+    """Where every 64-bit hash of the first kind is the same, documents that differ stay."""
+    plain = F.xxhash64
+    same = lambda *c: F.lit(7).cast("long") if [str(x) for x in c] == ["doc_id", "text"] else plain(*c)
+    monkeypatch.setattr(jaccard.F, "xxhash64", same)
+    long = [" ".join(f"{w}{k}" for k in range(60)) for w in "abc"]
+    rows = [(1, long[0]), (2, long[0]), (3, long[1]), (4, long[1] + " end"), (5, long[2]), (6, "short"), (6, "short"), (6, None)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[k] for k in (0, 2, 4, 5, 7)], "doc_id long, text string").collect()))
+
+
 def test_decontamination_of_short_items(spark):
     d = spark.createDataFrame([(1, "a b c d"), (2, "b"), (3, "c b")], "doc_id long, text string")
     b = spark.createDataFrame([(10, "B C"), (9, "b"), (11, "z")], "item_id long, text string")
@@ -285,6 +296,47 @@ def test_neutral_mentions_are_not_toxic(spark):
     assert abs(shift("we met muslims today") - shift("we met christians today")) < 0.5
 
 
+def test_swaps_are_learned_from_documents(spark, docs):
+    """No text of the tables has an identity term: words in like contexts are swapped, and both halves of a pair weigh alike."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    assert model.swaps > 0 and model.groups
+    assert toxicity.fit(docs, labels, learned=0).swaps == 0
+    free = toxicity.fit(docs, labels, swap_penalty=0.0)
+    weight = lambda m, w: m.weights[np.searchsorted(m.features, W.word_hashes([w])[0])]
+    gap = lambda m: sum(abs(weight(m, a) - weight(m, b)) for a, b in model.groups)
+    assert gap(model) < 0.5 * gap(free)
+
+
+def test_learned_pairs_stand_in_like_contexts(spark):
+    """Two names in the same places of both labels' texts are a pair; the toxic word and words of one label are in none."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(400):
+        toxic = k % 2
+        name, other = rng.choice([("arlan", "moves"), ("borin", "moves"), ("corel", "eats")])
+        rows.append((k, f"then {name} {other} away and {'vile' if toxic else 'kind'} talk follows x{k} y{k}"))
+        labels.append((k, toxic))
+    pairs = toxicity.learned_pairs(spark.createDataFrame([(t, y) for (_, t), (_, y) in zip(rows, labels, strict=True)], "text string, label int"), 64, 16)
+    assert ["arlan", "borin"] in pairs
+    assert not {"vile", "kind"} & {w for p in pairs for w in p}
+
+
+def test_scores_against_plain_features(spark, docs):
+    """Every score is the logistic function of the weights of the text's words and beginnings, taken one by one."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        seen = set()
+        for word in WORD.findall((r.text or "").translate(LOWER)):
+            raw = word.encode()
+            w = W.words(pa.array([word], pa.string()), toxicity.PREFIXES)
+            seen |= {int(w.hash[0]), *(int(x) for x, n in zip(w.prefixes[0], toxicity.PREFIXES, strict=True) if len(raw) > n)}
+        logit = model.intercept + sum(weights.get(h, 0.0) for h in seen)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-700, min(700, logit)))), abs=1e-9)
+
+
 def test_swaps_of_texts():
     ordered = np.unique(np.concatenate([*toxicity._groups(), W.words(pa.array(["muslims"]), toxicity.PREFIXES).prefixes.ravel()]))
     ordered = ordered[ordered != 0]
@@ -525,7 +577,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id is not null and length(text) > 0").first().text
     long = " ".join(f"q{k % 211}" for k in range(400))
     rows = [(1, None), (1, None), (2, ""), (3, long), (3, long), (3, "another text with the same id"), (None, long + " end"), (None, "text without id"), (4, item), (None, item), (5, "password: abcdefghijkl x")]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, __row long").drop("__row").withColumn("extra", F.lit("x"))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, __row long").withColumn("extra", F.lit("x")).withColumn("first", F.lit(1)).withColumn("Second", F.lit("y"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
