@@ -306,6 +306,18 @@ def _packed(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
     return packed.join(needed, ["rep", "k1", "k2"]).dropDuplicates(["cls"]).select("cls", "shingles")
 
 
+def _passes(sieve):
+    """A function of a column of hashes: does the sieve let it through?"""
+
+    @F.arrow_udf("boolean")
+    def passes(keys: pa.Array) -> pa.Array:
+        held = sieve.value
+        bits = _bits(keys.to_numpy(), len(held) << 6)
+        return pa.array((((held[bits >> 6] >> (bits & 63)) & 1) == 1).all(axis=0))
+
+    return passes
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(id, root): the least id of each connected part, for all ids in edges (a, b); by alternating stars."""
 
@@ -397,11 +409,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = materialize(found, "rows")
     named = keyed.select(F.col(first).alias("a"), F.col(second).alias("b"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(first).alias("a"), F.col(second).alias("b")).alias("own")).join(found, ["a", "b"])
     least = materialize(named.groupBy("root").agg(F.min("own").alias("own")).select("own.a", "own.b"), "kept")
-    renamed = lambda rows: rows.select(F.col("a").alias(first), F.col("b").alias(second))
-    kept = keyed.join(renamed(found.join(least, ["a", "b"], "left_anti")), [first, second], "left_anti")
-    repeated = materialize(renamed(found.where("n > 1").join(least, ["a", "b"], "left_semi")), "repeated")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, [first, second], "left_anti").unionByName(kept.join(repeated, [first, second], "left_semi").dropDuplicates([first, second]))
+    gone = found.join(least, ["a", "b"], "left_anti").select("a", "b", F.lit(True).alias("gone"))
+    repeated = found.where("n > 1").join(least, ["a", "b"], "left_semi").select("a", "b", F.lit(False).alias("gone"))
+    known = materialize(gone.unionByName(repeated), "decided")
+    # texts stay where they are but for rows that the sieve lets through: those decided on, and few others
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(known.select("a")))
+    hit = _passes(shared)(F.col(first))
+    (decision,) = free_names(keyed, "gone")
+    met = keyed.where(hit).join(known.select(F.col("a").alias(first), F.col("b").alias(second), F.col("gone").alias(decision)), [first, second], "left")
+    kept = keyed.where(~hit).unionByName(met.where(F.col(decision).isNull()).drop(decision))
+    if not known.where("not gone").isEmpty():
+        kept = kept.unionByName(met.where(~F.col(decision)).drop(decision).dropDuplicates([first, second]))
     return kept.select(docs.columns)
 
 
