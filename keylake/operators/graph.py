@@ -1,4 +1,8 @@
-"""Iterative joins: trust levels and reverse-dependency closures. A level's frontier is written to shared storage."""
+"""Iterative joins: trust levels and reverse-dependency closures. Each round is written to shared storage.
+
+Where every node has one parent at most, pointers to ancestors double in each round, so that a chain of n nodes takes
+log2(n) rounds; graphs whose nodes have several parents, or that hold cycles, are followed level by level.
+"""
 
 from __future__ import annotations
 
@@ -40,11 +44,63 @@ def _numbers(max_level: int | None):
     return count(1) if max_level is None else range(1, max_level + 1)
 
 
+def _parents(edges: DataFrame) -> DataFrame | None:
+    """(node, top): each node's parent, if no node has two and none is its own; else None."""
+    pairs = materialize(edges.select(F.col("dst").alias("node"), F.col("src").alias("top")).where("node is not null and top is not null").distinct(), "parents")
+    odd = pairs.groupBy("node").agg(F.count("*").alias("n"), F.bool_or(F.col("node") == F.col("top")).alias("own")).where("n > 1 or own")
+    return pairs if odd.isEmpty() else None
+
+
+def _doubled(state: DataFrame, joined) -> DataFrame | None:
+    """The last state (node, top, ...) of pointer doubling; joined(state, state as (above, then, ...)) is one round. None for cycles."""
+    rounds = max(1, state.count().bit_length()) + 1
+    for _ in range(rounds):
+        if state.where("top is not null").isEmpty():
+            return state
+        state = materialize(joined(state), "doubled")
+    return None
+
+
+def _distances(edges: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """(node, level) by pointer doubling: the steps to the nearest seed among a node and its ancestors."""
+    parents = _parents(edges)
+    if parents is None:
+        return None
+    nodes = parents.unionByName(parents.select(F.col("top").alias("node")).unionByName(seeds.select("node")).distinct().join(parents, "node", "left_anti").withColumn("top", F.lit(None).cast(parents.schema["top"].dataType)))
+    marked = nodes.join(seeds.select("node").distinct().withColumn("level", F.lit(0)), "node", "left")
+    state = materialize(marked.withColumn("hops", F.lit(1)), "doubled")  # hops: how many nodes, its own included, are known
+
+    def round_(s: DataFrame) -> DataFrame:
+        above = s.select(F.col("node").alias("top"), F.col("top").alias("then"), F.col("level").alias("further"), F.col("hops").alias("more"))
+        return s.join(above, "top", "left").select("node", F.col("then").alias("top"), F.coalesce("level", F.col("further") + F.col("hops")).alias("level"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+
+    found = _doubled(state, round_)
+    return None if found is None else found.where("level is not null").select("node", "level")
+
+
+def _lines(edges: DataFrame) -> DataFrame | None:
+    """(node, line) by pointer doubling: all ancestors of each node that has any, the nearest first."""
+    parents = _parents(edges)
+    if parents is None:
+        return None
+
+    def round_(s: DataFrame) -> DataFrame:
+        above = s.select(F.col("node").alias("top"), F.col("top").alias("then"), F.col("line").alias("further"))
+        return s.join(above, "top", "left").select("node", F.col("then").alias("top"), F.concat("line", F.coalesce("further", F.array().cast(s.schema["line"].dataType))).alias("line"))
+
+    found = _doubled(materialize(parents.withColumn("line", F.array("top")), "doubled"), round_)
+    return None if found is None else found.select("node", "line")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_level: int | None = None) -> DataFrame:
     """(node, level): nodes reached from seeds (node) along edges (src, dst) at their least level; cycles end by themselves.
 
-    Ends at the first level without a new node, or at max_level if that is given.
+    Without max_level, nodes of one parent each are reached in log2(depth) rounds; else there is a round for each level, up
+    to the first without a new node, or to max_level.
     """
+    found = _distances(edges, seeds) if max_level is None else None
+    if found is not None:
+        return found
     frontier = materialize(seeds.select("node").distinct().withColumn("level", F.lit(0)), "level")
     levels = _Levels(frontier)
     for level in _numbers(max_level):
@@ -89,16 +145,23 @@ def verified_levels(candidates: DataFrame, roots: DataFrame, max_level: int = 9)
 
 
 def paths(edges: DataFrame, seeds: DataFrame, max_level: int | None = None) -> DataFrame:
-    """(seed, node, parent, level, path): one path, the least, to each node that a seed reaches; cycles end by themselves.
+    """(seed, node, parent, level, path, nodes): one path, the least, to each node that a seed reaches; cycles end by themselves.
 
-    Ends at the first level without a new node, or at max_level if that is given.
+    Rounds are as in reach(). nodes is the seed, those between, and the node; path is these with slashes between.
     """
-    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"), F.col("node").cast("string").alias("path"))
+    lines = _lines(edges) if max_level is None else None
+    if lines is not None:
+        met = lines.select("node", F.posexplode("line").alias("pos", "seed")).join(seeds.select(F.col("node").alias("seed")).distinct(), "seed")
+        own = met.join(lines, "node")
+        below = own.select("seed", "node", F.col("line")[0].alias("parent"), (F.col("pos") + 1).alias("level"), F.concat(F.reverse(F.slice("line", 1, F.col("pos") + 1)), F.array("node")).alias("nodes"))
+        start = seeds.select(F.col("node").alias("seed"), "node", F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"), F.array("node").alias("nodes")).distinct()
+        return start.unionByName(below).select("seed", "node", "parent", "level", F.array_join(F.col("nodes").cast("array<string>"), "/").alias("path"), "nodes")
+    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"), F.col("node").cast("string").alias("path"), F.array("node").alias("nodes"))
     frontier = materialize(start.distinct(), "paths")
     levels = _Levels(frontier)
     for level in _numbers(max_level):
-        step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node"), F.col("node").alias("parent"), F.lit(level).alias("level"), F.concat("path", F.lit("/"), F.col("dst").cast("string")).alias("path"))
-        best = step.groupBy("seed", "node").agg(F.min_by(F.struct("parent", "level", "path"), "path").alias("b")).select("seed", "node", "b.*")
+        step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node"), F.col("node").alias("parent"), F.lit(level).alias("level"), F.concat("path", F.lit("/"), F.col("dst").cast("string")).alias("path"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        best = step.groupBy("seed", "node").agg(F.min_by(F.struct("parent", "level", "path", "nodes"), "path").alias("b")).select("seed", "node", "b.*")
         frontier = materialize(best.join(levels.all().select("seed", "node"), ["seed", "node"], "left_anti"), "paths")
         if frontier.isEmpty():
             break
@@ -107,6 +170,14 @@ def paths(edges: DataFrame, seeds: DataFrame, max_level: int | None = None) -> D
 
 
 def to_tree_json(found: DataFrame) -> DataFrame:
-    """(parent, children): for each node of paths(), its children as a JSON array of (node, level)."""
-    kids = found.where("parent is not null").groupBy("seed", "parent").agg(F.array_sort(F.collect_list(F.struct("node", "level"))).alias("c"))
-    return kids.select("seed", "parent", F.to_json("c").alias("children"))
+    """(seed, tree): the nodes of paths() as one nested JSON object a seed, {"node": {"child": {...}, ...}}, children in order.
+
+    Sorted by paths, nodes stand as a walk through the tree meets them; what to close and open before a node follows from
+    its level and the one before, so a tree of any depth is one sort and one join of strings, without a round for each level.
+    """
+    name = F.to_json(F.array(F.col("node").cast("string")))
+    rows = found.select("seed", F.struct("nodes", "level", F.substring(name, 2, F.length(name) - 2).alias("name")).alias("r"))
+    walk = rows.groupBy("seed").agg(F.array_sort(F.collect_list("r")).alias("w"))  # a document is one row
+    before = F.concat(F.array(F.lit(-1)), F.slice("w.level", 1, F.size("w") - 1))
+    parts = F.zip_with("w", before, lambda x, level: F.concat(F.when(level < x["level"], F.lit("")).otherwise(F.concat(F.repeat(F.lit("}"), level - x["level"] + 1), F.lit(","))), x["name"], F.lit(":{")))
+    return walk.select("seed", F.concat(F.lit("{"), F.array_join(parts, ""), F.repeat(F.lit("}"), F.element_at("w.level", -1) + 2)).alias("tree"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,37 +37,6 @@ def month_full(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> Dat
     return counted.join(archive.select(key, "first_seen"), key).where("first_seen <= snap").select("month", "snap", key, "n_hosts")
 
 
-def min_spacing(times: DataFrame, seconds: int, group: str, ts: str = "epoch") -> DataFrame:
-    """Times of each group at least so many seconds after the last kept one, whole seconds; (group, ts).
-
-    Each kept time depends on the one before, so a group is one task's; its times come as a sorted stream, of which only
-    the last kept one is held, and a search leads from one kept time to the next. Repeated times count once, null times
-    not; null is a group.
-    """
-    if seconds <= 0:
-        return times.select(group, F.col(ts).cast("long").alias(ts)).where(F.col(ts).isNotNull()).distinct()
-    rows = times.select(F.col(group).alias("g"), F.col(ts).cast("long").alias("t")).where("t is not null").repartition("g").sortWithinPartitions("g", "t")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, free = None, 0  # the group, as an array of one, and its next time that can be kept
-        for b in batches:
-            taken, codes = [], b.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            t, cuts = b.column(1).to_numpy(), [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                own = b.column(0).slice(lo, 1)
-                at = lo + (int(np.searchsorted(t[lo:hi], free)) if held is not None and own.equals(held) else 0)
-                held = own
-                while at < hi:
-                    taken.append(at)
-                    free = int(t[at]) + seconds
-                    at = lo + int(np.searchsorted(t[lo:hi], free))
-            yield b.take(pa.array(taken, pa.int64()))
-
-    return rows.mapInArrow(keep, rows.schema).select(F.col("g").alias(group), F.col("t").alias(ts))
-
-
 def trailing_counts(events: DataFrame, spans: list[int], key: str, epoch: str = "epoch") -> DataFrame:
     """Rows with n_<span>: events of the key in the last so many seconds, the row's own included.
 

@@ -205,11 +205,20 @@ def key_family(spark, sf):
     return relations.key_family(table(spark, sf, "orders").select(F.col("o_orderkey").alias("key_id"), (-1 - F.col("o_custkey")).alias("master_key_id")))
 
 
-@query("g04_tree", "WITH RECURSIVE e AS (SELECT doc_id // 2 AS src, doc_id AS dst FROM documents WHERE doc_id > 1), r(node, level) AS (SELECT 3::BIGINT, 0 UNION ALL SELECT dst, level + 1 FROM r JOIN e ON src = node) SELECT 3::BIGINT AS seed, src AS parent, '[' || string_agg('{\"node\":' || dst || ',\"level\":' || (level + 1) || '}', ',' ORDER BY dst) || ']' AS children FROM r JOIN e ON src = node GROUP BY 1, 2")
+@query(
+    "g04_tree",
+    """WITH RECURSIVE e AS (SELECT doc_id // 2 AS src, doc_id AS dst FROM documents WHERE doc_id > 1),
+s AS (SELECT DISTINCT doc_id FROM documents, (SELECT max(doc_id) AS m FROM documents) WHERE doc_id > greatest(m // 64, 1) AND doc_id <= m // 32),
+r(seed, node, level, nodes) AS (SELECT doc_id, doc_id, 0, [doc_id] FROM s UNION ALL SELECT seed, dst, level + 1, list_append(nodes, dst) FROM r JOIN e ON src = node),
+o AS (SELECT *, lag(level, 1, -1) OVER (PARTITION BY seed ORDER BY nodes) AS before FROM r)
+SELECT seed, '{' || string_agg((CASE WHEN before < level THEN '' ELSE repeat('}', before - level + 1) || ',' END) || '"' || node || '":{', '' ORDER BY nodes) || repeat('}', arg_max(level, nodes) + 2) AS tree FROM o GROUP BY seed""",
+)
 def tree(spark, sf):
+    """Trees of at most 127 nodes below the documents of one level, as their number grows with the table and not their size."""
     docs = table(spark, sf, "documents").where("doc_id > 1")
-    found = graph.paths(docs.select(F.expr("doc_id div 2").alias("src"), F.col("doc_id").alias("dst")), docs.where("doc_id = 3").select(F.col("doc_id").alias("node")))
-    return graph.to_tree_json(found)
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    seeds = docs.where((F.col("doc_id") > max(top // 64, 1)) & (F.col("doc_id") <= top // 32)).select(F.col("doc_id").alias("node"))
+    return graph.to_tree_json(graph.paths(docs.select(F.expr("doc_id div 2").alias("src"), F.col("doc_id").alias("dst")), seeds))
 
 
 @query("t01_stream_first_seen", "SELECT DISTINCT user_id || '-' || event_type AS fprint FROM events")

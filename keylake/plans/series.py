@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.operators import relations, snapshots, stats
+from keylake.operators import relations, snapshots, spacing, stats
 from keylake.plans.registry import query
 from keylake.session import table
 
@@ -51,7 +51,7 @@ SELECT event_type, t AS epoch FROM k WHERE t IS NOT NULL""",
 )
 def min_spacing(spark, sf):
     times = table(spark, sf, "events").select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
-    return snapshots.min_spacing(times, 86_400, "event_type")
+    return spacing.min_spacing(times, 86_400, "event_type")
 
 
 @query(

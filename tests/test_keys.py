@@ -1,10 +1,11 @@
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.functions import text as T
-from keylake.operators import graph, relations, snapshots, stats
+from keylake.operators import graph, relations, snapshots, spacing, stats
 from keylake.streaming import streams
 
 
@@ -82,7 +83,7 @@ def test_spacing_over_many_batches(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        got = snapshots.min_spacing(spark.createDataFrame(rows, "g string, t long"), 70, "g", "t").collect()
+        got = spacing.min_spacing(spark.createDataFrame(rows, "g string, t long"), 70, "g", "t").collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     want = []
@@ -95,6 +96,43 @@ def test_spacing_over_many_batches(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_spacing_of_one_large_group(spark):
+    """A group of 10^5 times in many chunks, with gaps over several of them, and chains that cross every bound."""
+    rng = random.Random(5)
+    times = sorted({rng.randrange(-2_000_000, 5_000_000) for _ in range(100_000)} - set(range(1_000_000, 1_400_000))) + [9_000_000, 9_000_001]
+    frame = spark.createDataFrame([("only", t) for t in times], "g string, t long")
+    for seconds, length in ((977, 2000), (977, 977), (3, None), (40_000, None)):
+        want, free = [], None
+        for t in times:
+            if free is None or t >= free:
+                want.append(t)
+                free = t + seconds
+        found = spacing.min_spacing(frame, seconds, "g", "t", length)
+        assert sorted(r.t for r in found.collect()) == want
+    assert spacing.min_spacing(frame.limit(0), 5, "g", "t").count() == 0
+
+
+def test_deep_trees(spark):
+    """A chain of 1000 nodes in a few rounds, and nested documents of two seeds with odd names."""
+    n = 1000
+    edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    seeds = spark.createDataFrame([(0,), (990,)], "node long")
+    found = graph.paths(edges, seeds)
+    assert {(r.seed, r.node, r.level) for r in found.collect()} == {(s, k, k - s) for s in (0, 990) for k in range(s, n + 1)}
+    tree, whole = {r.seed: json.loads(r.tree) for r in graph.to_tree_json(found.where("level <= 400")).collect()}, {}
+    for k in range(400, -1, -1):
+        whole = {str(k): whole}
+    assert tree[0] == whole
+    assert {(r.node, r.level) for r in graph.reach(edges, seeds).collect()} == {(k, k if k < 990 else k - 990) for k in range(n + 1)}
+    names = [("a", "b"), ("a", "a-b"), ("b", 'q"1'), ("b", "x"), ("a-b", "z"), ("lone", "l2")]
+    trees = graph.to_tree_json(graph.paths(spark.createDataFrame(names, "src string, dst string"), spark.createDataFrame([("a",), ("b",), ("none",)], "node string")))
+    assert {r.seed: json.loads(r.tree) for r in trees.collect()} == {"a": {"a": {"b": {'q"1': {}, "x": {}}, "a-b": {"z": {}}}}, "b": {"b": {'q"1': {}, "x": {}}}, "none": {"none": {}}}
+    two = [("a", "c"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "d")]
+    assert {(r.node, r.level) for r in graph.reach(spark.createDataFrame(two, "src string, dst string"), spark.createDataFrame([("b",)], "node string")).collect()} == {("b", 0), ("c", 1), ("d", 2), ("a", 3)}
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("p", "q")], "src string, dst string")
+    assert {(r.node, r.level) for r in graph.reach(ring, spark.createDataFrame([("b",)], "node string")).collect()} == {("b", 0), ("c", 1), ("a", 2)}
+
+
 def test_snapshot_differences_of_odd_rows(spark):
     rows = [("d1", "k"), ("d1", "k"), ("d3", "k"), ("d2", None), (None, "k"), ("d2", "m"), ("d3", "m")]
     got = snapshots.snapshot_diff(spark.createDataFrame(rows, "snap string, fprint string"))
