@@ -232,7 +232,26 @@ def stream_first_seen(spark, sf):
 def stream_trailing_counts(spark, sf):
     stream = spark.readStream.schema(_events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
     out = streams.once(spark, streams.stream_trailing_counts(stream, "ts", "user_id", "6 hours", "1 hour"), "complete")
-    return out.withColumn("start", F.unix_timestamp("start"))
+    return out.select(F.unix_timestamp("start").alias("start"), "user_id", "n")
+
+
+@query("t02_stream_tumbling", "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling_counts(spark, sf):
+    stream = spark.readStream.schema(_events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
+    out = streams.once(spark, streams.stream_trailing_counts(stream, "ts", "user_id", "6 hours", None), "complete")
+    return out.select(F.unix_timestamp("start").alias("start"), "user_id", "n")
+
+
+@query(
+    "t02_stream_sessions",
+    """WITH b AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 2 DAY) AS ends, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def stream_sessions(spark, sf):
+    stream = spark.readStream.schema(_events(spark, sf).schema).parquet(f"{sf}/events.parquet*")
+    out = streams.once(spark, streams.stream_trailing_counts(stream, "ts", "user_id", gap="2 days"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("ends"), "n")
 
 
 @query("t07_dead_letter", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS fail_cnt FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90")
@@ -276,5 +295,5 @@ def stream_assoc(spark, sf):
     rows = _events(spark, sf).where("(user_id + event_id) % 4 <> 0").select("user_id", F.col("event_type").alias("item"), (F.col("event_id") % 3).alias("d"))
     for k in range(3):
         rows.where(F.col("d") == k).write.mode("append").parquet(f"{at}/in")
-        streams.stream_assoc(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), "user_id", "item", "d", f"{at}/state", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/state/2").select("user_id", "item", "found_at", F.coalesce("lost_at", F.lit(-1)).alias("lost_at"))
+        streams.stream_assoc(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), "user_id", "item", "d", f"{at}/out", f"{at}/checkpoint")
+    return streams.assoc_table(spark, f"{at}/out", "user_id", "item").select("user_id", "item", "found_at", F.coalesce("lost_at", F.lit(-1)).alias("lost_at"))

@@ -255,6 +255,21 @@ def resume(spark, sf):
     return spark.read.parquet(f"{at}/out")
 
 
+@query("t05_replay", "SELECT event_id, user_id FROM events")
+def replay(spark, sf):
+    """The events in three parts of time, each delivered twice; a stream that is started anew for each delivery counts them once."""
+    at, rows = _folder(spark), _events(spark, sf).select("event_id", "user_id", "ts")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else [None, None]
+    part = F.when(F.col("ts") < F.lit(cuts[0]), 0).when(F.col("ts") < F.lit(cuts[1]), 1).otherwise(2)
+    for k in (0, 0, 1, 1, 2, 2):
+        rows.where(part == k).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        with streams.rocks_state(spark):
+            streams.run_available(streams.stream_first_seen(stream, "event_id", "ts", "2 days"), f"{at}/checkpoint", f"{at}/out")
+    return spark.read.parquet(f"{at}/out").select("event_id", "user_id")
+
+
 @query("u07_apk_signers", f"SELECT doc_id, m AS serial, 'CN=' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS issuer_dn, 'sha256' AS digest_alg, '2020-01-02 03:04:05' AS signed_at, 1 AS signer_count FROM {_D}")
 def parse_apk_signers(spark, sf):
     name = _tlv("30", _tlv("31", _tlv("30", _raw("0603550403"), _tlv("0c", (F.hex(F.lpad(F.col("doc_id").cast("string"), 12, "0").cast("binary")), 12)))))

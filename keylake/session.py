@@ -31,13 +31,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/keylake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, by any path that Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a materialised DataFrame that nothing will read any more; others are left alone."""
-    spark = df.sparkSession
-    own = f"/keylake-{spark.sparkContext.applicationId}/"
+    own = f"/keylake-{df.sparkSession.sparkContext.applicationId}/"
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if own in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, folder)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -1,28 +1,62 @@
-"""Streaming forms: first-seen keys, trailing counts, snapshot differences, and running a stream over what is there."""
+"""Streaming forms: first-seen keys, windows and sessions, associations, snapshot differences, and running a stream over what is there."""
 
 from __future__ import annotations
 
 import json
 import uuid
 from collections import deque
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from keylake.operators.relations import assoc_history
-from keylake.session import shared_dir
+from keylake.session import free_names, remove, shared_dir
 
 
-def stream_first_seen(stream: DataFrame, key: str) -> DataFrame:
-    """The first row of each key; state grows with the distinct keys."""
-    return stream.dropDuplicates([key])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_trailing_counts(stream: DataFrame, ts: str, key: str, length: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """(start, key, n) of sliding windows; rows later than the watermark are dropped."""
-    timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-    return timed.groupBy(F.window("__ts", length, slide), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which holds more keys than memory does."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def stream_first_seen(stream: DataFrame, key: str, ts: str | None = None, within: str | None = None) -> DataFrame:
+    """The first row of each key; state grows with the distinct keys.
+
+    With ts and within, a key counts as seen for that long after its time, and state is bounded by the keys of that span;
+    rows older than the watermark are dropped. So input that is replayed counts once, in the same run or a later one.
+    """
+    if within is None:
+        return stream.dropDuplicates([key])
+    (timed,) = free_names(stream, "timed")
+    return stream.withColumn(timed, F.col(ts).cast("timestamp")).withWatermark(timed, within).dropDuplicatesWithinWatermark([key]).drop(timed)
+
+
+def stream_trailing_counts(stream: DataFrame, ts: str, key: str, length: str = "5 minutes", slide: str | None = "1 minute", late: str = "10 minutes", gap: str | None = None) -> DataFrame:
+    """(start, end, key, n) of windows; rows later than the watermark are dropped.
+
+    Windows slide, or follow each other where slide is None. With a gap they are sessions: a key's rows, each less than the
+    gap after the one before; a session ends a gap after its last row.
+    """
+    (timed,) = free_names(stream, "timed")
+    rows = stream.withColumn(timed, F.col(ts).cast("timestamp")).withWatermark(timed, late)
+    span = F.session_window(timed, gap) if gap else F.window(timed, length, slide)
+    return rows.groupBy(span.alias("span"), key).agg(F.count("*").alias("n")).select(F.col("span.start").alias("start"), F.col("span.end").alias("end"), key, "n")
 
 
 def dead_letter(df: DataFrame, max_fail: int, count_col: str = "fail_cnt") -> tuple[DataFrame, DataFrame]:
@@ -43,31 +77,67 @@ def retry(df: DataFrame, failed: DataFrame, key: str, max_fail: int, sink: str,
     return left
 
 
-def stream_assoc(stream: DataFrame, owner: str, item: str, check: str, table: str, checkpoint: str) -> None:
-    """Association history over a stream of (owner, item, check): (owner, item, found_at, lost_at) in the last state below table.
+class _Associations(StatefulProcessor):
+    """An owner's open items with the check that found them, and its last check."""
+
+    def __init__(self, owner: T.StructField, item: T.StructField, check: T.StructField) -> None:
+        self.owner, self.item, self.check = owner, item, check
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", T.StructType([self.item]), T.StructType([T.StructField("found_at", self.check.dataType)]))
+        self.last = handle.getValueState("last", T.StructType([self.check]))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        checks: dict = {}  # the owner's lists in this batch
+        for part in rows:
+            for item, check in zip(part[self.item.name].tolist(), part[self.check.name].tolist(), strict=True):
+                here = checks.setdefault(check, set())
+                if not pd.isna(item):
+                    here.add(int(item) if isinstance(self.item.dataType, T.IntegralType) else item)
+        last = self.last.get()[0] if self.last.exists() else None
+        held = {k[0]: v[0] for k, v in self.open.iterator()}
+        out = []
+        for check in sorted(c for c in checks if last is None or c > last):
+            for item in sorted(set(held) - checks[check]):
+                out.append((item, held.pop(item), check))
+                self.open.removeKey((item,))
+            for item in sorted(checks[check] - set(held)):
+                held[item] = check
+                self.open.updateValue((item,), (check,))
+                out.append((item, check, None))
+            self.last.update((check,))
+        if out:
+            items, found, lost = zip(*out, strict=True)
+            frame = pd.DataFrame({self.owner.name: [key[0]] * len(out), self.item.name: items, "found_at": found})
+            frame["lost_at"] = pd.Series(lost, dtype="object")
+            yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def stream_assoc(stream: DataFrame, owner: str, item: str, check: str, out: str, checkpoint: str) -> None:
+    """Changes of association over a stream of (owner, item, check): (owner, item, found_at, lost_at) is appended to out.
 
     A micro-batch has the newest lists of some owners, one check of each, or several that are taken in order. An item that
-    the newest list lacks is lost at that check; one that comes again opens a new row. Each batch writes the state under its
-    number from that of the batch before, so a repeated batch writes the same again. Owners that a batch lacks keep theirs.
+    the newest list lacks is lost at that check; one that comes again opens a new row. A null item makes an empty list.
+    Each owner has a state of its own, its open items, so a batch costs what its owners hold, not the whole history; a
+    change is written once, when an item is found, and once more with lost_at. A check no later than the owner's last one
+    is replayed input and changes nothing. Rows with null owner or check are left out. An owner's list of one batch is held
+    by one task. assoc_table() gives the history.
     """
+    rows = stream.select(owner, item, check).where(F.col(owner).isNotNull() & F.col(check).isNotNull())
+    fields = [T.StructField(f.name, f.dataType) for f in (rows.schema[c] for c in (owner, item, check))]
+    schema = T.StructType([*fields[:2], *(T.StructField(n, fields[2].dataType) for n in ("found_at", "lost_at"))])
+    changes = rows.groupBy(owner).transformWithStateInPandas(_Associations(*fields), schema, "Append", "none")
+    with rocks_state(stream.sparkSession):
+        query = changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+    query.awaitTermination()
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.select(owner, item, check).where(F.col(owner).isNotNull() & F.col(check).isNotNull())
-        runs = assoc_history(seen, owner, item, check).where(F.col(item).isNotNull())
-        if number:
-            before = spark.read.parquet(f"{table}/{number - 1}")
-            checks = seen.groupBy(owner).agg(F.min(check).alias("__first"))
-            opened = before.where("lost_at is null").join(checks, owner)
-            here = seen.where(F.col(item).isNotNull()).select(owner, item, F.col(check).alias("__first")).distinct()
-            held = opened.join(here, [owner, item, "__first"], "left_semi").select(owner, item, F.col("found_at").alias("__since"), F.col("__first").alias("found_at"))
-            lost = opened.join(here, [owner, item, "__first"], "left_anti").select(owner, item, "found_at", F.col("__first").alias("lost_at"))
-            grown = runs.join(held, [owner, item, "found_at"], "left").select(owner, item, F.coalesce("__since", "found_at").alias("found_at"), "lost_at")
-            closed = before.where("lost_at is not null").unionByName(before.where("lost_at is null").join(checks, owner, "left_anti"))
-            runs = closed.unionByName(lost).unionByName(grown)
-        runs.write.mode("overwrite").parquet(f"{table}/{number}")
 
-    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+def assoc_table(spark: SparkSession, out: str, owner: str, item: str) -> DataFrame:
+    """(owner, item, found_at, lost_at) of all runs in the changes that stream_assoc() has written."""
+    return spark.read.parquet(out).groupBy(owner, item, "found_at").agg(F.max("lost_at").alias("lost_at"))
 
 
 def run_available(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> None:
@@ -94,6 +164,7 @@ def stream_snapshot_diff(stream: DataFrame, key: str, state: str, out: str, chec
     """(key, change, batch) for each micro-batch taken as a snapshot: new or lost against the one before it.
 
     Each batch's keys are written under its number, and its changes too, so that a repeated batch writes the same again.
+    Keys of batches before the last are removed once they are not needed any more.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -104,6 +175,8 @@ def stream_snapshot_diff(stream: DataFrame, key: str, state: str, out: str, chec
         new, lost = now.join(before, key, "left_anti"), before.join(now, key, "left_anti")
         changes = new.withColumn("change", F.lit("new")).unionByName(lost.withColumn("change", F.lit("lost")))
         changes.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number > 1:  # a repeated batch reads the one before it, no earlier one
+            remove(spark, f"{state}/{number - 2}")
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
 

@@ -303,13 +303,39 @@ def test_retry_until_the_cap(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [(2, 3)]
 
 
-def test_association_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_association_stream_equals_batch(spark, tmp_path, kind):
+    """Three starts over growing input, the second batch delivered twice: rows are those of the batch form, changes are few."""
     rng = random.Random(9)
-    seen = [(rng.choice("abc"), rng.choice(["x", "y", "z", None]), t) for t in range(12) for _ in range(3)]
-    rows = spark.createDataFrame(seen, "who string, item string, t long")
+    items = {"string": ["x", "y", "z", None], "int": [5, 6, 7, None]}[kind]
+    seen = [(rng.choice("abc"), rng.choice(items), t) for t in range(12) for _ in range(3)]
+    rows = spark.createDataFrame(seen, f"who string, item {kind}, t long")
     at = lambda name: str(tmp_path / name)
-    for lo in range(0, 12, 4):
+    for lo in (0, 4, 4, 8):
         rows.where((F.col("t") >= lo) & (F.col("t") < lo + 4)).write.mode("append").parquet(at("in"))
-        streams.stream_assoc(spark.readStream.schema(rows.schema).parquet(at("in")), "who", "item", "t", at("state"), at("checkpoint"))
-    got = spark.read.parquet(at("state/2")).select("who", "item", "found_at", "lost_at")
-    assert sorted(map(str, got.collect())) == sorted(map(str, relations.assoc_history(rows, "who", "item", "t").where("item is not null").collect()))
+        streams.stream_assoc(spark.readStream.schema(rows.schema).parquet(at("in")), "who", "item", "t", at("out"), at("checkpoint"))
+    got = streams.assoc_table(spark, at("out"), "who", "item").select("who", "item", "found_at", "lost_at")
+    want = relations.assoc_history(rows, "who", "item", "t").where("item is not null")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert spark.read.parquet(at("out")).count() == want.count() + want.where("lost_at is not null").count()
+
+
+def test_replayed_rows_count_once(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    rows = spark.createDataFrame([(k % 9, 3600 * k) for k in range(40)], "id long, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+    for _ in range(2):
+        rows.write.mode("append").parquet(at("in"))
+        stream = spark.readStream.schema(rows.schema).parquet(at("in"))
+        streams.run_available(streams.stream_first_seen(stream, "id", "ts", "60 hours"), at("check"), at("out"))
+    assert sorted(r.id for r in spark.read.parquet(at("out")).collect()) == list(range(9))
+
+
+def test_sessions_and_tumbling_windows(spark, tmp_path):
+    rows = [("a", 0), ("a", 50), ("a", 170), ("b", 10), ("b", 500), (None, 3)]
+    frame = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    out = streams.once(spark, streams.stream_trailing_counts(stream, "ts", "k", gap="100 seconds"), "complete")
+    assert sorted(map(str, ((r.k, r.start.timestamp(), r.end.timestamp(), r.n) for r in out.collect()))) == sorted(map(str, [("a", 0.0, 150.0, 2), ("a", 170.0, 270.0, 1), ("b", 10.0, 110.0, 1), ("b", 500.0, 600.0, 1), (None, 3.0, 103.0, 1)]))
+    out = streams.once(spark, streams.stream_trailing_counts(stream, "ts", "k", "100 seconds", None), "complete")
+    assert sorted((r.start.timestamp(), r.n) for r in out.where("k = 'a'").collect()) == [(0.0, 2), (100.0, 1)]
