@@ -120,11 +120,14 @@ def new_apps(listing: DataFrame, apps: DataFrame, now: str, pid: int | None = No
     A record handles a row if it was downloaded or processed, is unreserved, or was reserved in the 20 minutes before now
     (all of these by process pid only, if given), or was uploaded no earlier than the row.
     """
-    busy = F.col("a.downloaded") | F.col("a.processed") | F.col("a.reserved").isNull() | (F.col("a.reserved") >= F.lit(now).cast("timestamp_ntz") - F.expr("interval 20 minutes"))
+    busy = F.col("downloaded") | F.col("processed") | F.col("reserved").isNull() | (F.col("reserved") >= F.lit(now).cast("timestamp_ntz") - F.expr("interval 20 minutes"))
     if pid is not None:
-        busy = busy & (F.col("a.pid") == pid)
-    done = F.coalesce(busy, F.lit(False)) | F.coalesce(F.col("a.uploaded") >= F.col("l.uploaded"), F.lit(False))
-    return listing.alias("l").join(apps.alias("a"), (F.col("l.title") == F.col("a.title")) & F.col("l.type").eqNullSafe(F.col("a.type")) & done, "left_anti")
+        busy = busy & (F.col("pid") == pid)
+    # whether any record handles a row takes two values of each title and type
+    handled = apps.groupBy(F.col("title").alias("__title"), F.col("type").alias("__type")).agg(F.coalesce(F.bool_or(busy), F.lit(False)).alias("__busy"), F.max("uploaded").alias("__uploaded"))
+    met = listing.join(handled, (F.col("title") == F.col("__title")) & F.col("type").eqNullSafe(F.col("__type")), "left")
+    done = F.coalesce("__busy", F.lit(False)) | F.coalesce(F.col("__uploaded") >= F.col("uploaded"), F.lit(False))
+    return met.where(~done).select(*listing.columns)
 
 
 def extend_catalogue(catalogue: DataFrame, files: DataFrame, key: str = "name") -> DataFrame:

@@ -81,6 +81,13 @@ def seq_id(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
     return parts.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__start") + place - 1 + start).alias("id"))  # one row for each partition
 
 
+def place_within(df: DataFrame, group: str, *order: str, start: int = 0) -> DataFrame:
+    """df with place: the row's place in its group, by ranges of (group, order), so that no task has a whole group."""
+    numbered = materialize(seq_id(df, group, *order).withColumnRenamed("id", "place"), "numbered")
+    first = numbered.groupBy(F.col(group).alias("__group")).agg(F.min("place").alias("__first"))
+    return numbered.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn("place", F.col("place") - F.col("__first") + start).drop("__group", "__first")
+
+
 def cap_entities(df: DataFrame, order: str, capped: Column, n: int) -> DataFrame:
     """Rows in order up to and with the n-th capped one, and no further.
 

@@ -42,7 +42,8 @@ def funnel(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 
 def contributor_stats(df: DataFrame, who: str, where: str, amount: str) -> DataFrame:
     """(who, total, n_repos, average, repos): repos sorted and joined by '|'."""
-    return df.groupBy(who).agg(F.sum(amount).alias("total"), F.countDistinct(where).alias("n_repos"), F.avg(amount).alias("average"), F.array_join(F.array_sort(F.collect_set(F.col(where).cast("string"))), "|").alias("repos"))
+    found = df.groupBy(who).agg(F.sum(amount).alias("total"), F.collect_set(where).alias("repos"), F.avg(amount).alias("average"))
+    return found.select(who, "total", F.size("repos").cast("long").alias("n_repos"), "average", F.array_join(F.array_sort(F.col("repos").cast("array<string>")), "|").alias("repos"))
 
 
 def flagged_hist(df: DataFrame, value: Column, flag: Column) -> DataFrame:
@@ -132,6 +133,23 @@ def snapshot_counts(hosts: DataFrame, snap: str = "snap", ip: str = "ip", key: s
     return hosts.groupBy(snap).agg(F.countDistinct(ip).alias("n_ips"), F.countDistinct(key).alias("n_prints"))
 
 
+def key_bitmaps(hosts: DataFrame, numbers: DataFrame, snap: str = "snap", key: str = "fprint") -> DataFrame:
+    """(snap, bucket, bits): the keys of each snapshot as bitmaps over their numbers (key, id), which are dense from 0.
+
+    A bucket has some 32 000 numbers. Stored bitmaps are added to as snapshots come, and any union of snapshots is counted
+    from them exactly, without the rows.
+    """
+    placed = hosts.select(snap, key).join(numbers, key)
+    bucket, place = F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id")
+    return placed.groupBy(snap, bucket).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
+def bitmap_counts(bitmaps: DataFrame, group: Column, name: str = "n") -> DataFrame:
+    """(group, n): distinct keys of the union of each group's stored bitmaps."""
+    united = bitmaps.groupBy(group.alias("group"), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return united.groupBy("group").agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
 def file_digests(df: DataFrame, content: str = "content") -> DataFrame:
     """df with md5, sha1, sha256 and size of its bytes in place of them; nulls for null."""
     raw = F.col(content).cast("binary")

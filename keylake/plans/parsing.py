@@ -274,9 +274,9 @@ def recode_ssh(spark, sf):
 
 @query("j10_flatten_pgp", """SELECT conv_id AS master_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS pos, false AS is_master, md5(text) AS n FROM conversations WHERE role = 'user' UNION ALL SELECT DISTINCT conv_id, 0, true, 'n' || conv_id FROM conversations""")
 def flatten_pgp(spark, sf):
-    packet = F.struct("turn", F.when(F.col("role") == "user", "Public-Subkey").otherwise("User-ID").alias("tag_name"), F.md5(F.col("text").cast("binary")).alias("n"))
-    dump = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("key_id")).agg(F.array_sort(F.collect_list(packet)).alias("packets")).withColumn("n", F.concat(F.lit("n"), F.col("key_id").cast("string")))
-    return scans.flatten_pgp(dump).select("master_id", "pos", "is_master", F.col("packet.n").alias("n"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "Public-Subkey").alias("tag"), F.md5(F.col("text").cast("binary")).alias("n"))
+    flat = scans.flatten_packets(turns, "conv_id", "turn", "tag")
+    return flat.select("master_id", "pos", "is_master", F.when(F.col("is_master"), F.concat(F.lit("n"), F.col("master_id").cast("string"))).otherwise(F.col("n")).alias("n"))
 
 
 @query("u02_parse_ssh", f"SELECT doc_id, '10001' AS e, 'c1' || m AS n, 136 AS bits FROM {_D}")

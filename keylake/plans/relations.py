@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from keylake.operators import graph, relations
 from keylake.plans.registry import query
-from keylake.session import table
+from keylake.session import materialize, table
+from keylake.sources import scans
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,6 +117,20 @@ def union_corpora(spark, sf):
     return relations.union_corpora(docs=docs, pages=table(spark, sf, "pages").select(F.col("page_id").alias("id")))
 
 
+@query(
+    "e03_classified",
+    """SELECT 'docs' AS corpus, CAST(doc_id AS VARCHAR) AS record_id, source AS name, NULL::VARCHAR AS date, ltrim(md5(text), '0') AS n_hex, sha1(text) AS fprint, '{"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || coalesce(CAST(n_chars AS VARCHAR), 'null') || '}' AS attrs FROM documents
+UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR), NULL, NULL, '{"o_custkey":' || o_custkey || '}' FROM orders""",
+)
+def classified(spark, sf):
+    docs, none = table(spark, sf, "documents"), F.lit(None).cast("string")
+    n = F.md5(F.col("text").cast("binary"))
+    a = scans.classified(docs, "docs", F.col("doc_id"), n, F.lit("10001"), F.sha1(F.col("text").cast("binary")), F.col("source"), none, F.lit(False), ["lang", "n_chars"])
+    b = scans.classified(_orders(spark, sf), "orders", F.col("o_orderkey"), none, none, none, F.col("o_orderstatus"), F.to_date("o_orderdate"), F.lit(None).cast("boolean"), ["o_custkey"])
+    out = materialize(a.unionByName(b), "classified")
+    return out.select("corpus", "record_id", "source.name", "source.date", "n_hex", "fprint", F.to_json("attrs").alias("attrs"))
+
+
 @query("t04_assoc_history", """WITH s AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events),
 c AS (SELECT user_id, d, row_number() OVER (PARTITION BY user_id ORDER BY d) AS ix, lead(d) OVER (PARTITION BY user_id ORDER BY d) AS nx FROM (SELECT DISTINCT user_id, d FROM s)),
 r AS (SELECT s.*, ix, nx, ix - row_number() OVER (PARTITION BY s.user_id, event_type ORDER BY ix) AS run FROM s JOIN c USING (user_id, d))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keylake.operators import relations, snapshots, spacing, stats
 from keylake.plans.registry import query
-from keylake.session import table
+from keylake.session import materialize, table
 
 
 def _hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +139,15 @@ def snapshot_counts(spark, sf):
     return stats.snapshot_counts(_hosts(spark, sf))
 
 
+@query("a18_bitmap_months", f"SELECT left(CAST(snap AS VARCHAR), 7) AS month, count(DISTINCT ip) AS n FROM ({_H}) WHERE snap IS NOT NULL GROUP BY 1")
+def bitmap_months(spark, sf):
+    """Hosts of each month from the stored bitmaps of its days."""
+    hosts = _hosts(spark, sf).where("snap is not null and ip is not null")
+    numbers = materialize(snapshots.seq_id(hosts.select("ip").distinct(), "ip"), "numbers")
+    stored = materialize(stats.key_bitmaps(hosts, numbers, key="ip"), "bitmaps")
+    return stats.bitmap_counts(stored, F.left(F.col("snap").cast("string"), F.lit(7))).withColumnRenamed("group", "month")
+
+
 @query("l02_next_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100")
 def next_page(spark, sf):
     return snapshots.next_page(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 100)

@@ -33,6 +33,24 @@ def tls_scan(spark, sf):
     return found.select("ip", "reject_reason", F.col("data.tls.server_certificates.certificate.parsed.fingerprint_sha1").alias("fprint_sha1"))
 
 
+@query(
+    "s05_unknown_fields",
+    """SELECT CAST(doc_id AS VARCHAR) AS ip, CASE WHEN doc_id % 10 = 0 THEN 'not_tls' WHEN lang IS DISTINCT FROM 'en' THEN 'not_rsa' END AS reject_reason,
+CASE WHEN doc_id % 10 = 0 THEN '' ELSE '{"data":{"tls":{"version":"v3"}},' END || CASE WHEN doc_id % 10 = 0 THEN '{' ELSE '' END || '"zgrab":{"v":' || doc_id || '}}' AS rest, NULL::VARCHAR AS bad FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT NULL, 'not_tls', NULL, left('{"ip":"' || doc_id || '","domain":"d"', 18) FROM documents WHERE doc_id % 7 = 0""",
+)
+def unknown_fields(spark, sf):
+    """Scans with fields that no schema names and with lines cut short, through a reader, a writer and the reader again."""
+    at = _folder(spark)
+    line = F.to_json(F.struct("ip", "domain", "timestamp", "data", F.struct(F.col("ip").cast("long").alias("v")).alias("zgrab")))
+    line = F.replace(line, F.lit('"tls":{'), F.lit('"tls":{"version":"v3",'))
+    made = _scan(spark, sf).select(F.when(F.col("ip").cast("long") % 7 == 0, F.left(line, F.lit(18))).otherwise(line).alias("value"))
+    made.write.text(f"{at}/first")
+    scans.format_lines(scans.read_lines(spark, f"{at}/first", scans.TLS_SCAN), scans.TLS_SCAN).write.text(f"{at}/second")
+    again = scans.tls_funnel(scans.read_lines(spark, f"{at}/second", scans.TLS_SCAN))
+    return again.select("ip", "reject_reason", F.to_json("rest").alias("rest"), "bad")
+
+
 @query("s06_x509_dump", f"SELECT sha1(text) AS fprint, ltrim(m, '0') AS n, coalesce(source = lang, source IS NULL AND lang IS NULL) AS self_signed, doc_id % 2 = 0 AS seen_in_scan, 'p' || doc_id AS parents FROM {_D} WHERE right(m, 1) IN ('0', '5', 'a', 'f')")
 def x509_dump(spark, sf):
     at = _folder(spark)

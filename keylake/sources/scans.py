@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keylake.functions.keys import hex_canon
+from keylake.functions.keys import bit_length, hex_canon
 from keylake.functions.text import date_part
+from keylake.operators.snapshots import place_within
+from keylake.session import free_names
 
 PARSED = (
     "struct<subject: struct<common_name: array<string>>, subject_dn: string, issuer_dn: string, validity: struct<start: string>, fingerprint_sha256: string, fingerprint_sha1: string, "
@@ -19,6 +22,70 @@ _PACKET = "tag_name: string, user_id: string, key_id: string, fingerprint: strin
 PGP_DUMP = f"key_id string, fingerprint string, n string, e string, algo_id int, creation_time bigint, packets array<struct<{_PACKET}>>"
 
 
+def _at(value: Column, path: str) -> Column:
+    """The fields of the object at a path of a variant, as a map; empty where there is none. Every level starts from the root, so
+    that expressions grow with the schema and not with its depth."""
+    return F.coalesce(F.try_variant_get(value, path, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def _objects(parts: list[tuple[str, Column]]) -> Column:
+    """A map of variant objects from maps by name, without the empty ones."""
+    full = F.filter(F.array(*[F.struct(F.lit(name).alias("key"), fields.alias("fields")) for name, fields in parts]), lambda x: F.size(x["fields"]) > 0)
+    return F.map_from_entries(F.transform(full, lambda x: F.struct(x["key"].alias("key"), F.to_variant_object(x["fields"]).alias("value"))))
+
+
+def _structs(kind: T.StructType) -> list[T.StructField]:
+    return [f for f in kind.fields if isinstance(f.dataType, T.StructType)]
+
+
+def _remainder(value: Column, kind: T.StructType, path: str = "$") -> Column:
+    """Fields of a variant object that a schema lacks, at any depth of its structs: a map of variants."""
+    unknown = F.map_filter(_at(value, path), lambda k, v: ~k.isin([f.name for f in kind.fields]))
+    inner = [(f.name, _remainder(value, f.dataType, f"{path}.{f.name}")) for f in _structs(kind)]
+    return F.map_concat(unknown, _objects(inner)) if inner else unknown
+
+
+def parse_lines(lines: DataFrame, schema: str, line_col: str = "value") -> DataFrame:
+    """JSON lines as the schema's columns, with rest and bad.
+
+    rest is a variant of the fields that the schema lacks, at any depth of its structs (not inside its arrays), null where
+    there are none. bad is the line where it is no JSON object or a known field has another type; its other columns are
+    null. A null line is bad, and an empty string then.
+    """
+    kind = T.StructType.fromDDL(schema)
+    row, bad, value = free_names(lines, "row", "bad_line", "variant")
+    parsed = lines.withColumn(value, F.try_parse_json(line_col)).withColumn(row, F.from_json(line_col, f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    sound = F.coalesce(F.col(row)[bad].isNull() & F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    rest = _remainder(F.col(value), kind)
+    return parsed.select(
+        *[F.when(sound, F.col(row)[f.name]).alias(f.name) for f in kind.fields],
+        F.when(sound & (F.size(rest) > 0), F.to_variant_object(rest)).alias("rest"),
+        F.when(~sound, F.coalesce(line_col, F.lit(""))).alias("bad"),
+    )
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
+    """parse_lines() of text files: scans and dumps as they are, with unknown fields and broken records."""
+    return parse_lines(spark.read.text(paths), schema)
+
+
+def _merged(known: Column, rest: Column, kind: T.StructType, path: str = "$") -> Column:
+    """A map of variants of a struct's fields and of those in rest, which go into the structs that they were in."""
+    inner = [f.name for f in _structs(kind)]
+    own = F.to_json(F.struct(*[known[f.name].alias(f.name) for f in kind.fields if f.name not in inner]))
+    parts = [F.try_variant_get(F.parse_json(own), "$", "map<string,variant>"), F.map_filter(_at(rest, path), lambda k, v: ~k.isin(inner))]
+    if inner:
+        parts.append(_objects([(f.name, _merged(known[f.name], rest, f.dataType, f"{path}.{f.name}")) for f in _structs(kind)]))
+    return F.map_concat(*parts)
+
+
+def format_lines(df: DataFrame, schema: str) -> DataFrame:
+    """(value): the JSON lines of parse_lines()' rows again: known fields and rest merged, null fields left out, and bad lines as they were."""
+    kind = T.StructType.fromDDL(schema)
+    whole = F.to_json(F.to_variant_object(_merged(F.struct(*[f.name for f in kind.fields]), F.col("rest"), kind)))
+    return df.select(F.coalesce("bad", whole).alias("value"))
+
+
 def read_tls_scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.schema(TLS_SCAN).json(paths)
 
@@ -83,6 +150,31 @@ def dump_flagged(df: DataFrame, flag) -> DataFrame:
     return flat.where(flag(F.col("n"))).withColumn("self_signed", F.col("subject_dn").eqNullSafe(F.col("issuer_dn")))
 
 
+def classified(df: DataFrame, corpus: str, record_id: Column, n_hex: Column, e_hex: Column, fprint: Column, name: Column, date: Column, flagged: Column, attrs: list[str]) -> DataFrame:
+    """Records of one shape for every corpus: corpus, record_id, source (name, date), n_hex, e_hex, bits, flagged, fprint, attrs.
+
+    attrs is a variant object of the named columns, whatever their types, so that corpora of any columns can be united. A
+    modulus is canonical hex; one that is null has no bits and is not flagged.
+    """
+    n = hex_canon(n_hex)
+    return df.select(
+        F.lit(corpus).alias("corpus"), record_id.cast("string").alias("record_id"), F.struct(name.cast("string").alias("name"), date.cast("string").alias("date")).alias("source"),
+        n.alias("n_hex"), hex_canon(e_hex).alias("e_hex"), bit_length(n).alias("bits"), F.coalesce(flagged, F.lit(False)).alias("flagged"), fprint.alias("fprint"), F.to_variant_object(F.struct(*attrs)).alias("attrs"),
+    )
+
+
+def flatten_packets(packets: DataFrame, key: str, order: str, tag: str, subkey: str = "Public-Subkey") -> DataFrame:
+    """flatten_pgp() for packets that are rows of their own: (master_id, pos, is_master, and the packet's other columns).
+
+    Subkeys are numbered by ranges of (key, order), so a key with very many packets is no single row or task.
+    """
+    rest = [c for c in packets.columns if c not in (key, order, tag)]
+    known = packets.where(F.col(key).isNotNull())
+    subkeys = place_within(known.where(F.col(tag) == subkey).select(key, order, *rest), key, order, start=1)
+    masters = known.select(key).distinct().select(F.col(key).alias("master_id"), F.lit(0).alias("pos"), F.lit(True).alias("is_master"))
+    return masters.unionByName(subkeys.select(F.col(key).alias("master_id"), F.col("place").cast("int").alias("pos"), F.lit(False).alias("is_master"), *rest), allowMissingColumns=True)
+
+
 def flatten_pgp(df: DataFrame, key: str = "key_id", packets: str = "packets", tag: str = "tag_name", subkey: str = "Public-Subkey") -> DataFrame:
     """(key_id, pos, is_master, packet): a row for the master and each of its subkeys; rows without key_id are dropped.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
 from keylake.functions import text as T
-from keylake.operators import graph, relations
+from keylake.operators import graph, relations, snapshots, stats
 from keylake.parsers import frames
 from keylake.sources import files, keyfiles, markup, scans
 from keylake.streaming import streams
@@ -339,3 +339,31 @@ def test_sessions_and_tumbling_windows(spark, tmp_path):
     assert sorted(map(str, ((r.k, r.start.timestamp(), r.end.timestamp(), r.n) for r in out.collect()))) == sorted(map(str, [("a", 0.0, 150.0, 2), ("a", 170.0, 270.0, 1), ("b", 10.0, 110.0, 1), ("b", 500.0, 600.0, 1), (None, 3.0, 103.0, 1)]))
     out = streams.once(spark, streams.stream_trailing_counts(stream, "ts", "k", "100 seconds", None), "complete")
     assert sorted((r.start.timestamp(), r.n) for r in out.where("k = 'a'").collect()) == [(0.0, 2), (100.0, 1)]
+
+
+def test_unknown_fields_and_broken_lines_survive(spark):
+    schema = "id bigint, a struct<b: string, c: struct<d: int>>, l array<int>"
+    lines = ['{"id":1,"a":{"b":"x","c":{"d":4,"z":[1,{"q":2}]},"y":null},"l":[1,2],"more":"\u00e9"}', '{"id":2}', '{"a":{"u":1}}', "{broken", "", "[1]", "7", '{"id":"no number"}', None, '{"id":3,"a":null,"rest":5,"bad":6}']
+    frame = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = scans.parse_lines(frame, schema).select("id", "a", "l", F.to_json("rest").alias("rest"), "bad").collect()
+    assert [(r.id, r.rest, r.bad) for r in got] == [(1, '{"a":{"c":{"z":[1,{"q":2}]},"y":null},"more":"é"}', None), (2, None, None), (None, '{"a":{"u":1}}', None), *((None, None, x or "") for x in lines[3:9]), (3, '{"bad":6,"rest":5}', None)]
+    assert got[0].a.c.d == 4 and got[0].l == [1, 2]
+    again = scans.format_lines(scans.parse_lines(frame, schema), schema)
+    assert [r.value for r in again.collect()][3:9] == [x or "" for x in lines[3:9]]
+    assert sorted(map(str, scans.parse_lines(again, schema).select("id", "a", "l", F.to_json("rest").alias("rest"), "bad").collect())) == sorted(map(str, got))
+
+
+def test_packets_of_one_key_in_many_rows(spark):
+    rows = [("k", t, "Public-Subkey" if t % 3 else "User ID", t) for t in range(3000)] + [("m", 1, "User ID", 9), (None, 1, "Public-Subkey", 9)]
+    got = scans.flatten_packets(spark.createDataFrame(rows, "key string, at int, tag string, n int").repartition(7), "key", "at", "tag").collect()
+    want = [("k", 0, True, None), ("m", 0, True, None), *(("k", p + 1, False, t) for p, t in enumerate(t for t in range(3000) if t % 3))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_bitmaps_count_unions_exactly(spark):
+    rng = random.Random(2)
+    rows = [(f"d{d}", f"k{rng.randrange(70_000)}") for d in range(4) for _ in range(30_000)]
+    hosts = spark.createDataFrame(rows, "snap string, fprint string")
+    stored = stats.key_bitmaps(hosts, snapshots.seq_id(hosts.select("fprint").distinct(), "fprint"))
+    assert {(r.group, r.n) for r in stats.bitmap_counts(stored, F.col("snap")).collect()} == {(d, len({k for s, k in rows if s == d})) for d in {s for s, _ in rows}}
+    assert stats.bitmap_counts(stored, F.lit(1)).first().n == len({k for _, k in rows})
