@@ -133,19 +133,22 @@ def _transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, cuts in whole_groups(batches, 1):
         seg, conv, roles = (t.column(k).to_numpy() for k in (0, 1, 3))
         cost = [transfer(roles[a:b]).ravel() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.record_batch([pa.array(conv[cuts[:-1]]), pa.array(seg[cuts[:-1]]), pa.array([c.tolist() for c in cost], pa.list_(pa.int64()))], ["conv", "seg", "cost"])
+        yield pa.record_batch([pa.array(conv[cuts[:-1]]), pa.array(seg[cuts[:-1]]), pa.array([c.tolist() for c in cost], pa.list_(pa.int64())), pa.array(np.diff(cuts).astype(np.int64))], ["conv", "seg", "cost", "rows"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, cuts in whole_groups(batches, 1):
         seg, costs = t.column(1).to_numpy(), np.array(t.column(2).to_pylist(), np.int64).reshape(-1, 4, 4)
+        rows = t.column(3).to_numpy()
+        start = np.cumsum(rows) - rows
         entry, leave, last = np.zeros(len(seg), np.int32), np.zeros(len(seg), np.int32), np.zeros(len(seg), bool)
         total = np.zeros(len(seg), np.int64)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             path, total[a:b] = chain(costs[a:b])
             entry[a:b], leave[a:b] = zip(*path, strict=True)
             last[b - 1] = True
-        yield pa.record_batch([pa.array(seg), pa.array(entry), pa.array(leave), pa.array(last), pa.array(total)], ["seg", "entry", "leave", "last", "total"])
+            start[a:b] -= start[a]
+        yield pa.record_batch([pa.array(seg), pa.array(entry), pa.array(leave), pa.array(last), pa.array(total), pa.array(start)], ["seg", "entry", "leave", "last", "total", "start"])
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +170,11 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last[a]:
                 piece[b - 1] += CLOSE + "".join(_turn(r) + CLOSE for r in ENDING[state])
                 cost[b - 1] += INSERT * len(ENDING[state])
-        yield pa.record_batch([t["conv"].combine_chunks(), t["turn"].combine_chunks(), t["role"].combine_chunks(), pa.array(out_role), pa.array(action), pa.array(inserted), pa.array(cost, pa.int64()), t["total"].combine_chunks(), t["seg"].combine_chunks(), t["place"].combine_chunks(), pa.array(piece)], ["conv", "turn", "role", "out_role", "action", "inserted", "cost", "conv_cost", "seg", "place", "piece"])
+        yield pa.record_batch([t["conv"].combine_chunks(), t["turn"].combine_chunks(), t["role"].combine_chunks(), pa.array(out_role), pa.array(action), pa.array(inserted), pa.array(cost, pa.int64()), t["total"].combine_chunks(), t["seg"].combine_chunks(), pa.array(t["start"].to_numpy() + t["place"].to_numpy()), pa.array(piece)], ["conv", "turn", "role", "out_role", "action", "inserted", "cost", "conv_cost", "seg", "place", "piece"])
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per input row: conv_id, turn, role, out_role, action, inserted, cost, conv_cost, piece, and place in (seg, place)."""
+    """One row per input row: conv_id, turn, role, out_role, action, inserted, cost, conv_cost, piece, seg, and place, the row's place in its conversation from 0."""
     missing = F.lit(-(1 << 63)).cast("long")
     rows = turns.select(F.coalesce(F.col(conv_col).cast("long"), missing).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("role", "text"))
@@ -179,8 +182,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     dealt = rows.withColumn("own", F.monotonically_increasing_id()).repartitionByRange("conv", "turn", "tie", "own").sortWithinPartitions("conv", "turn", "tie", "own").select("conv", "turn", "role", "text")
     dealt = materialize(dealt.mapInArrow(_number_segments, "seg long, place long, conv long, turn long, role string, text string, number int"), "turns")
     order = dealt.select("seg", "conv", "place", "number")
-    costs = order.repartition("seg").sortWithinPartitions("seg", "place").mapInArrow(_transfers, "conv long, seg long, cost array<long>")
-    ends = costs.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(_chains, "seg long, entry int, leave int, last boolean, total long")
+    costs = order.repartition("seg").sortWithinPartitions("seg", "place").mapInArrow(_transfers, "conv long, seg long, cost array<long>, rows long")
+    ends = costs.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(_chains, "seg long, entry int, leave int, last boolean, total long, start long")
     ready = dealt.join(ends, "seg").repartition("seg").sortWithinPartitions("seg", "place")
     out = ready.mapInArrow(_render, "conv long, turn long, role string, out_role string, action string, inserted string, cost long, conv_cost long, seg long, place long, piece string")
     return out.select(F.when(F.col("conv") != missing, F.col("conv")).alias("conv_id"), "turn", "role", "out_role", "action", "inserted", "cost", "conv_cost", "seg", "place", "piece")

@@ -49,7 +49,7 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations")).drop("seg", "place")
+    return chat.format_chats(table(spark, sf_dir, "conversations")).drop("seg")
 
 
 def resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

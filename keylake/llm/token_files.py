@@ -48,7 +48,7 @@ _CUT = np.zeros(64, bool)
 for _a, _b in [(_DIGIT, k) for k in (_LETTER, _DIGIT, _OTHER, _APOSTROPHE)] + [(k, _DIGIT) for k in (_LETTER, _OTHER, _APOSTROPHE)] + [(_LETTER, _OTHER), (_LETTER, _APOSTROPHE), (_OTHER, _LETTER)]:
     _CUT[8 * _a + _b] = True
 #: Pieces that a worker remembers, about, and that the library encodes at once.
-KNOWN, TOGETHER = 500_000, 4096
+KNOWN, TOGETHER = 1_000_000, 4096
 
 
 class Coder:

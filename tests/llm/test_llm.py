@@ -484,7 +484,8 @@ def test_chat_repair_is_cheapest_and_legal(spark, monkeypatch):
     for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
         out.setdefault(r.conv_id, []).append(r)
     for k, c in enumerate(cases):
-        mine = sorted(out[k], key=lambda r: (r.seg, r.place))
+        mine = sorted(out[k], key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(len(c))) and [r.turn for r in mine] == list(range(len(c)))
         assert {r.conv_cost for r in mine} == {_least_cost(c)} and sum(r.cost for r in mine) == _least_cost(c)
         text = "".join(r.piece for r in mine)
         turns = re.findall(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", text, re.S)
@@ -495,6 +496,30 @@ def test_chat_repair_is_cheapest_and_legal(spark, monkeypatch):
         assert state == 2 and all(f"t{t}" in text for t in range(len(c)))
 
 
+def test_chat_on_odd_rows(spark, monkeypatch):
+    """Null conversations are one; null turns come first; null texts are empty; equal rows keep places of their own."""
+    monkeypatch.setattr(chat, "SEGMENT", 3)
+    rows = [(None, 1, "user", "a", "x"), (None, 2, "assistant", None, "x"), (1, None, "assistant", "late", "x"), (1, 0, "user", "q", "x"), (1, 0, "user", "q", "x"), (1, 0, "user", "q", "x"), (1, 5, "SYSTEM?", "", "x"), (2, 3, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost string")
+    out = {}
+    for r in chat.format_chats(frame).collect():
+        out.setdefault(r.conv_id, []).append(r)
+    assert {k: len(v) for k, v in out.items()} == {None: 2, 1: 5, 2: 1}
+    for mine in out.values():
+        mine.sort(key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(len(mine)))
+        assert [r.turn is not None for r in mine] == sorted(r.turn is not None for r in mine)
+        turns = re.findall(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", "".join(r.piece for r in mine), re.S)
+        state = chat.START
+        for role, _ in turns:
+            assert chat.ROLES.index(role) in chat.LEGAL[state]
+            state = chat.ROLES.index(role)
+        numbers = [chat.role_number(r.role) for r in mine]
+        assert state == 2 and {r.conv_cost for r in mine} == {_least_cost(numbers)} and sum(r.cost for r in mine) == _least_cost(numbers)
+    assert [(r.role, r.piece) for r in out[None]] == [("user", "<|user|>\na"), ("assistant", "<|end|>\n<|assistant|>\n<|end|>\n")]
+    assert chat.format_chats(frame.limit(0)).count() == 0
+
+
 def test_resampling_against_plain_sums(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
