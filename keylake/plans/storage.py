@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import closing
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from keylake.parsers import frames
 from keylake.plans.parsing import _D, Piece, _certificate, _docs, _raw, _scan, _tlv
 from keylake.plans.registry import query
 from keylake.session import shared_dir, table
-from keylake.sources import files, keyfiles, scans
+from keylake.sources import database, files, keyfiles, scans
 from keylake.streaming import streams
 
 
@@ -175,6 +176,35 @@ def merge_table(spark, sf):
     return files.merge_table(orders.where("o_totalprice > 100000").drop("o_totalprice"), new, ["o_orderkey"], _folder(spark))
 
 
+def _database(spark: SparkSession, table: str, columns: str) -> dict[str, str]:
+    """Options of a new table in a database file of the shared folder, which is a local one where this query runs."""
+    at = f"{shared_dir(spark).removeprefix('file://')}/keylake-{uuid.uuid4().hex}.db"
+    options = {"module": "sqlite3", "database": at, "timeout": "600", "table": table, "key": columns.split()[0], "page": "5000"}
+    spark.dataSource.register(database.KeyedTable)
+    with closing(database.connect(options)) as db:
+        db.execute(f"CREATE TABLE {table} ({columns})")
+        db.commit()
+    return options
+
+
+@query("s11_keyed_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def keyed_table(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    options = _database(spark, "orders", "o_orderkey INTEGER PRIMARY KEY, o_orderstatus TEXT, o_totalprice REAL")
+    rows.write.format("keyed_table").mode("append").options(**options).save()
+    return spark.read.format("keyed_table").schema(rows.schema).options(**options).load()
+
+
+@query("k10_merge_in_place", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 OR o_totalprice > 100000")
+def merge_in_place(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    options = _database(spark, "orders", "o_orderkey INTEGER PRIMARY KEY, o_orderstatus TEXT")
+    new = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("o_orderstatus"))
+    for part in (orders.where("o_totalprice > 100000").drop("o_totalprice"), new, new):  # the last delivery comes twice
+        part.write.format("keyed_table").mode("append").options(**options).save()
+    return spark.read.format("keyed_table").schema(new.schema).options(**options).load()
+
+
 @query("k12_error_sink", "SELECT event_id % 2 AS batch, event_type || user_id AS error, md5(event_type || user_id) AS err_md5 FROM events GROUP BY ALL")
 def error_sink(spark, sf):
     at = _folder(spark)

@@ -14,7 +14,7 @@ from keylake.functions import keys as K
 from keylake.functions import text as T
 from keylake.operators import graph, relations, snapshots, stats
 from keylake.parsers import frames
-from keylake.sources import files, keyfiles, markup, scans
+from keylake.sources import database, files, keyfiles, markup, scans
 from keylake.streaming import streams
 
 
@@ -367,3 +367,29 @@ def test_bitmaps_count_unions_exactly(spark):
     stored = stats.key_bitmaps(hosts, snapshots.seq_id(hosts.select("fprint").distinct(), "fprint"))
     assert {(r.group, r.n) for r in stats.bitmap_counts(stored, F.col("snap")).collect()} == {(d, len({k for s, k in rows if s == d})) for d in {s for s, _ in rows}}
     assert stats.bitmap_counts(stored, F.lit(1)).first().n == len({k for _, k in rows})
+
+
+def test_keyed_table_pages_and_merges(spark, tmp_path):
+    """Pages cross gaps; lost attempts leave nothing; a failed write changes nothing; a repeated write changes nothing."""
+    options = {"module": "sqlite3", "database": str(tmp_path / "t.db"), "timeout": "60", "table": "t", "key": "id", "page": "7", "parts": "3"}
+    spark.dataSource.register(database.KeyedTable)
+    with database.connect(options) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT)")
+    read = lambda: sorted(map(tuple, spark.read.format("keyed_table").schema("id long, v string").options(**options).load().collect()))
+    write = lambda df: df.write.format("keyed_table").mode("append").options(**options).save()
+    assert read() == []
+    first = [(k, f"a{k}") for k in [-5, *range(40, 60), *range(900, 931)]]
+    write(spark.createDataFrame([*first, (None, "none")], "id long, v string").repartition(4))
+    assert read() == first
+    second = spark.createDataFrame([(k, "b") for k in range(50, 905)], "id long, v string").repartition(5)
+    for _ in range(2):
+        write(second)
+        assert read() == sorted({**dict(first), **{k: "b" for k in range(50, 905)}}.items())
+    before = read()
+    with pytest.raises(Exception):
+        write(second.withColumn("v", F.when(F.col("id") == 700, F.raise_error(F.lit("lost"))).otherwise("c")))
+    assert read() == before
+    with database.connect(options) as db:
+        assert [n for (n,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")] == ["t"]
+    one = spark.read.format("keyed_table").schema("v string").options(**options).load()
+    assert one.count() == len(before)
