@@ -45,6 +45,18 @@ def category(c: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def categories(c: Column, first: list[tuple[str, str]], second: list[tuple[str, str]]) -> Column:
+    """(first, second, reject_reason): a name by each of two ordered lists of rules, in any case of letters.
+
+    A value that one list has no rule for is rejected: unknown_first or unknown_second, both names then null. Null is
+    unknown_first.
+    """
+    lower = F.lower(c)
+    a, b = (category(lower, [(needle.lower(), name) for needle, name in rules]) for rules in (first, second))
+    reason = F.when(a.isNull(), "unknown_first").when(b.isNull(), "unknown_second")
+    return F.struct(F.when(reason.isNull(), a).alias("first"), F.when(reason.isNull(), b).alias("second"), reason.alias("reject_reason"))
+
+
 def split_group(c: Column) -> tuple[Column, Column]:
     """(group, artifact) of a dotted name: all before the last dot, and the rest; no dot gives an empty group."""
     return F.regexp_extract(c, r"^(.*)\.[^.]*$", 1), F.element_at(F.split(c, r"\."), -1)

@@ -84,6 +84,16 @@ def category(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.category(F.col("text"), [("token", "secret"), ("Licensed", "license"), ("@", "mail")]).alias("category"))
 
 
+@query(
+    "f17_categories",
+    """WITH c AS (SELECT doc_id, CASE WHEN contains(lower(text), 'token') THEN 'secret' WHEN contains(lower(text), 'licensed') THEN 'license' WHEN contains(text, '@') THEN 'mail' END AS a, CASE WHEN contains(text, '#') THEN 'tag' WHEN contains(lower(text), 'e') THEN 'plain' END AS b FROM documents)
+SELECT doc_id, CASE WHEN b IS NOT NULL THEN a END AS "first", CASE WHEN a IS NOT NULL THEN b END AS "second", CASE WHEN a IS NULL THEN 'unknown_first' WHEN b IS NULL THEN 'unknown_second' END AS reject_reason FROM c""",
+)
+def categories(spark, sf):
+    found = T.categories(F.col("text"), [("Token", "secret"), ("Licensed", "license"), ("@", "mail")], [("#", "tag"), ("E", "plain")])
+    return table(spark, sf, "documents").select("doc_id", found.alias("c")).select("doc_id", "c.*")
+
+
 _SUM = "list_sum(list_transform([{w}], lambda p: CAST(id[p // 100] AS INTEGER) * (p % 100))) % 11"
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from keylake.functions import keys as K
 from keylake.functions.text import blocks
 from keylake.parsers import frames
+from keylake.session import materialize
 from keylake.sources.markup import ldif_certs
 
 
@@ -107,6 +108,7 @@ def scan_key_files(files: DataFrame, flag: Callable[[Column], Column] = K.weak_k
     """(path, kind, idx, n, flagged): a row for each key found in files (path, content), by each format that fits a file."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
     known = files.withColumn("__text", F.coalesce(text, F.lit(""))).withColumn("kind", F.explode(detect_format(F.col("path"), F.coalesce(text, F.lit("")))))
+    known = materialize(known, "detected")  # ten branches read it
 
     def found(kind: str, items: Column) -> DataFrame:
         return known.where(F.col("kind") == kind).select("path", "kind", F.posexplode(items).alias("idx", "item"))
