@@ -6,8 +6,9 @@ is tested with every parent domain of its host of two labels or more (an address
 path segment, against the intervals that hold at the time when it was fetched.
 
 Only DataFrame functions are used. Captures are first reduced to distinct (host, segment, time). The as-of join lays
-probes and changes of all patterns out in ranges of (pattern, time), so a pattern with very many of either spans many
-ranges; each range begins with the last change of its pattern in earlier ones. The verdict joins back by host, segment
+probes and intervals of all patterns out in ranges of (pattern, time), so a pattern with very many of either spans many
+ranges; each range begins with the last interval of its pattern in earlier ones. A probe meets the last interval that began
+by then, and is listed if that has not ended. The verdict joins back by host, segment
 and time.
 
 Defined results: a null or unparsable URL, or a null fetch time, is not listed. Changes with null pattern, time or action
@@ -38,10 +39,16 @@ def segment(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, since, until): when each pattern is listed; until is exclusive, null while it still is."""
-    changes = _changes(entries)
-    until = F.lead("at").over(Window.partitionBy("pattern").orderBy("at"))
-    return changes.select("pattern", F.col("at").alias("since"), until.alias("until"), "listed").where("listed").drop("listed")
+    """(pattern, since, until): when each pattern is listed; until is exclusive, null while it still is.
+
+    Changes are laid out in ranges of (pattern, time). The next change of a range's last one is the pattern's first in a
+    later range, so a pattern with very many changes spans many tasks.
+    """
+    laid = materialize(_changes(entries).repartitionByRange("pattern", "at").withColumn("range", F.spark_partition_id()), "changes")
+    firsts = laid.groupBy("pattern", "range").agg(F.min("at").alias("first"))  # a pattern has a row for each range at most
+    after = firsts.select("pattern", "range", F.lead("first").over(Window.partitionBy("pattern").orderBy("range")).alias("after"))
+    until = F.coalesce(F.lead("at").over(Window.partitionBy("pattern", "range").orderBy("at")), F.col("after"))
+    return laid.join(after, ["pattern", "range"]).select("pattern", F.col("at").alias("since"), until.alias("until"), "listed").where("listed").drop("listed")
 
 
 def _changes(entries: DataFrame) -> DataFrame:
@@ -50,16 +57,18 @@ def _changes(entries: DataFrame) -> DataFrame:
     return sound.select(F.lower("pattern").alias("pattern"), F.col("at").cast("timestamp_ntz").alias("at"), (F.col("action") == "add").alias("listed")).groupBy("pattern", "at").agg(F.max("listed").alias("listed"))
 
 
-def _as_of(probes: DataFrame, changes: DataFrame) -> DataFrame:
-    """probes (pattern, at) whose pattern's last change up to then was an addition."""
-    both = changes.select("pattern", "at", "listed", F.lit(False).alias("asked")).unionByName(probes.select("pattern", "at", F.lit(None).cast("boolean").alias("listed"), F.lit(True).alias("asked")))
+def _as_of(probes: DataFrame, spans: DataFrame) -> DataFrame:
+    """probes (pattern, at) that the pattern's last interval (since, until) up to then still holds."""
+    span = F.struct(F.col("since"), F.col("until")).alias("span")
+    both = spans.select("pattern", F.col("since").alias("at"), span, F.lit(False).alias("asked"))
+    both = both.unionByName(probes.select("pattern", "at", F.lit(None).cast(both.schema["span"].dataType).alias("span"), F.lit(True).alias("asked")))
     laid = materialize(both.repartitionByRange("pattern", "at").withColumn("range", F.spark_partition_id()), "ranges")
-    ends = laid.groupBy("pattern", "range").agg(F.max_by("listed", F.when(F.col("listed").isNotNull(), F.col("at"))).alias("listed"))  # a pattern has a row for each range at most
-    before = F.last("listed", ignorenulls=True).over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    begun = ends.select("pattern", "range", F.lit(None).cast("timestamp_ntz").alias("at"), before.alias("listed"), F.lit(False).alias("asked")).where("listed is not null")
+    ends = laid.groupBy("pattern", "range").agg(F.max_by("span", F.when(F.col("span").isNotNull(), F.col("at"))).alias("span"))  # a pattern has a row for each range at most
+    before = F.last("span", ignorenulls=True).over(Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    begun = ends.select("pattern", "range", F.lit(None).cast("timestamp_ntz").alias("at"), before.alias("span"), F.lit(False).alias("asked")).where("span is not null")
     up_to = Window.partitionBy("pattern", "range").orderBy(F.asc_nulls_first("at"), "asked").rowsBetween(Window.unboundedPreceding, 0)
-    found = laid.select("pattern", "range", "at", "listed", "asked").unionByName(begun).withColumn("listed", F.last("listed", ignorenulls=True).over(up_to))
-    return found.where("asked and listed").select("pattern", "at")
+    found = laid.select("pattern", "range", "at", "span", "asked").unionByName(begun).withColumn("span", F.last("span", ignorenulls=True).over(up_to))
+    return found.where("asked and span is not null and (span.until is null or at < span.until)").select("pattern", "at")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
@@ -71,7 +80,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     parents = F.when((F.size(labels) > 2) & ~F.col("host").rlike(ADDRESS), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array("host"))
     patterns = F.array_distinct(F.concat(parents, F.when(F.col("segment") != "", F.array(F.lower(F.concat("host", "segment")))).otherwise(F.array().cast("array<string>"))))
     asked = distinct.select("host", "segment", "at", F.explode(patterns).alias("pattern"))
-    held = _as_of(asked.select("pattern", "at").distinct(), _changes(entries))
+    held = _as_of(asked.select("pattern", "at").distinct(), intervals(entries))
     verdict = asked.join(held, ["pattern", "at"]).groupBy("host", "segment", "at").agg(F.count("*").alias("n_patterns"), F.min(F.struct((-F.length("pattern")).alias("long"), "pattern"))["pattern"].alias("pattern"))
     out = rows.where(sound).join(verdict, ["host", "segment", "at"], "left")
     none = rows.where(~sound).withColumn("n_patterns", F.lit(None).cast("long")).withColumn("pattern", F.lit(None).cast("string"))
