@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -17,6 +18,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from keylake.llm import byte_bpe, chat, decontaminate, jaccard, language, quality, queries, secret_scan, topk, toxicity, url_filter
+from keylake.llm import vectors as V
 from keylake.llm import words as W
 
 SF = "/root/testdata/sf0.001"
@@ -450,6 +452,26 @@ def test_top_k_ends_on_proof_only():
         assert all_scored or index.skipped > 0
 
 
+def test_one_wide_vector_costs_its_own_cells():
+    """One vector of 20 000 components among 32 768 short ones: the index holds their cells, and scores are exact."""
+    rng = np.random.default_rng(1)
+    start = np.concatenate([[0], 20_000 + 2 * np.arange(32_769)])
+    rows = V.Ragged(start, np.floor(rng.normal(0, 300, start[-1])))
+    ids = np.arange(32_769) + 5
+    tracemalloc.start()
+    index = topk.Shard(ids, rows)
+    queries_ = rows.take(np.array([0, 9, 700])).dense(index.width)
+    found = list(index.search(queries_, np.array([5, 14, 705]), 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    short = np.vstack([rows.value[:2], rows.value[20_000:].reshape(-1, 2)])
+    for (got, scores), q, own in zip(found, (0, 9, 700), (5, 14, 705), strict=True):
+        exact = (short @ short[q]).astype(np.int64) if q else (short @ rows.value[:2]).astype(np.int64)
+        want = sorted((-s, i) for s, i in zip(exact.tolist(), ids.tolist(), strict=True) if i != own)[:4]
+        assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == want
+
+
 def test_top_k_on_odd_tables(spark):
     rows = [(0, [], "x"), (100, [1.0], "x"), (100, [2.0, 0.5], "x"), (7, [], "y"), (8, [-1.0, 1.0], "y"), (200, [0.0, 2.0], "y")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
