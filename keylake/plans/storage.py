@@ -14,7 +14,7 @@ from keylake.parsers import frames
 from keylake.plans.parsing import _D, Piece, _certificate, _docs, _raw, _scan, _tlv
 from keylake.plans.registry import query
 from keylake.session import shared_dir, table
-from keylake.sources import database, files, keyfiles, scans
+from keylake.sources import archives, database, files, keyfiles, scans
 from keylake.streaming import streams
 
 
@@ -79,6 +79,17 @@ def key_files(spark, sf):
     return keyfiles.scan_key_files(keyfiles.read_key_files(spark, at)).select("kind", "n")
 
 
+@query("s08_archives", "SELECT 'd/' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS digest, NULL::VARCHAR AS error FROM documents")
+def archived(spark, sf):
+    """Whole texts as members of tar archives, which tasks read in spans."""
+    at = _folder(spark)
+    spark.dataSource.register(archives.TarFiles)
+    name = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    table(spark, sf, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content")).write.format("tar_files").mode("append").option("path", at).save()
+    read = keyfiles.read_key_files(spark, at)
+    return read.select(F.regexp_extract("path", "!(.*)$", 1).alias("name"), F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("digest"), "error")
+
+
 @query("s10_ssh_keys", f"SELECT CAST(doc_id AS VARCHAR) AS source, ltrim(m, '0') AS n, '10001' AS e FROM {_D} WHERE doc_id % 3 = 1")
 def ssh_keys(spark, sf):
     at, k = _folder(spark), F.col("doc_id") % 3

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,35 +14,23 @@ from keylake.functions import keys as K
 from keylake.functions.text import blocks
 from keylake.parsers import frames
 from keylake.session import materialize
+from keylake.sources import archives
 from keylake.sources.markup import ldif_certs
 
 
 def read_key_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, content, error) of the files below folders; members of tar archives appear as path!member.
+    """(path, content, error) of the files below folders; members of tar archives appear as path!member (see archives).
 
-    An archive that breaks off, or is none, gives the members before that and a row with null content and the error.
+    An archive that breaks off, or is none, gives the members before that and a row with null content and the error. A file
+    too large for one cell has null content and an error. Spark reads no files of no bytes, so these give no row; empty
+    members of archives do.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content", F.lit(None).cast("string").alias("error"))
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for name, data, error in _members(content):
-                    yield pd.DataFrame({"path": [path if name is None else f"{path}!{name}"], "content": [data], "error": [error]}, dtype=object)
-
-    is_tar = F.col("path").rlike(r"\.(tar|tar\.gz|tgz)$")
-    return files.where(~is_tar).unionByName(files.where(is_tar).mapInPandas(members, "path string, content binary, error string"))
-
-
-def _members(content: bytes) -> Iterator[tuple[str | None, bytes | None, str | None]]:
-    """(name, content, error) of an archive's files, one at a time."""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-            for m in tar:
-                if m.isfile():
-                    yield m.name, tar.extractfile(m).read(), None
-    except Exception as e:  # of any kind: archives come from anywhere
-        yield None, None, f"{type(e).__name__}: {e}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    is_tar, fits = F.col("path").rlike(r"\.(tar|tar\.gz|tgz)$"), F.col("length") <= archives.LARGEST
+    none = F.lit(None).cast("string").alias("error")
+    plain = files.where(~is_tar & fits).select("path", "content", none)
+    large = files.where(~is_tar & ~fits).select("path", F.lit(None).cast("binary").alias("content"), F.format_string("%d bytes are too many", "length").alias("error"))
+    return plain.unionByName(large).unionByName(archives.read_members(spark, files.where(is_tar)))
 
 
 def detect_format(name: Column, text: Column) -> Column:

@@ -14,7 +14,7 @@ from keylake.functions import keys as K
 from keylake.functions import text as T
 from keylake.operators import graph, relations, snapshots, stats
 from keylake.parsers import frames
-from keylake.sources import database, files, keyfiles, markup, scans
+from keylake.sources import archives, database, files, keyfiles, markup, scans
 from keylake.streaming import streams
 
 
@@ -393,3 +393,42 @@ def test_keyed_table_pages_and_merges(spark, tmp_path):
         assert [n for (n,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")] == ["t"]
     one = spark.read.format("keyed_table").schema("v string").options(**options).load()
     assert one.count() == len(before)
+
+
+def test_archive_in_spans(spark, tmp_path):
+    """10 000 members of one archive, with long names, empty files, equal names, links and folders, by several tasks."""
+    (tmp_path / "a b%").mkdir()
+    with tarfile.open(tmp_path / "a b%/one.tar", "w", format=tarfile.GNU_FORMAT) as tar:
+        for k in range(10_000):
+            info = tarfile.TarInfo(f"{'deep/' * (30 if k % 1000 == 0 else 1)}{k // 2}")
+            info.size = k % 50 * 20
+            tar.addfile(info, io.BytesIO(str(k).encode().ljust(info.size)[: info.size]))
+        for name, kind in (("folder", tarfile.DIRTYPE), ("link", tarfile.SYMTYPE)):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname = kind, "deep/1"
+            tar.addfile(info)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    got = archives.read_members(spark, files, span=1 << 20).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((f"{'deep/' * (30 if k % 1000 == 0 else 1)}{k // 2}", str(k).encode().ljust(k % 50 * 20)[: k % 50 * 20]) for k in range(10_000))
+    assert sorted((r.path.split("!")[1], bytes(r.content)) for r in got) == want
+    assert len({r.task for r in got}) > 2 and all(r.error is None for r in got)
+
+
+def test_archive_written_and_broken(spark, tmp_path):
+    """Null names are left out, null contents are empty, archives roll; what stands after a bad block is reported."""
+    at = str(tmp_path / "out")
+    spark.dataSource.register(archives.TarFiles)
+    df = spark.createDataFrame([(f"n{k}", bytearray(b"x" * 5000)) for k in range(20)] + [(None, bytearray(b"y")), ("none", None), ("n1", bytearray(b"again"))], "name string, content binary")
+    for _ in range(2):
+        df.coalesce(1).write.format("tar_files").mode("append").option("path", at).option("bytes", 20_000).save()
+    made = sorted((tmp_path / "out").iterdir())
+    assert len(made) > 4 and all(p.suffix in (".tar", ".crc") for p in made)
+    rows = keyfiles.read_key_files(spark, at).collect()
+    assert sorted((r.path.split("!")[1], len(r.content)) for r in rows) == sorted(2 * ([(f"n{k}", 5000) for k in range(20)] + [("none", 0), ("n1", 5)]))
+    first = next(p for p in made if p.suffix == ".tar" and tarfile.open(p).getnames()[:2] == ["n0", "n1"])
+    whole = first.read_bytes()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/bad.tar").write_bytes(whole[:5632] + b"?" * 512 + whole[6144:])
+    (tmp_path / "bad/empty.tar").write_bytes(b"")
+    bad = sorted((r.path.rsplit("/", 1)[1], r.content and len(r.content), r.error is None) for r in keyfiles.read_key_files(spark, str(tmp_path / "bad")).collect())
+    assert bad == [("bad.tar", None, False), ("bad.tar!n0", 5000, True)]
