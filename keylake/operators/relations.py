@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keylake.functions.text import version_key, version_length
+from keylake.operators.snapshots import place_within
+
+#: Values of one row, where a key's list comes in parts.
+PART = 10_000
 
 
 def attach_hosts(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> DataFrame:
@@ -25,6 +29,35 @@ def attached_hosts(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> D
     return certs.select(key).distinct().join(hosts.select(key, "ip").distinct(), key, "left")
 
 
+def lists_in_parts(df: DataFrame, key: str | list[str], value: str, size: int = PART, distinct: bool = True) -> DataFrame:
+    """(key, part, n, values): each key's sorted values in lists of at most size, parts counted from 0 in order.
+
+    Values are placed by ranges of key and value, so that neither a row nor a task has all values of a key. Null is a key;
+    null values are not listed. Values that repeat are listed once, or all of them if not distinct.
+    """
+    keys = [key] if isinstance(key, str) else key
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    placed = place_within(rows.distinct() if distinct else rows, keys, value)
+    return placed.groupBy(*keys, F.floor(F.col("place") / size).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def attached_in_parts(left: DataFrame, right: DataFrame, key: str, value: str, size: int = PART) -> DataFrame:
+    """(key, part, n, values) for each distinct key of left, the form in parts of attach_hosts and key_packages.
+
+    A key that right lacks, and a null key, has one part with an empty list.
+    """
+    parts = lists_in_parts(right, key, value, size)
+    out = left.select(key).distinct().join(parts, key, "left").fillna(0, ["part", "n"])
+    return out.withColumn("values", F.coalesce("values", F.array().cast(parts.schema["values"].dataType)))
+
+
+def unique_in_parts(df: DataFrame, key: str, order: str, list_col: str, size: int = PART) -> tuple[DataFrame, DataFrame]:
+    """unique_by with its lists in parts: the first row of each key with n_rows, and (key, part, n, values)."""
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("rep"), F.count("*").alias("n_rows"))
+    return first.select(key, "rep.*", "n_rows"), lists_in_parts(df, key, list_col, size, distinct=False)
+
+
 def in_snapshot(certs: DataFrame, hosts: DataFrame, key: str = "fprint") -> DataFrame:
     """certs whose key has a host; a null key has none. Repeated rows stay."""
     return certs.join(hosts.select(key), key, "left_semi")

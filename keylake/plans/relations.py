@@ -176,3 +176,39 @@ def compare_with_defaults(spark, sf):
 def attached_hosts(spark, sf):
     hosts = _orders(spark, sf).select(F.col("o_custkey").alias("fprint"), F.col("o_orderkey").alias("ip"))
     return relations.attached_hosts(table(spark, sf, "customer").select(F.col("c_custkey").alias("fprint")), hosts)
+
+
+def _parts_sql(rows: str, keys: str, value: str, size: int) -> str:
+    """SQL of the values of rows in lists of size: keys, part, n and the list joined."""
+    placed = f"SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1) // {size} AS part FROM ({rows})"
+    return f"SELECT {keys}, part, count(*) AS n, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY {value}) AS joined FROM ({placed}) GROUP BY ALL"
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("joined", F.array_join(F.transform("values", lambda x: x.cast("string")), ",")).drop("values")
+
+
+@query("j01_hosts_in_parts", _parts_sql("SELECT DISTINCT event_type AS fprint, user_id AS ip FROM events", "fprint", "ip", 10) + " UNION ALL SELECT r_name, 0, 0, '' FROM region")
+def hosts_in_parts(spark, sf):
+    """A handful of certificates with a large part of all hosts each, and some without."""
+    hosts = table(spark, sf, "events").select(F.col("event_type").alias("fprint"), F.col("user_id").alias("ip"))
+    certs = hosts.select("fprint").unionByName(table(spark, sf, "region").select(F.col("r_name").alias("fprint")))
+    return _joined(relations.attached_in_parts(certs, hosts, "fprint", "ip", 10))
+
+
+@query("j05_packages_in_parts", _parts_sql("SELECT DISTINCT l_returnflag AS key_id, l_partkey AS package FROM lineitem", "key_id", "package", 50))
+def packages_in_parts(spark, sf):
+    signed = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("key_id"), F.col("l_partkey").alias("package"))
+    return _joined(relations.attached_in_parts(signed, signed, "key_id", "package", 50))
+
+
+@query("r01_unique_in_parts", "SELECT p.*, first, n_rows FROM (" + _parts_sql("SELECT lang, doc_id FROM documents", "lang", "doc_id", 64) + ") p JOIN (SELECT lang, min(doc_id) AS first, count(*) AS n_rows FROM documents GROUP BY 1) f ON f.lang IS NOT DISTINCT FROM p.lang")
+def unique_in_parts(spark, sf):
+    first, parts = relations.unique_in_parts(table(spark, sf, "documents").select("lang", "doc_id", F.col("doc_id").alias("first")), "lang", "first", "doc_id", 64)
+    first = first.select(F.col("lang").alias("__lang"), "first", "n_rows")
+    return _joined(parts.join(first, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang"))
+
+
+@query("g03_dependents_in_parts", _parts_sql("SELECT DISTINCT l_linestatus, l_linenumber, l_orderkey FROM lineitem", "l_linestatus, l_linenumber", "l_orderkey", 100))
+def dependents_in_parts(spark, sf):
+    return _joined(relations.lists_in_parts(table(spark, sf, "lineitem"), ["l_linestatus", "l_linenumber"], "l_orderkey", 100))

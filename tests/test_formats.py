@@ -432,3 +432,21 @@ def test_archive_written_and_broken(spark, tmp_path):
     (tmp_path / "bad/empty.tar").write_bytes(b"")
     bad = sorted((r.path.rsplit("/", 1)[1], r.content and len(r.content), r.error is None) for r in keyfiles.read_key_files(spark, str(tmp_path / "bad")).collect())
     assert bad == [("bad.tar", None, False), ("bad.tar!n0", 5000, True)]
+
+
+def test_lists_in_parts(spark):
+    """One key with 10 000 of the rows, a null key, null and repeated values; no task places a whole key."""
+    rows = [("hot", k) for k in range(10_000)] + [("cold", 5), ("cold", 5), ("cold", None), (None, 7), (None, 3), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(8)
+    got = {(r.k, r.part): (r.n, list(r["values"])) for r in relations.lists_in_parts(df, "k", "v", 999).collect()}
+    want = {("hot", p): (len(range(10_000)[p * 999 : p * 999 + 999]), list(range(10_000)[p * 999 : p * 999 + 999])) for p in range(11)}
+    assert got == want | {("cold", 0): (1, [5]), (None, 0): (2, [3, 7])}
+    first, parts = relations.unique_in_parts(df.withColumn("o", F.col("v")), "k", "o", "v", 2)
+    assert {(r.k, r.v, r.n_rows) for r in first.where("k is null or k <> 'hot'").collect()} == {("cold", 5, 3), (None, 3, 2), ("none", None, 1)}
+    assert sorted(r["values"] for r in parts.where("k = 'cold'").collect()) == [[5, 5]]
+    left = spark.createDataFrame([("cold",), ("cold",), ("x",), (None,)], "k string")
+    assert {(r.k, r.part, r.n, tuple(r["values"])) for r in relations.attached_in_parts(left, df, "k", "v").collect()} == {("cold", 0, 1, (5,)), ("x", 0, 0, ()), (None, 0, 0, ())}
+    placed = snapshots.place_within(df.where("v is not null").repartition(8), "k", "v", start=1).collect()
+    assert sorted((r.v, r.place) for r in placed if r.k == "hot") == [(k, k + 1) for k in range(10_000)]
+    assert sorted((r.v, r.place) for r in placed if r.k is None) == [(3, 1), (7, 2)]
+    assert relations.lists_in_parts(df.limit(0), "k", "v").count() == 0
