@@ -157,6 +157,38 @@ def sitemap(spark, sf):
     return markup.sitemap_entries(table(spark, sf, "pages").select(entry.alias("xml")))
 
 
+@query("s15_sitemap_index", "SELECT page_id, kind, CASE kind WHEN 'index' THEN url || '/s.xml' END AS url FROM (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'index' WHEN 1 THEN 'urls' END AS kind FROM pages)")
+def sitemap_index(spark, sf):
+    loc = lambda name: F.concat(F.lit("<sitemap>\n<loc>"), "url", F.lit(f"/{name}</loc></sitemap>"))
+    k, head = F.col("page_id") % 3, F.lit('<?xml version="1.0"?>')
+    index = F.concat(head, F.lit("<sitemapindex>"), loc("s.xml"), loc("default.xml"), loc("topics.xml"), F.lit("</sitemapindex>"))
+    xml = F.when(k == 0, index).when(k == 1, F.concat(head, F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url></urlset>"))).otherwise(F.col("html"))
+    made = table(spark, sf, "pages").select("page_id", xml.alias("xml"))
+    return made.select("page_id", markup.sitemap_kind(F.col("xml")).alias("kind")).join(markup.sitemap_links(made), "page_id", "left")
+
+
+@query(
+    "s15_listing",
+    r"""WITH p AS (SELECT *, regexp_extract(html, '<title>([^<]*)</title>', 1) AS h FROM pages), q AS (SELECT *, trim(regexp_replace(h, '\s+', ' ', 'g')) AS u FROM p), r AS (SELECT *, replace(replace(replace(replace(replace(u, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM q)
+SELECT page_id, n, t AS app, 'beta' AS type, '1.' || page_id || '.' || n AS version, CASE WHEN n = 1 THEN '2024-01-02 03:04:05' END AS uploaded, CAST(floor((page_id + 0.5) * 1048576) AS BIGINT) AS size, 1000 + page_id AS downloads, n = 2 AS variants, 'c' || page_id AS company FROM r, (VALUES (1), (2)) x(n)""",
+)
+def listing(spark, sf):
+    """Whole pages with two rows of a listing of their titles after them."""
+    k, title = F.col("page_id").cast("string"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+    def row(n: int) -> Column:
+        version = F.concat(F.lit("1."), k, F.lit(f".{n}"))
+        head = [F.lit('<div class="appRow"><div><a href="https://h.example/apk/c'), k, F.lit(f'/a/{n}">'), title, F.lit(" "), version, F.lit(" BETA</a>"), F.lit('<div class="appRowVariantTag">2</div>' if n == 2 else "")]
+        time = '<span data-utcdate="2024-01-02 03:04:05 UTC">Tuesday</span>' if n == 1 else "never"
+        named = lambda name, value: [F.lit(f"<p><span>{name}:</span> <span>"), value, F.lit("</span></p>")]
+        size = F.concat(k, F.lit(".5 MB"))
+        return F.concat(*head, F.lit("</div></div><div class='infoSlide'>"), *named("Version", version), *named("Uploaded", F.lit(time)), *named("File size", size), *named("Downloads", F.format_number(F.col("page_id") + 1000, 0)), F.lit("</div>"))
+
+    pages = table(spark, sf, "pages").select("page_id", F.concat("html", F.lit('<div id="primary"><div class="listWidget">'), row(1), row(2), F.lit("</div></div>")).alias("html"))
+    found = markup.listing_entries(pages).withColumn("n", F.right("link", F.lit(1)).cast("int"))
+    return found.select("page_id", "n", "app", "type", "version", F.date_format("uploaded", "yyyy-MM-dd HH:mm:ss").alias("uploaded"), "size", "downloads", "variants", "company")
+
+
 @query("s22_ldif", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 0 THEN m ELSE substr(m, 1, 24) END AS cert FROM {_D}, (VALUES (0), (1)) v(pos)")
 def ldif(spark, sf):
     text = F.concat(F.lit("dn: x\nuserCertificate;binary:: "), F.base64(F.unhex("m")), F.lit("\nuserCertificate;binary:: "), F.base64(F.unhex(F.substring("m", 1, 24))), F.lit("\ncn: y\n"))
@@ -223,6 +255,23 @@ def detect_format(spark, sf):
 
 
 
+@query(
+    "s09_document_formats",
+    r"""WITH d AS (SELECT doc_id, 'k' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.CRT' WHEN 1 THEN '.ldif' WHEN 2 THEN '.mods' WHEN 3 THEN '.jks' WHEN 4 THEN '.json' ELSE '' END AS name,
+CASE doc_id % 5 WHEN 0 THEN text || '-----BEGIN CERTIFICATE-----' || text WHEN 1 THEN '[' || text WHEN 2 THEN text || '-----BEGIN RSA PUBLIC KEY-----' || text WHEN 3 THEN text || 'ssh-rsa ' ELSE text END AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(t, '-----BEGIN CERTIFICATE') THEN 'pem' END, CASE WHEN regexp_matches(t, '-----BEGIN (RSA )?(PUBLIC|PRIVATE) KEY') THEN 'rsa_pem' END, CASE WHEN contains(t, '-----BEGIN PGP PUBLIC KEY') THEN 'pgp' END,
+CASE WHEN contains(t, 'ssh-rsa ') THEN 'ssh' END, CASE WHEN regexp_matches(ltrim(t, ' '), '^[\[{]') OR name LIKE '%.json' THEN 'json' END, CASE WHEN contains(t, 'binary::') OR name LIKE '%.ldif' THEN 'ldif' END,
+CASE WHEN name LIKE '%.CRT' AND NOT contains(t, '-----BEGIN') THEN 'der' END, CASE WHEN name LIKE '%.mods' THEN 'mods' END, CASE WHEN name LIKE '%.jks' THEN 'jks' END], lambda x: x IS NOT NULL), ',') AS kinds FROM d""",
+)
+def document_formats(spark, sf):
+    """Whole texts, with the mark of a format before, after or inside them, under names of several kinds."""
+    k, n, text = F.col("doc_id") % 5, F.col("doc_id") % 6, F.col("text")
+    name = F.concat(F.lit("k"), F.col("doc_id").cast("string"), F.when(n == 0, ".CRT").when(n == 1, ".ldif").when(n == 2, ".mods").when(n == 3, ".jks").when(n == 4, ".json").otherwise(""))
+    inside = lambda mark: F.concat(text, F.lit(mark), text)
+    body = F.when(k == 0, inside("-----BEGIN CERTIFICATE-----")).when(k == 1, F.concat(F.lit("["), text)).when(k == 2, inside("-----BEGIN RSA PUBLIC KEY-----")).when(k == 3, F.concat(text, F.lit("ssh-rsa "))).otherwise(text)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(keyfiles.detect_format(name, body), ",").alias("kinds"))
+
+
 def _scan(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as scan results: each tenth has no tls, languages other than English no RSA key."""
     key = F.when(F.col("lang") == "en", F.struct(F.base64(F.unhex("m")).alias("modulus"), F.lit(65537).cast("long").alias("exponent")))
@@ -377,6 +426,27 @@ def app_rankings(spark, sf):
     return markup.app_rankings(markup.html_tables(pages, "html", "p_partkey"), "p_partkey")
 
 
+@query(
+    "s14_site_rankings",
+    """SELECT p_partkey, 'cards' AS site, CAST(p_size + 1 AS BIGINT) AS place, p_name AS app, 'com.x' || p_partkey AS package, p_brand || ' & Co' AS vendor, 'top' AS type FROM part
+UNION ALL SELECT p_partkey, 'list', 20 + k, p_name || k, 'com.x' || p_partkey, NULL, 'top' FROM part, (VALUES (0), (1)) l(k)
+UNION ALL SELECT p_partkey, 'dashboard', p_size + 1, p_name, 'com.x' || p_partkey || t, CASE WHEN t <> 'paid' THEN p_brand END, t FROM part, (VALUES ('free'), ('paid'), ('grossing'), ('new_free'), ('new_paid')) c(t)""",
+)
+def site_rankings(spark, sf):
+    k, name, brand, place = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), (F.col("p_size") + 1).cast("string")
+    card = F.concat(F.lit('<div class="details"><a class="title" href="/d?id=com.x'), k, F.lit('&hl=en">\n '), place, F.lit(". "), name, F.lit('</a><div><a class="subtitle" href="/v?id=1" title="'), brand, F.lit(' &amp; Co">x</a></div></div>'))
+    items = [F.concat(F.lit('<li><div><a title="'), name, F.lit(f'{n}" href="/app/com.x'), k, F.lit('">x</a></div><div><a href="/get">Get</a></div></li>')) for n in (0, 1)]
+
+    def cell(kind: str) -> Column:
+        vendor = F.lit("") if kind == "paid" else F.concat(F.lit("<span>"), brand, F.lit("</span>"))
+        return F.concat(F.lit('<td class="app-with-publisher-rank-iap tbl"><div><a href="/apps/com.x'), k, F.lit(f'{kind}/details/1"><i/></a><div class="asset-name"><a><span> '), name, F.lit("</span>"), vendor, F.lit("</a></div></div></td>"))
+
+    board = F.concat(F.lit('<table><tr><th>#</th></tr><tr class="main-row table-row"><td><span>'), place, F.lit("</span></td>"), *[cell(t) for t in markup.CHARTS], F.lit("</tr></table>"))
+    pages = {"cards": card, "list": F.concat(F.lit("<ul>"), *items, F.lit("</ul>")), "dashboard": board}
+    found = [markup.site_rankings(table(spark, sf, "part").select("p_partkey", html.alias("html")), "html", site, "top", 20).withColumn("site", F.lit(site)) for site, html in pages.items()]
+    return reduce(DataFrame.unionByName, found).select("p_partkey", "site", "place", "app", "package", "vendor", "type")
+
+
 @query("s17_maven_index", """SELECT 'org.s' || s_suppkey AS "group", 'a' || s_nationkey AS artifact, v AS version, 'https://m.example/org/s' || s_suppkey || '/a' || s_nationkey || '/' || v || '/a' || s_nationkey || '-' || v || '.pom' AS pom_url FROM supplier, (VALUES ('1.0'), ('2')) x(v) WHERE s_acctbal > 0""")
 def maven_index(spark, sf):
     version = lambda v: F.struct(F.lit(v).alias("v"), F.lit("l").alias("l"))

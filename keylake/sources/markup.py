@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keylake.functions.text import digits, last_segment
+from keylake.functions.text import app_name, digits, last_segment, size_bytes, version_type
 from keylake.operators.snapshots import seq_id
 
 
@@ -129,3 +129,113 @@ def app_rankings(cells: DataFrame, id_col: str) -> DataFrame:
     pick = lambda n, what: F.max(F.when(F.col("col") == n, F.col(what)))
     rows = cells.groupBy(id_col, "tbl", "line").agg(digits(pick(0, "text")).alias("place"), pick(1, "text").alias("app"), F.regexp_extract(pick(1, "href"), r"\?id=([^&]*)", 1).alias("package"), pick(2, "text").alias("vendor"))
     return rows.where("place is not null and package <> ''").select(id_col, "place", "app", "package", "vendor")
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), group)
+
+
+def _attribute(element: Column, name: str) -> Column:
+    """An attribute of an element's first tag that has it; null if none has."""
+    return F.nullif(_plain(F.regexp_extract(element, rf'\b{name}="([^"]*)"', 1)), F.lit(""))
+
+
+def _plain(html: Column) -> Column:
+    """Text without tags and surrounding white space, the usual entities resolved."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", ""), r"\s+", " "))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out
+
+
+_ANCHOR = r"(?s)<a\b[^>]*>.*?</a>"
+
+#: The charts of a dashboard, by column.
+CHARTS = ("free", "paid", "grossing", "new_free", "new_paid")
+
+
+def _cards(html: Column) -> Column:
+    """Cards, each from its title to the next one's: `3. Name` links to the package, a subtitle to the vendor."""
+
+    def card(c: Column, _) -> Column:
+        title = F.try_element_at(_all(c, _ANCHOR), F.lit(1))
+        subtitle = F.regexp_extract(c, r'(?s)<a\b[^>]*class="subtitle"[^>]*>', 0)
+        text = _plain(title)
+        link = _attribute(title, "href")
+        return _ranked(F.regexp_extract(text, r"^([0-9]+)\.", 1).try_cast("long"), F.regexp_replace(text, r"^[0-9]+\.\s*", ""), F.regexp_extract(link, r"\?id=([^&]*)", 1), _attribute(subtitle, "title"), link)
+
+    return F.transform(_all(html, r'(?s)<a\b[^>]*class="title"[^>]*>.*?(?=<a\b[^>]*class="title"|$)'), card)
+
+
+def _items(html: Column, first: int) -> Column:
+    """List items without places of their own: the first anchor is titled and ends in the package, the last is the download."""
+
+    def item(li: Column, k: Column) -> Column:
+        found = _all(li, _ANCHOR)
+        head = F.try_element_at(found, F.lit(1))
+        link = _attribute(head, "href")
+        return _ranked((k + first).cast("long"), _attribute(head, "title"), F.element_at(F.split(link, "/"), -1), F.lit(None), link, download=_attribute(F.try_element_at(found, F.lit(-1)), "href"))
+
+    return F.transform(_all(html, r"(?s)<li\b[^>]*>(.*?)</li>", 1), item)
+
+
+def _dashboard(html: Column) -> Column:
+    """Rows of a table with a place and a cell for each chart: names of app and vendor, and a link .../package/details/..."""
+
+    def row(tr: Column) -> Column:
+        place = digits(_plain(F.regexp_extract(tr, r"(?s)<td\b[^>]*>(.*?)</td>", 1)))
+
+        def cell(td: Column, k: Column) -> Column:
+            names = F.filter(F.transform(_all(F.regexp_extract(td, r'(?s)class="asset-name".*', 0), r"(?s)<span\b[^>]*>(.*?)</span>", 1), _plain), lambda x: x != "")
+            link = _attribute(F.try_element_at(_all(td, _ANCHOR), F.lit(1)), "href")
+            chart = F.try_element_at(F.array(*map(F.lit, CHARTS)), k + 1)
+            return _ranked(place, F.try_element_at(names, F.lit(1)), F.regexp_extract(link, r"([^/]+)/details/", 1), F.try_element_at(names, F.lit(2)), link, chart)
+
+        return F.transform(_all(tr, r'(?s)<td\b[^>]*class="app-with-publisher-rank-iap[^"]*"[^>]*>.*?</td>'), cell)
+
+    return F.flatten(F.transform(_all(html, r'(?s)<tr\b[^>]*class="main-row[^"]*"[^>]*>.*?</tr>'), row))
+
+
+def _ranked(place: Column, app: Column, package: Column, vendor: Column, link: Column, kind: Column | None = None, download: Column | None = None) -> Column:
+    text = {"app": app, "package": F.nullif(package, F.lit("")), "vendor": vendor, "type": F.lit(None) if kind is None else kind, "link": link, "download": F.lit(None) if download is None else download}
+    return F.struct(place.alias("place"), *[c.cast("string").alias(name) for name, c in text.items()])
+
+
+def site_rankings(df: DataFrame, html: str, site: str, kind: str | None = None, first: int = 0) -> DataFrame:
+    """df's other columns with place, app, package, vendor, type, link and download of each ranked application of a page.
+
+    Sites: cards, list and dashboard, as their functions above describe. A list's places count from first, and kind is the type
+    of pages that name none. What a page lacks is null; entries without a link are left out. Null pages give no rows.
+    """
+    found = {"cards": _cards, "list": lambda c: _items(c, first), "dashboard": _dashboard}[site](F.col(html))
+    rows = df.select(*[c for c in df.columns if c != html], F.inline(found)).where("link is not null")
+    return rows.withColumn("type", F.coalesce("type", F.lit(kind).cast("string")))
+
+
+def sitemap_kind(xml: Column) -> Column:
+    """index for a list of sitemaps, urls for a list of pages, null for what is to be fetched again."""
+    return F.when(F.contains(xml, F.lit("<?xml version")), F.when(F.contains(xml, F.lit("sitemapindex")), "index").when(F.contains(xml, F.lit("<url>")), "urls"))
+
+
+def sitemap_links(df: DataFrame, xml: str = "xml", dropped: tuple[str, ...] = ("default.xml", "topics.xml")) -> DataFrame:
+    """df's other columns with url: the sitemaps that index pages list, without those whose names hold a dropped one."""
+    rows = df.where(sitemap_kind(F.col(xml)) == "index").select(*[c for c in df.columns if c != xml], F.explode(_all(F.col(xml), r"(?s)<loc>(.*?)</loc>", 1)).alias("url")).withColumn("url", _plain(F.col("url")))
+    for name in dropped:
+        rows = rows.where(~F.contains("url", F.lit(name)))
+    return rows
+
+
+def listing_entries(df: DataFrame, html: str = "html") -> DataFrame:
+    """df's other columns with title, app, type, version, uploaded, size, downloads, variants, company and link of each row of a listing.
+
+    Rows stand in a page's primary part; below a row come version, time, size and downloads, in this order. What does not
+    parse is null. Rows without a link are left out.
+    """
+    main = F.regexp_extract(html, r'(?s)id="primary".*', 0)
+    rows = df.select(*[c for c in df.columns if c != html], F.explode(_all(main, r'(?s)<div\b[^>]*class="appRow"[^>]*>.*?(?=<div\b[^>]*class="appRow"|$)')).alias("__r"))
+    head, info = F.try_element_at(_all(F.col("__r"), _ANCHOR), F.lit(1)), _all(F.col("__r"), r"(?s)<p\b[^>]*>(.*?)</p>", 1)
+    value = lambda k: _plain(F.regexp_replace(F.try_element_at(info, F.lit(k)), r"(?s)^.*?</span>", ""))  # noqa: E731  (its name comes first)
+    time = F.regexp_extract(F.try_element_at(info, F.lit(2)), r'data-utcdate="([^"]*?)(?: UTC)?"', 1)
+    rows = rows.select(*[c for c in rows.columns if c != "__r"], _plain(head).alias("title"), value(1).alias("version"), F.try_to_timestamp(time, F.lit("yyyy-MM-dd HH:mm:ss")).alias("uploaded"), size_bytes(F.upper(value(3))).alias("size"), digits(value(4)).alias("downloads"), F.contains("__r", F.lit('class="appRowVariantTag"')).alias("variants"), _attribute(head, "href").alias("link"))
+    rows = rows.where("link is not null").withColumn("company", F.nullif(F.regexp_extract("link", r"/apk/([^/]*)", 1), F.lit("")))
+    return rows.withColumns({"app": app_name(F.col("title"), F.coalesce("version", F.lit(""))), "type": version_type(F.col("title"))})

@@ -450,3 +450,15 @@ def test_lists_in_parts(spark):
     assert sorted((r.v, r.place) for r in placed if r.k == "hot") == [(k, k + 1) for k in range(10_000)]
     assert sorted((r.v, r.place) for r in placed if r.k is None) == [(3, 1), (7, 2)]
     assert relations.lists_in_parts(df.limit(0), "k", "v").count() == 0
+
+
+def test_pages_of_odd_forms(spark):
+    """Null and empty pages, entries that lack parts, and rows outside the primary part."""
+    row = '<div class="appRow"><a href="/apk/c/x">X 2</a></div><p><span>V:</span>2</p><p>no time</p><p><span>S:</span>3 gb</p>'
+    pages = [(1, None), (2, ""), (3, row), (4, f'<div id="primary">{row}<div class="appRow">no link</div></div>'), (5, "<li>none</li><li><a href='q'>x</a></li><li><a href=\"/a/b\">y</a></li>")]
+    df = spark.createDataFrame(pages, "id long, html string")
+    got = markup.listing_entries(df).collect()
+    assert [(r.id, r.title, r.app, r.type, r.version, r.uploaded, r.size, r.downloads, r.variants, r.company) for r in got] == [(4, "X 2", "X", None, "2", None, 3 << 30, None, False, "c")]
+    assert [(r.id, r.place, r.app, r.package, r.download) for r in markup.site_rankings(df, "html", "list", first=1).collect()] == [(5, 3, None, "b", "/a/b")]
+    assert markup.site_rankings(df, "html", "cards").count() == markup.site_rankings(df, "html", "dashboard").count() == markup.sitemap_links(df, "html").count() == 0
+    assert [r.k for r in df.select(markup.sitemap_kind(F.col("html")).alias("k")).collect()] == [None] * 5
