@@ -164,6 +164,7 @@ def _sample(docs: DataFrame, sample: int, windows: int) -> tuple[list[str], list
     part = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in sorted(counts.items())], "lang string, part double")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = labelled.join(F.broadcast(part), "lang").where(share < F.col("part"))  # a row for each language
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # rows of one id share its draw: of these one is learned from
     spots = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {k}), greatest(1, char_length(text) - {WINDOW} + 1)) as int), {WINDOW})") for k in range(SPOTS)]
     rows = chosen.select("doc_id", "lang", F.explode(F.array(*spots)).alias("spot")).where("spot rlike '\\\\p{L}'").collect()  # about sample x SPOTS x languages rows
     return sorted(counts), sorted((r.lang, r.spot.encode()[:WINDOW]) for r in rows)

@@ -356,6 +356,46 @@ def test_every_language_is_learned(spark):
     assert len({lang for lang, _ in language._sample(docs, 500, 1)[1]}) == 70
 
 
+def test_sample_of_a_repeated_id_is_bounded(spark):
+    """Each id has one document in the sample however many rows it has."""
+    docs = spark.createDataFrame([(7, f"text {chr(97 + k % 20)} of a repeated id", "x") for k in range(3000)] + [(k, f"text of id {k}", "y") for k in range(50)], "doc_id long, text string, lang string")
+    names, spots = language._sample(docs, 5000, 10**6)
+    assert names == ["x", "y"] and len(spots) == 51 * language.SPOTS
+
+
+def test_pooling_against_a_plain_loop(spark):
+    """Labels by one byte at a time, in windows, equal those of the batched network."""
+    net = language._new(["a", "b", "c"], np.random.default_rng(3))
+    net.bias[:] = (0.1, -0.2, 0.05)
+    texts = ["x", "Ein längerer Text. " * 20, "é" * language.WINDOW, "word " * (language.WINDOW // 5) + "end"]
+
+    def states(window: bytes, d: int) -> list[np.ndarray]:
+        h, out = np.zeros(language.HIDDEN), [None] * len(window)
+        for k in range(len(window)) if d == 0 else reversed(range(len(window))):
+            x, g = net.table[d][:, window[k]].astype(float), net.recurrent[d].astype(float) @ h
+            size = language.HIDDEN
+            keep, reset = (0.5 * (1 + np.tanh(x[lo : lo + size] + g[lo : lo + size])) for lo in (0, size))
+            new = np.tanh(x[2 * size :] + reset * (g[2 * size :] + net.inner[d]))
+            h = keep * h + (1 - keep) * new
+            out[k] = h
+        return out
+
+    def plain(text: str) -> np.ndarray:
+        data, total = text.encode(), np.zeros(3)
+        for lo in range(0, len(data), language.WINDOW):
+            window = data[lo : lo + language.WINDOW]
+            padded = window.ljust(language.WINDOW, b" ")
+            for ahead, back in list(zip(states(padded, 0), states(padded, 1), strict=True))[: len(window)]:
+                z = np.exp(net.out.astype(float) @ np.concatenate([ahead, back]) + net.bias)
+                total += z / z.sum()
+        return total / len(data)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language.identify(docs, net).collect():
+        want = plain(texts[r.doc_id])
+        assert r.lang_pred == net.languages[int(want.argmax())] and abs(r.score - want.max()) < 1e-4
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = language._new(["a", "b"], rng)
