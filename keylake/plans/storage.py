@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
-from keylake.operators import snapshots, stats
+from keylake.operators import graph, snapshots, stats
 from keylake.parsers import frames
 from keylake.plans.parsing import _D, Piece, _certificate, _docs, _raw, _scan, _tlv
 from keylake.plans.registry import query
-from keylake.session import shared_dir, table
+from keylake.session import materialize, shared_dir, table
 from keylake.sources import archives, database, files, keyfiles, scans
 from keylake.streaming import streams
 
@@ -257,6 +257,20 @@ def verify_pairs(spark, sf):
     return frames.verify_pairs(frames.parse_certificates(children), frames.parse_certificates(parents), "id").select("doc_id", "parent")
 
 
+@query(
+    "g01_verified_levels",
+    """WITH RECURSIVE r(fprint, parent, level) AS (SELECT doc_id, NULL::BIGINT, 0 FROM documents WHERE doc_id BETWEEN 1 AND 3
+UNION ALL SELECT doc_id, r.fprint, level + 1 FROM documents JOIN r ON doc_id // 2 = r.fprint WHERE doc_id > 3 AND doc_id % 7 <> 0 AND level < 9) SELECT CAST(fprint AS VARCHAR) AS fprint, CAST(parent AS VARCHAR) AS parent, level FROM r""",
+)
+def verified_levels(spark, sf):
+    """Documents as certificates, each issued by that of half its id; every seventh has a wrong signature."""
+    docs, k = _docs(spark, sf).where("doc_id > 0"), F.col("doc_id")
+    made = docs.select(k, k.cast("string").alias("fprint"), _signed(k.cast("string"), F.expr("doc_id div 2").cast("string"), (k <= 3) | (k % 7 != 0)).alias("der"))
+    certs = materialize(frames.parse_certificates(made).drop("der"), "certificates")
+    roots = certs.where("doc_id <= 3").drop("doc_id")
+    return graph.verified_levels(certs.where("doc_id > 3").drop("doc_id"), roots)
+
+
 def _little(x: Column) -> Column:
     """A 32-bit number in hex, least byte first."""
     h = F.lpad(F.hex(x), 8, "0")
