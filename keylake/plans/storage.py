@@ -81,11 +81,11 @@ def key_files(spark, sf):
 
 @query("s08_archives", "SELECT 'd/' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS digest, NULL::VARCHAR AS error FROM documents")
 def archived(spark, sf):
-    """Whole texts as members of tar archives, which tasks read in spans."""
+    """Whole texts as members of compressed tar archives, which tasks read in spans."""
     at = _folder(spark)
     spark.dataSource.register(archives.TarFiles)
     name = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    table(spark, sf, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content")).write.format("tar_files").mode("append").option("path", at).save()
+    table(spark, sf, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content")).write.format("tar_files").mode("append").option("path", at).option("compression", "zstd").save()
     read = keyfiles.read_key_files(spark, at)
     return read.select(F.regexp_extract("path", "!(.*)$", 1).alias("name"), F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("digest"), "error")
 

@@ -26,7 +26,7 @@ def read_key_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     members of archives do.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    is_tar, fits = F.col("path").rlike(r"\.(tar|tar\.gz|tgz)$"), F.col("length") <= archives.LARGEST
+    is_tar, fits = F.col("path").rlike(r"\.(tar|tar\.gz|tgz|tar\.zst)$"), F.col("length") <= archives.LARGEST
     none = F.lit(None).cast("string").alias("error")
     plain = files.where(~is_tar & fits).select("path", "content", none)
     large = files.where(~is_tar & ~fits).select("path", F.lit(None).cast("binary").alias("content"), F.format_string("%d bytes are too many", "length").alias("error"))

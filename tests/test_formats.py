@@ -8,6 +8,7 @@ import tarfile
 import zipfile
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from keylake.functions import keys as K
@@ -434,6 +435,39 @@ def test_archive_written_and_broken(spark, tmp_path):
     assert bad == [("bad.tar", None, False), ("bad.tar!n0", 5000, True)]
 
 
+def test_archive_in_frames(spark, tmp_path):
+    """Members across frames are read by place and by several tasks; without a list of frames, or cut, archives are streamed."""
+    at = tmp_path / "made"
+    spark.dataSource.register(archives.TarFiles)
+    sizes = {f"n{k}": k * 37 % 9000 for k in range(3000)} | {"large": 9 << 20, "none": 0}
+    df = spark.createDataFrame(sizes.items(), "name string, size int").select("name", F.repeat(F.sha2("name", 256), F.ceil(F.col("size") / 64).cast("int")).cast("binary").alias("content"))
+    df.coalesce(1).write.format("tar_files").mode("append").option("path", str(at)).option("compression", "zstd").save()
+    (made,) = [p for p in at.iterdir() if p.name.endswith(".tar.zst")]
+    whole, want = made.read_bytes(), {r.name: bytes(r.content) for r in df.collect()}
+    with made.open("rb") as f:
+        found = archives.frame_sizes(f, len(whole))
+    assert len(found) > 3 and archives.frame_sizes(io.BytesIO(whole[:-1]), len(whole) - 1) is None
+    files = lambda path: spark.read.format("binaryFile").load(str(path))
+    got = archives.read_members(spark, files(made), span=1 << 20).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path.split("!")[1]: bytes(r.content) for r in got} == want and len(got) == len(want) and len({r.task for r in got}) > 2
+    assert {r.name for r in archives.list_members(files(made)).collect()} == set(want)
+    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(whole), read_across_frames=True).read()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/stream.tar.zst").write_bytes(zstandard.ZstdCompressor().compress(plain))
+    (tmp_path / "other/cut.tar.zst").write_bytes(whole[: int(found[:2, 0].sum()) + 9])
+    (tmp_path / "other/none.tar.zst").write_bytes(b"no archive at all, but as long as a list")
+    rows = keyfiles.read_key_files(spark, str(tmp_path / "other")).collect()
+    by = {n: [r for r in rows if f"/{n}.tar.zst" in r.path] for n in ("stream", "cut", "none")}
+    assert {r.path.split("!")[1]: bytes(r.content) for r in by["stream"]} == want
+    assert [r.error is None for r in by["none"]] == [False] and sum(r.error is not None for r in by["cut"]) == 1
+    assert 100 < len(by["cut"]) < len(want) and all(bytes(r.content) == want[r.path.split("!")[1]] for r in by["cut"] if r.error is None)
+    changed = bytearray(whole)
+    changed[int(found[0, 0]) + 40 : int(found[0, 0]) + 80] = bytes(40)
+    (tmp_path / "changed.tar.zst").write_bytes(changed)
+    rows = keyfiles.read_key_files(spark, str(tmp_path / "changed.tar.zst")).collect()
+    assert any(r.error for r in rows) and all(bytes(r.content) == want[r.path.split("!")[1]] for r in rows if r.error is None)
+
+
 def test_lists_in_parts(spark):
     """One key with 10 000 of the rows, a null key, null and repeated values; no task places a whole key."""
     rows = [("hot", k) for k in range(10_000)] + [("cold", 5), ("cold", 5), ("cold", None), (None, 7), (None, 3), ("none", None)]
