@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keylake.functions.text import version_key, version_length
-from keylake.operators.snapshots import place_within
+from keylake.operators.snapshots import month_rows, place_within
 
 #: Values of one row, where a key's list comes in parts.
 PART = 10_000
@@ -41,16 +41,32 @@ def lists_in_parts(df: DataFrame, key: str | list[str], value: str, size: int =
     return placed.groupBy(*keys, F.floor(F.col("place") / size).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
 
 
-def attached_in_parts(left: DataFrame, right: DataFrame, key: str, value: str, size: int = PART) -> DataFrame:
+def ordered_in_parts(df: DataFrame, key: str | list[str], order: str, value: str, size: int = PART) -> DataFrame:
+    """(key, part, n, values): lists_in_parts of all values of a key in their order, null ones with them.
+
+    Null orders come first, and values with one order are in their own order.
+    """
+    parts = lists_in_parts(df.withColumn(value, F.struct(F.col(order).alias("o"), F.col(value).alias("v"))), key, value, size, distinct=False)
+    return parts.withColumn("values", F.transform("values", lambda x: x["v"]))
+
+
+def attached_in_parts(left: DataFrame, right: DataFrame, key: str | list[str], value: str, size: int = PART) -> DataFrame:
     """(key, part, n, values) for each distinct key of left, the form in parts of attach_hosts and key_packages.
 
     A key that right lacks, and a null key, has one part with an empty list.
     """
-    parts = lists_in_parts(right, key, value, size)
-    out = left.select(key).distinct().join(parts, key, "left").fillna(0, ["part", "n"])
+    keys = [key] if isinstance(key, str) else key
+    parts = lists_in_parts(right, keys, value, size)
+    out = left.select(*keys).distinct().join(parts, keys, "left").fillna(0, ["part", "n"])
     return out.withColumn("values", F.coalesce("values", F.array().cast(parts.schema["values"].dataType)))
 
 
+def month_in_parts(hosts: DataFrame, archive: DataFrame, key: str = "fprint", size: int = PART) -> DataFrame:
+    """(month, key, part, n, values): the form in parts of month_merge; a key without hosts has one part with an empty list."""
+    final, keys = month_rows(hosts, archive, key)
+    return attached_in_parts(keys, final, ["month", key], "ip", size)
+
+
 def unique_in_parts(df: DataFrame, key: str, order: str, list_col: str, size: int = PART) -> tuple[DataFrame, DataFrame]:
     """unique_by with its lists in parts: the first row of each key with n_rows, and (key, part, n, values)."""
     rest = [c for c in df.columns if c != key]
@@ -247,11 +263,21 @@ def chain_ids(chains: DataFrame, dictionary: DataFrame, leaf: str, place: str, c
 
     dictionary (cert, id) may repeat a certificate, whose least id counts; certificates that it lacks are left out.
     """
-    first = dictionary.where(F.col(cert).isNotNull()).groupBy(cert).agg(F.min(id_col).alias("__id"))
-    ordered = chains.join(first, cert).groupBy(leaf).agg(F.array_sort(F.collect_list(F.struct(place, "__id"))).alias("__c"))  # a chain is short
+    ordered = _chained(chains, dictionary, cert, id_col).groupBy(leaf).agg(F.array_sort(F.collect_list(F.struct(place, "__id"))).alias("__c"))
     return ordered.select(leaf, F.transform("__c", lambda x: x["__id"]).alias("ids"))
 
 
+def _chained(chains: DataFrame, dictionary: DataFrame, cert: str, id_col: str) -> DataFrame:
+    """chains with the __id of each certificate that the dictionary has."""
+    first = dictionary.where(F.col(cert).isNotNull()).groupBy(cert).agg(F.min(id_col).alias("__id"))
+    return chains.join(first, cert)
+
+
+def chains_in_parts(chains: DataFrame, dictionary: DataFrame, leaf: str, place: str, cert: str, id_col: str = "id", size: int = PART) -> DataFrame:
+    """(leaf, part, n, values): the form in parts of chain_ids, for a leaf that very many chains have."""
+    return ordered_in_parts(_chained(chains, dictionary, cert, id_col).select(leaf, place, "__id"), leaf, place, "__id", size)
+
+
 def impact(flagged: DataFrame, *links: DataFrame, keep: list[str]) -> DataFrame:
     """The distinct columns to keep of flagged rows that are followed through links.
 

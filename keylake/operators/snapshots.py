@@ -59,14 +59,18 @@ def month_merge(hosts: DataFrame, archive: DataFrame, key: str = "fprint") -> Da
 
     archive has (snap, key). Keys that the last snapshot lacks stay.
     """
-    month = F.date_trunc("month", F.col("snap")).alias("month")
-    last = hosts.select(month, "snap").distinct().groupBy("month").agg(F.max("snap").alias("snap"))
-    final = hosts.join(F.broadcast(last), "snap")  # one row for each month
+    final, keys = month_rows(hosts, archive, key)
     ips = final.groupBy("month", key).agg(F.array_sort(F.collect_set("ip")).alias("ips"))
-    keys = archive.select(month, key).distinct()
     return keys.join(ips, ["month", key], "left").withColumn("ips", F.coalesce("ips", F.array().cast(ips.schema["ips"].dataType)))
 
 
+def month_rows(hosts: DataFrame, archive: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Hosts of each month's last snapshot, with month, and the (month, key) of the archive."""
+    month = F.date_trunc("month", F.col("snap")).alias("month")
+    last = hosts.select(month, "snap").distinct().groupBy("month").agg(F.max("snap").alias("snap"))
+    return hosts.join(F.broadcast(last), "snap"), archive.select(month, key).distinct()  # last has one row for each month
+
+
 def seq_id(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """df with id: the row's place in an order over all rows.
 

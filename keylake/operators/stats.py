@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keylake.operators.relations import PART, lists_in_parts, ordered_in_parts
 
 def keys_per_entity(df: DataFrame, entity: str) -> DataFrame:
     """(n_keys, n_entities, ratio) over entities."""
@@ -46,6 +47,15 @@ def contributor_stats(df: DataFrame, who: str, where: str, amount: str) -> DataF
     return found.select(who, "total", F.size("repos").cast("long").alias("n_repos"), "average", F.array_join(F.array_sort(F.col("repos").cast("array<string>")), "|").alias("repos"))
 
 
+def contributors_in_parts(df: DataFrame, who: str, where: str, amount: str, size: int = PART) -> tuple[DataFrame, DataFrame]:
+    """contributor_stats with its lists in parts: (who, total, average) and (who, part, n, values), repos sorted as text.
+
+    n_repos is the sum of n of the parts; one without repos has no part.
+    """
+    totals = df.groupBy(who).agg(F.sum(amount).alias("total"), F.avg(amount).alias("average"))
+    return totals, lists_in_parts(df.withColumn(where, F.col(where).cast("string")), who, where, size)
+
+
 def flagged_hist(df: DataFrame, value: Column, flag: Column) -> DataFrame:
     """(slot, total, flagged, share): flagged rows of each value, and their share of all flagged, -1 if there are none."""
     out = df.groupBy(value.alias("slot")).agg(F.count("*").alias("total"), F.count_if(flag).alias("flagged"))
@@ -79,6 +89,11 @@ def match_map(df: DataFrame, entity: str, order: str, flag: Column) -> DataFrame
     return pairs.select(entity, F.transform("p", lambda x: x["f"]).alias("matches"))
 
 
+def matches_in_parts(df: DataFrame, entity: str, order: str, flag: Column, size: int = PART) -> DataFrame:
+    """(entity, part, n, values): the form in parts of match_map, for an entity of very many keys."""
+    return ordered_in_parts(df.select(entity, order, flag.alias("__f")), entity, order, "__f", size)
+
+
 def pmf(df: DataFrame, value: str, grid: DataFrame, prior: float, ranges: list[tuple[int, int, float]], weight: float) -> DataFrame:
     """(slot, p): a prior and extra scores for ranges [low, high), with weight spread over the sample's values, normalised."""
     total = df.select(F.count("*").alias("__total"))

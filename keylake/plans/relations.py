@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keylake.operators import graph, relations
+from keylake.operators import graph, relations, stats
 from keylake.plans.registry import query
 from keylake.session import materialize, table
 from keylake.sources import scans
@@ -212,3 +212,43 @@ def unique_in_parts(spark, sf):
 @query("g03_dependents_in_parts", _parts_sql("SELECT DISTINCT l_linestatus, l_linenumber, l_orderkey FROM lineitem", "l_linestatus, l_linenumber", "l_orderkey", 100))
 def dependents_in_parts(spark, sf):
     return _joined(relations.lists_in_parts(table(spark, sf, "lineitem"), ["l_linestatus", "l_linenumber"], "l_orderkey", 100))
+
+
+def _ordered_sql(rows: str, key: str, order: str, value: str, size: int) -> str:
+    """SQL of all values v of rows (key, o, v) by o, then v, in lists of size."""
+    placed = f"SELECT {key}, {order} AS o, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY {order}, {value}) - 1 AS place FROM ({rows})"
+    return f"SELECT {key}, place // {size} AS part, count(*) AS n, string_agg(CAST(v AS VARCHAR), ',' ORDER BY place) AS joined FROM ({placed}) GROUP BY ALL"
+
+
+@query("a16_matches_in_parts", _ordered_sql("SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS line, l_quantity > 25 AS f FROM lineitem", "l_suppkey", "line", "f", 64))
+def matches_in_parts(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), "l_quantity")
+    return _joined(stats.matches_in_parts(lines, "l_suppkey", "line", F.col("l_quantity") > 25, 64))
+
+
+@query("a13_repos_in_parts", "SELECT p.*, total, average FROM (" + _parts_sql("SELECT DISTINCT l_suppkey, CAST(l_partkey AS VARCHAR) AS repo FROM lineitem", "l_suppkey", "repo", 64) + ") p JOIN (SELECT l_suppkey, CAST(sum(l_quantity) AS DOUBLE) AS total, avg(l_quantity) AS average FROM lineitem GROUP BY 1) USING (l_suppkey)")
+def repos_in_parts(spark, sf):
+    totals, parts = stats.contributors_in_parts(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", 64)
+    return _joined(parts.join(totals.withColumn("total", F.col("total").cast("double")), "l_suppkey"))
+
+
+@query("j09_chains_in_parts", _ordered_sql("SELECT l_returnflag, l_linenumber, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey", "l_returnflag", "l_linenumber", "p_partkey", 100))
+def chains_in_parts(spark, sf):
+    """Three leaves, each with a third of all links."""
+    dictionary = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("id"))
+    return _joined(relations.chains_in_parts(table(spark, sf, "lineitem"), dictionary, "l_returnflag", "l_linenumber", "l_partkey", size=100))
+
+
+_H = "(SELECT date_trunc('day', ts) AS snap, date_trunc('month', ts) AS m, user_id % 7 AS fprint, event_id AS ip FROM events)"
+
+
+@query(
+    "w06_month_in_parts",
+    f"SELECT strftime(k.m, '%Y-%m') AS month, fprint, coalesce(part, 0) AS part, coalesce(n, 0) AS n, coalesce(joined, '') AS joined FROM (SELECT DISTINCT m, fprint FROM {_H}) k LEFT JOIN ("
+    + _parts_sql(f"SELECT DISTINCT m, fprint, ip FROM {_H} JOIN (SELECT max(snap) AS snap FROM {_H} GROUP BY m) USING (snap)", "m, fprint", "ip", 10)
+    + ") USING (m, fprint)",
+)
+def month_in_parts(spark, sf):
+    e = table(spark, sf, "events")
+    hosts = e.select(F.date_trunc("day", "ts").alias("snap"), (F.col("user_id") % 7).alias("fprint"), F.col("event_id").alias("ip"))
+    return _joined(relations.month_in_parts(hosts, hosts, size=10)).withColumn("month", F.date_format("month", "yyyy-MM"))

@@ -486,6 +486,22 @@ def test_lists_in_parts(spark):
     assert relations.lists_in_parts(df.limit(0), "k", "v").count() == 0
 
 
+def test_ordered_in_parts(spark):
+    """Values in an order of their own, with null values, null orders, ties and a null key; a month's key without hosts."""
+    rows = [("hot", k, (k * 7) % 1000 if k % 10 else None) for k in range(3000)] + [("few", 2, 5), ("few", 2, 3), ("few", None, 9), (None, 1, 4)]
+    df = spark.createDataFrame(rows, "k string, o long, v long").repartition(8)
+    got = {(r.k, r.part): (r.n, list(r["values"])) for r in relations.ordered_in_parts(df, "k", "o", "v", 700).collect()}
+    hot = [v for k, _, v in rows if k == "hot"]
+    assert got == {("hot", p): (len(hot[p * 700 : p * 700 + 700]), hot[p * 700 : p * 700 + 700]) for p in range(5)} | {("few", 0): (3, [9, 3, 5]), (None, 0): (1, [4])}
+    flags = {(r.k, r.part): list(r["values"]) for r in stats.matches_in_parts(df, "k", "o", F.col("v") > 3, 2).where("k is null or k = 'few'").collect()}
+    assert flags == {("few", 0): [True, False], ("few", 1): [True], (None, 0): [True]}
+    totals, parts = stats.contributors_in_parts(df.where("k is null or k = 'few'"), "k", "v", "o", 2)
+    assert {(r.k, r.total, r.average) for r in totals.collect()} == {("few", 4, 2.0), (None, 1, 1.0)}
+    assert {(r.k, r.part, tuple(r["values"])) for r in parts.collect()} == {("few", 0, ("3", "5")), ("few", 1, ("9",)), (None, 0, ("4",))}
+    hosts = spark.createDataFrame([("2024-01-03", "a", 1), ("2024-01-09", "a", 2), ("2024-01-09", "a", 2), ("2024-01-03", "b", 3), ("2024-02-01", None, 4)], "snap string, fprint string, ip long").withColumn("snap", F.col("snap").cast("timestamp"))
+    assert sorted((r.month.month, str(r.fprint), r.n, list(r["values"])) for r in relations.month_in_parts(hosts, hosts).collect()) == [(1, "a", 1, [2]), (1, "b", 0, []), (2, "None", 0, [])]
+
+
 def test_pages_of_odd_forms(spark):
     """Null and empty pages, entries that lack parts, and rows outside the primary part."""
     row = '<div class="appRow"><a href="/apk/c/x">X 2</a></div><p><span>V:</span>2</p><p>no time</p><p><span>S:</span>3 gb</p>'
