@@ -137,7 +137,12 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def _attribute(element: Column, name: str) -> Column:
     """An attribute of an element's first tag that has it; null if none has."""
-    return F.nullif(_plain(F.regexp_extract(element, rf'\b{name}="([^"]*)"', 1)), F.lit(""))
+    return F.nullif(_value(element, name), F.lit(""))
+
+
+def _value(element: Column, name: str) -> Column:
+    """The same, empty if none has; a condition on it is pushed down, and reads it once."""
+    return _plain(F.regexp_extract(element, rf'\b{name}="([^"]*)"', 1))
 
 
 def _plain(html: Column) -> Column:
@@ -154,51 +159,42 @@ _ANCHOR = r"(?s)<a\b[^>]*>.*?</a>"
 CHARTS = ("free", "paid", "grossing", "new_free", "new_paid")
 
 
-def _cards(html: Column) -> Column:
+def _cards(df: DataFrame, html: str, rest: list[str], first: int) -> DataFrame:
     """Cards, each from its title to the next one's: `3. Name` links to the package, a subtitle to the vendor."""
+    cards = df.select(*rest, F.explode_outer(_all(F.col(html), r'(?s)<a\b[^>]*class="title"[^>]*>.*?(?=<a\b[^>]*class="title"|$)')).alias("__c"))
+    title, subtitle = F.regexp_extract("__c", _ANCHOR, 0), F.regexp_extract("__c", r'(?s)<a\b[^>]*class="subtitle"[^>]*>', 0)
+    parts = cards.select(*rest, _plain(title).alias("__text"), _value(title, "href").alias("link"), _attribute(subtitle, "title").alias("vendor"))
+    place = F.regexp_extract("__text", r"^([0-9]+)\.", 1).try_cast("long")
+    return _ranked(parts, rest, place, F.regexp_replace("__text", r"^[0-9]+\.\s*", ""), F.regexp_extract("link", r"\?id=([^&]*)", 1), F.col("vendor"))
 
-    def card(c: Column, _) -> Column:
-        title = F.try_element_at(_all(c, _ANCHOR), F.lit(1))
-        subtitle = F.regexp_extract(c, r'(?s)<a\b[^>]*class="subtitle"[^>]*>', 0)
-        text = _plain(title)
-        link = _attribute(title, "href")
-        return _ranked(F.regexp_extract(text, r"^([0-9]+)\.", 1).try_cast("long"), F.regexp_replace(text, r"^[0-9]+\.\s*", ""), F.regexp_extract(link, r"\?id=([^&]*)", 1), _attribute(subtitle, "title"), link)
-
-    return F.transform(_all(html, r'(?s)<a\b[^>]*class="title"[^>]*>.*?(?=<a\b[^>]*class="title"|$)'), card)
 
-
-def _items(html: Column, first: int) -> Column:
+def _items(df: DataFrame, html: str, rest: list[str], first: int) -> DataFrame:
     """List items without places of their own: the first anchor is titled and ends in the package, the last is the download."""
+    items = df.select(*rest, F.posexplode_outer(_all(F.col(html), r"(?s)<li\b[^>]*>(.*?)</li>", 1)).alias("__k", "__li"))
+    found = items.select(*rest, "__k", _all(F.col("__li"), _ANCHOR).alias("__a"))
+    head, last = F.try_element_at("__a", F.lit(1)), F.try_element_at("__a", F.lit(-1))
+    parts = found.select(*rest, "__k", _value(head, "href").alias("link"), _attribute(head, "title").alias("app"), _attribute(last, "href").alias("download"))
+    return _ranked(parts, rest, (F.col("__k") + first).cast("long"), F.col("app"), F.element_at(F.split("link", "/"), -1), F.lit(None), download=F.col("download"))
 
-    def item(li: Column, k: Column) -> Column:
-        found = _all(li, _ANCHOR)
-        head = F.try_element_at(found, F.lit(1))
-        link = _attribute(head, "href")
-        return _ranked((k + first).cast("long"), _attribute(head, "title"), F.element_at(F.split(link, "/"), -1), F.lit(None), link, download=_attribute(F.try_element_at(found, F.lit(-1)), "href"))
-
-    return F.transform(_all(html, r"(?s)<li\b[^>]*>(.*?)</li>", 1), item)
 
-
-def _dashboard(html: Column) -> Column:
+def _dashboard(df: DataFrame, html: str, rest: list[str], first: int) -> DataFrame:
     """Rows of a table with a place and a cell for each chart: names of app and vendor, and a link .../package/details/..."""
-
-    def row(tr: Column) -> Column:
-        place = digits(_plain(F.regexp_extract(tr, r"(?s)<td\b[^>]*>(.*?)</td>", 1)))
-
-        def cell(td: Column, k: Column) -> Column:
-            names = F.filter(F.transform(_all(F.regexp_extract(td, r'(?s)class="asset-name".*', 0), r"(?s)<span\b[^>]*>(.*?)</span>", 1), _plain), lambda x: x != "")
-            link = _attribute(F.try_element_at(_all(td, _ANCHOR), F.lit(1)), "href")
-            chart = F.try_element_at(F.array(*map(F.lit, CHARTS)), k + 1)
-            return _ranked(place, F.try_element_at(names, F.lit(1)), F.regexp_extract(link, r"([^/]+)/details/", 1), F.try_element_at(names, F.lit(2)), link, chart)
-
-        return F.transform(_all(tr, r'(?s)<td\b[^>]*class="app-with-publisher-rank-iap[^"]*"[^>]*>.*?</td>'), cell)
-
-    return F.flatten(F.transform(_all(html, r'(?s)<tr\b[^>]*class="main-row[^"]*"[^>]*>.*?</tr>'), row))
+    rows = df.select(*rest, F.explode_outer(_all(F.col(html), r'(?s)<tr\b[^>]*class="main-row[^"]*"[^>]*>.*?</tr>')).alias("__tr"))
+    place = digits(_plain(F.regexp_extract("__tr", r"(?s)<td\b[^>]*>(.*?)</td>", 1)))
+    found = rows.select(*rest, place.alias("place"), _all(F.col("__tr"), r'(?s)<td\b[^>]*class="app-with-publisher-rank-iap[^"]*"[^>]*>.*?</td>').alias("__cells"))
+    cells = found.select(*rest, "place", F.posexplode_outer("__cells").alias("__k", "__td"))
+    spans = _all(F.regexp_extract("__td", r'(?s)class="asset-name".*', 0), r"(?s)<span\b[^>]*>(.*?)</span>", 1)
+    names = F.filter(F.transform(spans, _plain), lambda x: x != "")
+    parts = cells.select(*rest, "place", "__k", names.alias("__names"), _value(F.regexp_extract("__td", _ANCHOR, 0), "href").alias("link"))
+    name = lambda n: F.try_element_at("__names", F.lit(n))
+    chart = F.try_element_at(F.array(*map(F.lit, CHARTS)), F.col("__k") + 1)
+    return _ranked(parts, rest, F.col("place"), name(1), F.regexp_extract("link", r"([^/]+)/details/", 1), name(2), chart)
 
 
-def _ranked(place: Column, app: Column, package: Column, vendor: Column, link: Column, kind: Column | None = None, download: Column | None = None) -> Column:
-    text = {"app": app, "package": F.nullif(package, F.lit("")), "vendor": vendor, "type": F.lit(None) if kind is None else kind, "link": link, "download": F.lit(None) if download is None else download}
-    return F.struct(place.alias("place"), *[c.cast("string").alias(name) for name, c in text.items()])
+def _ranked(df: DataFrame, rest: list[str], place: Column, app: Column, package: Column, vendor: Column, kind: Column | None = None, download: Column | None = None) -> DataFrame:
+    none = F.lit(None)
+    text = {"app": app, "package": F.nullif(package, F.lit("")), "vendor": vendor, "type": none if kind is None else kind, "link": F.col("link"), "download": none if download is None else download}
+    return df.select(*rest, place.alias("place"), *[c.cast("string").alias(name) for name, c in text.items()])
 
 
 def site_rankings(df: DataFrame, html: str, site: str, kind: str | None = None, first: int = 0) -> DataFrame:
@@ -206,9 +202,11 @@ def site_rankings(df: DataFrame, html: str, site: str, kind: str | None = None,
 
     Sites: cards, list and dashboard, as their functions above describe. A list's places count from first, and kind is the type
     of pages that name none. What a page lacks is null; entries without a link are left out. Null pages give no rows.
+    An entry is a row of its own before its parts are read, so that each pattern is looked for once in it. Pages without one
+    have a row too up to the last step, as Spark would look for entries twice more to leave these pages out before.
     """
-    found = {"cards": _cards, "list": lambda c: _items(c, first), "dashboard": _dashboard}[site](F.col(html))
-    rows = df.select(*[c for c in df.columns if c != html], F.inline(found)).where("link is not null")
+    rest = [c for c in df.columns if c != html]
+    rows = {"cards": _cards, "list": _items, "dashboard": _dashboard}[site](df, html, rest, first).where("link <> ''")
     return rows.withColumn("type", F.coalesce("type", F.lit(kind).cast("string")))
 
 

@@ -11,6 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from keylake import plans
 from keylake.functions import keys as K
 from keylake.functions import text as T
 from keylake.operators import graph, relations, snapshots, stats
@@ -512,3 +513,15 @@ def test_pages_of_odd_forms(spark):
     assert [(r.id, r.place, r.app, r.package, r.download) for r in markup.site_rankings(df, "html", "list", first=1).collect()] == [(5, 3, None, "b", "/a/b")]
     assert markup.site_rankings(df, "html", "cards").count() == markup.site_rankings(df, "html", "dashboard").count() == markup.sitemap_links(df, "html").count() == 0
     assert [r.k for r in df.select(markup.sitemap_kind(F.col("html")).alias("k")).collect()] == [None] * 5
+
+
+def test_rankings_read_an_entry_once_and_on_all_cores(spark):
+    page = '<table><tr class="main-row"><td>1</td><td class="app-with-publisher-rank-iap"><a href="/apps/com.a/details/1"></a><div class="asset-name"><span>A</span></div></td></tr></table>'
+    df = spark.createDataFrame([(1, page), (2, "<p></p>"), (3, None)], "id int, html string").repartition(2)
+    found = markup.site_rankings(df, "html", "dashboard", "top")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("main-row") == plan.count("app-with-publisher") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "A", "com.a", None, "free", "/apps/com.a/details/1", None)]
+    for name in ("s14_site_rankings",):
+        plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 16, true" in plan, name  # one small file, all cores
