@@ -24,19 +24,29 @@ SPACINGS, SECONDS = 16, 100_000
 
 
 def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole chunks of rows sorted by (key, chunk, t), and where chunks begin."""
-    held = None
+    """Tables of whole chunks of rows sorted by (key, chunk, t), and where chunks begin.
+
+    Batches of a chunk that goes on are put aside as they are, and joined once it ends.
+    """
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        starts = _starts(held)
-        if len(starts) > 1:
-            yield held.slice(0, starts[-1]), starts[:-1]
-            held = held.slice(starts[-1])
-    if held is not None:
-        yield held, _starts(held)
+        own = _starts(pa.Table.from_batches([b]))
+        same = held and all(held[-1][c][-1].as_py() == b[c][0].as_py() for c in ("key", "chunk"))
+        last = int(own[-1])
+        if held and (last or not same):  # a chunk ends in this batch, or with the one before
+            t = pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks()
+            yield t, _starts(t)
+            held = [b.slice(last)]
+        elif last:
+            yield pa.Table.from_batches([b.slice(0, last)]), own[:-1]
+            held = [b.slice(last)]
+        else:
+            held.append(b)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _starts(t)
 
 
 def _starts(t: pa.Table) -> np.ndarray:
@@ -95,7 +105,8 @@ def _targets(entries: DataFrame, chunks: DataFrame) -> DataFrame:
     far = asked.where("next_chunk > chunk + 1").select("key", "chunk", "free", F.col("next_first").alias("target"))
     near = asked.where("next_chunk = chunk + 1")
     both = entries.select("key", "chunk", F.col("t").alias("at"), F.col("t").alias("found")).unionByName(near.select("key", F.col("next_chunk").alias("chunk"), F.col("free").alias("at"), F.lit(None).cast("long").alias("found")))
-    ahead = Window.partitionBy("key", "chunk").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last time to the first, as a frame that grows takes each row once, and one that shrinks all that are left
+    ahead = Window.partitionBy("key", "chunk").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumn("target", F.min("found").over(ahead)).where("found is null").select("key", "chunk", F.col("at").alias("free"), "target")
     met = met.join(chunks.select("key", "chunk", "next_first"), ["key", "chunk"]).select("key", (F.col("chunk") - 1).alias("chunk"), "free", F.coalesce("target", "next_first").alias("target"))
     return far.unionByName(met).where("target is not null")

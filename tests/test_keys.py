@@ -96,6 +96,26 @@ def test_spacing_over_many_batches(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_spacing_joins_no_batch_twice_and_no_frame_shrinks(spark, monkeypatch):
+    """A chunk of many batches: each row is put into a table of whole chunks once. No window goes to the end of its rows."""
+    import pyarrow as pa
+
+    batch = lambda key, chunk, lo, hi: pa.record_batch({"key": [key] * (hi - lo), "chunk": [chunk] * (hi - lo), "t": list(range(lo, hi))})
+    one = [batch("a", 0, k, k + 5) for k in range(0, 500, 5)]
+    mixed = pa.Table.from_batches([batch("a", 0, 500, 503), batch("a", 1, 600, 602), batch("b", 1, 0, 4)]).combine_chunks().to_batches()
+    seen = []
+    starts = spacing._starts
+    monkeypatch.setattr(spacing, "_starts", lambda t: seen.append(len(t)) or starts(t))
+    got = [(t.num_rows, [t["t"][int(k)].as_py() for k in s]) for t, s in spacing._whole_chunks(iter([*one, *mixed, batch("b", 1, 4, 6), batch("c", 0, 1, 2)]))]
+    assert got == [(505, [0, 600]), (6, [0]), (1, [1])]
+    assert sum(seen) <= 3 * 512
+    entries = spark.createDataFrame([("a", 0, 5, 12), ("a", 1, 13, 30)], "key string, chunk long, t long, free long")
+    chunks = spark.createDataFrame([("a", 0, 5, 1, 13), ("a", 1, 13, None, None)], "key string, chunk long, first long, next_chunk long, next_first long")
+    targets = spacing._targets(entries, chunks)
+    assert "UnboundedFollowing" not in targets._jdf.queryExecution().optimizedPlan().toString().replace("unboundedfollowing", "UnboundedFollowing")
+    assert [tuple(r) for r in targets.collect()] == [("a", 0, 12, 13)]
+
+
 def test_spacing_of_one_large_group(spark):
     """A group of 10^5 times in many chunks, with gaps over several of them, and chains that cross every bound."""
     rng = random.Random(5)
