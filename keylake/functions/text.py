@@ -84,8 +84,11 @@ def version_key(c: Column, parts: int | None = None) -> Column:
         return F.struct(F.when(number, 0).otherwise(1).alias("is_text"), F.when(number, x.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("num"), F.when(number, "").otherwise(x).alias("text"))
 
     def trimmed(items: Column, keep) -> Column:
-        at = F.filter(F.transform(items, lambda x, i: F.when(keep(x), i + 1)), lambda i: i.isNotNull())
-        return F.slice(items, F.lit(1), F.coalesce(F.array_max(at), F.lit(0)))
+        def cut(found: Column) -> Column:
+            at = F.filter(F.transform(found, lambda x, i: F.when(keep(x), i + 1)), lambda i: i.isNotNull())
+            return F.slice(found, F.lit(1), F.coalesce(F.array_max(at), F.lit(0)))
+
+        return F.transform(F.array(items), cut)[0]  # bound to a name, as items would else be made once for each mention
 
     inner = F.transform(dotted, lambda p: trimmed(F.transform(F.split(p, "-"), piece), lambda x: (x["is_text"] == 1) | (x["num"] != 0)))
     return trimmed(inner, lambda p: F.size(p) > 0)

@@ -196,13 +196,17 @@ def pick_versions(df: DataFrame, group: str, version: str = "version") -> DataFr
     Among those the greatest first two parts count, then fewer parts, then the greatest rest, which compares as a version.
     """
     v = F.col(version)
-    rows = df.select(group, version).distinct().withColumn("__k", version_key(v))
-    top = rows.groupBy(group).agg(F.max_by(version, F.struct("__k", version)).alias("__top"))
-    below = rows.join(top, group).where((F.col("__k") < version_key(F.col("__top"), 2)) & (v != F.col("__top")))
-    tail = version_key(F.array_join(F.slice(F.split(F.replace(v, F.lit(":"), F.lit(".")), r"\."), F.lit(3), F.lit(1000)), "."))
-    rank = F.struct(version_key(v, 2), -version_length(v), tail, v)
-    lower = below.groupBy(group).agg(F.max_by(version, rank).alias(version)).select(group, version, F.lit("lower").alias("pick"))
-    return top.select(group, F.col("__top").alias(version), F.lit("top").alias("pick")).unionByName(lower)
+    rows = df.select(group, version).distinct().withColumn("__k", version_key(v))  # a version's key is made once
+    part = lambda n: F.when(F.size(F.get("__k", F.lit(n))) > 0, F.get("__k", F.lit(n)))  # noqa: E731  (null, the least, for none and for zero)
+    two = F.struct(part(0).alias("a"), part(1).alias("b")).alias("__two")
+    high, low = F.struct("__k", version), F.struct(-version_length(v), F.slice("__k", 3, 1000), v)
+    best = rows.groupBy(group, two).agg(F.max_by(version, high).alias("__high"), F.max_by(version, low).alias("__low"))
+    # the highest is among those of the greatest first two parts; those below are of the next
+    order = Window.partitionBy(group).orderBy(F.desc("__two"))
+    near = best.withColumn("__n", F.row_number().over(order)).where("__n <= 2")
+    top = F.col("__n") == 1
+    out = near.where(top | (F.col(group).isNotNull() & F.col("__low").isNotNull()))
+    return out.select(group, F.when(top, F.col("__high")).otherwise(F.col("__low")).alias(version), F.when(top, "top").otherwise("lower").alias("pick"))
 
 
 def version_filter(df: DataFrame, version: str, low: str | None = None, high: str | None = None, exact: str | None = None) -> DataFrame:

@@ -522,6 +522,33 @@ def test_rankings_read_an_entry_once_and_on_all_cores(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("main-row") == plan.count("app-with-publisher") == 1
     assert [tuple(r) for r in found.collect()] == [(1, 1, "A", "com.a", None, "free", "/apps/com.a/details/1", None)]
-    for name in ("s14_site_rankings",):
+    for name in ("s14_site_rankings", "s14_app_rankings"):
         plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition 16, true" in plan, name  # one small file, all cores
+
+
+def test_workers_hand_on_a_few_inputs_at_a_time(spark, monkeypatch):
+    """Of a large batch no worker holds all records or cells."""
+    import pandas as pd
+    import pyarrow as pa
+
+    taken = {}
+    kind = type(spark.range(1))
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(kind, name, lambda self, f, schema, name=name: taken.update({name: f}))
+    frames.parse_rows(spark.createDataFrame([(1, b"x")], "id long, data binary"), "data", "v string", lambda d: [{"v": d.decode()}] * 2)
+    batch = pd.DataFrame({"id": range(3 * frames.RECORDS // 2), "__bytes": [b"x"] * (3 * frames.RECORDS // 2)})
+    sizes = [len(out) for out in taken["mapInPandas"](iter([batch]))]
+    assert sizes == [2 * frames.RECORDS, frames.RECORDS]
+    markup.html_tables(spark.createDataFrame([(1, "x")], "id long, html string"), "html", "id")
+    page = "<table><tr><td>1</td><td>2</td></tr></table>"
+    out = list(taken["mapInArrow"](iter([pa.record_batch({"id": list(range(5000)), "html": [page] * 4999 + [None]})])))
+    assert sum(b.num_rows for b in out) == 9998 and max(b.num_rows for b in out) < 2 * markup.CELLS
+    assert out[-1].to_pylist()[-1] == {"id": 4998, "header": None, "tbl": 0, "line": 0, "col": 1, "text": "2", "href": None}
+
+
+def test_pick_versions_makes_a_key_once(spark):
+    rows = [("a", v) for v in ("1.10.2", "1.9", "1.9.0", "1.9.1", "1.10", "0.9", None)] + [("z", v) for v in ("0", "0.0.1", None)] + [("one", "1.0"), ("none", None), (None, "1"), (None, "2"), ("t", "1.0.6"), ("t", "1.0.5"), ("t", "1-rc"), ("t", "0.9-b.7")]
+    out = relations.pick_versions(spark.createDataFrame(rows, "g string, version string"), "g")
+    assert {tuple(r) for r in out.collect()} == {("a", "1.10.2", "top"), ("a", "1.9", "lower"), ("z", "0.0.1", "top"), ("one", "1.0", "top"), ("none", None, "top"), (None, "2", "top"), ("t", "1-rc", "top"), ("t", "1.0.6", "lower")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[0-9]{1,38}") <= 3
