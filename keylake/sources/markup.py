@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +46,10 @@ def trust_list_certs(df: DataFrame, xml: str, list_id: str, pattern: str = r"<X5
     return found.groupBy("cert").agg(F.min(F.struct(list_id, "pos")).alias("first")).select(f"first.{list_id}", "first.pos", "cert")
 
 
+#: Cells of pages that a worker gathers before it hands them on.
+CELLS = 2000
+
+
 class _Tables(HTMLParser):
     """Cells of table rows: (header before the table, table, row, column, text, first link)."""
 
@@ -81,19 +85,29 @@ class _Tables(HTMLParser):
 
 
 def html_tables(df: DataFrame, html: str, id_col: str) -> DataFrame:
-    """(id, header, tbl, line, col, text, href) of each table cell of each page."""
+    """(id, header, tbl, line, col, text, href) of each table cell of each page.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A worker holds the pages of one batch as Arrow has them, and the cells of a few pages, whatever a task has.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, header string, tbl int, line int, col int, text string, href string"
+    names = [id_col, "header", "tbl", "line", "col", "text", "href"]
+    types = [pa.string(), *[pa.int32()] * 3, pa.string(), pa.string()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, page in zip(batch[id_col], batch[html]):
+            keys, pages = batch.columns
+            at, cells = [], []
+            for k in range(batch.num_rows):
                 reader = _Tables()
-                reader.feed(page or "")
-                rows += [(key, *cell) for cell in reader.out]
-            yield pd.DataFrame(rows, columns=[id_col, "header", "tbl", "line", "col", "text", "href"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, html).mapInPandas(work, f"{id_col} {kind}, header string, tbl int, line int, col int, text string, href string")
+                reader.feed(pages[k].as_py() or "")
+                at += [k] * len(reader.out)
+                cells += reader.out
+                if cells and (len(cells) >= CELLS or k + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *map(pa.array, zip(*cells), types)], names)
+                    at, cells = [], []
+
+    return df.select(id_col, html).mapInArrow(work, schema)
 
 
 #: Layouts of published lists: which column has the size and the hash (and the date), and what groups the files of a set.
