@@ -85,21 +85,27 @@ def seq_id(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
     return parts.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__start") + place - 1 + start).alias("id"))  # one row for each partition
 
 
+#: Rows of a range whose rows one task numbers, about.
+RANGE = 500_000
+
+
 def place_within(df: DataFrame, group: str | list[str], *order: str, start: int = 0) -> DataFrame:
     """df with place: the row's place in its group, null being a group, so that no task has a whole group.
 
     Rows are split into ranges of (group, order), and each range numbers its rows of each group. Only the group that begins a
-    range can have rows in those before: how many is broadcast, one row at most for each range.
+    range can have rows in those before: how many is broadcast, one row at most for each range. There are as many ranges as
+    rows ask for, and a number that is given keeps Spark from joining small ones, so that a task's rows don't grow with df.
     """
     groups = [group] if isinstance(group, str) else group
     key = F.struct(*groups).alias("__g")
-    parts = materialize(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    n = df.sparkSession.sparkContext.defaultParallelism + df.count() // RANGE
+    parts = materialize(df.repartitionByRange(n, *groups, *order).sortWithinPartitions(*groups, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     begins = parts.groupBy("__p").agg(F.min(key).alias("__g")).select("__g").distinct()
     sizes = parts.groupBy("__p", key).agg(F.count("*").alias("__n")).join(F.broadcast(begins), "__g")
     before = F.sum("__n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     carried = sizes.select("__p", "__g", before.alias("__before")).where("__before is not null")
     place = F.row_number().over(Window.partitionBy("__p", *groups).orderBy(*order))
-    numbered = parts.select("*", key, place.alias("__place")).join(F.broadcast(carried), ["__p", "__g"], "left")
+    numbered = parts.repartition(n, "__p").select("*", key, place.alias("__place")).join(F.broadcast(carried), ["__p", "__g"], "left")
     return numbered.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__place") - 1 + start).alias("place"))
 
 

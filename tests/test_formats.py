@@ -552,3 +552,13 @@ def test_pick_versions_makes_a_key_once(spark):
     out = relations.pick_versions(spark.createDataFrame(rows, "g string, version string"), "g")
     assert {tuple(r) for r in out.collect()} == {("a", "1.10.2", "top"), ("a", "1.9", "lower"), ("z", "0.0.1", "top"), ("one", "1.0", "top"), ("none", None, "top"), (None, "2", "top"), ("t", "1-rc", "top"), ("t", "1.0.6", "lower")}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("[0-9]{1,38}") <= 3
+
+
+def test_places_have_ranges_as_rows_ask_for(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.hash("id").alias("v"))
+    monkeypatch.setattr(snapshots, "RANGE", 100)
+    placed = snapshots.place_within(df, "k", "v")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [__p" in plan and ", 34" in plan  # 4 cores, 3000 rows
+    want = {(k, v): n for k in (0, 1) for n, v in enumerate(sorted(r.v for r in df.where(F.col("k") == k).collect()))}
+    assert {(r.k, r.v): r.place for r in placed.collect()} == want
